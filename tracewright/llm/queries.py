@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, packing, simhash, tokenfile
+from . import chat, decontaminate, langid, licenses, media, packing, simhash, tokenfile, urlfilter, warc
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_duplicates(documents(spark, sf_dir))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licenses(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -24,6 +28,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: The rules that the query applies.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urlfilter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(documents(spark, sf_dir))
 
@@ -32,6 +49,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_digests(documents(spark, sf_dir))
 
@@ -44,12 +65,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
+    "op5_revisits": op5_revisits,
+    "op6_url_filter": op6_url_filter,
     "op7_language": op7_language,
     "op8_media": op8_media,
+    "op9_chat": op9_chat,
     "op10_token_file": op10_token_file,
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_revisits": warc.SQL, "op9_chat": chat.SQL}
