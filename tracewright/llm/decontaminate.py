@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Share of an item's words that may differ.
 RATE = 0.12
 #: Bytes of item text in one block; larger benchmarks are searched block by block, all documents each.
@@ -112,7 +114,7 @@ class Searcher:
 def _search(items: list[str], ids: list, id_kind: str, rate: float):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(items, rate)
-        for batch in batches:
+        for batch in slices(batches):
             rows, source = [], []
             for i, t in enumerate(batch.column("text")):
                 for row in searcher.search(t.as_py()):

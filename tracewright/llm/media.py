@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, slices
 
 UNKNOWN = "application/octet-stream"
 
@@ -226,7 +226,7 @@ def store_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """Write every whole text as a WAVE blob with the generic declared type, at ``path``."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = [t.as_py() or b"" for t in batch.column("raw")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([wav_blob(padded(r)) for r in raw], pa.binary())],

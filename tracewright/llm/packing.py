@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 from .tokens import default_vocabulary, encoder
 
 CAPACITY = 2048
@@ -112,7 +112,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for batch in batches:
+        for batch in slices(batches):
             out, source = [], []
             for i, t in enumerate(batch.column("text")):
                 ids = encode(t.as_py()) + end

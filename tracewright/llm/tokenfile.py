@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import materialize, new_path, slices
 from .tokens import default_vocabulary, encoder
 
 MAX_BITS = 16
-CHECK = 512
+CHECK = 256
 #: Ids after which a block ends with the document at hand.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
 #: Ids in a part at most, on average.
 PART_IDS = 1 << 26
 
@@ -90,17 +90,24 @@ def encode_ids(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: n
     doc_bytes = (doc_bits + 7) // 8
     shift = 8 * (np.cumsum(doc_bytes) - doc_bytes) - (ends[first] - bits[first])
     at = ends - bits + np.repeat(shift, sizes)
-    value = codes[ids].astype(np.int64) << (24 - bits - (at & 7))
-    byte, total = at >> 3, int(doc_bytes.sum())
-    data = np.zeros(total + 2)
-    for k in range(3):
-        part = (value >> (16 - 8 * k)) & 255
-        data[k:] += np.bincount(byte, weights=part, minlength=total + 2)[: total + 2 - k]
+    # codes that begin in one 64-bit word add up there; at most one of them runs into the next word
+    room = 64 - bits - (at & 63)
+    value = codes[ids].astype(np.uint64)
+    high = np.where(room >= 0, value << np.maximum(room, 0).astype(np.uint64), value >> np.maximum(-room, 0).astype(np.uint64))
+    word = at >> 6
+    total = int(doc_bytes.sum())
+    words = np.zeros(total // 8 + 2, np.uint64)
+    if len(ids):
+        begins = np.concatenate(([0], np.flatnonzero(np.diff(word)) + 1))
+        words[word[begins]] = np.add.reduceat(high, begins)
+        over = np.flatnonzero(room < 0)
+        words[word[over] + 1] += value[over] << (64 + room[over]).astype(np.uint64)
+    data = words.astype(">u8").view(np.uint8)
     pos = np.arange(len(ids)) - np.repeat(first, sizes)
     marks = np.flatnonzero((pos % CHECK == 0) & (pos > 0))
     owner = np.repeat(np.arange(len(sizes)), sizes)[marks]
     checks = at[marks] - 8 * (np.cumsum(doc_bytes) - doc_bytes)[owner]
-    return data[:total].astype(np.uint8), doc_bytes, checks, np.bincount(owner, minlength=len(sizes))
+    return data[:total], doc_bytes, checks, np.bincount(owner, minlength=len(sizes))
 
 
 def decode_ids(data: np.ndarray, doc_bytes: np.ndarray, sizes: np.ndarray, checks: np.ndarray, n_checks: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -138,7 +145,7 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         wide = encoder(vocabulary).tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
-        for batch in batches:
+        for batch in slices(batches):
             ids = (encode(t.as_py()) + end for t in batch.column("text"))
             if not wide:
                 ids = (np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids)
@@ -160,7 +167,7 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
-    for batch in batches:
+    for batch in slices(batches, 1024):
         found = np.bincount(_flat(batch)[0])
         if len(found) > len(total):
             found, total = total, found
@@ -199,9 +206,7 @@ def write_token_file(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             ids, sizes = _flat(batch)
             data, doc_bytes, checks, n_checks = encode_ids(ids, sizes, lengths, codes)
             key = batch.column("doc_id")

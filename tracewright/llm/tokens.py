@@ -1,12 +1,11 @@
-"""Token ids of whole texts by the tokenizers library, one space-led chunk at a time.
-
-Byte-level BPE splits a text into pre-tokens before it merges anything, and always starts a new
-pre-token at a space that is followed by a visible character. So a text can be cut at those
-places, each chunk encoded on its own and the ids joined, with the same ids as for the whole
-text. Chunks repeat far more often than texts do, so each worker keeps the ids of those it has seen.
-A chunk of plain words (Latin-1 letters, marks like a comma, single line ends) has pre-tokens that
-are clear without the library's Unicode tables; those go straight to the library's BPE model. All
-other chunks take the library's whole path.
+"""Token ids of whole texts by the tokenizers library, one pre-token at a time.
+
+Byte-level BPE splits a text into pre-tokens (words with their leading space, digits, marks, white
+space) before it merges anything within each. Pre-tokens repeat far more often than texts do, so
+each worker keeps the ids that the library's BPE model gave for those it has seen. In texts of
+Latin-1 characters the split needs no Unicode tables and is done here; in other texts, the
+stretches between spaces that hold other characters take the library's whole path, which is
+possible as a pre-token always starts at a space that a visible character follows.
 """
 
 from __future__ import annotations
@@ -15,24 +14,32 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Characters after a space at which a chunk may begin (fixed values: visible ASCII and Latin-1).
-_VISIBLE = re.compile("[!-~\u00a1-\u00ff]")
-_NOT_A_CUT = re.compile(" (?![!-~\u00a1-\u00ff])")
-#: Chunks kept by a worker before it starts anew; only speed depends on it.
-CACHE_CHUNKS = 700_000
-#: Longer chunks are encoded each time and not kept.
+#: Pre-tokens kept by a worker before it starts anew; only speed depends on it.
+CACHE_WORDS = 500_000
+#: Longer pre-tokens are encoded each time and not kept.
 CACHE_CHARS = 64
 
-_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
-_PLAIN = re.compile(f"{_LETTERS}[.,;:!?]*(?:\n{_LETTERS}[.,;:!?]*)*")
-_PRE_TOKEN = re.compile(f" ?{_LETTERS}|[.,;:!?]+|\n")
+#: Letters, digits and white space of Latin-1, and English endings after an apostrophe.
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
+_PRE_TOKEN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_CUT = re.compile(" (?=[!-~\u00a1-\u00ff])")
 #: The printable stand-in of each byte in byte-level BPE: itself where visible, else the next code point from 256.
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
 _STAND_IN = {b: 256 + k for k, b in enumerate(_HIDDEN)}
-_SPACE, _LINE_END = chr(_STAND_IN[0x20]), chr(_STAND_IN[0x0A])
+_SPACE = chr(_STAND_IN[0x20])
 
 
-class ChunkedEncoder:
+def _is_latin1(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class PreTokenEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers in bytes."""
 
     def __init__(self, path: str):
@@ -45,57 +52,54 @@ class ChunkedEncoder:
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _whole(self, chunk: str) -> bytes:
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not _PLAIN.fullmatch(chunk):
-            return self._whole(" " + chunk)
-        words, out = self.words, []
-        for word in _PRE_TOKEN.findall(" " + chunk):
-            if (ids := words.get(word)) is None:
-                if word.isascii():
-                    shown = word.replace(" ", _SPACE).replace("\n", _LINE_END)
-                else:
-                    shown = word.encode().decode("latin-1").translate(_STAND_IN)
-                ids = words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            shown = word.replace(" ", _SPACE)
+        else:
+            shown = word.encode().decode("latin-1").translate(_STAND_IN)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(word) <= CACHE_CHARS:
+            self.known[word] = ids
+        return ids
+
+    def _latin1(self, text: str) -> bytes:
+        words = _PRE_TOKEN.findall(text)
+        found = list(map(self.known.get, words))
+        if None in found:
+            if len(self.known) > CACHE_WORDS:
+                self.known.clear()
+            get, make = self.known.get, self._word
+            found = [(get(w) or make(w)) if ids is None else ids for w, ids in zip(words, found)]
+        return b"".join(found)
+
+    def _stretch(self, text: str) -> bytes:
+        if _is_latin1(text):
+            return self._latin1(text)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        parts = text.split(" ")
-        # a part that is empty or begins with something else than a visible character stays with the part before it
-        if _NOT_A_CUT.search(text):
-            merged = [parts[0]]
-            for p in parts[1:]:
-                if _VISIBLE.match(p):
-                    merged.append(p)
-                else:
-                    merged[-1] += " " + p
-            parts = merged
-        known = self.known
-        head = self._whole(parts[0]) if parts[0] else b""
-        found = [known.get(p) for p in parts[1:]]
-        if None in found:
-            fresh = {p: b"" for p, ids in zip(parts[1:], found) if ids is None}
-            fresh = {p: self._chunk(p) for p in fresh}
-            found = [fresh[p] if ids is None else ids for p, ids in zip(parts[1:], found)]
-            if len(known) > CACHE_CHUNKS:
-                known.clear()
-            if len(self.words) > CACHE_CHUNKS:
-                self.words.clear()
-            known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHE_CHARS)
-        return head + b"".join(found)
+        if _is_latin1(text):
+            return self._latin1(text)
+        cuts = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
+        out, run = [], 0
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if not _is_latin1(text[a:b]):
+                if run < a:
+                    out.append(self._latin1(text[run:a]))
+                out.append(self._stretch(text[a:b]))
+                run = b
+        if run < len(text):
+            out.append(self._latin1(text[run:]))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkedEncoder:
+def encoder(path: str) -> PreTokenEncoder:
     """One encoder for each worker and vocabulary file."""
-    return ChunkedEncoder(path)
+    return PreTokenEncoder(path)
 
 
 def default_vocabulary() -> str:
