@@ -19,6 +19,14 @@ def _over(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def _median_over(value: str | Column, w) -> Column:
+    """Median of the non-null values of a frame; NULL without any. Frames are a few rows wide."""
+    v = F.array_sort(F.collect_list(value).over(w))
+    n = F.size(v)
+    at = lambda k: F.try_element_at(v, F.greatest(F.lit(1), F.floor((n + k) / 2)).cast("int"))
+    return (at(1) + at(2)) / 2
+
+
 def derivative(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, time: str, out: str) -> DataFrame:
     """Central difference, one-sided at the ends; 0 where time doesn't advance."""
     w = _over(keys, order)
@@ -69,8 +77,8 @@ def repair_breaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], spee
     """
     w = _over(keys, order)
     good = F.when(F.col(speed).between(0, 9999.999), F.col(speed))
-    before = F.median(good).over(w.rowsBetween(-7, -2))
-    after = F.median(good).over(w.rowsBetween(1, 6))
+    before = _median_over(good, w.rowsBetween(-7, -2))
+    after = _median_over(good, w.rowsBetween(1, 6))
     base = df.withColumns({"_before": before, "_after": after})
     next_broken = F.coalesce(F.lead(broken).over(w), F.lit(False))
     # the first row of an edge is one row earlier than the edge's own frame
@@ -181,7 +189,7 @@ def edge_averages(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 def boundary_median(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Median of a row and its two neighbours within the group."""
-    return df.withColumn(out, F.median(value).over(_over(keys, order).rowsBetween(-1, 1)))
+    return df.withColumn(out, _median_over(value, _over(keys, order).rowsBetween(-1, 1)))
 
 
 def alternating_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str) -> DataFrame:
