@@ -69,8 +69,10 @@ def angle_delta_deg(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 
 
 def contact_state_name(state: Column) -> Column:
-    name = F.element_at(F.array(*[F.lit(n) for n in CONTACT_STATES]), F.when(state.between(0, 5), state + 1))
-    return F.when(state.isNotNull(), F.coalesce(name, F.concat(F.lit("unknown_"), state.cast("string"))))
+    name = F.when(state.isNull(), None)
+    for k, n in enumerate(CONTACT_STATES):
+        name = name.when(state == k, n)
+    return name.otherwise(F.concat(F.lit("unknown_"), state.cast("string")))
 
 
 def airborne(state: Column) -> Column:

@@ -225,7 +225,7 @@ def align_trajectories(subject: DataFrame, baseline: DataFrame, keys: Sequence[s
         return out
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + _PAIR_SCHEMA
-    return subject.select(*cols).groupBy(*keys).cogroup(baseline.select(*cols).groupBy(*keys)).applyInPandas(align, schema)
+    return subject.select(*cols).toDF(*cols).groupBy(*keys).cogroup(baseline.select(*cols).toDF(*cols).groupBy(*keys)).applyInPandas(align, schema)
 
 
 def pair_corners(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: float = 0.02) -> DataFrame:
@@ -246,7 +246,7 @@ def pair_corners(left: DataFrame, right: DataFrame, keys: Sequence[str], toleran
         return out
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", left_corner {kinds['corner']}, right_corner {kinds['corner']}, anchor_delta double"
-    return left.select(*cols).groupBy(*keys).cogroup(right.select(*cols).groupBy(*keys)).applyInPandas(pair, schema)
+    return left.select(*cols).toDF(*cols).groupBy(*keys).cogroup(right.select(*cols).toDF(*cols).groupBy(*keys)).applyInPandas(pair, schema)
 
 
 def unique_or_role(requests: DataFrame, table: DataFrame, ident: str, role: str, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import point_in_triangle
@@ -79,9 +79,7 @@ def on_surface(points: DataFrame, triangles: DataFrame, keys: Sequence[str], cel
 
 def coverage(points: DataFrame, triangles: DataFrame, keys: Sequence[str], group: Sequence[str], most: int = 100) -> DataFrame:
     """Share of each group's points, every n-th of them, that lie on the surface; NULL without any."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*group)
     rows = points.withColumns({"_i": F.row_number().over(w.orderBy("i")) - 1, "_n": F.count("*").over(w)})
-    kept = rows.where("_i % greatest(1, ceil(_n / %d)) = 0" % most).drop("_i", "_n")
+    kept = rows.where(f"_i % greatest(1, ceil(_n / {most})) = 0").drop("_i", "_n")
     return on_surface(kept, triangles, keys).groupBy(*group).agg(F.avg(F.col("on_surface").cast("int")).alias("coverage"), F.count("*").alias("sampled"))
