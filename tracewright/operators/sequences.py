@@ -227,7 +227,7 @@ def merge_segments(intervals: DataFrame, keys: Sequence[str], gap: float, start:
     """Intervals whose start is less than ``gap`` after the latest end so far, merged."""
     w = Window.partitionBy(*keys).orderBy(start, end, *tie)
     latest = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = intervals.withColumn("_new", F.when(F.col(start) - latest < gap, 0).otherwise(1)).withColumn("segment", F.sum("_new").over(w))
+    rows = intervals.withColumn("_new", F.when(F.col(start) - latest < gap - 1e-9, 0).otherwise(1)).withColumn("segment", F.sum("_new").over(w))
     out = rows.groupBy(*keys, "segment").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("members"))
     return out.withColumn("duration", F.col(end) - F.col(start))
 

@@ -13,12 +13,12 @@ from ..functions.scalar import EQUAL_S
 def complement(spans: DataFrame, intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The parts of each span (``lo, hi``) that no interval (``start_t, end_t``) covers."""
     i = intervals.join(spans.select(*keys, "lo", "hi"), list(keys)).where("end_t > lo and start_t < hi")
-    i = i.select(*keys, F.greatest("start_t", "lo").alias("s"), F.least("end_t", "hi").alias("e"))
-    ends = spans.select(*keys, F.col("hi").alias("s"), F.col("hi").alias("e"))
-    starts = spans.select(*keys, F.col("lo").alias("s"), F.col("lo").alias("e"))
-    w = Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    rows = i.unionByName(ends).unionByName(starts).withColumn("gap_start", F.max("e").over(w))
-    return rows.where("gap_start < s").select(*keys, "gap_start", F.col("s").alias("gap_end"))
+    i = i.select(*keys, F.greatest("start_t", "lo").alias("_s"), F.least("end_t", "hi").alias("_e"))
+    ends = spans.select(*keys, F.col("hi").alias("_s"), F.col("hi").alias("_e"))
+    starts = spans.select(*keys, F.col("lo").alias("_s"), F.col("lo").alias("_e"))
+    w = Window.partitionBy(*keys).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
+    rows = i.unionByName(ends).unionByName(starts).withColumn("gap_start", F.max("_e").over(w))
+    return rows.where("gap_start < _s").select(*keys, "gap_start", F.col("_s").alias("gap_end"))
 
 
 def dedupe_by_precedence(df: DataFrame, keys: Sequence[str], precedence: Column, tie: Sequence[str]) -> DataFrame:
