@@ -173,4 +173,6 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without rows of undetermined language. Ambiguous texts stay: they are language too."""
     model = train(training_rows(docs))
-    return with_language(docs, model).where(F.col("_language.lang_pred") != UNDETERMINED).select(*docs.columns)
+    # rows travel as one struct, so further columns may have any names
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return with_language(rows, model).where(F.col("_language.lang_pred") != UNDETERMINED).select("row.*")

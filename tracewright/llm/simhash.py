@@ -206,21 +206,25 @@ def keep_one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """``docs`` with one row of each near-duplicate component: that with the smallest id.
 
     A component whose ids are all null keeps one of its rows; repeated rows of the kept id stay once.
+    Rows travel as one struct, so further columns may have any names.
     """
-    columns = docs.columns
-    held = materialize(with_fingerprint(docs, text, out="_fp"), "documents")
-    ids = held.select(F.col(doc_id).alias("doc_id"), F.col("_fp").alias("fp"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    held = materialize(with_fingerprint(rows).drop("text"), "documents")
     # the smallest id of a component may stand on several rows: the smallest fingerprint among them is kept
     chosen = (
-        simhash_components(ids)
+        simhash_components(held.select(F.col("id").alias("doc_id"), "fp"))
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("component")
-        .agg(F.min(F.struct("fp", "doc_id")).alias("at"), F.count("*").alias("n"))
-        .select("at.fp", F.col("at.doc_id").alias("id"), "n")
+        .agg(F.min(F.struct("fp", "doc_id")).alias("at"))
+        .select(F.col("at.fp").alias("kept_fp"), F.col("at.doc_id").alias("kept_id"))
     )
     chosen = materialize(chosen, "chosen")
-    kept = held.join(chosen, (held["_fp"] == chosen["fp"]) & held[doc_id].eqNullSafe(chosen["id"]))
-    single = kept.where("n = 1").select(*columns)
-    if chosen.where("n > 1").limit(1).count() == 0:
-        return single
-    return single.union(kept.where("n > 1").dropDuplicates(["fp", "id"]).select(*columns))
+    kept = held.join(chosen, (F.col("fp") == F.col("kept_fp")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    repeated = held.select("id", "fp").groupBy("id", "fp").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(repeated.select(F.col("id").alias("twice_id"), F.col("fp").alias("twice_fp")), "repeated")
+    if repeated.isEmpty():
+        return kept.select("row.*")
+    twice = (F.col("fp") == F.col("twice_fp")) & F.col("id").eqNullSafe(F.col("twice_id"))
+    single = kept.join(repeated, twice, "left_anti")
+    several = kept.join(repeated, twice, "left_semi").dropDuplicates(["id", "fp"])
+    return single.select("row.*").union(several.select("row.*"))
