@@ -103,7 +103,7 @@ def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     units = F.concat(F.split(F.col(text), r"\r?\n"), paragraphs, whole)
     rows = files.select(F.col(path).alias("path"), F.explode(units).alias("unit"))
     rows = rows.where(F.arrays_overlap(_tokens(F.col("unit")), anchors))
-    rows = rows.withColumn("u", F.sha2(F.col("unit"), 256))
+    rows = materialize(rows.withColumn("u", F.sha2(F.col("unit"), 256)), "units")
     distinct = rows.groupBy("u").agg(F.first("unit").alias("unit"))
     idf_rows = spark.createDataFrame(list(idf.items()), "token string, idf double")
     tmpl = spark.createDataFrame([(t, lic, k, x) for lic, k, w in weighted for t, x in w.items()], "token string, license string, template int, w double")
