@@ -154,13 +154,13 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "
     rows share them.
     """
     spark = pages.sparkSession
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
+    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "score")]
     table = spark.createDataFrame([(r, v) for v, r in rules], "rule string, verdict string")
     rows = pages.select(*own, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     urls = rows.groupBy("host", "path").agg(F.count("*").alias("n"))
     hosts = urls.select("host").distinct().withColumn("labels", _labels(F.col("host")))
     labels = hosts.select(F.explode("labels").alias("label")).distinct()
-    words = segment(labels, word_counts(pages, text))
+    words = segment(labels, materialize(word_counts(pages, text), "unigrams"))
     split = hosts.select("host", F.posexplode("labels").alias("k", "label")).join(words, "label")
     split = split.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "words"))), lambda x: x["words"])).alias("host_tokens"))
     hosts = hosts.select("host").join(split, "host", "left").withColumn("host_tokens", F.coalesce("host_tokens", F.array().cast("array<string>")))
