@@ -24,6 +24,8 @@ BLOCKED_WORDS = (
 )
 #: Count given to each of these words, so that a split can find them.
 SEED_COUNT = 100
+#: Added to every count of a word in a class.
+ALPHA = 0.1
 MAX_WORD = 20
 #: Longest stretch that is split as one, the length limit of a host's label; longer ones are cut.
 MAX_LABEL = 63
@@ -139,7 +141,7 @@ def _scores(tokens: DataFrame, key: str) -> DataFrame:
     counts = each.groupBy("token").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
     size = counts.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
     b, a, v = (float(x or 0) for x in size)
-    odds = F.log((F.col("b") + 1) / F.lit(b + v + 1)) - F.log((F.col("a") + 1) / F.lit(a + v + 1))
+    odds = F.log((F.col("b") + ALPHA) / F.lit(b + ALPHA * (v + 1))) - F.log((F.col("a") + ALPHA) / F.lit(a + ALPHA * (v + 1)))
     table = counts.select("token", odds.alias("odds"))
     # decimals add up to the same in any order
     return each.select(key, "token").join(table, "token").groupBy(key).agg(F.sum(F.col("odds").cast("decimal(20,10)")).alias("score"))
