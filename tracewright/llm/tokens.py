@@ -15,7 +15,7 @@ from array import array
 from functools import lru_cache
 
 #: Pre-tokens kept by a worker before it starts anew; only speed depends on it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: Longer pre-tokens are encoded each time and not kept.
 CACHE_CHARS = 64
 
