@@ -48,12 +48,13 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, r
     a = a.withColumn("_x", F.lit(None).cast(f"struct<t:{kind[right_time]},v:{kind[value]}>"))
     b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), x.alias("_x"))
     w = Window.partitionBy(*keys).orderBy("_t", "_side")
-    v = Window.partitionBy(*keys).orderBy("_t", F.desc("_side"))
+    # looking ahead is looking back in descending order: both windows read each row once
+    v = Window.partitionBy(*keys).orderBy(F.desc("_t"), "_side")
     rows = a.unionByName(b)
     rows = rows.withColumns(
         {
             "_before": F.last("_x", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "_after": F.first("_x", ignorenulls=True).over(v.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+            "_after": F.last("_x", ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         }
     ).where("_side = 1")
     back, on = F.col("_t") - F.col("_before.t"), F.col("_after.t") - F.col("_t")
@@ -75,12 +76,13 @@ def value_at(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, ax
     a = a.withColumns({"_d": F.lit(None).cast("double"), "_v": F.lit(None).cast("double")})
     b = right.select(*keys, F.col(axis).cast("double").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(axis).cast("double").alias("_d"), F.col(value).cast("double").alias("_v"))
     w = Window.partitionBy(*keys).orderBy("_t", "_side")
+    v = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side"))
     pair = F.when(F.col("_side") == 0, F.struct("_d", "_v"))
     rows = a.unionByName(b).withColumn("_p", pair)
     rows = rows.withColumns(
         {
             "_lo": F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "_hi": F.first("_p", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+            "_hi": F.last("_p", ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         }
     ).where("_side = 1")
     exact = F.col("_lo._d") == F.col("_t")
