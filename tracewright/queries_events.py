@@ -37,7 +37,7 @@ TOGGLES = """toggles AS (
   GROUP BY user_id, pair HAVING count(*) = 2)"""
 RUNS = """runs AS (
   SELECT user_id, run, event_type, min(t) AS start_t, max(t) AS end_t, count(*) AS n_rows, CASE WHEN count(nt) = count(*) THEN max(nt) END AS next_t
-  FROM (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run
+  FROM (SELECT *, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY t, event_id) AS BIGINT) AS run
         FROM (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS nw, lead(t) OVER w AS nt
               FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)))
   GROUP BY user_id, run, event_type)"""
@@ -51,7 +51,7 @@ win AS (
 EFFECTS = "eff AS (SELECT user_id, event_id, t AS start_t, t + CAST(k AS BIGINT) * 360000000 AS end_t, event_type, k FROM ev)"
 SEGMENTS = EFFECTS + """, seg AS (
   SELECT user_id, segment, min(start_t) AS start_t, max(end_t) AS end_t, count(*) AS members, max(end_t) - min(start_t) AS duration
-  FROM (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY start_t, end_t, event_id ROWS UNBOUNDED PRECEDING) AS segment
+  FROM (SELECT *, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY start_t, end_t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment
         FROM (SELECT *, CASE WHEN start_t - max(end_t) OVER (PARTITION BY user_id ORDER BY start_t, end_t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 21600000000 THEN 0 ELSE 1 END AS nw
               FROM eff WHERE event_type = 'view'))
   GROUP BY user_id, segment)"""
@@ -99,7 +99,7 @@ def alternating_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""n AS (SELECT user_id, event_type, t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS n FROM ev WHERE event_type IN ('click', 'purchase'))
-SELECT o.user_id, o.n, o.t AS start_t, c.t AS end_t, c.t - o.t AS duration, coalesce(c.t >= o.t, false) AS valid
+SELECT o.user_id, CAST(o.n AS INTEGER) AS n, o.t AS start_t, c.t AS end_t, c.t - o.t AS duration, coalesce(c.t >= o.t, false) AS valid
 FROM (SELECT * FROM n WHERE event_type = 'click') o LEFT JOIN (SELECT * FROM n WHERE event_type = 'purchase') c ON o.user_id = c.user_id AND o.n = c.n""")
 def fifo_toggle_pairs(spark: SparkSession, d: str) -> DataFrame:
     return seq.fifo_pairs(events(spark, d), U, ORDER, "t", F.col("event_type") == "click", F.col("event_type") == "purchase")
@@ -115,7 +115,7 @@ def toggle_balance(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{TOGGLES}, f AS (
   SELECT *, CASE WHEN end_t - start_t <= 86400000000 AND lag(end_t - start_t <= 86400000000) OVER w AND start_t - lag(end_t) OVER w BETWEEN -60000 AND 43200000000 THEN 0 ELSE 1 END AS nw
   FROM toggles WINDOW w AS (PARTITION BY user_id ORDER BY start_t, end_t)),
-g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY start_t, end_t ROWS UNBOUNDED PRECEDING) AS "group" FROM f)
+g AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY start_t, end_t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "group" FROM f)
 SELECT user_id, "group", min(start_t) AS start_t, max(end_t) AS end_t, count(*) AS members, max(end_t) - min(start_t) AS duration FROM g GROUP BY user_id, "group" """)
 def logical_grouping(spark: SparkSession, d: str) -> DataFrame:
     return seq.logical_groups(_toggles(events(spark, d)), U, longest=24 * HOUR, gap=(-60000, 12 * HOUR))
@@ -319,7 +319,7 @@ def _distance(e: DataFrame) -> DataFrame:
     return seq.cumulative(e, U, ORDER, "cents", "distance")
 
 
-@query(f"{DIST} SELECT user_id, kk AS k, pos AS at_d, round_even(t / 1000, 0) AS ms, round_even(k * 10000, 0) / 10000 AS code FROM sm")
+@query(f"{DIST} SELECT user_id, kk AS k, CAST(pos AS DOUBLE) AS at_d, round_even(t / 1000, 0) AS ms, round_even(k * 10000, 0) / 10000 AS code FROM sm")
 def resample_fixed_step(spark: SparkSession, d: str) -> DataFrame:
     e = _distance(events(spark, d)).withColumn("code", F.col("k"))
     out = seq.resample(e.drop("k"), U, ORDER, "distance", ["t", "code"], 5000.0)
@@ -336,7 +336,7 @@ def _bend_sql(n: int) -> str:
 @query(f"""sp AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k, cents::DOUBLE AS x, k::DOUBLE AS y FROM ev),
 b AS (SELECT *, {_bend_sql(4)} AS s4, {_bend_sql(8)} / 2 AS s8, count(*) OVER (PARTITION BY user_id) AS n FROM sp WINDOW w AS (PARTITION BY user_id ORDER BY k)),
 r AS (SELECT user_id, k, CASE WHEN k > 8 AND k <= n - 8 THEN coalesce(0.7 * s4 + 0.3 * s8, s4, s8, 0.0) ELSE 0.0 END AS raw FROM b)
-SELECT user_id, k, round_even(coalesce((lag(raw, 2) OVER w + 2 * lag(raw) OVER w + 3 * raw + 2 * lead(raw) OVER w + lead(raw, 2) OVER w) / 9, 0.0) * 1000, 0) / 1000 AS signal FROM r WINDOW w AS (PARTITION BY user_id ORDER BY k)""")
+SELECT user_id, CAST(k AS INTEGER) AS k, round_even(coalesce((lag(raw, 2) OVER w + 2 * lag(raw) OVER w + 3 * raw + 2 * lead(raw) OVER w + lead(raw, 2) OVER w) / 9, 0.0) * 1000, 0) / 1000 AS signal FROM r WINDOW w AS (PARTITION BY user_id ORDER BY k)""")
 def turn_signal(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -429,7 +429,7 @@ def dedupe_precedence(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT *, CASE WHEN change > 0.0005 THEN 'loss' WHEN change < -0.0005 THEN 'gain' END AS side FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, side ORDER BY abs(change) DESC, event_id) AS rank FROM s WHERE side IS NOT NULL),
 b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY side DESC, rank) AS position FROM r WHERE rank <= 5)
-SELECT user_id, event_id, change, side, rank, position FROM b WHERE position <= 8""")
+SELECT user_id, event_id, change, side, CAST(rank AS INTEGER) AS rank, CAST(position AS INTEGER) AS position FROM b WHERE position <= 8""")
 def top_loss_gain(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -441,7 +441,7 @@ def top_loss_gain(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""f AS (SELECT user_id, count(*) / (max(t) - min(t)) * 1e9 AS hz, min(event_id) AS start_byte, user_id % 7 AS replay FROM ev GROUP BY user_id),
 r AS (SELECT replay, user_id, row_number() OVER (PARTITION BY replay ORDER BY hz DESC, start_byte) - 1 AS shadow FROM f)
-SELECT replay, user_id, shadow, CASE WHEN shadow = 0 THEN 'local_high_frequency' ELSE 'network_low_frequency' END AS role FROM r""")
+SELECT replay, user_id, CAST(shadow AS INTEGER) AS shadow, CASE WHEN shadow = 0 THEN 'local_high_frequency' ELSE 'network_low_frequency' END AS role FROM r""")
 def role_assignment(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).groupBy("user_id").agg((F.count("*") / (F.max("t") - F.min("t")) * 1e9).alias("hz"), F.min("event_id").alias("start_byte"))
     return sets.assign_roles(e.withColumn("replay", F.col("user_id") % 7), ["replay"]).select("replay", "user_id", "shadow", "role")
@@ -449,7 +449,7 @@ def role_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""s AS (SELECT user_id, event_id, 1e6 + 2.5e5 * (event_type = 'click')::INT + 1e5 * (event_type = 'view')::INT + 1e4 * (k % 10) + 1e3 * (k % 3) + 100 * (k / 100.0) + (k % 5) AS score FROM ev),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM s)
-SELECT user_id, event_id, round_even(score * 1000, 0) / 1000 AS score, rank FROM r WHERE rank <= 8""")
+SELECT user_id, event_id, round_even(score * 1000, 0) / 1000 AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""")
 def candidate_ranking(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
     c = {"marker": F.col("event_type") == "click", "effect": F.col("event_type") == "view", "effect_records": k % 10, "matches": k % 3, "share": k / 100.0, "intervals": k % 5}

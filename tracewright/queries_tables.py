@@ -19,7 +19,7 @@ def fastest_per_group(spark: SparkSession, d: str) -> DataFrame:
     return agg.fastest(o, ["o_custkey"], "o_orderkey", "none", "o_totalprice")
 
 
-@query("""SELECT p_name, string_agg(DISTINCT p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) AS ids, count(DISTINCT p_partkey) AS n_ids FROM part GROUP BY p_name HAVING count(DISTINCT p_partkey) > 1""")
+@query("""SELECT p_name, string_agg(DISTINCT p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) AS ids, CAST(count(DISTINCT p_partkey) AS INTEGER) AS n_ids FROM part GROUP BY p_name HAVING count(DISTINCT p_partkey) > 1""")
 def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").withColumn("id", F.col("p_partkey").cast("string"))
     return agg.shared_names(p, "p_name", "id").withColumn("ids", F.array_join("ids", ","))
@@ -44,7 +44,7 @@ def lineitem_statistics(spark: SparkSession, d: str) -> DataFrame:
 j AS (SELECT o_orderkey, o_custkey, CAST(round_even(o_totalprice * 100, 0) AS BIGINT) - cents AS change FROM orders JOIN d ON o_orderkey = l_orderkey),
 s AS (SELECT *, CASE WHEN change > 0.0005 THEN 'loss' WHEN change < -0.0005 THEN 'gain' END AS side FROM j),
 r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, side ORDER BY abs(change) DESC, o_orderkey) AS rank FROM s WHERE side IS NOT NULL)
-SELECT o_custkey, o_orderkey, change, side, rank FROM r WHERE rank <= 5""")
+SELECT o_custkey, o_orderkey, change, side, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def order_changes(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.rint(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
     o = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
@@ -97,7 +97,7 @@ rooms AS (SELECT n_name AS room, n_nationkey AS game_id FROM nation UNION ALL SE
 c AS (SELECT o_orderkey AS replay, 5 AS uid FROM orders WHERE o_orderkey % 10 = 0), nm AS (SELECT DISTINCT 'NATION_' || n_nationkey || '-lap' AS hint, n_nationkey + 2000 AS nid FROM nation WHERE n_nationkey > 20),
 x AS (SELECT h.replay, r.game_id, length(r.room) AS l, max(length(r.room)) OVER (PARTITION BY h.replay) AS m FROM h JOIN rooms r ON starts_with(h.hint, r.room)),
 u AS (SELECT replay, min(game_id) AS game_id FROM x WHERE l = m GROUP BY replay HAVING count(DISTINCT game_id) = 1)
-SELECT h.replay, h.hint, coalesce(b.rid, c.uid, nm.nid) AS resource_id, CASE WHEN b.rid IS NOT NULL THEN 'room_prefix' WHEN c.uid IS NOT NULL THEN 'user_confirmed' WHEN nm.nid IS NOT NULL THEN 'exact_name' ELSE 'unresolved' END AS method
+SELECT h.replay, h.hint, CAST(coalesce(b.rid, c.uid, nm.nid) AS BIGINT) AS resource_id, CASE WHEN b.rid IS NOT NULL THEN 'room_prefix' WHEN c.uid IS NOT NULL THEN 'user_confirmed' WHEN nm.nid IS NOT NULL THEN 'exact_name' ELSE 'unresolved' END AS method
 FROM h LEFT JOIN u USING (replay) LEFT JOIN b USING (game_id) LEFT JOIN c USING (replay) LEFT JOIN nm USING (hint)""")
 def replay_tiers(spark: SparkSession, d: str) -> DataFrame:
     o, n = table(spark, d, "orders"), table(spark, d, "nation")
@@ -177,7 +177,7 @@ def boundary_marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""m AS (SELECT DISTINCT user_id % 5 AS pair, t // 3600000000 AS h FROM ev), b AS (SELECT pair, h::DOUBLE AS lo, lead(h::DOUBLE) OVER (PARTITION BY pair ORDER BY h) AS hi FROM m)
-SELECT pair, 1 AS component, row_number() OVER (PARTITION BY pair ORDER BY lo) AS window_no, lo, hi, hi - lo AS span FROM b WHERE hi > lo""")
+SELECT pair, 1 AS component, CAST(row_number() OVER (PARTITION BY pair ORDER BY lo) AS INTEGER) AS window_no, lo, hi, hi - lo AS span FROM b WHERE hi > lo""")
 def windows_between_boundaries(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select((F.col("user_id") % 5).alias("pair"), F.lit(1).alias("component"), F.expr(f"t div {60 * MINUTE}").cast("double").alias("h"))
     return cmp.windows_between(cmp.boundaries(e, ["pair"], "component", "h", F.lit(0.0)), ["pair"], "component")
