@@ -98,3 +98,12 @@ def test_odd_and_empty_tables(spark, odd_documents, no_documents):
     assert licenses.document_licenses(odd_documents).count() == 12
     assert licenses.document_licenses(no_documents).count() == 0
     assert licenses.scan_licenses(df, templates=[]).where("license is not null").count() == 0
+
+
+def test_query_equals_sql(spark):
+    from compare import assert_same, database
+
+    from tracewright.llm import queries
+
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        assert_same(queries.op2_licenses(spark, sf).toPandas(), database(sf).execute(licenses.SQL).df())

@@ -168,3 +168,39 @@ def document_licenses(docs: DataFrame) -> DataFrame:
     files = document_files(docs)
     found = scan_licenses(files.select("path", "text"))
     return found.withColumn("doc_id", F.regexp_extract("path", "([0-9]+)(\\.txt)?$", 1).cast("long"))
+
+
+def _sql() -> str:
+    """SQL of ``document_licenses`` over the table ``documents``, without the anchor filter."""
+    quoted = ", ".join(f"('{lic}', {k}, '{text.replace(chr(39), chr(39) * 2)}')" for k, (lic, text) in enumerate(TEMPLATES))
+    words = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    named = "regexp_matches(regexp_extract(path, '[^/]*$'), '" + LICENSE_FILE + "')"
+    folder = r"regexp_replace(path, '/?[^/]*$', '')"
+    return f"""
+WITH files AS (
+  SELECT doc_id, text, coalesce(source, 'none') || CASE WHEN doc_id % 50 = 0 THEN '/' || coalesce(lang, 'none') || '/LICENSE.' || doc_id WHEN doc_id % 50 = 25 THEN '/LICENSE.' || doc_id
+    ELSE '/' || coalesce(lang, 'none') || '/' || (doc_id // 500) || '/' || doc_id || '.txt' END AS path FROM documents),
+templates(license, k, text) AS (VALUES {quoted}),
+tt AS (SELECT license, k, token, count(*) AS tf FROM (SELECT license, k, unnest({words.format('text')}) AS token FROM templates) GROUP BY ALL),
+df AS (SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct({words.format('text')})) AS token FROM files) WHERE token IN (SELECT token FROM tt) GROUP BY token),
+idf AS (SELECT token, ln(((SELECT count(*) FROM files) + 1) / (coalesce(n, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT token FROM tt) LEFT JOIN df USING (token)),
+tw AS (SELECT license, k, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS w FROM tt JOIN idf USING (token)),
+units AS (
+  SELECT path, row_number() OVER () AS u, unit FROM (SELECT path, unnest(list_concat(regexp_split_to_array(text, '\\r?\\n'),
+    list_filter(regexp_split_to_array(text, '\\r?\\n\\s*\\n'), lambda p: contains(p, chr(10))), CASE WHEN {named} THEN [text] ELSE [] END)) AS unit FROM files)),
+ut AS (SELECT u, token, count(*) AS tf FROM (SELECT u, unnest({words.format('unit')}) AS token FROM units) GROUP BY ALL),
+ux AS (SELECT u, token, idf, tf * coalesce(idf, (SELECT max(idf) FROM idf)) AS x FROM ut LEFT JOIN idf USING (token)),
+norms AS (SELECT u, sqrt(sum(x * x)) AS norm FROM ux GROUP BY u),
+cosines AS (SELECT u, license, round(sum(x * w) / any_value(norm), 6) AS score FROM ux JOIN tw USING (token) JOIN norms USING (u) GROUP BY u, license, k HAVING round(sum(x * w) / any_value(norm), 6) >= {THRESHOLD}),
+own AS (SELECT path, arg_min(license, (-score, license)) AS license, max(score) AS score FROM cosines JOIN units USING (u) GROUP BY path),
+given AS (SELECT {folder} AS folder, arg_min(license, (-score, license)) AS license FROM own WHERE {named} GROUP BY 1),
+dirs AS (SELECT DISTINCT {folder} AS dir, string_split({folder}, '/') AS parts FROM files),
+ups AS (SELECT dir, l.level AS level, array_to_string(parts[1:len(parts) - l.level], '/') AS folder FROM dirs, unnest(generate_series(0, len(parts))) AS l(level)),
+near AS (SELECT dir, arg_min(folder, level) AS folder, arg_min(license, level) AS license, min(level) AS level FROM ups JOIN given USING (folder) GROUP BY dir)
+SELECT f.doc_id, f.path, o.license AS own_license, o.score AS own_score, coalesce(o.license, n.license) AS license, CASE WHEN o.license IS NULL THEN n.folder END AS inherited_from,
+  CAST(CASE WHEN o.license IS NULL THEN n.level + 1 ELSE 0 END AS INTEGER) AS levels
+FROM files f LEFT JOIN own o USING (path) LEFT JOIN near n ON n.dir = regexp_replace(f.path, '/?[^/]*$', '')
+"""
+
+
+SQL = _sql()

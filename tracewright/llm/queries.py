@@ -77,4 +77,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {"op5_revisits": warc.SQL, "op9_chat": chat.SQL}
+ORACLE: dict[str, str] = {"op2_licenses": licenses.SQL, "op5_revisits": warc.SQL, "op9_chat": chat.SQL}
