@@ -93,7 +93,7 @@ def comparison_coverage(pairs: DataFrame, points: DataFrame, keys: Sequence[str]
     """Pairs over control points on each side; ``degraded`` where the smaller share is low."""
     n = pairs.groupBy(*keys).agg(F.count("*").alias("pairs"))
     j = points.join(n, list(keys), "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
-    j = j.withColumns({"subject_coverage": F.col("pairs") / F.col("subject_points"), "baseline_coverage": F.col("pairs") / F.col("baseline_points")})
+    j = j.withColumns({"subject_coverage": F.try_divide("pairs", "subject_points"), "baseline_coverage": F.try_divide("pairs", "baseline_points")})
     j = j.withColumn("coverage", F.least("subject_coverage", "baseline_coverage"))
     return j.withColumn("degraded", F.col("coverage") < degraded)
 

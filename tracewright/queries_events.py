@@ -439,11 +439,11 @@ def top_loss_gain(spark: SparkSession, d: str) -> DataFrame:
     return sets.observation_budget(ranked, U).select("user_id", "event_id", "change", "side", "rank", "position")
 
 
-@query("""f AS (SELECT user_id, count(*) / (max(t) - min(t)) * 1e9 AS hz, min(event_id) AS start_byte, user_id % 7 AS replay FROM ev GROUP BY user_id),
+@query("""f AS (SELECT user_id, count(*) / nullif(max(t) - min(t), 0) * 1e9 AS hz, min(event_id) AS start_byte, user_id % 7 AS replay FROM ev GROUP BY user_id),
 r AS (SELECT replay, user_id, row_number() OVER (PARTITION BY replay ORDER BY hz DESC, start_byte) - 1 AS shadow FROM f)
 SELECT replay, user_id, CAST(shadow AS INTEGER) AS shadow, CASE WHEN shadow = 0 THEN 'local_high_frequency' ELSE 'network_low_frequency' END AS role FROM r""")
 def role_assignment(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).groupBy("user_id").agg((F.count("*") / (F.max("t") - F.min("t")) * 1e9).alias("hz"), F.min("event_id").alias("start_byte"))
+    e = events(spark, d).groupBy("user_id").agg((F.try_divide(F.count("*"), F.max("t") - F.min("t")) * 1e9).alias("hz"), F.min("event_id").alias("start_byte"))
     return sets.assign_roles(e.withColumn("replay", F.col("user_id") % 7), ["replay"]).select("replay", "user_id", "shadow", "role")
 
 

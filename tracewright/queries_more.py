@@ -68,7 +68,8 @@ def corner_measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""p AS (SELECT user_id // 2 AS pair, count(*) FILTER (event_type = 'click' AND user_id % 2 = 0) AS pairs, count(*) FILTER (user_id % 2 = 0) AS subject_points, count(*) FILTER (user_id % 2 = 1) AS baseline_points FROM ev GROUP BY 1)
-SELECT *, pairs / subject_points AS subject_coverage, pairs / baseline_points AS baseline_coverage, least(pairs / subject_points, pairs / baseline_points) AS coverage, least(pairs / subject_points, pairs / baseline_points) < 0.2 AS degraded FROM p""")
+SELECT *, pairs / nullif(subject_points, 0) AS subject_coverage, pairs / nullif(baseline_points, 0) AS baseline_coverage,
+  least(pairs / nullif(subject_points, 0), pairs / nullif(baseline_points, 0)) AS coverage, least(pairs / nullif(subject_points, 0), pairs / nullif(baseline_points, 0)) < 0.2 AS degraded FROM p""")
 def comparison_coverage(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).withColumn("pair", F.expr("user_id div 2"))
     points = e.groupBy("pair").agg(F.count_if(F.col("user_id") % 2 == 0).alias("subject_points"), F.count_if(F.col("user_id") % 2 == 1).alias("baseline_points"))
