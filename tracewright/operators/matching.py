@@ -26,21 +26,30 @@ def greedy_pairs(events: DataFrame, keys: Sequence[str], index: str, time: str,
     rows = rows.where("l or r or b")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.l].sort_values("i"), pdf[pdf.r].sort_values("i")
-        wall = np.sort(pdf.loc[pdf.b, "i"].to_numpy())
-        ti, ii = b.t.to_numpy(), b.i.to_numpy()
-        gap = np.abs(a.t.to_numpy()[:, None] - ti[None, :]) if len(b) else np.zeros((len(a), 0))
-        first = gap.min(axis=1) if len(b) else np.full(len(a), np.inf)
-        free, out = np.ones(len(b), bool), []
-        for k in np.lexsort((a.i.to_numpy(), first)):
-            x = int(a.i.iloc[k])
-            lo, hi = np.minimum(ii, x), np.maximum(ii, x)
-            between = np.searchsorted(wall, hi, side="left") - np.searchsorted(wall, lo, side="right")
-            ok = np.flatnonzero(free & (gap[k] <= tolerance) & (between == 0))
-            j = ok[gap[k][ok].argmin()] if len(ok) else None
-            if j is not None:
+        i, t, is_left, is_right = (pdf[c].to_numpy() for c in ("i", "t", "l", "r"))
+        wall = np.sort(i[pdf["b"].to_numpy()])
+        la, lb = np.flatnonzero(is_left), np.flatnonzero(is_right)
+        la, lb = la[np.argsort(i[la], kind="stable")], lb[np.argsort(i[lb], kind="stable")]
+        (ai, at), (ii, ti) = (i[la], t[la]), (i[lb], t[lb])
+        by_time = np.argsort(ti, kind="stable")
+        times = ti[by_time]
+        # the nearest right event in time, before or after, orders the left ones
+        after = np.searchsorted(times, at)
+        edge = np.concatenate(([-np.inf], times, [np.inf]))
+        first = np.minimum(at - edge[after], edge[after + 1] - at)
+        free, out = np.ones(len(ii), bool), []
+        for k in np.lexsort((ai, first)):
+            near = by_time[np.searchsorted(times, at[k] - tolerance) : np.searchsorted(times, at[k] + tolerance, side="right")]
+            near = np.sort(near[free[near]])
+            if len(near):
+                lo, hi = np.minimum(ii[near], ai[k]), np.maximum(ii[near], ai[k])
+                near = near[np.searchsorted(wall, hi, side="left") == np.searchsorted(wall, lo, side="right")]
+            if len(near):
+                j = near[np.abs(ti[near] - at[k]).argmin()]
                 free[j] = False
-            out.append((x, a.t.iloc[k], None if j is None else int(ii[j]), None if j is None else ti[j], None if j is None else gap[k][j]))
+                out.append((ai[k], at[k], ii[j], ti[j], abs(ti[j] - at[k])))
+            else:
+                out.append((ai[k], at[k], None, None, None))
         got = pd.DataFrame(out, columns=["left_index", "left_t", "right_index", "right_t", "distance"])
         for c in reversed(list(keys)):
             got.insert(0, c, pdf[c].iloc[0])
