@@ -63,15 +63,15 @@ def neighbours(rng, n):
     return out
 
 
-@pytest.mark.parametrize("block", [4, 50, 1000])
-def test_links_of_dense_groups_are_whole(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "depth"), [(4, 2), (50, 2), (1000, 2), (50, 3), (1000, 4)])
+def test_links_of_dense_groups_are_whole(spark, block, depth):
     rng = random.Random(block)
     fps = neighbours(rng, 400)
     ball = rng.getrandbits(64)
     fps += [ball ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(a)]
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(i, f) for i, f in enumerate(signed)], "doc_id long, fp long")
-    links = simhash.simhash_links(df.select("fp").distinct(), block=block)
+    links = simhash.simhash_links(df.select("fp").distinct(), block=block, depth=depth)
     got = {r.node: r.component for r in connected_components(links).collect()}
     want = brute_components(range(len(fps)), fps)
     label = [got.get(s, s) for s in signed]
@@ -81,6 +81,22 @@ def test_links_of_dense_groups_are_whole(spark, block, monkeypatch):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
 
 
+@pytest.mark.parametrize("depth", simhash.DEPTHS)
+def test_every_link_within_the_budget_shares_a_key(spark, depth):
+    rng = random.Random(depth)
+    flips = [(rng.getrandbits(64), rng.sample(range(64), 4)) for _ in range(400)]
+    pairs = np.array([(a, a ^ sum(1 << b for b in bits)) for a, bits in flips], np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([tuple(p) for p in pairs], "a long, b long")
+    both = df.select(simhash.bucket_keys(F.col("a"), depth).alias("x"), simhash.bucket_keys(F.col("b"), depth).alias("y"))
+    assert both.where("not arrays_overlap(x, y)").count() == 0
+    assert len(both.first().x) == 5 * len(simhash.agreeing_halves(depth))
+
+
+def test_depth_grows_with_the_number_of_fingerprints():
+    depths = [simhash.key_depth(10**n) for n in range(13)]
+    assert depths == sorted(depths) and set(depths) == set(simhash.DEPTHS) and depths[6] == 2
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5), (None, 3), (0, 1)], "src long, dst long")
     got = {r.node: r.component for r in connected_components(edges).collect()}

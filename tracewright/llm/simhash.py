@@ -4,14 +4,19 @@ Fingerprints of 64 bits are cut into five consecutive segments on a ring. If two
 differ in at most ``BUDGET`` bits, then some start on the ring has a chain of segments whose
 cumulative differences stay within the proportional budget (length l: floor(l * BUDGET / 5)):
 0, 0..., i.e. 0, 1, 2, 3, 4 for a budget of 4. So the first segment of that chain agrees
-exactly and the second differs in one bit at most, hence one of its halves agrees too. A bucket
-key is (start, first segment, one half of the next): ten keys a fingerprint, about 19 bits each.
-Within a bucket the chain is checked segment by segment before the full Hamming distance.
+exactly and the second differs in one bit at most, hence one of its halves agrees too; of the
+four halves of the second and third, two agree, and so on. A bucket key is (start, first segment,
+as many halves of the ``depth - 1`` segments after it as must agree). A deeper key is longer and
+there are more of them: 10, 25 or 70 keys a fingerprint of about 19, 26 or 32 bits for a depth of
+2, 3 or 4. All depths find the same links; the depth grows with the number of fingerprints, so
+that a bucket holds some hundred rows on average at most, whatever the corpus. Within a bucket
+the chain is checked segment by segment before the full Hamming distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,11 @@ BUDGET = 4
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Rows of a bucket that one task compares; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
+#: Rows of a bucket, on average over all possible keys, above which the next depth is taken.
+BUCKET_ROWS = 256
+#: Segments that a key looks at, from its start on.
+DEPTHS = (2, 3, 4)
+_TAG = 40
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _CHUNK = 1 << 15
@@ -65,15 +75,34 @@ def _bits(x: Column, at: int, width: int) -> Column:
     return F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def bucket_keys(fp: Column) -> Column:
-    """Ten longs: start and half in the upper bits, then the first segment and the half after it."""
+def agreeing_halves(depth: int) -> list[tuple[int, ...]]:
+    """The sets of halves, numbered along the chain after its first segment, of which one must agree.
+
+    Up to the j-th segment after the first, j halves at most hold a differing bit.
+    """
+    halves = range(2 * (depth - 1))
+    differing = (d for d in combinations(halves, depth - 1) if all(sum(h < 2 * j for h in d) <= j for j in range(1, depth)))
+    return [tuple(h for h in halves if h not in d) for d in differing]
+
+
+def key_depth(fingerprints: int) -> int:
+    """The least depth whose keys are long enough for so many fingerprints, or the last one."""
+    narrow = min(w for _, w in SEGMENTS)
+    return next((d for d in DEPTHS if fingerprints <= BUCKET_ROWS << (narrow + (d - 1) * (narrow // 2))), DEPTHS[-1])
+
+
+def bucket_keys(fp: Column, depth: int = DEPTHS[0]) -> Column:
+    """Longs: set of halves and start in the upper bits, then the first segment and those halves."""
     keys = []
-    for i, (at, width) in enumerate(SEGMENTS):
-        to, wide = SEGMENTS[(i + 1) % 5]
-        low = wide // 2
-        for half, (a, w) in enumerate(((to, low), (to + low, wide - low))):
-            head = F.shiftleft(_bits(fp, at, width), 8).bitwiseOR(_bits(fp, a, w))
-            keys.append(head.bitwiseOR(F.lit((2 * i + half) << 40)))
+    for n, chosen in enumerate(agreeing_halves(depth)):
+        for start, (at, width) in enumerate(SEGMENTS):
+            key = _bits(fp, at, width)
+            for h in chosen:
+                to, wide = SEGMENTS[(start + 1 + h // 2) % 5]
+                low = wide // 2
+                to, wide = (to + low, wide - low) if h % 2 else (to, low)
+                key = F.shiftleft(key, wide).bitwiseOR(_bits(fp, to, wide))
+            keys.append(key.bitwiseOR(F.lit((5 * n + start) << _TAG)))
     return F.array(*keys)
 
 
@@ -121,7 +150,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = size <= 32
         pos = np.arange(len(g)) - np.repeat(first, size)
         left = np.repeat(np.where(small, size, 0), size) - pos - 1
-        start = (g[:, 0] >> 40) // 2
+        start = (g[:, 0] >> _TAG) % 5
         idx = np.flatnonzero(left > 0)
         for d in range(1, 32):
             idx = idx[left[idx] >= d]
@@ -154,13 +183,16 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from bucketwise(whole[:, :3], np.ascontiguousarray(whole[:, 3]).view(np.uint64))
 
 
-def simhash_links(fps: DataFrame, fp: str = "fp", block: int = BLOCK) -> DataFrame:
+def simhash_links(fps: DataFrame, fp: str = "fp", block: int = BLOCK, depth: int | None = None) -> DataFrame:
     """Links (src, dst) that span the components of all distinct fingerprints within the budget.
 
+    ``depth`` of the bucket keys is that for the number of rows of ``fps`` where none is given.
+
     A bucket above ``block`` rows is split into blocks by hash; every pair of its blocks is one
     group of two blocks at most, so no task gathers a whole bucket and no link is lost.
     """
-    keys = fps.select(F.explode(bucket_keys(F.col(fp))).alias("k"), F.col(fp).alias("fp"))
+    depth = depth or key_depth(fps.count())
+    keys = fps.select(F.explode(bucket_keys(F.col(fp), depth)).alias("k"), F.col(fp).alias("fp"))
     counts = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     dealt = keys.join(counts, "k").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
