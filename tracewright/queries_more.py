@@ -15,14 +15,14 @@ from .sources import maps
 U, ORDER = ["user_id"], ["t", "event_id"]
 
 
-@query("""d AS (SELECT p_partkey % 40 AS map_id, CASE WHEN p_partkey % 7 = 0 THEN '??' ELSE 'name' || (p_partkey % 41 // 21) END AS name, 'm' || (p_partkey % 3) AS md5 FROM part WHERE p_partkey % 40 < 35),
+@query("""d AS (SELECT p_partkey % 40 AS map_id, CASE WHEN p_partkey % 7 = 0 THEN '??' ELSE 'name' || (p_partkey % 41 // 21) END AS name, 'm' || (p_partkey % 3) AS md5 FROM part),
 f AS (SELECT s_suppkey % 50 AS map_id FROM supplier), u AS (SELECT map_id, list_sort(list(DISTINCT name)) AS names, count(DISTINCT md5) AS n FROM d WHERE length(translate(name, '? ', '')) > 0 GROUP BY map_id),
 i AS (SELECT map_id FROM d UNION SELECT map_id FROM f), c AS (SELECT map_id, count(*) AS n_files FROM f GROUP BY map_id)
 SELECT i.map_id, array_to_string(u.names, ',') AS all_names, CASE WHEN names IS NULL THEN 'unavailable' WHEN len(names) > 1 THEN 'multiple' WHEN n = 1 THEN 'exact' ELSE 'single' END AS name_status,
   names[1] AS primary_name, coalesce(n_files, 0) AS files_count, coalesce(n_files, 0) > 0 AS has_files FROM i LEFT JOIN u USING (map_id) LEFT JOIN c USING (map_id)""")
 def map_catalog(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    desc = table(spark, d, "part").where("p_partkey % 40 < 35").select((k % 40).alias("map_id"), F.when(k % 7 == 0, "??").otherwise(F.concat(F.lit("name"), F.expr("p_partkey % 41 div 21"))).alias("name"), F.concat(F.lit("m"), k % 3).alias("md5"))
+    desc = table(spark, d, "part").select((k % 40).alias("map_id"), F.when(k % 7 == 0, "??").otherwise(F.concat(F.lit("name"), F.expr("p_partkey % 41 div 21"))).alias("name"), F.concat(F.lit("m"), k % 3).alias("md5"))
     files = table(spark, d, "supplier").select((F.col("s_suppkey") % 50).alias("map_id"))
     return catalogs.catalog_entries(desc, {"files": files}).withColumn("all_names", F.array_join("all_names", ","))
 

@@ -94,7 +94,7 @@ def unique_role_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""h AS (SELECT o_orderkey AS replay, 'NATION_' || (o_orderkey % 40) || '-lap' AS hint FROM orders),
 rooms AS (SELECT n_name AS room, n_nationkey AS game_id FROM nation UNION ALL SELECT 'NATION', 77), b AS (SELECT n_nationkey AS game_id, n_nationkey + 1000 AS rid FROM nation WHERE n_regionkey < 3),
-c AS (SELECT o_orderkey AS replay, 5 AS uid FROM orders WHERE o_orderkey % 10 = 0), nm AS (SELECT DISTINCT 'NATION_' || n_nationkey || '-lap' AS hint, n_nationkey + 2000 AS nid FROM nation WHERE n_nationkey > 20),
+c AS (SELECT o_orderkey AS replay, 5 AS uid FROM orders WHERE o_orderpriority = '1-URGENT'), nm AS (SELECT DISTINCT 'NATION_' || n_nationkey || '-lap' AS hint, n_nationkey + 2000 AS nid FROM nation WHERE n_regionkey = 4),
 x AS (SELECT h.replay, r.game_id, length(r.room) AS l, max(length(r.room)) OVER (PARTITION BY h.replay) AS m FROM h JOIN rooms r ON starts_with(h.hint, r.room)),
 u AS (SELECT replay, min(game_id) AS game_id FROM x WHERE l = m GROUP BY replay HAVING count(DISTINCT game_id) = 1)
 SELECT h.replay, h.hint, CAST(coalesce(b.rid, c.uid, nm.nid) AS BIGINT) AS resource_id, CASE WHEN b.rid IS NOT NULL THEN 'room_prefix' WHEN c.uid IS NOT NULL THEN 'user_confirmed' WHEN nm.nid IS NOT NULL THEN 'exact_name' ELSE 'unresolved' END AS method
@@ -105,17 +105,17 @@ def replay_tiers(spark: SparkSession, d: str) -> DataFrame:
     replays = o.select(k.alias("replay"), F.concat(F.lit("NATION_"), k % 40, F.lit("-lap")).alias("hint"))
     rooms = n.select(F.col("n_name").alias("room"), nk.cast("long").alias("game_id")).unionByName(spark.createDataFrame([("NATION", 77)], "room string, game_id long"))
     bindings = n.select(nk.cast("long").alias("game_id"), (nk + 1000).cast("long").alias("resource_id"), (F.col("n_regionkey") < 3).alias("authoritative"))
-    confirmed = o.where("o_orderkey % 10 = 0").select(k.alias("replay"), F.lit(5).cast("long").alias("resource_id"))
-    names = n.where("n_nationkey > 20").select(F.concat(F.lit("NATION_"), nk, F.lit("-lap")).alias("name"), (nk + 2000).cast("long").alias("resource_id"))
+    confirmed = o.where("o_orderpriority = '1-URGENT'").select(k.alias("replay"), F.lit(5).cast("long").alias("resource_id"))
+    names = n.where("n_regionkey = 4").select(F.concat(F.lit("NATION_"), nk, F.lit("-lap")).alias("name"), (nk + 2000).cast("long").alias("resource_id"))
     return matching.resolve_tiers(replays, rooms, bindings, confirmed, names)
 
 
-@query("""p AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 2 = 0), a AS (SELECT p_name AS name, p_partkey AS id, 'exact' AS s FROM part WHERE p_size > 25 UNION ALL SELECT p_name, p_partkey, 'alias' FROM part WHERE p_size > 40)
+@query("""p AS (SELECT DISTINCT p_name AS name FROM part), a AS (SELECT p_name AS name, p_partkey AS id, 'exact' AS s FROM part WHERE p_size > 25 UNION ALL SELECT p_name, p_partkey, 'alias' FROM part WHERE p_size > 40)
 SELECT name, id, string_agg(DISTINCT s, ',' ORDER BY s) AS sources FROM p JOIN a USING (name) GROUP BY name, id""")
 def name_probe(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     t = lambda cond: p.where(cond).select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"))
-    probes = p.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name")).distinct()
+    probes = p.select(F.col("p_name").alias("name")).distinct()
     return matching.probe_names(probes, {"exact": t("p_size > 25"), "alias": t("p_size > 40")}).withColumn("sources", F.array_join("sources", ","))
 
 
@@ -131,12 +131,12 @@ def time_correlation(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_by_time(left, right, ["user_id"], 14400, 3600, 1800, 600)
 
 
-@query(r"""SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g'))) AS name, length(translate(coalesce(substr(text, 1, 60), ''), '? ' || chr(9), '')) > 0 AS usable,
-  trim(regexp_replace(substr(text, 1, 60), '(?i)[\s_-]*by[-_ ].*$', '', 's')) AS alias FROM documents""")
+@query(r"""SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS name, length(translate(coalesce(text, ''), '? ' || chr(9), '')) > 0 AS usable,
+  trim(regexp_replace(text, '(?i)[\s_-]*by[-_ ].*$', '', 's')) AS alias FROM documents""")
 def name_normalize(spark: SparkSession, d: str) -> DataFrame:
-    first = F.substring("text", 1, 60)
-    alias = F.trim(F.regexp_replace(first, r"(?is)[\s_-]*by[-_ ].*$", ""))
-    return table(spark, d, "documents").select("doc_id", fn.normalize_name(first, lower=True).alias("name"), fn.name_is_usable(first).alias("usable"), alias.alias("alias"))
+    text = F.col("text")
+    alias = F.trim(F.regexp_replace(text, r"(?is)[\s_-]*by[-_ ].*$", ""))
+    return table(spark, d, "documents").select("doc_id", fn.normalize_name(text, lower=True).alias("name"), fn.name_is_usable(text).alias("usable"), alias.alias("alias"))
 
 
 @query(r"""f AS (SELECT o_orderkey, 'dir/Map ' || (o_orderkey % 9) || '_' || strftime(o_orderdate, '%Y%m%d') || '101500.sav' AS path, CASE o_orderkey % 4 WHEN 0 THEN 'data.vfs' WHEN 1 THEN 'Data' || (o_orderkey % 30) || '.VFS' WHEN 2 THEN 'other.vfs' ELSE 'data7.vfs.bak' END AS archive FROM orders)
