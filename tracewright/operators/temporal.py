@@ -127,29 +127,54 @@ def overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: str, label:
     return a.join(found, [*keys, a_id], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "overlap": F.coalesce("overlap", F.lit(0)), "labels": F.coalesce("labels", F.array().cast("array<string>"))})
 
 
-def first_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: str, b_value: str, out: str) -> DataFrame:
-    """Each interval of ``a`` with ``b_value`` of the first interval of ``b`` that overlaps it."""
+def first_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: str, b_value: str, out: str, width: float | None = None) -> DataFrame:
+    """Each interval of ``a`` with ``b_value`` of the first interval of ``b`` that overlaps it.
+
+    With ``width`` both sides are dealt into time buckets, as in ``overlaps``.
+    """
     r = b.select(*keys, F.col("start_t").alias("_bs"), F.col("end_t").alias("_be"), F.col(b_value).alias("_v"))
-    j = a.join(r, list(keys)).where("_bs <= end_t and _be >= start_t")
+    left, on = a.select(*keys, a_id, "start_t", "end_t"), list(keys)
+    if width is not None:
+        spread = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.lit(width)), F.floor(F.col(hi) / F.lit(width))))
+        left, r, on = left.withColumn("_bucket", spread("start_t", "end_t")), r.withColumn("_bucket", spread("_bs", "_be")), [*keys, "_bucket"]
+    j = left.join(r, on).where("_bs <= end_t and _be >= start_t")
     first = j.groupBy(*keys, a_id).agg(F.min(F.struct("_bs", "_v")).alias("_m")).select(*keys, a_id, F.col("_m._v").alias(out))
     return a.join(first, [*keys, a_id], "left")
 
 
 def counts_inside(intervals: DataFrame, points: DataFrame, keys: Sequence[str], interval_id: str, time: str, kinds: Mapping[str, Column]) -> DataFrame:
-    """For each interval the number of points inside, ends included, of every kind."""
-    p = points.select(*keys, F.col(time).alias("_pt"), *[c.alias(f"_k_{n}") for n, c in kinds.items()])
-    j = intervals.join(p, list(keys)).where("_pt >= start_t and _pt <= end_t")
-    found = j.groupBy(*keys, interval_id).agg(*[F.count_if(f"_k_{n}").alias(n) for n in kinds])
+    """For each interval the number of points inside, ends included, of every kind.
+
+    Ends and points are put in order once; what is counted up to an interval's end, less what is
+    counted before its start, lies inside. No point meets an interval, however many overlap.
+    """
+    none = [F.lit(0).alias(f"_k_{n}") for n in kinds]
+    given = [F.when(c, 1).otherwise(0).alias(f"_k_{n}") for n, c in kinds.items()]
+    ident = F.lit(None).cast(intervals.schema[interval_id].dataType).alias("_id")
+    # at one time: starts, points, ends
+    rows = points.select(*keys, ident, F.col(time).alias("_t"), F.lit(1).alias("_side"), *given)
+    for side, end in ((0, "start_t"), (2, "end_t")):
+        rows = rows.unionByName(intervals.where("start_t <= end_t").select(*keys, F.col(interval_id).alias("_id"), F.col(end).alias("_t"), F.lit(side).alias("_side"), *none))
+    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.where("_t is not null").withColumns({f"_k_{n}": F.sum(f"_k_{n}").over(w) for n in kinds}).where("_side <> 1")
+    upto = lambda n, side: F.max(F.when(F.col("_side") == side, F.col(f"_k_{n}")))
+    found = rows.groupBy(*keys, F.col("_id").alias(interval_id)).agg(*[(upto(n, 2) - upto(n, 0)).alias(n) for n in kinds])
     out = intervals.join(found, [*keys, interval_id], "left")
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in kinds})
 
 
 def first_after(intervals: DataFrame, points: DataFrame, keys: Sequence[str], interval_id: str, time: str, window: float, out: str = "latency") -> DataFrame:
-    """Time from an interval's end to the first point at or after it within ``window``, else NULL."""
-    p = points.select(*keys, F.col(time).alias("_pt"))
-    j = intervals.join(p, list(keys)).where(F.col("_pt").between(F.col("end_t"), F.col("end_t") + window))
-    found = j.groupBy(*keys, interval_id).agg(F.min(F.col("_pt") - F.col("end_t")).alias(out))
-    return intervals.join(found, [*keys, interval_id], "left")
+    """Time from an interval's end to the first point at or after it within ``window``, else NULL.
+
+    One ordered pass from late to early; no join.
+    """
+    names, kind = intervals.columns, points.schema[time].dataType
+    ends = intervals.select(*keys, F.col("end_t").alias("_t"), F.lit(0).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(kind).alias("_pt"))
+    p = points.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(ends.schema["_row"].dataType).alias("_row"), F.col(time).alias("_pt"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ends.unionByName(p).withColumn("_next", F.last("_pt", ignorenulls=True).over(w)).where("_side = 0")
+    gap = F.col("_next") - F.col("_t")
+    return rows.select(*[F.col(f"_row.{c}").alias(c) for c in names], F.when(gap <= window, gap).alias(out))
 
 
 def near_any(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, tolerance: float) -> DataFrame:
@@ -166,8 +191,8 @@ def near_any(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str,
 def evidence_matrix(events: DataFrame, anchors: DataFrame, keys: Sequence[str], time: str, code: str, anchor_time: str, kind: str, tolerance: float) -> DataFrame:
     """Per action code: its number of events and how many are near an anchor of each kind."""
     e = events.select(*keys, F.col(time).alias("_t"), F.col(code).alias("code")).withColumn("_id", F.monotonically_increasing_id())
-    a = anchors.select(*keys, F.col(anchor_time).alias("_at"), F.col(kind).alias("kind"))
-    hits = e.join(a, list(keys)).where(F.abs(F.col("_t") - F.col("_at")) <= tolerance).select("code", "kind", "_id").distinct()
+    a = anchors.select(*keys, (F.col(anchor_time) - tolerance).alias("_lo"), (F.col(anchor_time) + tolerance).alias("_hi"), F.col(kind).alias("kind"))
+    hits = range_join(e, a, keys, "_t", "_lo", "_hi", 2 * tolerance if tolerance > 0 else 1).select("code", "kind", "_id").distinct()
     near = hits.groupBy("code", "kind").agg(F.count("*").alias("near"))
     total = e.groupBy("code").agg(F.count("*").alias("events"))
     return total.join(near, "code", "left").select("code", "events", "kind", F.coalesce("near", F.lit(0)).alias("near"))
@@ -195,18 +220,16 @@ def classify_context(starts: DataFrame, air: DataFrame, landings: DataFrame, dri
     ``starts``: ``start_t, duration``; ``air``: ``start_t, end_t``; ``landings``: ``t``; ``drifts``: ``start_t, end_t, id``.
     """
     s = starts.select(*keys, start_id, "start_t")
+    width = max(after_landing, after_drift, lasting[1])
+
+    def around(table: DataFrame, name: str, value: Column, closed: bool = True) -> DataFrame:
+        return range_join(s, table, keys, "start_t", "_s", "_e", width, closed).groupBy(*keys, start_id).agg(F.min(value).alias(name))
 
-    def flagged(table: DataFrame, hit: Column, name: str, value: Column) -> DataFrame:
-        j = s.join(table, list(keys)).where(hit)
-        return j.groupBy(*keys, start_id).agg(F.min(value).alias(name))
-
-    a = air.select(*keys, F.col("start_t").alias("_s"), F.col("end_t").alias("_e"))
-    in_air = flagged(a, (F.col("start_t") >= F.col("_s")) & (F.col("start_t") < F.col("_e")), "_air", F.lit(True))
-    land = landings.select(*keys, F.col("t").alias("_s"))
-    landed = flagged(land, (F.col("start_t") - F.col("_s")).between(0, after_landing), "_landing", F.col("start_t") - F.col("_s"))
-    d = drifts.select(*keys, F.col("start_t").alias("_s"), F.col("end_t").alias("_e"), F.col("id").alias("_d"))
-    during = flagged(d, (F.col("start_t") >= F.col("_s")) & (F.col("start_t") <= F.col("_e")), "_during", F.struct("_s", "_d"))
-    post = flagged(d, (F.col("start_t") - F.col("_e")).between(0, after_drift), "_post", F.struct((F.col("start_t") - F.col("_e")).alias("gap"), F.col("_d")))
+    since = F.col("start_t") - F.col("_s")
+    in_air = around(air.select(*keys, F.col("start_t").alias("_s"), F.col("end_t").alias("_e")), "_air", F.lit(True), closed=False)
+    landed = around(landings.select(*keys, F.col("t").alias("_s"), (F.col("t") + after_landing).alias("_e")), "_landing", since)
+    during = around(drifts.select(*keys, F.col("start_t").alias("_s"), F.col("end_t").alias("_e"), F.col("id").alias("_d")), "_during", F.struct("_s", "_d"))
+    post = around(drifts.select(*keys, F.col("end_t").alias("_s"), (F.col("end_t") + after_drift).alias("_e"), F.col("id").alias("_d")), "_post", F.struct(since.alias("gap"), F.col("_d")))
     out = starts
     for part in (in_air, landed, during, post):
         out = out.join(part, [*keys, start_id], "left")

@@ -85,7 +85,7 @@ def episodes(s: Silver) -> DataFrame:
     local = s.rows.where("role = 'local_high_frequency'")
     d = s.drifts.withColumnRenamed("group", "drift")
     p = local.select("replay_sha", F.col("time_ms").alias("_t"), "speed", "slip", "distance", "lap_index")
-    inside = d.join(p, key).where("_t >= start_t and _t <= end_t").groupBy("replay_sha", "drift").agg(
+    inside = temporal.range_join(p, d.select("replay_sha", "drift", "start_t", "end_t"), key, "_t", width=2000).groupBy("replay_sha", "drift").agg(
         F.min_by("speed", "_t").alias("entry_speed"), F.max_by("speed", "_t").alias("exit_speed"), F.min("speed").alias("min_speed"), F.max("speed").alias("max_speed"), F.avg("speed").alias("avg_speed"),
         F.max(F.abs(F.degrees("slip"))).alias("peak_slip_deg"), F.avg(F.abs(F.degrees("slip"))).alias("mean_slip_deg"), (F.max("distance") - F.min("distance")).alias("length"), F.min_by("lap_index", "_t").alias("lap"),
     )

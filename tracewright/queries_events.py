@@ -186,7 +186,7 @@ def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.*, f.first_run FROM toggles a LEFT JOIN f USING (user_id, pair)""")
 def interval_first_lap(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
-    return temporal.first_overlap(_toggles(e), seq.state_runs(e, U, ORDER, "event_type", "t"), U, "pair", "run", "first_run")
+    return temporal.first_overlap(_toggles(e), seq.state_runs(e, U, ORDER, "event_type", "t"), U, "pair", "run", "first_run", width=24 * HOUR)
 
 
 @query(f"""{EFFECTS}, o AS (SELECT a.user_id, a.event_id, count(*) FILTER (b.event_type = 'click') AS clicks, count(*) FILTER (b.value > 50) AS large FROM eff a JOIN ev b ON a.user_id = b.user_id AND b.t BETWEEN a.start_t AND a.end_t GROUP BY ALL)

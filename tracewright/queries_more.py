@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions.scalar import round_even
 from .operators import aggregates as agg
-from .operators import catalogs, comparison, temporal
+from .operators import catalogs, comparison, measures, temporal
 from .operators import sequences as seq
+from .queries_events import EFFECTS, SEGMENTS, TOGGLES
 from .registry import HOUR, events, query, table
 from .sources import maps
 
@@ -89,3 +90,73 @@ def representative_lap(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).groupBy("user_id", F.expr(f"t div {168 * HOUR}").alias("lap")).agg(F.count_if(F.col("event_type") == "view").alias("n"), (F.max("t") - F.min("t")).alias("span"))
     w = Window.partitionBy("user_id").orderBy(F.desc("n"), "span", "lap")
     return e.withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "lap")
+
+
+DAY = 24 * HOUR
+WEEK = 7 * DAY
+
+
+@query(f"""{EFFECTS}, r AS (SELECT user_id, t, cents, abs(k - 50) AS slip, CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS d FROM ev),
+c AS (SELECT user_id, min(d) AS d0, max(d) - min(d) AS total FROM r GROUP BY user_id),
+m AS (SELECT e.user_id, e.event_id, e.start_t, e.end_t, arg_min(r.cents, (abs(r.t - e.start_t), r.t)) AS entry_speed, arg_min(r.d, (abs(r.t - e.start_t), r.t)) AS a, arg_min(r.cents, (abs(r.t - e.end_t), r.t)) AS exit_speed, arg_min(r.d, (abs(r.t - e.end_t), r.t)) AS b,
+  min(r.cents) FILTER (r.t BETWEEN e.start_t AND e.end_t) AS min_speed, max(r.cents) FILTER (r.t BETWEEN e.start_t AND e.end_t) AS max_speed, max(slip) FILTER (r.t BETWEEN e.start_t AND e.end_t) AS peak_slip,
+  avg(slip) FILTER (r.t BETWEEN e.start_t AND e.end_t) AS mean_slip, count(*) FILTER (r.t BETWEEN e.start_t AND e.end_t) AS n_rows FROM eff e JOIN r USING (user_id) GROUP BY ALL)
+SELECT user_id, event_id, start_t, end_t, entry_speed, exit_speed, min_speed, max_speed, peak_slip, round_even(mean_slip * 1e4, 0) / 1e4 AS mean_slip, n_rows, b - a AS length,
+  round_even(CASE WHEN total <> 0 THEN (a - d0) / total END * 1e6, 0) / 1e6 AS start_progress, round_even(CASE WHEN total <> 0 THEN (b - d0) / total END * 1e6, 0) / 1e6 AS end_progress FROM m JOIN c USING (user_id)""")
+def interval_measures(spark: SparkSession, d: str) -> DataFrame:
+    e = seq.cumulative(events(spark, d).withColumn("slip", F.col("k") - 50), U, ORDER, "cents", "distance")
+    e = e.withColumn("distance", F.col("distance").cast("long"))
+    iv = e.select("user_id", "event_id", F.col("t").alias("start_t"), (F.col("t") + F.col("k").cast("long") * 360_000_000).alias("end_t"))
+    m = measures.measure_intervals(iv, e, U, "event_id", "t", "cents", "distance", "slip", width=6 * HOUR)
+    return m.withColumns({"mean_slip": round_even(F.col("mean_slip"), 4)} | {c: round_even(F.col(c), 6) for c in ("start_progress", "end_progress")})
+
+
+@query(f"""{EFFECTS}, w AS (SELECT user_id, day, day * {DAY} AS start_t, (day + 1) * {DAY} AS end_t, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) = 1 AS closed_end FROM (SELECT DISTINCT user_id, t // {DAY} AS day FROM ev)),
+s AS (SELECT w.user_id, w.day, arg_min(cents, (t, event_id)) AS entry_speed, min(cents) AS min_speed, arg_max(cents, (t, event_id)) AS exit_speed, avg(cents) AS avg_speed FROM w JOIN ev ON ev.user_id = w.user_id AND t >= start_t AND (t < end_t OR closed_end AND t <= end_t) GROUP BY ALL),
+n AS (SELECT w.user_id, w.day, count(*) AS episodes, CAST(sum(e.end_t - e.start_t) AS BIGINT) AS episode_time FROM w JOIN eff e ON e.user_id = w.user_id AND e.start_t >= w.start_t AND (e.start_t < w.end_t OR closed_end AND e.start_t <= w.end_t) GROUP BY ALL)
+SELECT w.*, entry_speed, min_speed, exit_speed, round_even(avg_speed * 1e4, 0) / 1e4 AS avg_speed, coalesce(episodes, 0) AS episodes, coalesce(episode_time, 0) AS episode_time FROM w LEFT JOIN s USING (user_id, day) LEFT JOIN n USING (user_id, day)""")
+def window_measures(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    w = e.select("user_id", F.expr(f"t div {DAY}").alias("day")).distinct().withColumns({"start_t": F.col("day") * DAY, "end_t": (F.col("day") + 1) * DAY})
+    iv = e.select("user_id", F.col("t").alias("start_t"), (F.col("t") + F.col("k").cast("long") * 360_000_000).alias("end_t"))
+    return measures.measure_windows(w, e, iv, U, "day", ORDER, "cents", width=DAY).withColumn("avg_speed", round_even(F.col("avg_speed"), 4))
+
+
+@query(f"""{SEGMENTS} SELECT user_id, start_t // {WEEK} AS week, string_agg(segment::VARCHAR, ',' ORDER BY segment) AS segments, count(*) AS n_segments, CAST(sum(members) AS BIGINT) AS n_members, count(*) FILTER (end_t // {WEEK} <> start_t // {WEEK}) AS n_crossing FROM seg GROUP BY ALL""")
+def segment_owners(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).where("event_type = 'view'")
+    iv = e.select("user_id", F.col("t").alias("start_t"), (F.col("t") + F.col("k").cast("long") * 360_000_000).alias("end_t"))
+    s = seq.merge_segments(iv, U, 6 * HOUR).withColumns({"week": F.expr(f"start_t div {WEEK}"), "week_end": F.expr(f"end_t div {WEEK}")})
+    return measures.segments_by_owner(s, U, "week", "week_end", "segment", "members").withColumn("segments", F.array_join("segments", ","))
+
+
+@query(f"""{EFFECTS} SELECT user_id, coalesce(string_agg(start_t::VARCHAR, ',' ORDER BY start_t) FILTER (event_type = 'click'), '') AS click_starts, coalesce(string_agg(start_t::VARCHAR, ',' ORDER BY start_t) FILTER (event_type = 'error'), '') AS error_starts,
+  CAST(count(*) FILTER (event_type = 'click') AS INTEGER) AS n_click, CAST(count(*) FILTER (event_type = 'error') AS INTEGER) AS n_error FROM eff GROUP BY user_id""")
+def effect_starts(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).withColumn("start_t", F.col("t"))
+    out = measures.starts_by_kind(e, U, {n: F.col("event_type") == n for n in ("click", "error")})
+    return out.withColumns({c: F.array_join(c, ",") for c in ("click_starts", "error_starts")})
+
+
+@query(f"""x AS (SELECT user_id, t // {DAY} AS day, arg_min(cents, (t, event_id)) AS entry, min(cents) AS least, arg_max(cents, (t, event_id)) AS exit, max(t) - min(t) AS duration FROM ev GROUP BY ALL)
+SELECT user_id, day // 7 AS week, count(*) AS episodes, CAST(sum(duration) AS BIGINT) AS duration, median(entry) AS entry, median(least) AS least, median(exit) AS exit, median(exit) - median(least) AS recovery FROM x GROUP BY ALL""")
+def lap_episode_medians(spark: SparkSession, d: str) -> DataFrame:
+    at = F.struct("t", "event_id")
+    x = events(spark, d).groupBy("user_id", F.expr(f"t div {DAY}").alias("day")).agg(F.min_by("cents", at).alias("entry"), F.min("cents").alias("least"), F.max_by("cents", at).alias("exit"), (F.max("t") - F.min("t")).alias("duration"))
+    return measures.episode_medians(x.withColumn("week", F.expr("day div 7")), ["user_id", "week"], "entry", "least", "exit", "duration")
+
+
+@query(f"""{TOGGLES}, f AS (SELECT o.user_id, o.t AS start_t, c.t AS end_t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM ev WHERE event_type = 'click') o
+  JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM ev WHERE event_type = 'purchase') c ON o.user_id = c.user_id AND o.n = c.n WHERE c.t >= o.t),
+a AS (SELECT user_id, start_t, end_t FROM toggles)
+SELECT *, 'stored' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM f) UNION ALL SELECT *, 'derived' FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM a)""")
+def rederived_intervals(spark: SparkSession, d: str) -> DataFrame:
+    e, kind = events(spark, d), F.col("event_type")
+    stored = seq.alternating_pairs(e, U, ORDER, "t").select("user_id", "start_t", "end_t")
+    derived = seq.fifo_pairs(e, U, ORDER, "t", kind == "click", kind == "purchase").where("valid").select("user_id", "start_t", "end_t")
+    return measures.differences(stored, derived)
+
+
+@query("""SELECT coalesce(o_orderpriority, 'unknown') AS status, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_ids, count(*) / sum(count(*)) OVER () AS share FROM orders GROUP BY 1""")
+def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
+    return measures.summary(table(spark, d, "orders"), "o_custkey", "o_orderpriority")
