@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import delta_direction
 from .sequences import _median_over
+from .temporal import range_join
 
 
 def to_shared(points: DataFrame, pairs: DataFrame, keys: Sequence[str], at: str, side: str = "a_progress") -> DataFrame:
@@ -147,22 +148,24 @@ def same_map(a: str = "a", b: str = "b") -> Column:
     return F.coalesce(*parts, F.lit("unknown"))
 
 
-def max_in_window(points: DataFrame, windows: DataFrame, keys: Sequence[str], window: str, time: str, value: str) -> DataFrame:
-    """The largest value of each window, ends included; NULL for an empty one."""
+def max_in_window(points: DataFrame, windows: DataFrame, keys: Sequence[str], window: str, time: str, value: str, width: float | None = None) -> DataFrame:
+    """The largest value of each window, ends included; NULL for an empty one. ``width`` as in ``range_join``."""
     p = points.select(*keys, F.col(time).alias("_t"), F.col(value).alias("_v"))
-    j = windows.join(p, list(keys)).where("_t >= lo and _t <= hi").groupBy(*keys, window).agg(F.max("_v").alias(f"max_{value}"))
+    inside = range_join(p, windows.select(*keys, window, "lo", "hi"), keys, "_t", "lo", "hi", width)
+    j = inside.groupBy(*keys, window).agg(F.max("_v").alias(f"max_{value}"))
     return windows.join(j, [*keys, window], "left")
 
 
-def corner_measures(windows: DataFrame, rows: DataFrame, keys: Sequence[str], window: str) -> DataFrame:
+def corner_measures(windows: DataFrame, rows: DataFrame, keys: Sequence[str], window: str, width: float | None = None) -> DataFrame:
     """Per side of a corner: entry speed (median of 3 rows), lowest in the drift, peak to recovery end.
 
     ``windows``: ``drift_start, drift_end, recovery_end`` in time; ``rows``: ``t, speed, distance``. A recovery
-    without native evidence is NULL, never 0.
+    without native evidence is NULL, never 0. ``width`` as in ``range_join``.
     """
     w = Window.partitionBy(*keys).orderBy("t")
     r = rows.select(*keys, "t", "speed", "distance", _median_over("speed", w.rowsBetween(-1, 1)).alias("_m"))
-    j = windows.join(r, list(keys)).where(F.col("t").between(F.col("drift_start"), F.coalesce("recovery_end", "drift_end")))
+    spans = windows.select(*keys, window, "drift_start", "drift_end", "recovery_end", F.coalesce("recovery_end", "drift_end").alias("_until"))
+    j = range_join(r, spans, keys, "t", "drift_start", "_until", width)
     in_drift, after = F.col("t") <= F.col("drift_end"), F.col("recovery_end").isNotNull() & (F.col("t") >= F.col("drift_end"))
     got = j.groupBy(*keys, window).agg(
         F.min_by("_m", "t").alias("entry_speed"), F.min(F.when(in_drift, F.col("speed"))).alias("min_speed"), F.max(F.when(after, F.col("speed"))).alias("exit_speed"),

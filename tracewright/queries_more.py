@@ -64,7 +64,7 @@ SELECT user_id, corner, arg_min(m, t) AS entry_speed, min(cents) FILTER (d) AS m
 def corner_measures(spark: SparkSession, d: str) -> DataFrame:
     e = seq.cumulative(events(spark, d), U, ORDER, "cents", "distance").withColumn("speed", F.col("cents"))
     w = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("corner"), F.col("t").alias("drift_start"), (F.col("t") + 10 * HOUR).alias("drift_end"), F.when(F.col("k") % 2 == 0, F.col("t") + 20 * HOUR).alias("recovery_end"))
-    m = comparison.corner_measures(w, e, U, "corner")
+    m = comparison.corner_measures(w, e, U, "corner", width=20 * HOUR)
     return m.drop("drift_start", "drift_end", "recovery_end")
 
 

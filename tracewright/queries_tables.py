@@ -10,7 +10,7 @@ from .functions.scalar import airborne, observation, round_even
 from .operators import aggregates as agg
 from .operators import comparison as cmp
 from .operators import matching, sets
-from .registry import MINUTE, events, query, table
+from .registry import HOUR, MINUTE, events, query, table
 
 
 @query("""SELECT o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS fastest, min(o_totalprice) AS best_time FROM orders GROUP BY o_custkey""")
@@ -234,7 +234,7 @@ def window_maximum(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     w = e.select("user_id", F.expr("t div 86400000000").alias("d")).distinct()
     w = w.withColumns({"lo": F.col("d") * 86400000000, "hi": F.col("d") * 86400000000 + 43200000000})
-    return cmp.max_in_window(e, w, ["user_id"], "d", "t", "cents")
+    return cmp.max_in_window(e, w, ["user_id"], "d", "t", "cents", width=12 * HOUR)
 
 
 @query("""c AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, nullif(count(*) FILTER (event_type = 'error'), 0) AS errors, user_id % 3 > 0 AS counts_allowed FROM ev GROUP BY user_id)
