@@ -242,9 +242,14 @@ def keep_one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
     held = materialize(with_fingerprint(rows).drop("text"), "documents")
+    return keep_smallest(held, simhash_components(held.select(F.col("id").alias("doc_id"), "fp")))
+
+
+def keep_smallest(held: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The row with the smallest id of each component: ``held`` (row, id, fp), ``labelled`` (doc_id, fp, component, component_id)."""
     # the smallest id of a component may stand on several rows: the smallest fingerprint among them is kept
     chosen = (
-        simhash_components(held.select(F.col("id").alias("doc_id"), "fp"))
+        labelled
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("component")
         .agg(F.min(F.struct("fp", "doc_id")).alias("at"))
