@@ -3,7 +3,7 @@
 import corpus_pipeline as pipeline
 
 from test_decontaminate import edit_rows
-from test_simhash import brute_components, slow_fingerprint
+from test_similar import brute_kept
 from tracewright.llm import decontaminate as dec
 from tracewright.llm import packing
 from tracewright.llm.common import documents, materialize
@@ -20,9 +20,7 @@ def test_stages_equal_brute_force(spark, sf):
         if name == "language":
             want = {i for i, t in kept.items() if any(c.isalpha() for c in t)}
         elif name == "near_duplicates":
-            ids = sorted(kept)
-            comps = brute_components(ids, [slow_fingerprint(kept[i]) for i in ids])
-            want = set(comps)
+            want = brute_kept(kept.items())
         else:
             want = {i for i, t in kept.items() if not any(item and min(edit_rows(item, dec.words(t))) <= int(dec.RATE * len(item)) for item in bench)}
         assert len(got) == len(set(got)) and set(got) == want, name

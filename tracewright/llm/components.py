@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Parts into which the edges of one node are dealt where they meet its minimum.
+SALTS = 8
+
 
 def _attach_minimum(edges: DataFrame) -> DataFrame:
-    """Adds ``m``: the smallest node among u and its neighbours v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(low, "u")
+    """Adds ``m``: the smallest node among u and its neighbours v.
+
+    The minimum is taken before the shuffle and after; each node's minimum is then repeated once
+    for each salt, so that the edges of a node with very many neighbours spread over several tasks.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = low.select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(low, ["u", "salt"]).select("u", "v", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,9 +41,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """One row ``(node, component)`` per node that has a link; component is its smallest node.
 
     Each round replaces the edges by stars that point to smaller nodes (large star, then small
-    star) and writes them to the shared folder. It ends when a round changes nothing; the number
-    of rounds grows with the logarithm of a component's size. Only the count and a checksum of
-    the edges reach the driver. Null endpoints and self links are ignored; repeated links are one.
+    star), writes them to the shared folder and deletes those of the round before. It ends when a
+    round changes nothing; the number of rounds grows with the logarithm of a component's size. Only
+    the count and a checksum of the edges reach the driver. Null endpoints and self links are
+    ignored; repeated links are one.
     """
     now = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
     now = materialize(now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -44,7 +54,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = materialize(_small_star(_large_star(now)), "edges", instead=now)
     else:
         raise RuntimeError("components did not settle")
     tops = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
