@@ -12,11 +12,15 @@ from tracewright.llm import packing, tokenfile
 from tracewright.llm.common import documents
 from tracewright.llm.tokens import default_vocabulary, encoder
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 ENCODER = encoder(default_vocabulary())
+LIBRARY = Tokenizer.from_file(default_vocabulary())  # never the encoder's own object
 
 
-def plain(text):
-    return np.array(ENCODER.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+def plain(text, tokenizer=LIBRARY):
+    return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 PARTS = ["a", "Z", "word", "é", "ß", " ", "  ", "\n", "\t", "'s", "'re", "'", "12", "²", "!", "...", "\xa0", "\x85", "\x1c", "\x00", "ª", "×", "…", "　", "中", "😀", "<|endoftext|>", "\r\n", "​", "\xad"]
@@ -28,6 +32,31 @@ def test_chunks_give_the_library_s_ids(text):
     assert ENCODER.encode(text) == plain(text)
 
 
+def test_strings_of_special_tokens():
+    text = "a <|endoftext|> b<|endoftext|>"
+    assert ENCODER.encode(text) == plain(text) == np.array([64, 220, 50256, 275, 50256], "<u4").tobytes()
+    library = Tokenizer.from_file(default_vocabulary())
+    library.encode_special_tokens = True
+    assert encoder(default_vocabulary(), True).encode(text) == plain(text, library) != plain(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*PARTS, "<|startoftext|>"]), max_size=25).map("".join))
+def test_a_vocabulary_of_another_make(text):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert encoder(path).encode(text) == plain(text, Tokenizer.from_file(path))
+
+
+def test_more_symbols_than_codes_of_16_bits():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(1, 1000, 70_000)
+    lengths = tokenfile.code_lengths(counts)
+    assert lengths.max() > 16 and (0.5 ** lengths.astype(float)).sum() <= 1
+    ids, sizes = rng.integers(0, 70_000, 5000), np.array([1, 700, 0 + 4299])
+    data, doc_bytes, checks, n = tokenfile.encode_ids(ids, sizes, lengths, tokenfile.canonical_codes(lengths))
+    assert (tokenfile.decode_ids(data, doc_bytes, sizes, checks, n, tokenfile.decoding_table(lengths)) == ids).all()
+
+
 def test_documents_give_the_library_s_ids(spark, sf):
     for r in documents(spark, sf).select("text").collect():
         assert ENCODER.encode(r.text) == plain(r.text)

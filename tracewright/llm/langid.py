@@ -9,7 +9,7 @@ codewords are about equally near are flagged as ambiguous.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Buckets of hashed bigrams and trigrams. A documented bound of the model, as are its languages.
 DIMS = 1 << 13
 #: Up to so many languages, every split of them into two sets is a bit of the code.
 EXHAUSTIVE = 6
 UNDETERMINED = "und"
+#: More distinct labels than this are an error: a column of free text is not one of languages.
+MAX_LANGUAGES = 1000
 #: A text is ambiguous if the losses of its two nearest codewords differ by less.
 MARGIN = 0.02
 _CHUNK = 1 << 20
@@ -97,8 +101,10 @@ class Model:
 
 
 def _model(languages: list[str], counts: np.ndarray) -> Model:
-    share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
     code = codewords(len(languages))
+    if len(languages) < 2:  # nothing to tell apart
+        return Model(languages, code, np.zeros((DIMS, 0)), np.zeros(0), code)
+    share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
     weights = np.zeros((DIMS, code.shape[1]))
     for b in range(code.shape[1]):
         one = code[:, b] > 0
@@ -112,7 +118,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Fit on every row with a text and a language.
 
     Each task adds up its n-gram counts by language and emits one row for each count; the driver
-    receives their sums, DIMS rows a language.
+    receives their sums, DIMS rows a language and ``MAX_LANGUAGES`` languages at most.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +133,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(found[at])], names=["lang", "gram", "n"])
 
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
-    languages = sorted({r["lang"] for r in sums})
+    sums = materialize(rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    languages = sorted(r["lang"] for r in sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} distinct languages in {lang!r}")
+    sums = sums.collect()
     counts = np.zeros((len(languages), DIMS))
     place = {name: k for k, name in enumerate(languages)}
     for r in sums:
@@ -170,9 +179,31 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_language.*")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without rows of undetermined language. Ambiguous texts stay: they are language too."""
+def keep_identified(docs: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` without rows of undetermined language, and with the predicted one where ``lang`` is null.
+
+    ``languages`` names the ones to keep by prediction; None keeps all. Ambiguous texts stay: they
+    are language too. Where no row has a label, nothing can be learned: then every text with a letter
+    stays, whatever ``languages`` says, and labels stay null. With one label, all such texts are of it.
+    """
     model = train(training_rows(docs))
     # rows travel as one struct, so further columns may have any names
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return with_language(rows, model).where(F.col("_language.lang_pred") != UNDETERMINED).select("row.*")
+    if not model.languages:
+        return rows.where(has_letter("text")).select("row.*")
+    found = with_language(rows, model)
+    found = found.where(F.col("_language.lang_pred") != UNDETERMINED)
+    if languages is not None:
+        found = found.where(F.col("_language.lang_pred").isin(*languages))
+    filled = F.coalesce(F.col("row.lang"), F.col("_language.lang_pred"))
+    return found.select(*[filled.alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def has_letter(text: str) -> Column:
+    """Whether a text has a letter by the same rule as the model's n-grams."""
+
+    @F.arrow_udf("boolean")
+    def letters(texts: pa.Array) -> pa.Array:
+        return pa.array([any(c.isalpha() for c in t.as_py() or "") for t in texts], pa.bool_())
+
+    return letters(F.col(text))

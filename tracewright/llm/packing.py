@@ -100,7 +100,7 @@ def pack_pieces(pieces: DataFrame, length: str = "length", row: str = "_row", ca
     return full.select(*columns).unionByName(done.select(*columns))
 
 
-def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """Pieces ``(doc_id, piece, start, length, ids_crc32)`` of each document's ids and its end id.
 
     Null and empty texts have the end id alone. A longer document is cut into full pieces, the
@@ -111,7 +111,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, special_as_text).encode
         for batch in slices(batches):
             out, source = [], []
             for i, t in enumerate(batch.column("text")):
@@ -131,11 +131,11 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     )
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """Tokenize, cut and pack: one row a piece with its ``sequence_id`` and ``offset``.
 
     Repeated rows and rows with null ids are packed like all others; other columns are ignored.
     """
-    pieces = token_pieces(docs, doc_id, text, vocabulary, capacity, end_id)
+    pieces = token_pieces(docs, doc_id, text, vocabulary, capacity, end_id, special_as_text)
     pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     return pack_pieces(pieces, capacity=capacity).drop("_row")

@@ -22,7 +22,12 @@ from pyspark.sql import functions as F
 from .common import materialize, new_path, slices
 from .tokens import default_vocabulary, encoder
 
+#: Longest code, unless more symbols are used than such codes can tell apart.
 MAX_BITS = 16
+#: Longest code that decoding can look up in one window of four bytes.
+WINDOW_BITS = 25
+#: Parts of a file up to which their sums are broadcast, some 100 bytes each.
+BROADCAST_PARTS = 100_000
 CHECK = 256
 #: Ids after which a block ends with the document at hand.
 BLOCK_IDS = 1 << 20
@@ -31,14 +36,19 @@ PART_IDS = 1 << 26
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most ``max_bits`` by package-merge; 0 for unused symbols."""
+    """Optimal code lengths of at most ``max_bits`` by package-merge; 0 for unused symbols.
+
+    Where so many symbols are used that no such code exists, the limit is one bit above the least possible.
+    """
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) <= 1:
         lengths[used] = 1
         return lengths
     if len(used) > 1 << max_bits:
-        raise ValueError("more symbols than codes")
+        max_bits = (len(used) - 1).bit_length() + 1
+    if max_bits > WINDOW_BITS:
+        raise ValueError(f"codes of {max_bits} bits are beyond the decoder's window of {WINDOW_BITS}")
     used = used[np.argsort(counts[used], kind="stable")]
     weights = counts[used].astype(np.int64)
     leaf_marks, level = [], np.zeros(0, np.int64)
@@ -68,8 +78,9 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decoding_table(lengths: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol and code length for every window of ``max_bits`` bits."""
+def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol and code length for every window of as many bits as the longest code has, 16 at least."""
+    max_bits = max(MAX_BITS, int(lengths.max(initial=0)))
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[np.searchsorted(lengths[order], 1) :]
     repeat = 1 << (max_bits - lengths[order].astype(np.int64))
@@ -113,8 +124,12 @@ def encode_ids(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: n
 def decode_ids(data: np.ndarray, doc_bytes: np.ndarray, sizes: np.ndarray, checks: np.ndarray, n_checks: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The ids of all documents, one table look-up a step for every stretch between checkpoints."""
     symbols, steps = table
-    window = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.uint32)
-    window = (window[:-2] << 16) | (window[1:-1] << 8) | window[2:]
+    bits, mask = (len(symbols) - 1).bit_length(), np.uint32(len(symbols) - 1)
+    window = np.concatenate((data, np.zeros(4, np.uint8))).astype(np.uint32)
+    if bits <= MAX_BITS:
+        window, spare = (window[:-3] << 16) | (window[1:-2] << 8) | window[2:-1], 24 - bits
+    else:
+        window, spare = (window[:-3] << 24) | (window[1:-2] << 16) | (window[2:-1] << 8) | window[3:], 32 - bits
     lanes = 1 + n_checks
     of = np.repeat(np.arange(len(sizes)), lanes)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -131,20 +146,20 @@ def decode_ids(data: np.ndarray, doc_bytes: np.ndarray, sizes: np.ndarray, check
         if not n:
             break
         q = p[:n]
-        x = (window[q >> 3] >> (8 - (q & 7)).astype(np.uint32)) & 0xFFFF
+        x = (window[q >> 3] >> (spare - (q & 7)).astype(np.uint32)) & mask
         out[to[:n] + k] = symbols[x]
         q += steps[x]
     return out
 
 
-def _tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def _tokenized(docs: DataFrame, vocabulary: str, end_id: int, special_as_text: bool) -> DataFrame:
     """``(doc_id, ids)``: ids as 16-bit integers, or as 32-bit ones from the first above 65,535 on."""
     kind = dict(docs.dtypes)["doc_id"]
     end = np.array([end_id], "<u4").tobytes()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
-        wide = encoder(vocabulary).tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
+        own = encoder(vocabulary, special_as_text)
+        encode, wide = own.encode, max(own.tokenizer.get_vocab().values(), default=0) >= 1 << 16 or end_id >= 1 << 16
         for batch in slices(batches):
             ids = (encode(t.as_py()) + end for t in batch.column("text"))
             if not wide:
@@ -177,7 +192,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["symbol", "n"])
 
 
-def write_token_file(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 2) -> None:
+def write_token_file(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 2, special_as_text: bool = False) -> None:
     """Encode every whole text with its end id and write the file at ``path``, ids ascending.
 
     Null and empty texts have the end id alone. Null document ids come first; equal ids stand
@@ -186,7 +201,7 @@ def write_token_file(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    held = materialize(_tokenized(rows, vocabulary, end_id), "ids")
+    held = materialize(_tokenized(rows, vocabulary, end_id, special_as_text), "ids")
     counts = held.select("wide", "ids").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     size = max([r["symbol"] for r in counts], default=end_id) + 1
     tally = np.zeros(size, np.int64)
@@ -291,7 +306,9 @@ def _with_start(blocks: DataFrame) -> DataFrame:
     sums = blocks.groupBy("part").agg(F.sum(n).alias("ids"))
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(F.col("part").alias("_part"), F.coalesce(before, F.lit(0)).alias("before"))
-    return blocks.join(F.broadcast(sums), F.col("part") == F.col("_part")).withColumn("start", F.col("before") + F.col("part_start")).drop("_part", "before")
+    if sums.count() <= BROADCAST_PARTS:
+        sums = F.broadcast(sums)
+    return blocks.join(sums, F.col("part") == F.col("_part")).withColumn("start", F.col("before") + F.col("part_start")).drop("_part", "before")
 
 
 def _decoder(lengths: np.ndarray, with_ids: bool):
@@ -321,8 +338,8 @@ def _decoder(lengths: np.ndarray, with_ids: bool):
     return decode
 
 
-def token_file_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
+def token_file_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 2, special_as_text: bool = False) -> DataFrame:
     """Write a new token file in the shared folder and read each document's digest back from it."""
     path = new_path(docs.sparkSession, "token-file")
-    write_token_file(docs, path, doc_id, text, vocabulary, end_id)
+    write_token_file(docs, path, doc_id, text, vocabulary, end_id, special_as_text)
     return read_token_digests(docs.sparkSession, path)

@@ -5,11 +5,14 @@ space) before it merges anything within each. Pre-tokens repeat far more often t
 each worker keeps the ids that the library's BPE model gave for those it has seen. In texts of
 Latin-1 characters the split needs no Unicode tables and is done here; in other texts, the
 stretches between spaces that hold other characters take the library's whole path, which is
-possible as a pre-token always starts at a space that a visible character follows.
+possible as a pre-token always starts at a space that a visible character follows. Texts that hold
+the string of an added token, and all texts under vocabulary files of another make (a normalizer,
+another pre-tokenizer, word ends), take the library's whole path.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -39,17 +42,35 @@ def _is_latin1(text: str) -> bool:
     return True
 
 
+def _is_plain_byte_level(path: str) -> bool:
+    """Whether a vocabulary file splits texts by the byte-level pattern alone and merges within pre-tokens."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    by_pattern = split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    outer = ("normalizer", "truncation", "padding")
+    return bool(by_pattern and model.get("type") == "BPE" and not any(model.get(k) for k in odd) and not any(spec.get(k) for k in outer))
+
+
 class PreTokenEncoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers in bytes."""
+    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers in bytes.
+
+    They are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``: the string
+    of a special token in a text is that token. With ``special_as_text`` it is ordinary text.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.whole = not _is_plain_byte_level(path)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not (special_as_text and t.special)]
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
 
@@ -73,14 +94,14 @@ class PreTokenEncoder:
             found = [(get(w) or make(w)) if ids is None else ids for w, ids in zip(words, found)]
         return b"".join(found)
 
-    def _stretch(self, text: str) -> bytes:
-        if _is_latin1(text):
-            return self._latin1(text)
+    def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.whole or any(t in text for t in self.added):
+            return self._library(text)
         if _is_latin1(text):
             return self._latin1(text)
         cuts = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
@@ -89,7 +110,7 @@ class PreTokenEncoder:
             if not _is_latin1(text[a:b]):
                 if run < a:
                     out.append(self._latin1(text[run:a]))
-                out.append(self._stretch(text[a:b]))
+                out.append(self._library(text[a:b]))
                 run = b
         if run < len(text):
             out.append(self._latin1(text[run:]))
@@ -97,9 +118,9 @@ class PreTokenEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PreTokenEncoder:
+def encoder(path: str, special_as_text: bool = False) -> PreTokenEncoder:
     """One encoder for each worker and vocabulary file."""
-    return PreTokenEncoder(path)
+    return PreTokenEncoder(path, special_as_text)
 
 
 def default_vocabulary() -> str:
