@@ -65,8 +65,8 @@ def test_hits_equal_brute_force(spark):
             least = min(edit_rows(item, dec.words(t)))
             if least <= int(dec.RATE * len(item)):
                 want[d, i] = least
-    for block in (1, 8 << 20):
-        got = dec.benchmark_hits(docs, bench, block_bytes=block).collect()
+    for pieces_a_pass in (10, dec.PASS_PIECES):
+        got = dec.benchmark_hits(docs, bench, pass_pieces=pieces_a_pass).collect()
         assert {(r.doc_id, r.item_id): r.distance for r in got} == want
         for r in got:
             stretch = dec.words(texts[r.doc_id])[r.first_word : r.end_word]
@@ -83,6 +83,15 @@ def test_planted_passages_are_found(spark, sf):
     assert want == got and want
 
 
+def test_item_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("x", "nothing here"), ("y", "before one two three four after")], "doc_id string, text string").repartition(2)
+    for kind, value in (("int", 7), ("string", "q7"), ("long", 7), ("date", None)):
+        bench = spark.createDataFrame([(value, "One two three four"), (None, "no such words")], f"item_id {kind}, text string")
+        for part in (1, 1000):
+            assert [tuple(r) for r in dec.benchmark_hits(docs, bench, pass_pieces=part).collect()] == [("y", value, 0, 1, 5, 4)]
+            assert [r.doc_id for r in dec.drop_contaminated(docs, bench, pass_pieces=part).collect()] == ["x"]
+
+
 def test_odd_and_empty_tables(spark, odd_documents, no_documents):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "one"), (4, "one"), (None, "lorem")], "item_id long, text string")
     got = dec.benchmark_hits(odd_documents, bench).collect()

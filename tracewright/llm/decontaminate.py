@@ -2,8 +2,11 @@
 
 An item of w words may differ from a passage in ``floor(rate * w)`` words inserted, deleted or
 replaced. Cut into one piece more than that budget, one piece at least must stand in the passage
-unchanged. One automaton finds the pieces of all items in a document; around each hit, Myers'
-bit-parallel algorithm computes the smallest edit distance over words of the item to any passage.
+unchanged. One pass over the documents looks each run of as many words as some piece has up among
+the hashes of all pieces; documents with hits meet the items by a join on those hashes, and around
+each hit Myers' bit-parallel algorithm computes the smallest edit distance over words of the item
+to any passage. Of the benchmark, only hashes of pieces (8 bytes for some 8 words) reach the driver
+and the tasks of the pass; items and texts meet in joins.
 """
 
 from __future__ import annotations
@@ -11,16 +14,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
+from .hashing import run_hashes, word_hashes
 
-#: Share of an item's words that may differ.
+#: Share of an item's words that may differ; below 1.
 RATE = 0.12
-#: Bytes of item text in one block; larger benchmarks are searched block by block, all documents each.
-BLOCK_BYTES = 8 << 20
+#: Pieces that one pass looks for (64 MB of hashes); larger benchmarks take a pass for each so many.
+PASS_PIECES = 8_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -59,129 +64,159 @@ def myers(item: list[str], passage: list[str]) -> tuple[int, int]:
     return best, end
 
 
-class Searcher:
-    """All items of a block: ``search(text)`` gives (item index, distance, first word, end word)."""
-
-    def __init__(self, items: list[str], rate: float = RATE):
-        import ahocorasick
-
-        self.items = [words(t) for t in items]
-        self.budgets = [int(rate * len(w)) for w in self.items]
-        found: dict[str, list[tuple[int, int, int]]] = {}
-        for k, (item, budget) in enumerate(zip(self.items, self.budgets)):
-            for at, piece in pieces(item, budget) if item else []:
-                found.setdefault(" " + " ".join(piece) + " ", []).append((k, at, len(piece)))
-        self.automaton = ahocorasick.Automaton()
-        for text, owners in found.items():
-            self.automaton.add_word(text, (len(text), owners))
-        if found:
-            self.automaton.make_automaton()
-
-    def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        if not len(self.automaton):
-            return []
-        shown = words(text)
-        line = " " + " ".join(shown) + " "
-        near: dict[int, list[tuple[int, int]]] = {}
-        at_char, at_word = 0, 0
-        for end, (size, owners) in self.automaton.iter(line):
-            begin = end - size + 1
-            if begin >= at_char:
-                at_word += line.count(" ", at_char, begin)
-            else:
-                at_word -= line.count(" ", begin, at_char)
-            at_char = begin
-            for k, at, _ in owners:
-                first = at_word - at - self.budgets[k]
-                near.setdefault(k, []).append((max(0, first), at_word - at + len(self.items[k]) + self.budgets[k]))
-        out = []
-        for k, spans in near.items():
-            best = None
-            spans.sort()
-            while spans:
-                a, b = spans.pop(0)
-                while spans and spans[0][0] <= b:
-                    b = max(b, spans.pop(0)[1])
-                distance, end = myers(self.items[k], shown[a:b])
-                if distance <= self.budgets[k] and (best is None or distance < best[0]):
-                    back, length = myers(self.items[k][::-1], shown[a : a + end][::-1])
-                    best = (distance, a + end - (length if back == distance else len(self.items[k])), a + end)
-            if best:
-                out.append((k, *best))
-        return out
-
-
-def _search(items: list[str], ids: list, id_kind: str, rate: float):
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(items, rate)
-        for batch in slices(batches):
-            rows, source = [], []
-            for i, t in enumerate(batch.column("text")):
-                for row in searcher.search(t.as_py()):
-                    rows.append(row)
-                    source.append(i)
-            item, distance, first, end = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(source, pa.int64())),
-                    pa.array([ids[k] for k in item], pa.int64() if id_kind == "bigint" else None),
-                    *(pa.array(x, pa.int32()) for x in (distance, first, end)),
-                    pa.array([len(searcher.items[k]) for k in item], pa.int32()),
-                ],
-                names=["doc_id", "item_id", "distance", "first_word", "end_word", "item_words"],
-            )
+def best_passage(item: list[str], budget: int, shown: list[str], origins: list[int]) -> tuple[int, int, int] | None:
+    """The nearest passage (distance, first word, end word) around places where the item may begin; the first on a tie."""
+    reach, best, stretches = len(item) + budget, None, []
+    for at in sorted(origins):
+        a, b = max(0, at - budget), at + reach
+        if stretches and a <= stretches[-1][1]:
+            stretches[-1][1] = max(b, stretches[-1][1])
+        else:
+            stretches.append([a, b])
+    for a, b in stretches:
+        distance, end = myers(item, shown[a:b])
+        if distance <= budget and (best is None or distance < best[0]):
+            back, length = myers(item[::-1], shown[a : a + end][::-1])
+            best = (distance, a + end - (length if back == distance else len(item)), a + end)
+    return best
 
-    return found
 
+def benchmark_pieces(items: DataFrame, rate: float) -> DataFrame:
+    """``(item, h, at, n)``: hash, place and words of each piece of ``items`` (item, text)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for key, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                item = words(t)
+                for at, piece in pieces(item, int(rate * len(item))) if item else []:
+                    _, h = next(run_hashes(word_hashes(piece), [len(piece)]))
+                    rows.append((key, int(h.view(np.int64)[0]), at, len(piece)))
+            columns = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["item", "h", "at", "n"])
+
+    return items.mapInArrow(cut, "item long, h long, at int, n int")
+
+
+class PieceIndex:
+    """Looks up runs of words among piece hashes by number of words: a bitmap, then a sorted array."""
+
+    def __init__(self, hashes: dict[int, np.ndarray]):
+        self.hashes = {n: np.sort(h) for n, h in hashes.items()}
+        bits = max(16, int(16 * sum(map(len, hashes.values()))).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.marked = np.zeros(1 << bits, bool)
+        for h in hashes.values():
+            self.marked[h >> self.shift] = True
+
+    def hits(self, texts: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Number of the text, place and hash of each run that is a piece."""
+        ends = np.cumsum([len(t) for t in texts])
+        h = word_hashes([w for t in texts for w in t])
+        for n, runs in run_hashes(h, self.hashes):
+            at = np.flatnonzero(self.marked[runs >> self.shift])
+            known = self.hashes[n]
+            found = runs[at]
+            at = at[known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found]
+            text = np.searchsorted(ends, at, side="right")
+            whole = at + n <= ends[text]  # no run goes on into the next text
+            text, at = text[whole], at[whole]
+            yield text, at - np.concatenate(([0], ends))[text], runs[at]
+
+
+_HITS = "array<struct<h:long,pos:int>>"
+
+
+def _pieces_found(hashes: dict[int, np.ndarray]):
+    made: list[PieceIndex] = []  # one index for each task
+
+    @F.arrow_udf(_HITS)
+    def found(column: pa.Array) -> pa.Array:
+        if not made:
+            made.append(PieceIndex(hashes))
+        parts = []
+        for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])])):
+            n = part.num_rows
+            hits = list(made[0].hits([words(t) for t in part.column("text").to_pylist()]))
+            text, pos, h = (np.concatenate([x[k] for x in hits]) if hits else np.zeros(0, np.int64) for k in range(3))
+            order = np.argsort(text, kind="stable")
+            inner = pa.StructArray.from_arrays([pa.array(h[order].astype(np.uint64).view(np.int64)), pa.array(pos[order].astype(np.int32))], names=["h", "pos"])
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n)))).astype(np.int32)
+            parts.append(pa.ListArray.from_arrays(pa.array(offsets), inner))
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))
+        return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[tuple[list, list[str]]]:
-    """Distinct items in blocks of bounded size; the driver holds one block at a time."""
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t is not null").distinct()
-    ids, texts, size = [], [], 0
-    for row in items.toLocalIterator():
-        ids.append(row["i"])
-        texts.append(row["t"])
-        size += len(row["t"])
-        if size >= limit:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    yield ids, texts
+    return found
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _verifier(rate: float):
+    @F.arrow_udf("struct<distance:int,first_word:int,end_word:int,item_words:int>")
+    def verify(text: pa.Array, item: pa.Array, origins: pa.Array) -> pa.Array:
+        out, last, shown = [], None, []
+        for t, i, at in zip(text.to_pylist(), item.to_pylist(), origins.to_pylist()):
+            if t != last:
+                last, shown = t, words(t)
+            own = words(i)
+            best = best_passage(own, int(rate * len(own)), shown, at)
+            out.append(best and dict(zip(("distance", "first_word", "end_word", "item_words"), (*best, len(own)))))
+        return pa.array(out, pa.struct([(c, pa.int32()) for c in ("distance", "first_word", "end_word", "item_words")]))
+
+    return verify
+
+
+def _passes(benchmark: DataFrame, item_id: str, item_text: str, rate: float, limit: int) -> Iterator[tuple[DataFrame, DataFrame, dict[int, np.ndarray]]]:
+    """Distinct items (item, item_id, text), their pieces, and the distinct piece hashes by number of words, so many at a time."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null").distinct()
+    items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    all_pieces = materialize(benchmark_pieces(items.select("item", "text"), rate), "pieces")
+    parts = max(1, -(-all_pieces.count() // limit))
+    for part in range(parts):
+        own = all_pieces.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
+        rows = own.select("n", "h").distinct().toArrow()
+        n, h = rows.column("n").to_numpy(), rows.column("h").to_numpy().view(np.uint64)
+        yield items, own, {int(k): h[n == k] for k in np.unique(n)}
+
+
+def _verified(marked: DataFrame, items: DataFrame, pieces_of: DataFrame, rate: float) -> DataFrame:
+    """``(uid, item, v)``: the items that rows ``marked`` (uid, text, hits) hold."""
+    hits = marked.select("uid", F.explode("hits").alias("hit")).select("uid", "hit.h", "hit.pos")
+    met = hits.join(pieces_of.select("h", "item", "at"), "h").groupBy("uid", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("origins"))
+    both = met.join(items.select("item", F.col("text").alias("item_text")), "item").join(marked.select("uid", "text"), "uid")
+    verify = _verifier(rate)
+    return both.sortWithinPartitions("uid").withColumn("v", verify("text", "item_text", "origins")).select("uid", "item", "v").where("v is not null")
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, pass_pieces: int = PASS_PIECES) -> DataFrame:
     """``(doc_id, item_id, distance, first_word, end_word, item_words)``: each item a document holds.
 
     Words are runs of letters, digits and underscores, lower-cased; places count them from 0. The
     nearest passage is given, the first one on a tie. Items without a word are never found; null
-    and empty texts hold nothing. Repeated documents give repeated rows; repeated items one.
+    and empty texts hold nothing. Repeated documents give repeated rows; repeated items one. Ids
+    may have any type.
     """
-    kind, id_kind = dict(docs.dtypes)[doc_id], dict(benchmark.dtypes)[item_id]
-    schema = f"doc_id {kind}, item_id {id_kind}, distance int, first_word int, end_word int, item_words int"
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    hits = None
-    for ids, texts in _blocks(benchmark, item_id, item_text, block_bytes):
-        part = rows.mapInArrow(_search(texts, ids, id_kind, rate), schema)
-        hits = part if hits is None else hits.unionByName(part)
-    return hits
+    out = None
+    for items, pieces_of, hashes in _passes(benchmark, item_id, item_text, rate, pass_pieces):
+        held = rows.withColumn("hits", _pieces_found(hashes)(F.col("text"))).where("size(hits) > 0")
+        marked = materialize(held.withColumn("uid", F.monotonically_increasing_id()), "marked")
+        found = _verified(marked, items, pieces_of, rate)
+        found = found.join(items.select("item", "item_id"), "item").join(marked.select("uid", "doc_id"), "uid").select("doc_id", "item_id", "v.*")
+        out = found if out is None else out.union(found)
+    return out
 
 
-def _holder(texts: list[str], rate: float):
-    made: list[Searcher] = []  # one searcher for each task
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, pass_pieces: int = PASS_PIECES) -> DataFrame:
+    """``docs`` without the rows that hold any benchmark item; each row is judged by its own text.
 
-    @F.arrow_udf("boolean")
-    def holds(column: pa.Array) -> pa.Array:
-        if not made:
-            made.append(Searcher(texts, rate))
-        return pa.array([bool(made[0].search(t.as_py())) for t in column], pa.bool_())
-
-    return holds
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows that hold any benchmark item; each row is judged by its own text."""
-    kept = docs
-    for _, texts in _blocks(benchmark, "item_id", "text", block_bytes):
-
-        holds = _holder(texts, rate)
-        kept = kept.where(~holds(F.col(text)))
-    return kept
+    Rows travel as one struct, so further columns may have any names. Only rows with a piece of some
+    item take part in joins.
+    """
+    kept = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    for items, pieces_of, hashes in _passes(benchmark, item_id, item_text, rate, pass_pieces):
+        held = kept.withColumn("hits", _pieces_found(hashes)(F.col("text"))).withColumn("uid", F.monotonically_increasing_id())
+        held = materialize(held.withColumn("text", F.when(F.size("hits") > 0, F.col("text"))), "documents")
+        marked = held.where("size(hits) > 0")
+        bad = materialize(_verified(marked, items, pieces_of, rate).select("uid").distinct(), "contaminated")
+        clean = marked.join(bad, "uid", "left_anti").select("row").union(held.where("size(hits) <= 0").select("row"))
+        kept = clean.select("row", F.col("row")[text].alias("text"))
+    return kept.select("row.*")
