@@ -14,18 +14,18 @@ from .sequences import _median_over
 from .temporal import range_join
 
 
-def to_shared(points: DataFrame, pairs: DataFrame, keys: Sequence[str], at: str, side: str = "a_progress") -> DataFrame:
+def to_shared(points: DataFrame, pairs: DataFrame, keys: Sequence[str], at: str, side: str = "a_progress", width: float = 0.03) -> DataFrame:
     """``points`` with ``component_no`` and ``shared``: a side's progress on the shared axis.
 
-    Linear between the pairs of one component; NULL elsewhere, so breaks are never bridged.
+    Linear between the pairs of one component; NULL elsewhere, so breaks are never bridged. Points meet
+    only the stretches in their bucket of ``width``, the largest gap within a component.
     """
     w = Window.partitionBy(*keys, "component_no").orderBy("pair_no")
     p = pairs.select(*keys, "component_no", F.col(side).alias("_u0"), F.lead(side).over(w).alias("_u1"), F.col("shared").alias("_s0"), F.lead("shared").over(w).alias("_s1"))
-    j = points.withColumn("_id", F.monotonically_increasing_id()).join(p.where("_u1 is not null"), list(keys), "left")
-    j = j.withColumn("_hit", (F.col(at) >= F.col("_u0")) & (F.col(at) <= F.col("_u1")))
+    j = range_join(points.withColumn("_id", F.monotonically_increasing_id()), p.where("_u1 >= _u0"), keys, at, "_u0", "_u1", width=width, how="left")
     share = (F.col(at) - F.col("_u0")) / F.when(F.col("_u1") > F.col("_u0"), F.col("_u1") - F.col("_u0"))
     s = F.col("_s0") + (F.col("_s1") - F.col("_s0")) * F.coalesce(share, F.lit(0.0))
-    first = F.min(F.when(F.col("_hit"), F.struct(F.col("component_no").alias("c"), s.alias("s"))))
+    first = F.min(F.when(F.col("_u0").isNotNull(), F.struct(F.col("component_no").alias("c"), s.alias("s"))))
     return j.groupBy("_id", *points.columns).agg(first.alias("_m")).select(*points.columns, F.col("_m.c").alias("component_no"), F.col("_m.s").alias("shared"))
 
 

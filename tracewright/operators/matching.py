@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .temporal import range_join
+
 
 def greedy_pairs(events: DataFrame, keys: Sequence[str], index: str, time: str, left: Column, right: Column, blocks: Column, tolerance: float) -> DataFrame:
     """One-to-one pairs of ``left`` and ``right`` events, nearest first.
@@ -24,6 +26,12 @@ def greedy_pairs(events: DataFrame, keys: Sequence[str], index: str, time: str,
     kinds = dict(events.dtypes)
     rows = events.select(*keys, F.col(index).cast("long").alias("i"), F.col(time).cast("double").alias("t"), left.alias("l"), right.alias("r"), blocks.alias("b"))
     rows = rows.where("l or r or b")
+    # no pair crosses a gap in time above the tolerance; where indexes keep to that order too, no blocking event does
+    w = Window.partitionBy(*keys).orderBy("t", "i")
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"_low": F.min("i").over(ahead), "_high": F.max("i").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    apart = (F.col("t") - F.lag("t").over(w) > tolerance) & (F.col("_low") > F.col("_high"))
+    rows = rows.withColumn("_block", F.sum(F.coalesce(apart, F.lit(False)).cast("long")).over(w)).drop("_low", "_high")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         i, t, is_left, is_right = (pdf[c].to_numpy() for c in ("i", "t", "l", "r"))
@@ -57,7 +65,7 @@ def greedy_pairs(events: DataFrame, keys: Sequence[str], index: str, time: str,
         return got
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", left_index long, left_t double, right_index long, right_t double, distance double"
-    return rows.groupBy(*keys).applyInPandas(match, schema)
+    return rows.groupBy(*keys, "_block").applyInPandas(match, schema)
 
 
 def combo_sequences(nitros: DataFrame, boosts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -109,8 +117,13 @@ def stitch_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     vehicle of the best score whose end is -0.06 to 0.35 s before, whose rate differs by at most 1.5
     and which is within 3 and 30 a second of gap; else it begins a new one. The score adds
     distance, five times the gap and the rate's difference; a vehicle's rate is averaged on the way.
+    Parts are cut into blocks where one begins over 0.35 s after all before it have ended, as no
+    vehicle goes on from there; vehicles are numbered through the blocks.
     """
     kinds = dict(parts.dtypes)
+    w = Window.partitionBy(*keys).orderBy("t0", "t1", "part_id")
+    ended = F.col("t0") - F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1)) > 0.35
+    parts = parts.withColumn("_block", F.sum(F.coalesce(ended, F.lit(False)).cast("long")).over(w))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t0", "t1", "part_id"], kind="stable").reset_index(drop=True)
@@ -129,10 +142,14 @@ def stitch_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
             else:
                 ends[best], rates[best] = end, (rates[best] + p.hz) / 2
             owner.append(best)
-        return pdf[[*keys, "part_id"]].assign(vehicle=np.array(owner, np.int64))
+        return pdf[[*keys, "part_id", "_block"]].assign(vehicle=np.array(owner, np.int64))
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "part_id"]) + ", vehicle long"
-    return parts.groupBy(*keys).applyInPandas(join, schema)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "part_id"]) + ", _block long, vehicle long"
+    local = parts.groupBy(*keys, "_block").applyInPandas(join, schema)
+    # a block's vehicles come after all of the blocks before it
+    order = Window.partitionBy(*keys).orderBy("_block", "vehicle")
+    first = F.coalesce(~F.col("_block").eqNullSafe(F.lag("_block").over(order)) | (F.col("vehicle") != F.lag("vehicle").over(order)), F.lit(True))
+    return local.withColumn("vehicle", F.sum(first.cast("long")).over(order) - 1).drop("_block")
 
 
 def _turn(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -237,25 +254,64 @@ def align_trajectories(subject: DataFrame, baseline: DataFrame, keys: Sequence[s
     return subject.select(*cols).toDF(*cols).groupBy(*keys).cogroup(baseline.select(*cols).toDF(*cols).groupBy(*keys)).applyInPandas(align, schema)
 
 
+def banded_pairs(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
+    """Pairs of two sorted arrays within ``tolerance``, in order: as many as can be, then the least total difference.
+
+    Only cells within the tolerance are computed and kept. On equal terms a row is skipped before a
+    column, and both before a pair.
+    """
+    lo, hi = np.searchsorted(b, a - tolerance, side="left"), np.searchsorted(b, a + tolerance, side="right")
+    moves: list[bytearray] = []
+    start, before = 0, [(0, 0.0)]  # the row above: best (pairs, -cost) for b's first start, start + 1, ... elements
+    for i, x in enumerate(a):
+        first, last = int(lo[i]), int(hi[i])
+        above = lambda j: before[min(max(j - start, 0), len(before) - 1)]  # noqa: B023, E731
+        row, move = [above(first)], bytearray([1])
+        for j in range(first + 1, last + 1):
+            best, code = above(j), 1
+            if row[-1][0] > best[0] or (row[-1][0] == best[0] and row[-1][1] > best[1] + 1e-12):
+                best, code = row[-1], 2
+            d = abs(float(x) - float(b[j - 1]))
+            n, cost = above(j - 1)
+            if d <= tolerance and (n + 1 > best[0] or (n + 1 == best[0] and cost - d > best[1] + 1e-12)):
+                best, code = (n + 1, cost - d), 3
+            row.append(best)
+            move.append(code)
+        moves.append(move)
+        start, before = first, row
+    out, i, j = [], len(a) - 1, len(b)
+    while i >= 0:
+        j = min(j, int(hi[i]))
+        code = moves[i][j - int(lo[i])] if j >= lo[i] else 1
+        if code == 3:
+            out.append((i, j - 1))
+        i, j = i - (code != 2), j - (code != 1)
+    return out[::-1]
+
+
 def pair_corners(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: float = 0.02) -> DataFrame:
-    """Corners (``corner, s_start``) of two sides paired in order: most pairs, then least difference."""
+    """Corners (``corner, s_start``) of two sides paired in order: most pairs, then least difference.
+
+    Corners of both sides are cut into blocks wherever two neighbours are farther apart than the
+    tolerance, which no pair crosses; within a block only cells within the tolerance are computed.
+    """
     kinds = dict(left.dtypes)
     cols = [*keys, "corner", "s_start"]
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (p.sort_values(["s_start", "corner"], kind="stable").reset_index(drop=True) for p in (a, b))
-        names = [*keys, "left_corner", "right_corner", "anchor_delta"]
-        if a.empty or b.empty:
-            return pd.DataFrame({n: [] for n in names})
-        apart = np.abs(a.s_start.to_numpy()[:, None] - b.s_start.to_numpy()[None])
-        got = monotone_pairs(apart, apart <= tolerance, np.ones((len(a) + 1, len(b) + 1), bool))
-        out = pd.DataFrame([(a.corner[i], b.corner[j], a.s_start[i] - b.s_start[j]) for i, j in got], columns=names[-3:])
+    both = left.select(*cols, F.lit(True).alias("_left")).unionByName(right.select(*cols, F.lit(False).alias("_left"))).where("s_start is not null")
+    w = Window.partitionBy(*keys).orderBy("s_start", "_left", "corner")
+    wide = F.coalesce(F.col("s_start") - F.lag("s_start").over(w) > tolerance, F.lit(True))
+    both = both.withColumn("_block", F.sum(wide.cast("long")).over(w))
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["_left"] == side].sort_values(["s_start", "corner"], kind="stable").reset_index(drop=True) for side in (True, False))
+        got = banded_pairs(a.s_start.to_numpy(), b.s_start.to_numpy(), tolerance) if len(a) and len(b) else []
+        out = pd.DataFrame([(a.corner[i], b.corner[j], a.s_start[i] - b.s_start[j]) for i, j in got], columns=["left_corner", "right_corner", "anchor_delta"])
         for c in reversed(list(keys)):
-            out.insert(0, c, a[c].iloc[0])
+            out.insert(0, c, pdf[c].iloc[0])
         return out
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", left_corner {kinds['corner']}, right_corner {kinds['corner']}, anchor_delta double"
-    return left.select(*cols).toDF(*cols).groupBy(*keys).cogroup(right.select(*cols).toDF(*cols).groupBy(*keys)).applyInPandas(pair, schema)
+    return both.groupBy(*keys, "_block").applyInPandas(pair, schema)
 
 
 def unique_or_role(requests: DataFrame, table: DataFrame, ident: str, role: str, value: str) -> DataFrame:
@@ -339,10 +395,13 @@ def match_by_time(left: DataFrame, right: DataFrame, keys: Sequence[str], within
     Within ``within`` seconds; ``high`` if exactly one is within ``sure``; ``medium`` if the nearest is
     within ``near`` and the next one at least ``clear`` farther; else none.
     """
-    r = right.select(*keys, F.col("rid"), F.col("t").alias("_rt"))
-    j = left.join(r, list(keys)).withColumn("gap", F.abs(F.col("t") - F.col("_rt"))).where(F.col("gap") <= within)
-    best = j.groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("gap", "rid"))).alias("c"), F.count_if(F.col("gap") <= sure).alias("n"))
-    second = F.try_element_at("c", F.lit(2))
-    conf = F.when(F.col("n") == 1, "high").when((F.col("c")[0]["gap"] <= near) & (second.isNull() | (second["gap"] - F.col("c")[0]["gap"] >= clear)), "medium")
-    best = best.select(*keys, "id", conf.alias("confidence"), F.when(conf.isNotNull(), F.col("c")[0]["rid"]).alias("rid"))
+    r = right.select(*keys, F.col("rid"), F.col("t").alias("_rt"), (F.col("t") - within).alias("_lo"), (F.col("t") + within).alias("_hi"))
+    j = range_join(left, r, keys, "t", "_lo", "_hi", width=2 * within).withColumn("gap", F.abs(F.col("t") - F.col("_rt")))
+    # the two nearest decide; of each left row no more is kept before or after the shuffle
+    place = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("gap", "rid"))
+    two = j.withColumn("_n", place).where("_n <= 2").groupBy(*keys, "id")
+    two = two.agg(F.max(F.when(F.col("_n") == 1, F.col("gap"))).alias("g1"), F.max(F.when(F.col("_n") == 2, F.col("gap"))).alias("g2"), F.max(F.when(F.col("_n") == 1, F.col("rid"))).alias("_rid"))
+    alone = (F.col("g1") <= sure) & (F.col("g2").isNull() | (F.col("g2") > sure))
+    conf = F.when(alone, "high").when((F.col("g1") <= near) & (F.col("g2").isNull() | (F.col("g2") - F.col("g1") >= clear)), "medium")
+    best = two.select(*keys, "id", conf.alias("confidence"), F.when(conf.isNotNull(), F.col("_rid")).alias("rid"))
     return left.join(best, [*keys, "id"], "left")

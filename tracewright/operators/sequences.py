@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import angle_delta_deg, hypot3, round_even, wrap_pi
+from .temporal import range_join
 
 
 def _over(keys: Sequence[str], order: Sequence[str]):
@@ -276,6 +277,21 @@ def turn_signal(samples: DataFrame, keys: Sequence[str], order: Sequence[str] =
     return rows.withColumn("signal", F.coalesce(total / 9, F.lit(0.0))).drop("_s4", "_s8", "_i", "_n")
 
 
+def _first_cut(seg: DataFrame, cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``seg`` with ``cut_t``: where the first interval of ``cuts`` that reaches beyond ``end_t`` begins, ``end_t`` at the earliest.
+
+    Ends and cuts in one order: the latest end of the cuts begun so far tells whether one holds the
+    segment's end, and the look-ahead gives the next one's start.
+    """
+    kind = dict(seg.dtypes)["end_t"]
+    a = seg.select(*keys, F.col("end_t").alias("_t"), F.lit(1).alias("_side"), F.struct(*seg.columns).alias("_row"), F.lit(None).cast(kind).alias("_ce"))
+    b = cuts.where("end_t >= start_t").select(*keys, F.col("start_t").cast(kind).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col("end_t").cast(kind).alias("_ce"))
+    so_far = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = a.unionByName(b).withColumns({"_until": F.max("_ce").over(so_far), "_next": F.last(F.when(F.col("_side") == 0, F.col("_t")), ignorenulls=True).over(ahead)})
+    return rows.where("_side = 1").select(*[F.col(f"_row.{c}").alias(c) for c in seg.columns], F.when(F.col("_until") > F.col("_t"), F.col("_t")).otherwise(F.col("_next")).alias("cut_t"))
+
+
 def recovery_end(segments: DataFrame, effects: DataFrame, keys: Sequence[str], cuts: DataFrame | None = None, window: float = 2.0, family: Sequence[str] = ("drift_small_boost", "air_boost", "landing_boost", "other_small_boost")) -> DataFrame:
     """Segments (``segment, start_t, end_t``) with where their recovery ends and why.
 
@@ -290,13 +306,12 @@ def recovery_end(segments: DataFrame, effects: DataFrame, keys: Sequence[str], c
     if cuts is None:
         seg = seg.withColumn("cut_t", F.lit(None).cast(dict(seg.dtypes)["end_t"]))
     else:
-        c = cuts.select(*keys, F.col("start_t").alias("_cs"), F.col("end_t").alias("_ce"))
-        hit = seg.join(c, list(keys)).where(F.col("_ce") > F.col("end_t")).groupBy(*keys, "segment").agg(F.min(F.greatest("_cs", "end_t")).alias("cut_t"))
-        seg = seg.join(hit, [*keys, "segment"], "left")
+        seg = _first_cut(seg, cuts, keys)
     limit = F.least(F.col("end_t") + window, "next_start", "cut_t")
     e = effects.where(F.col("semantic").isin(*family) & (F.col("end_t") > F.col("start_t")))
     e = e.select(*keys, F.col("start_t").alias("_es"), F.col("end_t").alias("_ee"))
-    owned = seg.withColumn("_limit", limit).join(e, list(keys)).where("_es >= end_t and _es <= _limit")
+    # effects meet only segments whose window shares a time bucket with them
+    owned = range_join(e, seg.withColumn("_limit", limit), keys, "_es", "end_t", "_limit", width=window)
     best = owned.groupBy(*keys, "segment").agg(F.max(F.struct("_ee", "_es")).alias("_best"), F.count("*").alias("candidates"))
     j = seg.join(best, [*keys, "segment"], "left")
     end = F.least("_best._ee", "next_start", "cut_t")

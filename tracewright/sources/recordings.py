@@ -48,9 +48,17 @@ ALIAS_PHASE = 137
 
 
 def landing(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
-    """Recordings of a folder, one row for each distinct content."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most_bytes)
-    return files.select(F.sha2("content", 256).alias("replay_sha"), "path", "modificationTime", "length", "content").dropDuplicates(["replay_sha"])
+    """Recordings of a folder, one row for each distinct content, with ``status``.
+
+    Files above ``most_bytes`` are never read: they have a row of their own with ``too_large``, no hash
+    and no content. ``ready`` ones are for decoding.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    columns = ["replay_sha", "path", "modificationTime", "length", "content", "status"]
+    ready = files.where(F.col("length") <= most_bytes).withColumns({"replay_sha": F.sha2("content", 256), "status": F.lit("ready")})
+    large = files.where(F.col("length") > most_bytes).select("path", "modificationTime", "length")
+    large = large.withColumns({"replay_sha": F.lit(None).cast("string"), "content": F.lit(None).cast("binary"), "status": F.lit("too_large")})
+    return ready.dropDuplicates(["replay_sha"]).select(columns).union(large.select(columns))
 
 
 def _u32(data: np.ndarray) -> np.ndarray:

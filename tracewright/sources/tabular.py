@@ -48,8 +48,12 @@ def write_documents(df: DataFrame, path: str) -> None:
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents, only the fields of ``schema``; broken lines are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON documents, only the fields of ``schema``, with ``status``; a broken line is a row too.
+
+    A ``malformed`` row has its fields as far as they could be read and its text in ``broken``.
+    """
+    read = spark.read.schema(f"{schema}, broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
+    return read.withColumn("status", F.when(F.col("broken").isNull(), "ok").otherwise("malformed"))
 
 
 def race_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
