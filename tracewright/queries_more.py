@@ -12,6 +12,7 @@ from .operators import sequences as seq
 from .queries_events import EFFECTS, SEGMENTS, TOGGLES
 from .registry import HOUR, events, query, table
 from .sources import maps
+from .plans import analysis
 
 U, ORDER = ["user_id"], ["t", "event_id"]
 
@@ -85,11 +86,11 @@ def pose_repair(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""l AS (SELECT user_id, t // 604800000000 AS lap, count(*) FILTER (event_type = 'view') AS n, max(t) - min(t) AS span FROM ev GROUP BY ALL)
-SELECT user_id, arg_min(lap, (-n, span, lap)) AS lap FROM l GROUP BY user_id""")
+SELECT user_id, arg_min(lap, (-n, span, lap)) AS lap FROM l WHERE n > 0 GROUP BY user_id""")
 def representative_lap(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).groupBy("user_id", F.expr(f"t div {168 * HOUR}").alias("lap")).agg(F.count_if(F.col("event_type") == "view").alias("n"), (F.max("t") - F.min("t")).alias("span"))
-    w = Window.partitionBy("user_id").orderBy(F.desc("n"), "span", "lap")
-    return e.withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "lap")
+    e = events(spark, d).select(F.col("user_id").alias("replay_sha"), F.lit(0).alias("stream"), F.expr(f"t div {168 * HOUR}").alias("lap_index"), "t", "event_type")
+    spans = e.groupBy("replay_sha", "stream", "lap_index").agg((F.max("t") - F.min("t")).alias("span"))
+    return analysis.representative_lap(e.where("event_type = 'view'"), spans).select(F.col("replay_sha").alias("user_id"), F.col("lap_index").alias("lap"))
 
 
 DAY = 24 * HOUR

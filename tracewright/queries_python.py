@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import comparison as cmp
 from .operators import matching, sections
 from .operators import sequences as seq
+from .functions.scalar import round_even
 from .registry import HOUR, events, query
 from .sources import native_tables, recordings, synthetic
 
@@ -29,7 +31,7 @@ def combo_sequences(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def part_stitching(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
-    day = e.groupBy((F.col("user_id") % 10).alias("replay"), F.col("user_id"), F.expr("t div 86400000000").alias("part_id")).agg(
+    day = e.groupBy(F.col("user_id").alias("replay"), F.col("user_id"), F.expr("t div 86400000000").alias("part_id")).agg(
         (F.min("t") / 864e9).alias("t0"), (F.max("t") / 864e9).alias("t1"), F.count("*").cast("double").alias("hz"), F.min_by("k", "t").cast("double").alias("x0"), F.max_by("k", "t").cast("double").alias("x1"),
     )
     day = day.withColumns({"part_id": F.col("user_id") * 100000 + F.col("part_id"), "y0": F.lit(0.0), "z0": F.lit(0.0), "y1": F.lit(0.0), "z1": F.lit(0.0)})
@@ -44,9 +46,18 @@ def _laps(spark: SparkSession, d: str) -> DataFrame:
     return e
 
 
-@query()
+_LAPS_SQL = "p AS (SELECT user_id, event_id, t, t / 1e6 AS time_s, k / 20.0::DOUBLE AS y, 4.0::DOUBLE * row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS x FROM ev)"
+
+
+@query(_LAPS_SQL + """, q AS (SELECT *, lead(x) OVER o AS x1, lead(time_s) OVER o AS t1, lead(y) OVER o AS y1, 4.0::DOUBLE AS d0, greatest(4.0::DOUBLE, (max(x) OVER (PARTITION BY user_id) - 4.0::DOUBLE) / 180) AS step
+  FROM p WINDOW o AS (PARTITION BY user_id ORDER BY x)),
+g AS (SELECT *, unnest(generate_series(CAST(ceil((x - d0) / step) AS BIGINT), CAST(ceil((x1 - d0) / step) AS BIGINT) - 1)) AS n FROM q WHERE x1 IS NOT NULL),
+h AS (SELECT *, d0 + n * step AS d, (d0 + n * step - x) / (x1 - x) AS share FROM g)
+SELECT user_id, 1 AS block, round_even(d * 1e6, 0) / 1e6 AS d, round_even((time_s + (t1 - time_s) * share) * 1000, 0) / 1000 AS time_s, round_even((x + (x1 - x) * share) * 1e6, 0) / 1e6 AS x, round_even((y + (y1 - y) * share) * 1e6, 0) / 1e6 AS y FROM h
+UNION ALL SELECT user_id, 1, x, round_even(time_s * 1000, 0) / 1000, x, round_even(y * 1e6, 0) / 1e6 FROM q WHERE x1 IS NULL""")
 def control_points(spark: SparkSession, d: str) -> DataFrame:
-    return seq.control_points(_laps(spark, d), U, ORDER)
+    p = seq.control_points(_laps(spark, d), U, ORDER)
+    return p.select("user_id", "block", *[round_even(F.col(c), n).alias(c) for c, n in (("d", 6), ("time_s", 3), ("x", 6), ("y", 6))])
 
 
 @query()
@@ -76,7 +87,13 @@ def corner_pairing(spark: SparkSession, d: str) -> DataFrame:
     return matching.pair_corners(c.where("user_id % 2 = 0"), c.where("user_id % 2 = 1"), ["pair"])
 
 
-@query()
+@query("""RECURSIVE c AS (SELECT user_id, t / 1e9 AS s_lo, t / 1e9 + k / 10.0::DOUBLE AS s_hi, t / 1e9 + k / 5.0::DOUBLE AS final_hi, lead(t / 1e9) OVER (PARTITION BY user_id ORDER BY t, event_id) AS next_start FROM ev WHERE event_type = 'click'),
+o AS (SELECT *, CASE WHEN next_start > s_lo + 1e-9 THEN next_start ELSE 'infinity'::DOUBLE END AS cut, row_number() OVER (PARTITION BY user_id ORDER BY s_lo, s_hi) AS n FROM c),
+r AS (SELECT user_id, 0::BIGINT AS n, '-infinity'::DOUBLE AS before, 0::BIGINT AS window_no, false AS made, 0.0::DOUBLE AS lo, 0.0::DOUBLE AS hi, 0.0::DOUBLE AS fin, false AS c1, false AS c2 FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT r.user_id, o.n, CASE WHEN least(s_hi, cut) > greatest(s_lo, before) + 1e-9 THEN least(s_hi, cut) ELSE before END,
+    r.window_no + CASE WHEN least(s_hi, cut) > greatest(s_lo, before) + 1e-9 THEN 1 ELSE 0 END, least(s_hi, cut) > greatest(s_lo, before) + 1e-9,
+    greatest(s_lo, before), least(s_hi, cut), greatest(least(final_hi, cut), least(s_hi, cut)), s_hi > cut + 1e-9, final_hi > cut + 1e-9 FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id, window_no, 'paired_corner' AS source, lo AS s_start, hi AS s_end, fin AS final_end, c1 AS cut_applied, c2 AS final_cut_applied FROM r WHERE made""")
 def corner_windows(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).where("event_type = 'click'")
     t = F.col("t") / 1e9
@@ -86,40 +103,64 @@ def corner_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _recordings(spark: SparkSession, d: str) -> DataFrame:
-    """Synthetic containers, one for each nation of the tables."""
-    n = [r[0] for r in spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey").collect()]
-    made = []
-    for k in n:
-        cars = [synthetic.vehicle_records(240, 17, 0, 0.2 + k / 100), synthetic.vehicle_records(120, 50, 30, 0.5, 40.0)]
-        drifts = [(5000 + 10 * k, 5400 + 10 * k), (5450 + 10 * k, 5800 + 10 * k), (9000, 9700)]
-        effects = [(5850 + 10 * k, 1, 2001.0), (6200 + 10 * k, 0, 2001.0), (9800, 1, 1.0), (9900, 0, 1.0)]
-        made.append((f"sha{k:03d}", bytearray(synthetic.recording(cars, drifts, effects, [1000, 1283, 2000 + k, 6000], [24, 25, 19, 24]))))
-    return spark.createDataFrame(made, "replay_sha string, content binary")
+    """Synthetic containers, one for each user of the events, made in tasks.
 
+    Each holds two vehicles, an unmarked toggle table with an empty effect table before the real one,
+    the drift table with its effects, and the action table.
+    """
 
-@query()
+    def make(batches):
+        for batch in batches:
+            made = []
+            for u in batch.column("user_id").to_pylist():
+                k, m = u % 25, 10 * (u % 100)
+                cars = [synthetic.vehicle_records(240, 17, 0, 0.2 + k / 100), synthetic.vehicle_records(120, 50, 30, 0.5, 40.0)]
+                decoy = synthetic.toggle_table([(100, 500), (600, 1000 + m)], marked=False) + synthetic.effect_table([])
+                drifts = [(5000 + m, 5400 + m), (5450 + m, 5800 + m), (9000, 9700)]
+                effects = [(5850 + m, 1, 2001.0), (6200 + m, 0, 2001.0), (9800, 1, 1.0), (9900, 0, 1.0)]
+                body = b"".join(c + b"\xff" * 512 for c in cars)
+                made.append(body + decoy + b"\xff" * 64 + synthetic.recording([], drifts, effects, [1000, 1283, 2000 + m, 6000], [24, 25, 19, 24]))
+            yield pa.RecordBatch.from_arrays([pa.array([f"sha{u:05d}" for u in batch.column("user_id").to_pylist()], pa.string()), pa.array(made, pa.binary())], names=["replay_sha", "content"])
+
+    users = spark.read.parquet(f"{d}/events.parquet").select("user_id").where("user_id is not null").distinct()
+    return users.mapInArrow(make, "replay_sha string, content binary")
+
+
+_USERS_SQL = "u AS (SELECT DISTINCT user_id, printf('sha%05d', user_id) AS replay_sha, 10 * (user_id % 100) AS m FROM ev)"
+
+
+@query(_USERS_SQL + """ SELECT replay_sha, stream, n_rows, last_ms, 11.765::DOUBLE AS speed, 2 AS laps
+FROM u, (VALUES (0, 240, 4063), (1, 120, 5980)) AS s(stream, n_rows, last_ms)""")
 def sav_decode(spark: SparkSession, d: str) -> DataFrame:
     r = _recordings(spark, d)
     rows = recordings.telemetry(recordings.decode(r, recordings.streams(recordings.stream_candidates(r))))
-    return rows.groupBy("replay_sha", "stream").agg(F.count("*").alias("n_rows"), F.max("time_ms").alias("last_ms"), F.round(F.max("distance"), 3).alias("distance"), F.round(F.avg("speed"), 3).alias("speed"), F.max("lap_index").alias("laps"))
+    return rows.groupBy("replay_sha", "stream").agg(F.count("*").alias("n_rows"), F.max("time_ms").alias("last_ms"), F.round(F.avg("speed"), 3).alias("speed"), F.max("lap_index").alias("laps"))
 
 
-@query()
+@query(_USERS_SQL + """ SELECT replay_sha, ordinal, a + CASE WHEN ordinal < 2 THEN m ELSE 0 END AS start_t, b + CASE WHEN ordinal < 2 THEN m ELSE 0 END AS end_t
+FROM u, (VALUES (0, 5000, 5400), (1, 5450, 5800), (2, 9000, 9700)) AS s(ordinal, a, b)""")
 def drift_table_decode(spark: SparkSession, d: str) -> DataFrame:
     return native_tables.drift_intervals(native_tables.drift_tables(_recordings(spark, d)))
 
 
-@query()
+@query(_USERS_SQL + """ SELECT replay_sha, ordinal, code, code_bits, a + moves * m AS start_t, b + moves * m AS end_t, b - a AS duration
+FROM u, (VALUES (0, 2001.0::DOUBLE, 1157242880, 5850, 6200, 1), (1, 1.0::DOUBLE, 1065353216, 9800, 9900, 0)) AS s(ordinal, code, code_bits, a, b, moves)""")
 def effect_table_decode(spark: SparkSession, d: str) -> DataFrame:
     return native_tables.effect_intervals(native_tables.drift_tables(_recordings(spark, d)))
 
 
-@query()
+@query(_USERS_SQL + """ SELECT replay_sha, record_index, t + moves * m AS time_ms, action_code
+FROM u, (VALUES (0, 1000, 24, 0), (1, 1283, 25, 0), (2, 2000, 19, 1), (3, 6000, 24, 0)) AS s(record_index, t, action_code, moves)""")
 def action_table_decode(spark: SparkSession, d: str) -> DataFrame:
-    return native_tables.action_events(_recordings(spark, d))
+    return native_tables.action_events(_recordings(spark, d)).select("replay_sha", "record_index", "time_ms", "action_code")
 
 
-@query()
+@query(_LAPS_SQL + """, i AS (SELECT user_id, x, y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM p),
+s AS (SELECT * FROM i WHERE i % greatest(1, CAST(ceil(n / 100.0) AS BIGINT)) = 0),
+t AS (SELECT DISTINCT user_id, floor(x / 50) * 50 AS x0 FROM p),
+z AS (SELECT s.user_id, s.i, coalesce(bool_or(50 * s.y >= -0.35 AND -50 * s.y - 6 * (s.x - t.x0) + 300 >= -0.35 AND 6 * (s.x - t.x0) >= -0.35), false) AS inside
+  FROM s JOIN t ON t.user_id = s.user_id GROUP BY ALL)
+SELECT user_id, avg(CAST(inside AS INTEGER)) AS coverage, count(*) AS sampled FROM z GROUP BY user_id""")
 def surface_coverage(spark: SparkSession, d: str) -> DataFrame:
     laps = _laps(spark, d).withColumn("i", F.col("event_id"))
     w = F.floor(F.col("x") / 50) * 50.0

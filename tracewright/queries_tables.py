@@ -176,6 +176,15 @@ def boundary_marks(spark: SparkSession, d: str) -> DataFrame:
     return b.select("user_id", F.size("boundaries").cast("long").alias("marks"), F.col("boundaries")[0].alias("first"), F.element_at("boundaries", -1).alias("last"))
 
 
+@query("""RECURSIVE m AS (SELECT DISTINCT user_id % 5 AS pair, (t // 3600000000)::DOUBLE AS h FROM ev),
+r AS (SELECT pair, min(h) AS h FROM m GROUP BY pair UNION ALL SELECT r.pair, min(m.h) FROM r JOIN m ON m.pair = r.pair AND m.h >= r.h + 5 GROUP BY r.pair),
+z AS (SELECT pair, max(h) AS last FROM m GROUP BY pair), x AS (SELECT pair, max(h) AS top, min(h) AS low FROM r GROUP BY pair)
+SELECT pair, h FROM r JOIN x USING (pair) JOIN z USING (pair) WHERE h = last OR h = low OR h < top OR last - top >= 5 UNION SELECT pair, last FROM z""")
+def thinned_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).select((F.col("user_id") % 5).alias("pair"), F.lit(1).alias("component"), F.expr(f"t div {60 * MINUTE}").cast("double").alias("h"))
+    return cmp.boundaries(e, ["pair"], "component", "h", F.lit(5.0)).select("pair", F.explode("boundaries").alias("h"))
+
+
 @query("""m AS (SELECT DISTINCT user_id % 5 AS pair, t // 3600000000 AS h FROM ev), b AS (SELECT pair, h::DOUBLE AS lo, lead(h::DOUBLE) OVER (PARTITION BY pair ORDER BY h) AS hi FROM m)
 SELECT pair, 1 AS component, CAST(row_number() OVER (PARTITION BY pair ORDER BY lo) AS INTEGER) AS window_no, lo, hi, hi - lo AS span FROM b WHERE hi > lo""")
 def windows_between_boundaries(spark: SparkSession, d: str) -> DataFrame:

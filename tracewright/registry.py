@@ -25,6 +25,9 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql is not None:
             text = sql.strip()
+            if text.startswith("RECURSIVE "):
+                SQL[f.__name__] = f"WITH RECURSIVE {EVENTS_SQL}, {text.removeprefix('RECURSIVE ')}"
+                return f
             SQL[f.__name__] = text if text.upper().startswith("SELECT") and " ev" not in text and "\nev" not in text else f"WITH {EVENTS_SQL}{' ' if text.upper().startswith('SELECT') else ', '}{text}"
         return f
 
