@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -51,8 +52,53 @@ def test_whole_query_keeps_the_rules(spark, sf):
         rule, verdict = rule_of(host, path, URL_RULES)
         g = got[p.page_id]
         assert (g.host, g.path, g.rule) == (host, path, rule) and g.verdict == (verdict or g.verdict)
-        if rule is None:
-            assert g.verdict == ("block" if re.search("spam|casino|pills|bets|ads-track|adult", host) else "allow"), host
+    plain = plain_verdicts(pages)
+    assert {i: g.verdict for i, g in got.items() if g.rule is None} == {i: v for i, v in plain.items() if got[i].rule is None}
+
+
+def plain_verdicts(pages):
+    """The model in plain Python: word counts, splits, naive Bayes over distinct hosts and paths."""
+    words = Counter(w for p in pages for w in re.findall(r"[^\W\d_]+", re.sub("<[^>]*>", " ", p.html).lower()) if len(w) <= urlfilter.MAX_WORD)
+    for w in urlfilter.BLOCKED_WORDS:
+        words[w] += urlfilter.SEED_COUNT
+    total, seeds = sum(words.values()), set(urlfilter.BLOCKED_WORDS)
+    urls = Counter(parts(p.url) for p in pages)
+    host_of = lambda h: [w for label in re.findall(r"[^\W\d_]+", h) for w in urlfilter.viterbi(label, words, total)]
+    path_of = lambda q: ["0" if t.isdigit() else t for t in re.findall(r"[^\W_]+", q.lower())]
+    hosts, paths = {h: host_of(h) for h, _ in urls}, {q: path_of(q) for _, q in urls}
+    bad = {u: bool(seeds & {*hosts[u[0]], *paths[u[1]]}) for u in urls}
+    sides = []
+    for k, tokens in ((0, hosts), (1, paths)):
+        n = {True: Counter(), False: Counter()}
+        for u, c in urls.items():
+            for t in tokens[u[k]]:
+                n[bad[u]][t] += c
+        known = {*n[True], *n[False]}
+        size = {b: sum(n[b].values()) + urlfilter.ALPHA * (len(known) + 1) for b in n}
+        sides.append({t: math.log((n[True][t] + urlfilter.ALPHA) / size[True]) - math.log((n[False][t] + urlfilter.ALPHA) / size[False]) for t in known})
+    b = sum(c for u, c in urls.items() if bad[u])
+    prior = math.log((b + 1) / (sum(urls.values()) - b + 1))
+    score = {u: prior + sum(sides[0][t] for t in hosts[u[0]]) + sum(sides[1][t] for t in paths[u[1]]) for u in urls}
+    return {p.page_id: "block" if score[parts(p.url)] > 0 else "allow" for p in pages}
+
+
+def test_planted_hosts_and_no_others_are_blocked(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    judged = urlfilter.filter_urls(pages, []).select("host", "verdict").distinct().collect()
+    for r in judged:
+        assert r.verdict == ("block" if re.search("spam|casino|pills|bets|ads-track|adult", r.host) else "allow"), r.host
+
+
+def test_words_beside_the_seeds_are_learned(spark):
+    """Held-out hosts without a seed: blocked for the company their words keep, and only then."""
+    html = "<p>honest news about gardens farm win today and the market place for tools</p>"
+    train = [f"http://{a}{b}.net/{i}" for i, (a, b) in enumerate([("spam", "farm"), ("casino", "win"), ("poker", "win"), ("spam", "farm"), ("bets", "win")] * 6)]
+    train += [f"http://{a}{b}.net/{i}" for i, (a, b) in enumerate([("garden", "news"), ("market", "place"), ("garden", "tools"), ("honest", "news")] * 30)]
+    held = {"http://farmwin.net/": "block", "http://winfarm.net/x": "block", "http://gardenplace.net/": "allow", "http://newstools.net/": "allow", "http://honestgarden.net/": "allow"}
+    urls = [*train, *held]
+    pages = spark.createDataFrame([(i, u, html * 5 + "<p>garden spam casino poker bets</p>" * 5) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.url: r.verdict for r in urlfilter.filter_urls(pages, []).collect()}
+    assert {u: got[u] for u in held} == held
 
 
 def test_viterbi_is_the_best_of_all_splits():

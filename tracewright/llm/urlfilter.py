@@ -3,7 +3,8 @@
 Host names run words together. A unigram Viterbi search splits each stretch of letters into the
 likeliest words; the word counts come from the pages themselves and meet the hosts in a join, so
 the vocabulary is never sent to every task. A multinomial naive Bayes model then scores the
-words of host and path. Its examples are all URLs, labelled by a short list of blocked words.
+words of host and path. Its examples are all URLs: those with one of a few seed words are to be
+blocked, the others unlabelled and taken as allowed, as in learning from positive examples.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Words of hosts or paths that mark an example as one to block.
+#: Words of hosts or paths that mark an example as one to block. They are few and only
+#: seeds: the model weighs every word by the company it keeps, so that hosts without any of them are
+#: blocked for words that stand mostly beside them (farm beside spam), and kept for those that don't.
 BLOCKED_WORDS = (
-    "ads", "adult", "bet", "bets", "betting", "bonus", "casino", "cheap", "crack", "escort", "farm", "free", "gambling", "jackpot",
-    "keygen", "loan", "lottery", "payday", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "xxx",
+    "ads", "adult", "bet", "bets", "betting", "casino", "escort", "gambling", "jackpot", "keygen", "lottery", "payday", "pills", "poker", "porn", "spam", "viagra", "warez",
 )
 #: Count given to each of these words, so that a split can find them.
 SEED_COUNT = 100
 #: Added to every count of a word in a class.
 ALPHA = 0.1
 MAX_WORD = 20
+#: Parts into which the paths of one host are dealt where they meet what is known of it.
+SALTS = 8
 #: Longest stretch that is split as one, the length limit of a host's label; longer ones are cut.
 MAX_LABEL = 63
 
@@ -43,6 +47,14 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _with_host(urls: DataFrame, hosts: DataFrame, how: str = "inner") -> DataFrame:
+    """``urls`` (``host``, ``path``) joined with a row for each host, which is repeated for each salt: a host with
+    a third of all URLs spreads over several tasks."""
+    left = urls.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    right = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, ["host", "_salt"], how).drop("_salt")
+
+
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls`` (``host``, ``path``) with ``rule`` and ``rule_verdict``, null where none fits.
 
@@ -62,7 +74,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     fits = fits.groupBy("host").agg(
         F.array_sort(F.collect_list(F.struct((-F.length("rule")).alias("a"), (-F.length("suffix")).alias("b"), "rule", "rule_verdict", "prefix"))).alias("fits")
     )
-    joined = urls.join(fits, "host", "left")
+    joined = _with_host(urls, fits, "left")
     first = F.element_at(F.filter("fits", lambda r: F.col("path").startswith(r["prefix"])), 1)
     first = F.when(F.size(F.filter("fits", lambda r: F.col("path").startswith(r["prefix"]))) > 0, first)
     return joined.withColumn("_rule", first).select(*urls.columns, F.col("_rule.rule").alias("rule"), F.col("_rule.rule_verdict").alias("rule_verdict"))
@@ -153,7 +165,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "
     Null URLs and texts without ``://`` have empty host and path. ``verdict`` is the rule's, or
     ``block`` if the score (log odds) is above 0, else ``allow``; an URL without tokens has the
     score of the prior alone. Host and path are split, counted and scored once each however many
-    rows share them.
+    rows share them. Input columns called like one of the five, in any case, are replaced by it.
     """
     spark = pages.sparkSession
     own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "score")]
@@ -167,7 +179,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "
     split = split.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "words"))), lambda x: x["words"])).alias("host_tokens"))
     hosts = hosts.select("host").join(split, "host", "left").withColumn("host_tokens", F.coalesce("host_tokens", F.array().cast("array<string>")))
     seeds = F.array(*[F.lit(w) for w in BLOCKED_WORDS])
-    urls = urls.join(hosts, "host").withColumn("path_tokens", _path_tokens(F.col("path")))
+    urls = _with_host(urls, hosts).withColumn("path_tokens", _path_tokens(F.col("path")))
     bad = F.arrays_overlap("host_tokens", seeds) | F.arrays_overlap("path_tokens", seeds)
     urls = urls.withColumns({"blocked": F.when(bad, F.col("n")).otherwise(0), "allowed": F.when(bad, 0).otherwise(F.col("n"))})
     urls = materialize(urls, "urls")
@@ -175,11 +187,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "
     by_path = urls.groupBy("path").agg(F.first("path_tokens").alias("tokens"), F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
     sums = urls.agg(F.sum("blocked"), F.sum("allowed")).first()
     prior = math.log(((sums[0] or 0) + 1) / ((sums[1] or 0) + 1))
-    scored = (
-        match_rules(urls.select("host", "path"), table)
-        .join(_scores(by_host, "host").withColumnRenamed("score", "host_score"), "host", "left")
-        .join(_scores(by_path, "path").withColumnRenamed("score", "path_score"), "path", "left")
-    )
+    scored = _with_host(match_rules(urls.select("host", "path"), table), _scores(by_host, "host").withColumnRenamed("score", "host_score"), "left")
+    scored = scored.join(_scores(by_path, "path").withColumnRenamed("score", "path_score"), "path", "left")
     total = F.lit(prior) + F.coalesce("host_score", F.lit(0)).cast("double") + F.coalesce("path_score", F.lit(0)).cast("double")
     scored = scored.withColumn("score", total)
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
