@@ -27,7 +27,7 @@ def brute(files, templates=licenses.TEMPLATES, threshold=licenses.THRESHOLD):
     for path, text in files:
         if text is None or path is None:
             continue
-        units = re.split("\r?\n", text) + [p for p in re.split(r"\r?\n\s*\n", text) if "\n" in p]
+        units = re.split("\r?\n", text) + [p for p in re.split(r"\r?\n[^\w\n]*\n", text) if "\n" in p]
         if re.search(licenses.LICENSE_FILE, path.rsplit("/", 1)[-1]):
             units.append(text)
         for u in units:
@@ -107,3 +107,36 @@ def test_query_equals_sql(spark):
 
     for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
         assert_same(queries.op2_licenses(spark, sf).toPandas(), database(sf).execute(licenses.SQL).df())
+
+
+GPL = """/*
+ * A tool.
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ */
+int main() { return 0; }
+"""
+
+
+def test_standard_headers_and_files(spark):
+    mit = next(t for lic, t in licenses.TEMPLATES if lic == "MIT" and "sublicense" in t)
+    files = {
+        "a/tool.c": GPL, "b/COPYING": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989\n Everyone is permitted to copy",
+        "b/src/x.py": "print(1)", "c/LICENSE": f"The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n{mit}\n", "c/y.py": "", "d/LICENSE": "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS",
+        "e/z.rs": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\n\nfn main() {}",
+        "f/LICENSE": "                   GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n", "g/none.txt": "free software that anyone may publish and the license of a library",
+    }
+    got = {r.path: r.license for r in licenses.scan_licenses(spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    want = {"a/tool.c": "GPL-3.0", "b/COPYING": "GPL-2.0", "b/src/x.py": "GPL-2.0", "c/LICENSE": "MIT", "c/y.py": "MIT", "d/LICENSE": "Apache-2.0", "e/z.rs": "MPL-2.0", "f/LICENSE": "AGPL-3.0", "g/none.txt": None}
+    assert got == want
+
+
+def test_ids_travel_with_their_rows(spark):
+    rows = [(i, "Licensed under CC BY 4.0." if i == 50 else "text", "en", "s") for i in (-50, 50, -3, 3)]
+    got = {r.doc_id: r.own_license for r in licenses.document_licenses(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {-50: None, 50: "CC-BY-4.0", -3: None, 3: None}

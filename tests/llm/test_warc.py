@@ -63,5 +63,25 @@ def test_query_equals_sql(spark):
 def test_odd_and_empty_tables(spark):
     pages = spark.createDataFrame([(2, None, None), (None, "http://a", "x"), (5, "", ""), (8, "http://a", "x" * 2_000_000), (8, "http://a", "y"), (7, "http://a", "y")], "page_id long, url string, html string")
     got = warc.page_revisits(pages.withColumn("headers", F.lit(1)).withColumn("kind", F.lit(2))).collect()
-    assert sorted((r.page_id, r.resolved_id, r.status) for r in got) == [(2, None, "unresolved"), (5, None, "unresolved"), (8, 7, "mismatch"), (8, 7, "resolved")]
+    assert len(got) == 12 and {r.capture for r in got} == {1, 2}
+    by = {(r.page_id, r.capture): (r.resolved_id, r.status) for r in got if r.page_id in (2, 5, 7)}
+    assert by == {(2, 1): (None, "unresolved"), (2, 2): (None, "unresolved"), (5, 1): (5, "unverified"), (5, 2): (5, "unverified"), (7, 1): (7, "resolved"), (7, 2): (7, "unverified")}
     assert warc.page_revisits(pages.where("false")).count() == 0
+
+
+def test_weak_etags_and_header_names(spark):
+    rows = [
+        (1, "http://a/", 1, "response", '"v1"', None, None, {"ETag": '"v1"', "Content-Type": "t", "etag ": '"v1"', "Date": "1"}),
+        (2, "http://a/", 2, "revisit", 'W/"v1"', None, None, {"DATE": "2", "X-Own": "n"}),
+        (3, "http://a/", 3, "revisit", 'W/"v2"', None, None, {"Date": "3"}),
+        (4, "http://a/", 4, "revisit", None, "m", None, {"Last-Modified": "m"}),
+    ]
+    got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[2].status, got[2].headers) == ("resolved", {"etag": '"v1"', "content-type": "t", "date": "2"})
+    assert (got[3].status, got[3].headers) == ("mismatch", {"date": "3"})
+    assert (got[4].status, got[4].headers["last-modified"], got[4].headers["date"]) == ("unverified", "m", "1")
+
+
+def test_query_reaches_every_status(spark):
+    got = {r.status for r in queries.op5_revisits(spark, "/root/testdata/sf0.1").select("status").distinct().collect()}
+    assert got == {"resolved", "mismatch", "unverified", "unresolved"}

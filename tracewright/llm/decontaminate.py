@@ -146,7 +146,7 @@ def _pieces_found(hashes: dict[int, np.ndarray]):
         kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))
         return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
 
-    return found
+    return found.asNondeterministic()  # evaluated once, however often its result is used
 
 
 def _verifier(rate: float):
@@ -161,7 +161,7 @@ def _verifier(rate: float):
             out.append(best and dict(zip(("distance", "first_word", "end_word", "item_words"), (*best, len(own)))))
         return pa.array(out, pa.struct([(c, pa.int32()) for c in ("distance", "first_word", "end_word", "item_words")]))
 
-    return verify
+    return verify.asNondeterministic()
 
 
 def _passes(benchmark: DataFrame, item_id: str, item_text: str, rate: float, limit: int) -> Iterator[tuple[DataFrame, DataFrame, dict[int, np.ndarray]]]:

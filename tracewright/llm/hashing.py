@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 
 #: Words whose hashes a worker keeps before it starts anew; only speed depends on it.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)

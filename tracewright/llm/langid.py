@@ -155,7 +155,8 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", out: str =
         arrays = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())]
         return pa.StructArray.from_arrays(arrays, names=["lang_pred", "score", "ambiguous"])
 
-    return docs.withColumn(out, predict(F.col(text)))
+    # as an undeterministic function it is evaluated once, however often its result is used
+    return docs.withColumn(out, predict.asNondeterministic()(F.col(text)))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,6 +1,7 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, inherited by directory.
 
-A file's units are its lines and its paragraphs, and all of it if its name says licence file. The
+A file's units are its lines and its paragraphs, and all of it if its name says licence file. Lines
+without a letter or digit, such as the ``*`` of a comment block, end a paragraph as blank ones do. The
 unit nearest to a template, in sparse TF-IDF cosine at or above the threshold, gives the file's
 own licence. A file without one inherits from the licence files of its nearest ancestor directory.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 THRESHOLD = 0.8
-#: Short notices of public licences.
+#: Notices, titles and standard headers of public licences.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -32,6 +33,31 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
+    # titles of whole licence files
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("MIT", "The MIT License (MIT)"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    # standard headers and paragraphs
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 )
 LICENSE_FILE = r"(?i)^(un)?(licen[cs]e|copying|copyright|notice)([._-].*)?$"
 _SPLIT = r"[^\p{L}\p{N}]+"
@@ -68,16 +94,16 @@ def _weights(templates: Sequence[tuple[str, str]], n: int, df: dict[str, int]) -
     return idf, out
 
 
-def _anchors(weighted: list[tuple[str, int, dict[str, float]]], threshold: float) -> list[str]:
+def _anchors(weighted: list[tuple[str, int, dict[str, float]]], idf: dict[str, float], threshold: float) -> list[str]:
     """Words of which every unit at or above the threshold has one.
 
-    For each template, heaviest words first until the rest has a norm below the threshold: a unit
-    with none of them has a cosine below that norm.
+    For each template, rarest words first until the rest has a norm below the threshold: a unit with
+    none of them has a cosine below that norm. Rare words keep the filter narrow.
     """
     found = set()
     for _, _, w in weighted:
         rest = 1.0
-        for t, x in sorted(w.items(), key=lambda p: (-p[1], p[0])):
+        for t, x in sorted(w.items(), key=lambda p: (-idf[p[0]], -p[1], p[0])):
             if math.sqrt(max(rest, 0)) < threshold - 1e-9:
                 break
             found.add(t)
@@ -96,10 +122,10 @@ def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     n, df = document_frequencies(files, sorted({t for _, x in templates for t in tokens(x)}), text)
     idf, weighted = _weights(templates, n, df)
     rarest = max(idf.values(), default=1.0)
-    anchors = F.array(*[F.lit(t) for t in _anchors(weighted, threshold)])
+    anchors = F.array(*[F.lit(t) for t in _anchors(weighted, idf, threshold)])
     name = F.substring_index(F.col(path), "/", -1)
     whole = F.when(name.rlike(LICENSE_FILE), F.array(F.col(text))).otherwise(F.array().cast("array<string>"))
-    paragraphs = F.filter(F.split(F.col(text), r"\r?\n\s*\n"), lambda p: p.contains("\n"))
+    paragraphs = F.filter(F.split(F.col(text), r"\r?\n[^\p{L}\p{N}\n]*\n"), lambda p: p.contains("\n"))
     units = F.concat(F.split(F.col(text), r"\r?\n"), paragraphs, whole)
     rows = files.select(F.col(path).alias("path"), F.explode(units).alias("unit"))
     rows = rows.where(F.arrays_overlap(_tokens(F.col("unit")), anchors))
@@ -121,8 +147,8 @@ def _directory(path: Column) -> Column:
     return F.regexp_replace(path, "(?s)/?[^/]*$", "")
 
 
-def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, path: str = "path", text: str = "text") -> DataFrame:
-    """``(path, own_license, own_score, license, inherited_from, levels)`` of each row of ``files``.
+def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, path: str = "path", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """``(path, own_license, own_score, license, inherited_from, levels)`` of each row of ``files``, after its columns ``keep``.
 
     ``license`` is the file's own or that of the nearest ancestor directory (its own included) in
     which a licence file has one; of several, the best score, then the first name. ``levels`` counts
@@ -130,7 +156,7 @@ def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     nothing. Ancestors are joined by directory, once each however many files it holds.
     """
     own = materialize(own_licenses(files, templates, threshold, path, text), "licenses")
-    rows = files.select(F.col(path).alias("path"))
+    rows = files.select(F.col(path).alias("path"), F.struct(*[F.col(c).alias(c) for c in keep] or [F.lit(0)]).alias("_kept"))
     joined = rows.join(own.select(F.col("path").alias("_p"), "license", "score"), F.col("path").eqNullSafe(F.col("_p")), "left").drop("_p")
     held = own.where(F.substring_index("path", "/", -1).rlike(LICENSE_FILE))
     given = held.groupBy(_directory(F.col("path")).alias("from")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
@@ -142,6 +168,7 @@ def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     out = joined.withColumn("dir", _directory(F.col("path"))).join(nearest, "dir", "left")
     inherited = F.col("license").isNull()
     return out.select(
+        *[F.col(f"_kept.{c}").alias(c) for c in keep],
         "path",
         F.col("license").alias("own_license"),
         F.col("score").alias("own_score"),
@@ -165,9 +192,7 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 def document_licenses(docs: DataFrame) -> DataFrame:
     """``(doc_id, path, own_license, own_score, license, inherited_from, levels)`` of each document."""
-    files = document_files(docs)
-    found = scan_licenses(files.select("path", "text"))
-    return found.withColumn("doc_id", F.regexp_extract("path", "([0-9]+)(\\.txt)?$", 1).cast("long"))
+    return scan_licenses(document_files(docs), keep=["doc_id"])
 
 
 def _sql() -> str:
@@ -187,7 +212,7 @@ idf AS (SELECT token, ln(((SELECT count(*) FROM files) + 1) / (coalesce(n, 0) +
 tw AS (SELECT license, k, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS w FROM tt JOIN idf USING (token)),
 units AS (
   SELECT path, row_number() OVER () AS u, unit FROM (SELECT path, unnest(list_concat(regexp_split_to_array(text, '\\r?\\n'),
-    list_filter(regexp_split_to_array(text, '\\r?\\n\\s*\\n'), lambda p: contains(p, chr(10))), CASE WHEN {named} THEN [text] ELSE [] END)) AS unit FROM files)),
+    list_filter(regexp_split_to_array(text, '\\r?\\n[^\\p{{L}}\\p{{N}}\\n]*\\n'), lambda p: contains(p, chr(10))), CASE WHEN {named} THEN [text] ELSE [] END)) AS unit FROM files)),
 ut AS (SELECT u, token, count(*) AS tf FROM (SELECT u, unnest({words.format('unit')}) AS token FROM units) GROUP BY ALL),
 ux AS (SELECT u, token, idf, tf * coalesce(idf, (SELECT max(idf) FROM idf)) AS x FROM ut LEFT JOIN idf USING (token)),
 norms AS (SELECT u, sqrt(sum(x * x)) AS norm FROM ux GROUP BY u),
