@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.plans import analysis, compare
 from tracewright.plans.catalog import Catalog
-from tracewright.sources import synthetic
+from tracewright.sources import native_tables, synthetic
 from tracewright.streaming import landing
 
 
@@ -35,6 +35,26 @@ def test_analysis_of_a_recording(spark):
     assert len(doc.segments) == 2 and doc.schema_version == 1
 
 
+def test_key_presses_decide_between_tables(spark):
+    right, wrong = [(2000, 2400), (2450, 2800), (4000, 4600)], [(150, 400), (500, 900), (1100, 1700)]
+    tables = b"".join(synthetic.toggle_table(t) + synthetic.effect_table([]) + b"\xff" * 40 for t in (wrong, right))
+    df = spark.createDataFrame([("r", bytearray(b"\xff" * 200 + tables + b"\xff" * 400))], "replay_sha string, content binary")
+    found = native_tables.drift_tables(df)
+    starts = lambda rises: [r.start_t for r in native_tables.drift_intervals(found, rises).orderBy("ordinal").collect()]
+    rises = lambda *t: spark.createDataFrame([("r", x) for x in t], "replay_sha string, t long")
+    assert starts(None) == starts(rises(99999)) == [150, 500, 1100]
+    assert starts(rises(2034, 3990)) == [2000, 2450, 4000]
+    assert starts(rises(150, 535)) == [150, 500, 1100]
+
+
+def test_parts_of_a_vehicle_are_one_stream(spark):
+    cars = [synthetic.vehicle_records(300), synthetic.vehicle_records(300, 17, 17 * 300, 0.2, 60.0)]
+    data = synthetic.recording(cars, [(2000, 2400), (2450, 2800)], [], [1000], [8])
+    s = analysis.silver(spark.createDataFrame([("r0", bytearray(data))], "replay_sha string, content binary"))
+    got = s.rows.groupBy("stream", "role").agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts"), F.countDistinct("i").alias("order"), F.max("distance").alias("d")).collect()
+    assert [(r.stream, r.role, r.n, r.parts, r.order) for r in got] == [(0, "local_high_frequency", 600, 2, 600)] and got[0].d > 110
+
+
 def lap_rows(spark, pace):
     rows = []
     for lap, p in pace.items():

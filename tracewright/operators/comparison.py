@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import delta_direction
+from ..functions.scalar import delta_direction, round_even
 from .sequences import _median_over
 from .temporal import range_join
 
@@ -174,3 +174,19 @@ def corner_measures(windows: DataFrame, rows: DataFrame, keys: Sequence[str], wi
         (F.max("distance") - F.min("distance")).alias("total_distance"),
     )
     return windows.join(got, [*keys, window], "left")
+
+
+def strategy_deltas(windows: DataFrame, equal: float = 0.0005) -> DataFrame:
+    """Core, final and recovery-strategy differences of windows (``subject_core, baseline_core, subject_final, baseline_final``).
+
+    A difference is subject minus baseline; ``subject_gain`` is what the subject gains from the core's
+    end to the final end. Each is NULL, its direction ``unavailable``, where a side is.
+    """
+    core, final = F.col("subject_core") - F.col("baseline_core"), round_even(F.col("subject_final") - F.col("baseline_final"), 4)
+
+    def told(d: str, more: str, less: str) -> Column:
+        return F.when(F.col(d).isNull(), "unavailable").when(F.abs(d) <= equal, "equal").when(F.col(d) > 0, more).otherwise(less)
+
+    w = windows.withColumns({"core_delta": core, "final_delta": final, "subject_tail": round_even(F.col("subject_final") - F.col("subject_core"), 4), "baseline_tail": round_even(F.col("baseline_final") - F.col("baseline_core"), 4)})
+    w = w.withColumn("subject_gain", round_even(F.col("core_delta") - F.col("final_delta"), 4))
+    return w.withColumns({"core_direction": told("core_delta", "slower", "faster"), "final_direction": told("final_delta", "slower", "faster"), "gain_direction": told("subject_gain", "subject_gain", "subject_loss")})

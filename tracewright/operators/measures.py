@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import angle_delta_deg, round_even
 from .temporal import nearest, range_join
 
 
@@ -92,3 +93,57 @@ def summary(df: DataFrame, ident: str, status: str) -> DataFrame:
     """Rows, distinct ids and share of all rows by status; a null status is ``unknown``."""
     counted = df.groupBy(F.coalesce(status, F.lit("unknown")).alias("status")).agg(F.count("*").alias("n_rows"), F.countDistinct(ident).alias("n_ids"))
     return counted.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))  # a row for each status
+
+
+def section_native(sections: DataFrame, episodes: DataFrame, keys: Sequence[str], section: str, width: float, sums: Sequence[str] = (), latency: str = "latency_ms") -> DataFrame:
+    """Sections (``start_t, end_t``) with the logical drifts that overlap them and the boost latency of those.
+
+    ``drifts`` and ``drift_time`` count and add up episodes (``start_t, end_t``) that overlap by more than a
+    point, cut to the section; ``sums`` are columns of the episodes to add up; of ``latency`` the median, the
+    90th percentile, both rounded, the least and the largest of those episodes that have one. Sections
+    without an episode have 0 drifts and NULL latencies. Pairs meet in the time bucket in which they
+    begin to overlap.
+    """
+    e = episodes.select(*keys, F.col("start_t").alias("_es"), F.col("end_t").alias("_ee"), F.col(latency).alias("_latency"), *sums)
+    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.lit(width)), F.floor(F.col(b) / F.lit(width))))
+    left = sections.select(*keys, section, "start_t", "end_t").withColumn("_bucket", bucket("start_t", "end_t"))
+    met = left.join(e.withColumn("_bucket", bucket("_es", "_ee")), [*keys, "_bucket"]).where("_es < end_t and _ee > start_t")
+    met = met.where(F.floor(F.greatest("start_t", "_es") / F.lit(width)) == F.col("_bucket"))
+    at = lambda p: round_even(F.percentile("_latency", F.lit(p)), 0).cast("long")
+    got = met.groupBy(*keys, section).agg(
+        F.count("*").alias("drifts"), F.sum(F.least("end_t", "_ee") - F.greatest("start_t", "_es")).alias("drift_time"), *[F.sum(c).alias(c) for c in sums],
+        F.count("_latency").alias("latencies"), at(0.5).alias("latency_median"), at(0.9).alias("latency_p90"), F.min("_latency").alias("latency_min"), F.max("_latency").alias("latency_max"),
+    )
+    zero = ("drifts", "drift_time", *sums, "latencies")
+    return sections.join(got, [*keys, section], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
+
+
+def section_trajectory(rows: DataFrame, keys: Sequence[str], order: Sequence[str], axis: str, values: Sequence[str], step: float = 2.5, points: int = 64, valid: Column | None = None, broken: Column | None = None) -> DataFrame:
+    """Points of each section (``keys``) at equal distances: ``step`` apart, or as far as ``points`` of them need.
+
+    ``rows`` are those of the sections. Values are linear between two rows; a bracket with an invalid
+    end, without length, or up to a ``broken`` row gives no point.
+    """
+    w, whole = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)
+    flag = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    base = rows.withColumns({"_d0": F.first(axis).over(w), "_end": F.max(axis).over(whole), "_d1": F.lead(axis).over(w), "_ok": flag, "_to": flag if broken is None else flag & ~F.coalesce(broken, F.lit(False)), "_first": F.row_number().over(w) == 1})
+    base = base.withColumns({f"_{v}": F.lead(v).over(w) for v in values} | {"_ok1": F.lead("_to").over(w), "_step": F.greatest(F.lit(float(step)), (F.col("_end") - F.col("_d0")) / points)})
+    # a target on a row belongs to the bracket that ends there, but for the first one
+    low = F.when(F.col("_first"), F.lit(0)).otherwise(F.floor((F.col(axis) - F.col("_d0")) / F.col("_step")) + 1)
+    high = F.least(F.floor((F.col("_d1") - F.col("_d0")) / F.col("_step")), F.lit(points - 1))
+    made = base.withColumns({"_a": low.cast("long"), "_z": high.cast("long")}).where(f"_d1 > `{axis}` and _ok and _ok1 and _z >= _a").withColumn("point", F.explode(F.sequence("_a", "_z")))
+    at = F.col("_d0") + F.col("point") * F.col("_step")
+    share = (at - F.col(axis)) / (F.col("_d1") - F.col(axis))
+    return made.select(*keys, "point", at.alias("d"), *[(F.col(v) + (F.col(f"_{v}") - F.col(v)) * share).alias(v) for v in values])
+
+
+def heading_change(rows: DataFrame, keys: Sequence[str], order: Sequence[str], x: str = "x", y: str = "y", reach: int = 4) -> DataFrame:
+    """The turn in degrees of each span (``keys``) from the chord of its first rows to that of its last; 0 for short spans."""
+    w, back = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    placed = rows.withColumns({"_i": F.row_number().over(w) - 1, "_j": F.row_number().over(back) - 1})
+    pick = lambda side, k, v: F.max(F.when(F.col(side) == k, F.col(v)))
+    ends = placed.where((F.col("_i") <= reach) | (F.col("_j") <= reach)).groupBy(*keys).agg(
+        F.max(F.when(F.col("_j") == 0, F.col("_i"))).alias("_last"), *[pick(s, k, v).alias(f"_{s[1]}{k}{v}") for s in ("_i", "_j") for k in (0, reach) for v in (x, y)]
+    )
+    turn = angle_delta_deg(F.col(f"_i{reach}{x}") - F.col(f"_i0{x}"), F.col(f"_i{reach}{y}") - F.col(f"_i0{y}"), F.col(f"_j0{x}") - F.col(f"_j{reach}{x}"), F.col(f"_j0{y}") - F.col(f"_j{reach}{y}"))
+    return ends.select(*keys, F.when(F.col("_last") >= reach, turn).otherwise(0.0).alias("heading_change"))

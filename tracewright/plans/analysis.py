@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +32,46 @@ class Silver:
     actions: DataFrame  # action events
 
 
+def stitched(rows: DataFrame) -> DataFrame:
+    """Rows of physical parts as rows of logical vehicles: ``stream`` is the vehicle, ``i`` its order, ``part`` the part.
+
+    Where two parts meet, a row less than a millisecond after the one before it, of another part, is a
+    repeat and goes.
+    """
+    parts = recordings.stream_parts(rows)
+    owner = matching.stitch_parts(parts, ["replay_sha"]).select("replay_sha", F.col("part_id").alias("stream"), "vehicle")
+    named = rows.join(owner, STREAM).withColumnRenamed("stream", "part").withColumnRenamed("vehicle", "stream").withColumn("stream", F.col("stream").cast("int"))
+    w = Window.partitionBy(*STREAM).orderBy("time_ms", "part", "i")
+    repeat = (F.lag("part").over(w) != F.col("part")) & (F.col("time_ms") - F.lag("time_ms").over(w) < 1)
+    kept = named.withColumn("_repeat", F.coalesce(repeat, F.lit(False))).where("not _repeat").drop("_repeat")
+    return kept.withColumn("i", (F.row_number().over(w) - 1).cast(dict(rows.dtypes)["i"]))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """A table that several others are made of: written once to the session's checkpoint folder, or kept on disk where it has none."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def silver(files: DataFrame) -> Silver:
-    """Telemetry and intervals of recordings ``(replay_sha, content)``."""
+    """Telemetry and intervals of recordings ``(replay_sha, content)``; each recording is decoded once."""
     found = recordings.streams(recordings.stream_candidates(files))
-    rows = recordings.telemetry(recordings.decode(files, found))
+    rows = _kept(stitched(_kept(recordings.telemetry(recordings.decode(files, found)))))
     rows = seq.repair_breaks(seq.pose_breaks(rows, STREAM, ORDER), STREAM, ORDER)
     rows = rows.withColumn("speed", F.col("speed_fixed")).drop("speed_fixed")
     rows = rows.withColumn("moved", F.when(F.col("break_before"), 0.0).otherwise(F.col("step")))
     rows = seq.cumulative(rows.drop("distance"), STREAM, ORDER, "moved", "distance").drop("moved")
-    parts = recordings.stream_parts(rows)
-    roles = sets.assign_roles(parts.withColumnRenamed("part_id", "stream"), ["replay_sha"], tie="stream").select("replay_sha", "stream", "role")
-    rows = rows.join(roles, STREAM)
-    tables = native_tables.drift_tables(files)
-    drifts = seq.logical_groups(native_tables.drift_intervals(tables), ["replay_sha"])
+    vehicles = recordings.stream_parts(rows)
+    roles = sets.assign_roles(vehicles.withColumnRenamed("part_id", "stream"), ["replay_sha"], tie="stream").select("replay_sha", "stream", "role")
+    rows = _kept(rows.join(roles, STREAM))
     # native tables belong to the recording's own vehicle, the local stream
     local = rows.where("role = 'local_high_frequency'")
+    rises = seq.rising_edges(local, ["replay_sha"], ["i"], F.col("input_64") != 0).select("replay_sha", F.col("time_ms").alias("t"))
+    tables = _kept(native_tables.drift_tables(files))
+    drifts = seq.logical_groups(native_tables.drift_intervals(tables, rises), ["replay_sha"])
     air = seq.state_intervals(local, ["replay_sha"], ["i"], "contact_state", 0, "time_ms", 100)
-    effects = classify_effects(native_tables.effect_intervals(tables), air, drifts)
+    effects = classify_effects(native_tables.effect_intervals(tables, rises), air, drifts)
     return Silver(rows, drifts, effects, air, native_tables.action_events(files))
 
 

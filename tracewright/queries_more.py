@@ -161,3 +161,56 @@ def rederived_intervals(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT coalesce(o_orderpriority, 'unknown') AS status, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_ids, count(*) / sum(count(*)) OVER () AS share FROM orders GROUP BY 1""")
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     return measures.summary(table(spark, d, "orders"), "o_custkey", "o_orderpriority")
+
+
+_SPANS_SQL = "p AS (SELECT user_id, event_id, t, k, t // 86400000000 AS day, t / 1e6 AS time_s, k / 20.0::DOUBLE AS y, 4.0::DOUBLE * row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS x FROM ev)"
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """Users' days as sections of a route: distance along x, code across it."""
+    along = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) * 4.0
+    return events(spark, d).select("user_id", "event_id", "t", "k", F.expr("t div 86400000000").alias("day"), (F.col("t") / 1e6).alias("time_s"), (F.col("k") / 20.0).alias("y"), along.alias("x"))
+
+
+@query("""s AS (SELECT user_id, t // 86400000000 AS day, min(t) AS start_t, max(t) AS end_t FROM ev GROUP BY ALL),
+e AS (SELECT user_id, t AS es, t + k * 10000000 AS ee, CASE WHEN k % 3 > 0 THEN k * 10 END AS l, k % 2 AS boosts FROM ev WHERE event_type = 'click')
+SELECT s.user_id, s.day, s.start_t, s.end_t, count(es) AS drifts, CAST(coalesce(sum(least(end_t, ee) - greatest(start_t, es)) FILTER (es IS NOT NULL), 0) AS BIGINT) AS drift_time, CAST(coalesce(sum(boosts), 0) AS BIGINT) AS boosts, count(l) AS latencies,
+  CAST(round_even(quantile_cont(l, 0.5), 0) AS BIGINT) AS latency_median, CAST(round_even(quantile_cont(l, 0.9), 0) AS BIGINT) AS latency_p90, min(l) AS latency_min, max(l) AS latency_max
+FROM s LEFT JOIN e ON e.user_id = s.user_id AND es < end_t AND ee > start_t GROUP BY s.user_id, s.day, s.start_t, s.end_t""")
+def section_native(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    found = e.groupBy("user_id", F.expr("t div 86400000000").alias("day")).agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"))
+    drifted = e.where("event_type = 'click'").select("user_id", F.col("t").alias("start_t"), (F.col("t") + F.col("k") * 10_000_000).alias("end_t"), F.when(F.col("k") % 3 > 0, F.col("k") * 10).alias("latency_ms"), (F.col("k") % 2).alias("boosts"))
+    return measures.section_native(found, drifted, ["user_id"], "day", 6 * HOUR, ["boosts"])
+
+
+@query(_SPANS_SQL + """, q AS (SELECT *, lead(x) OVER w AS x1, lead(time_s) OVER w AS t1, lead(y) OVER w AS y1, lead(k) OVER w AS k1, min(x) OVER (PARTITION BY user_id, day) AS d0,
+  greatest(2.5::DOUBLE, (max(x) OVER (PARTITION BY user_id, day) - min(x) OVER (PARTITION BY user_id, day)) / 64) AS step, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY user_id, day ORDER BY x)),
+g AS (SELECT *, unnest(generate_series(CASE WHEN n = 1 THEN 0 ELSE CAST(floor((x - d0) / step) AS BIGINT) + 1 END, CAST(least(floor((x1 - d0) / step), 63) AS BIGINT))) AS point FROM q WHERE x1 IS NOT NULL AND k % 9 > 0 AND k1 % 9 > 0 AND k1 % 5 > 0),
+h AS (SELECT *, d0 + point * step AS d, (d0 + point * step - x) / (x1 - x) AS share FROM g)
+SELECT user_id, day, point, round_even(d * 1000, 0) / 1000 AS d, round_even((time_s + (t1 - time_s) * share) * 1000, 0) / 1000 AS time_s, round_even((y + (y1 - y) * share) * 1e6, 0) / 1e6 AS y FROM h""")
+def section_trajectory(spark: SparkSession, d: str) -> DataFrame:
+    got = measures.section_trajectory(_spans(spark, d), ["user_id", "day"], ["x"], "x", ["time_s", "y"], valid=F.col("k") % 9 > 0, broken=F.col("k") % 5 == 0)
+    return got.select("user_id", "day", "point", round_even(F.col("d"), 3).alias("d"), round_even(F.col("time_s"), 3).alias("time_s"), round_even(F.col("y"), 6).alias("y"))
+
+
+@query(_SPANS_SQL + """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY x) - 1 AS i, row_number() OVER (PARTITION BY user_id, day ORDER BY x DESC) - 1 AS j FROM p),
+c AS (SELECT user_id, day, max(i) AS last, max(CASE WHEN i = 4 THEN x END) - max(CASE WHEN i = 0 THEN x END) AS ax, max(CASE WHEN i = 4 THEN y END) - max(CASE WHEN i = 0 THEN y END) AS ay,
+  max(CASE WHEN j = 0 THEN x END) - max(CASE WHEN j = 4 THEN x END) AS bx, max(CASE WHEN j = 0 THEN y END) - max(CASE WHEN j = 4 THEN y END) AS b_y FROM n GROUP BY user_id, day)
+SELECT user_id, day, round_even(CASE WHEN last >= 4 THEN degrees(atan2(ax * b_y - ay * bx, ax * bx + ay * b_y)) ELSE 0 END * 1e6, 0) / 1e6 AS heading_change FROM c""")
+def heading_change(spark: SparkSession, d: str) -> DataFrame:
+    got = measures.heading_change(_spans(spark, d), ["user_id", "day"], ["x"])
+    return got.select("user_id", "day", round_even(F.col("heading_change"), 6).alias("heading_change"))
+
+
+@query("""w AS (SELECT event_id, cents / 64.0::DOUBLE AS sc, k / 1.0::DOUBLE AS bc, CASE WHEN k % 7 > 0 THEN cents / 32.0::DOUBLE END AS sf, CASE WHEN k % 4 > 0 THEN k * 1.25::DOUBLE ELSE cents / 32.0::DOUBLE END AS bf FROM ev),
+x AS (SELECT *, sc - bc AS core_delta, round_even((sf - bf) * 1e4, 0) / 1e4 AS final_delta FROM w), z AS (SELECT *, round_even((core_delta - final_delta) * 1e4, 0) / 1e4 AS subject_gain FROM x)
+SELECT event_id, round_even(core_delta * 1e4, 0) / 1e4 AS core_delta, final_delta, subject_gain, round_even((sf - sc) * 1e4, 0) / 1e4 AS subject_tail, round_even((bf - bc) * 1e4, 0) / 1e4 AS baseline_tail,
+  CASE WHEN abs(core_delta) <= 0.0005 THEN 'equal' WHEN core_delta > 0 THEN 'slower' ELSE 'faster' END AS core_direction,
+  CASE WHEN final_delta IS NULL THEN 'unavailable' WHEN abs(final_delta) <= 0.0005 THEN 'equal' WHEN final_delta > 0 THEN 'slower' ELSE 'faster' END AS final_direction,
+  CASE WHEN subject_gain IS NULL THEN 'unavailable' WHEN abs(subject_gain) <= 0.0005 THEN 'equal' WHEN subject_gain > 0 THEN 'subject_gain' ELSE 'subject_loss' END AS gain_direction FROM z""")
+def strategy_deltas(spark: SparkSession, d: str) -> DataFrame:
+    k, cents = F.col("k"), F.col("cents")
+    w = events(spark, d).select("event_id", (cents / 64.0).alias("subject_core"), (k / 1.0).alias("baseline_core"), F.when(k % 7 > 0, cents / 32.0).alias("subject_final"), F.when(k % 4 > 0, k * 1.25).otherwise(cents / 32.0).alias("baseline_final"))
+    got = comparison.strategy_deltas(w)
+    return got.select("event_id", round_even(F.col("core_delta"), 4).alias("core_delta"), "final_delta", "subject_gain", "subject_tail", "baseline_tail", "core_direction", "final_direction", "gain_direction")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import temporal
 from ..operators.sets import drift_candidate_score
 
 #: Fixed values of the formats.
@@ -131,18 +132,35 @@ def drift_tables(recordings: DataFrame) -> DataFrame:
     return out.withColumn("eligible", F.col("marker") | (F.col("effect_valid") & (F.size("intervals") > 0)))
 
 
-def drift_intervals(tables: DataFrame) -> DataFrame:
-    """Drift intervals of the best eligible table of each recording."""
-    c = {"marker": F.col("marker").cast("int"), "effect": F.col("effect_valid").cast("int"), "effect_records": F.col("effect_records"), "matches": F.lit(0), "share": F.lit(0), "intervals": F.size("intervals")}
-    best = tables.where("eligible").groupBy("replay_sha").agg(F.max_by(F.struct("intervals", "effects"), F.struct(drift_candidate_score(c), -F.col("count_offset"))).alias("b"))
-    return best.select("replay_sha", F.posexplode("b.intervals").alias("ordinal", "i")).select("replay_sha", "ordinal", F.col("i")[0].alias("start_t"), F.col("i")[1].alias("end_t"))
+def best_tables(tables: DataFrame, rises: DataFrame | None = None, tolerance_ms: float = 34) -> DataFrame:
+    """The best eligible table of each recording: ``replay_sha, b`` with ``b.intervals`` and ``b.effects``.
 
-
-def effect_intervals(tables: DataFrame) -> DataFrame:
-    """Effect intervals next to the best eligible drift table of each recording."""
-    c = {"marker": F.col("marker").cast("int"), "effect": F.col("effect_valid").cast("int"), "effect_records": F.col("effect_records"), "matches": F.lit(0), "share": F.lit(0), "intervals": F.size("intervals")}
-    best = tables.where("eligible").groupBy("replay_sha").agg(F.max_by(F.struct("intervals", "effects"), F.struct(drift_candidate_score(c), -F.col("count_offset"))).alias("b"))
-    rows = best.select("replay_sha", F.posexplode("b.effects").alias("ordinal", "e"))
+    ``rises`` (``replay_sha, t`` in ms) are the moments at which the recording's own vehicle began to press the
+    drift key: a table whose intervals begin at them gains by each match and by their share. Starts
+    meet rises by time bucket. On equal scores more intervals win, then the earlier table.
+    """
+    eligible = tables.where("eligible").withColumn("n", F.size("intervals"))
+    if rises is None:
+        ranked = eligible.withColumn("matches", F.lit(0).cast("long"))
+    else:
+        starts = eligible.select("replay_sha", "count_offset", F.posexplode("intervals").alias("k", "i")).select("replay_sha", "count_offset", "k", F.col("i")[0].alias("start_t"))
+        near = temporal.near_any(starts, rises.select("replay_sha", "t"), ["replay_sha"], "start_t", "t", tolerance_ms)
+        found = near.groupBy("replay_sha", "count_offset").agg(F.count("*").alias("matches"))
+        ranked = eligible.join(found, ["replay_sha", "count_offset"], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    share = F.when(F.col("n") > 0, F.col("matches") / F.col("n")).otherwise(1.0) if rises is not None else F.lit(0)
+    c = {"marker": F.col("marker").cast("int"), "effect": F.col("effect_valid").cast("int"), "effect_records": F.col("effect_records"), "matches": F.col("matches"), "share": share, "intervals": F.col("n")}
+    return ranked.groupBy("replay_sha").agg(F.max_by(F.struct("intervals", "effects"), F.struct(drift_candidate_score(c), F.col("n"), -F.col("count_offset"))).alias("b"))
+
+
+def drift_intervals(tables: DataFrame, rises: DataFrame | None = None) -> DataFrame:
+    """Drift intervals of the best eligible table of each recording; ``rises`` as in ``best_tables``."""
+    rows = best_tables(tables, rises).select("replay_sha", F.posexplode("b.intervals").alias("ordinal", "i"))
+    return rows.select("replay_sha", "ordinal", F.col("i")[0].alias("start_t"), F.col("i")[1].alias("end_t"))
+
+
+def effect_intervals(tables: DataFrame, rises: DataFrame | None = None) -> DataFrame:
+    """Effect intervals next to the best eligible drift table of each recording; ``rises`` as in ``best_tables``."""
+    rows = best_tables(tables, rises).select("replay_sha", F.posexplode("b.effects").alias("ordinal", "e"))
     return rows.select("replay_sha", "ordinal", "e.code", "e.code_bits", F.col("e.start_ms").alias("start_t"), F.col("e.end_ms").alias("end_t"), (F.col("e.end_ms") - F.col("e.start_ms")).alias("duration"))
 
 
