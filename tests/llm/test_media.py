@@ -68,3 +68,9 @@ def test_round_trip_of_documents(spark, sf, odd_documents, no_documents):
             assert features.setdefault(r.payload_sha256, r.feature) == r.feature
             assert r.feature.startswith("audio/wav;true;true;")
     assert media.media_digests(no_documents).count() == 0
+
+
+def test_documents_saved_several_times():
+    one = b"%PDF-1.4\nx\nstartxref\n9\n%%EOF"
+    saved = one + b"\nmore\nstartxref\n20\n%%EOF"
+    assert media._pdf(b"ab" + saved + b"tail" + one, 2) == len(saved) and media._pdf(b"%PDF-1.4 no end %PDF-", 0) is None

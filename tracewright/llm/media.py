@@ -111,7 +111,9 @@ def _gzip(b: bytes, at: int) -> int | None:
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
+    """Up to the last end mark before the next header: files saved several times have one for each save."""
+    limit = b.find(b"%PDF-", at + 5)
+    end = b.rfind(b"%%EOF", at, limit if limit > 0 else len(b))
     return end + 5 - at if end > 0 and b"startxref" in b[max(at, end - 64) : end] else None
 
 
