@@ -132,11 +132,10 @@ def time_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS name, length(translate(coalesce(text, ''), '? ' || chr(9), '')) > 0 AS usable,
-  trim(regexp_replace(text, '(?i)[\s_-]*by[-_ ].*$', '', 's')) AS alias FROM documents""")
+  trim(regexp_replace(text, '(?i)[\s_-]*by[-_ ].*$', '')) AS alias FROM documents""")
 def name_normalize(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
-    alias = F.trim(F.regexp_replace(text, r"(?is)[\s_-]*by[-_ ].*$", ""))
-    return table(spark, d, "documents").select("doc_id", fn.normalize_name(text, lower=True).alias("name"), fn.name_is_usable(text).alias("usable"), alias.alias("alias"))
+    return table(spark, d, "documents").select("doc_id", fn.normalize_name(text, lower=True).alias("name"), fn.name_is_usable(text).alias("usable"), fn.display_alias(text).alias("alias"))
 
 
 @query(r"""f AS (SELECT o_orderkey, 'dir/Map ' || (o_orderkey % 9) || '_' || strftime(o_orderdate, '%Y%m%d') || '101500.sav' AS path, CASE o_orderkey % 4 WHEN 0 THEN 'data.vfs' WHEN 1 THEN 'Data' || (o_orderkey % 30) || '.VFS' WHEN 2 THEN 'other.vfs' ELSE 'data7.vfs.bak' END AS archive FROM orders)
@@ -218,11 +217,12 @@ def swapped_windows(spark: SparkSession, d: str) -> DataFrame:
     return cmp.swap(cmp.window_deltas(s.groupBy("pair", "day").agg(of(0).alias("subject_time"), of(1).alias("baseline_time"))))
 
 
-@query("""SELECT o_orderkey, round_even((o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) / 1e6 * 1e6, 0) / 1e6 AS d,
-  CASE WHEN o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) IS NULL THEN NULL ELSE o_orderpriority END AS label FROM orders""")
+@query("""d AS (SELECT o_orderkey, o_orderpriority, (o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) / 1e6 AS d FROM orders)
+SELECT o_orderkey, round_even(d * 1e6, 0) / 1e6 AS d, CASE WHEN d IS NULL THEN NULL ELSE
+  o_orderpriority || ' ' || printf('%+.3f', d) || ' s ' || CASE WHEN abs(d) < 0.0005 THEN 'equal' WHEN d > 0 THEN 'slower' ELSE 'faster' END END AS said FROM d""")
 def price_steps(spark: SparkSession, d: str) -> DataFrame:
     step = (F.col("o_totalprice") - F.lag("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))) / 1e6
-    return table(spark, d, "orders").select("o_orderkey", round_even(step, 6).alias("d"), F.when(observation(F.col("o_orderpriority"), step).isNotNull(), F.col("o_orderpriority")).alias("label"))
+    return table(spark, d, "orders").select("o_orderkey", round_even(step, 6).alias("d"), observation(F.col("o_orderpriority"), step).alias("said"))
 
 
 @query("""a AS (SELECT user_id, {'resource_id': CASE WHEN user_id % 3 = 0 THEN user_id % 4 END, 'game_id': user_id % 6, 'name_key': 'n' || user_id % 2} AS a,
