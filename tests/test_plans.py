@@ -2,11 +2,13 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+from tracewright.operators import catalogs
 from tracewright.plans import analysis, compare
 from tracewright.plans.catalog import Catalog
-from tracewright.sources import native_tables, synthetic
+from tracewright.sources import native_tables, synthetic, tabular
 from tracewright.streaming import landing
 
 
@@ -121,3 +123,31 @@ def test_sessions_of_a_stream(spark, tmp_path):
     q = landing.merged_segments(stream, ["u"], "t", "10 seconds", "1 minute").writeStream.outputMode("append").format("memory").queryName("sessions").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(60)
     assert [r.members for r in spark.table("sessions").collect()] == [2]
+
+
+def test_derived_tables_go_and_labels_stay(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/catalog")
+    c.add(spark.createDataFrame([("a",), ("b",)], "replay_sha string"))
+    c.change(["a"], analysed=True, label="kept")
+    spark.range(3).write.parquet(f"file://{tmp_path}/gold")
+    c.reset_derived(f"file://{tmp_path}/gold")
+    assert {(r.replay_sha, r.label, r.analysed) for r in c.entries().collect()} == {("a", "kept", False), ("b", None, False)} and not (tmp_path / "gold").exists()
+
+
+def test_outputs_of_the_map_catalog(spark, tmp_path):
+    e = spark.createDataFrame([(1, "x", "exact"), (2, "x", "multiple"), (3, None, "unavailable")], "map_id int, primary_name string, name_status string")
+    catalogs.write_catalog(e, f"file://{tmp_path}")
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/duplicate_names").select("primary_name", "map_ids").collect()] == [("x", [1, 2])]
+    assert sorted(r.map_id for r in spark.read.option("header", True).csv(f"{tmp_path}/unresolved_maps").collect()) == ["2", "3"]
+    assert spark.read.json(f"{tmp_path}/map_index").count() == spark.read.option("header", True).csv(f"{tmp_path}/maps").count() == 3
+
+
+def test_rows_that_lost_their_measures_are_refused(spark, tmp_path):
+    head = "replay_sha,stream,time_s,x,y,z,contact_state,lap_index,velocity_x\n"
+    (tmp_path / "good.csv").write_text(head + "r,1,2,0,0,0,5,1,3\nr,0,0,0,0,0,5,1,3\nr,0,1,0,0,0,5,1,3\nr,0,,0,0,0,5,1,3\n")
+    (tmp_path / "lost.csv").write_text(head + "r,0,0,0,0,0,,1,3\n")
+    rows = tabular.physical_telemetry(spark, f"{tmp_path}/good.csv", "2026")
+    assert sorted((r.stream, r.n, r.hz, r.part_no) for r in tabular.part_metadata(rows).collect()) == [("0", 2, 1.0, 1), ("1", 1, None, 2)]
+    with pytest.raises(ValueError, match="contact_state"):
+        tabular.physical_telemetry(spark, f"{tmp_path}/lost.csv", "2026")
+    assert tabular.physical_telemetry(spark, f"{tmp_path}/lost.csv").count() == 1

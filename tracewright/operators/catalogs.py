@@ -42,3 +42,34 @@ def repair_names(entries: DataFrame, fresh: DataFrame) -> DataFrame:
 def upsert(registry: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows of ``changes`` in place of those of the same key, all others as they were."""
     return registry.join(changes.select(key), key, "left_anti").unionByName(changes)
+
+
+def source_signature(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """SHA-256 over the list of source files (``kind, name, length, modified``), a line each in order of kind and name.
+
+    One catalog's files are some hundred; ``keys`` tells several catalogs apart. A changed signature
+    means that the catalog must be built anew.
+    """
+    line = F.concat_ws("|", "kind", "name", F.col("length").cast("string"), F.col("modified").cast("string"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("kind", "name", line.alias("line")))), lambda x: x["line"])
+    return files.groupBy(*keys).agg(F.upper(F.sha2(F.array_join(lines, "\n").cast("binary"), 256)).alias("source_signature"), F.count("*").alias("files"))
+
+
+def catalog_summary(entries: DataFrame) -> DataFrame:
+    """One row of figures on catalog entries: maps, named, unnamed, ambiguous, names that several maps have."""
+    named = F.col("primary_name").isNotNull() & (F.trim("primary_name") != "")
+    twice = entries.where(named).groupBy("primary_name").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("duplicate_names"))
+    figures = entries.agg(
+        F.count("*").alias("maps"), F.count_if(named).alias("named_maps"), F.count_if(~named | F.col("primary_name").isNull()).alias("unnamed_maps"), F.count_if(F.col("name_status") == "multiple").alias("ambiguous_maps")
+    )
+    return figures.join(twice)  # one row each
+
+
+def write_catalog(entries: DataFrame, path: str) -> None:
+    """The catalog's outputs below ``path``: ``map_index`` and ``duplicate_names`` as JSON, ``maps`` and ``unresolved_maps`` as CSV."""
+    plain = entries.select("map_id", "primary_name", "name_status")
+    entries.write.mode("overwrite").json(f"{path}/map_index")
+    twice = entries.where("primary_name is not null").groupBy("primary_name").agg(F.array_sort(F.collect_set("map_id")).alias("map_ids")).where("size(map_ids) > 1")
+    twice.write.mode("overwrite").json(f"{path}/duplicate_names")
+    plain.write.mode("overwrite").option("header", True).csv(f"{path}/maps")
+    plain.where("primary_name is null or name_status = 'multiple'").write.mode("overwrite").option("header", True).csv(f"{path}/unresolved_maps")

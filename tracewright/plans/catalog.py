@@ -47,6 +47,13 @@ class Catalog:
             raise ValueError(f"unknown fields: {sorted(unknown)}")
         self._append(self.entries().where(F.col("replay_sha").isin(*shas)).withColumns({k: F.lit(v) for k, v in values.items()}))
 
+    def reset_derived(self, *paths: str) -> None:
+        """Deletes derived tables at ``paths``; recordings, decoded rows, labels and states stay, none counts as analysed."""
+        for path in paths:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        self._append(self.entries().where("analysed").withColumn("analysed", F.lit(False)))
+
     def to_rebuild(self, sources: DataFrame) -> DataFrame:
         """Visible, active recordings whose source is there."""
         return self.entries().where("visible and state = 'active'").join(sources.select("replay_sha"), "replay_sha", "left_semi")

@@ -214,3 +214,18 @@ def strategy_deltas(spark: SparkSession, d: str) -> DataFrame:
     w = events(spark, d).select("event_id", (cents / 64.0).alias("subject_core"), (k / 1.0).alias("baseline_core"), F.when(k % 7 > 0, cents / 32.0).alias("subject_final"), F.when(k % 4 > 0, k * 1.25).otherwise(cents / 32.0).alias("baseline_final"))
     got = comparison.strategy_deltas(w)
     return got.select("event_id", round_even(F.col("core_delta"), 4).alias("core_delta"), "final_delta", "subject_gain", "subject_tail", "baseline_tail", "core_direction", "final_direction", "gain_direction")
+
+
+@query("""SELECT user_id % 4 AS catalog, upper(sha256(string_agg(event_type || '|' || event_id || '|' || cents || '|' || t, chr(10) ORDER BY event_type, event_id::VARCHAR))) AS source_signature, count(*) AS files FROM ev GROUP BY 1""")
+def source_signature(spark: SparkSession, d: str) -> DataFrame:
+    files = events(spark, d).select((F.col("user_id") % 4).alias("catalog"), F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("name"), F.col("cents").alias("length"), F.col("t").alias("modified"))
+    return catalogs.source_signature(files, ("catalog",))
+
+
+@query("""e AS (SELECT p_partkey AS map_id, CASE WHEN p_partkey % 5 > 0 THEN split_part(p_name, ' ', 1) END AS primary_name, CASE WHEN p_partkey % 5 = 0 THEN 'unavailable' WHEN p_partkey % 7 = 0 THEN 'multiple' ELSE 'exact' END AS name_status FROM part)
+SELECT count(*) AS maps, count(primary_name) AS named_maps, count(*) - count(primary_name) AS unnamed_maps, count(*) FILTER (name_status = 'multiple') AS ambiguous_maps,
+  (SELECT count(*) FROM (SELECT primary_name FROM e WHERE primary_name IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS duplicate_names FROM e""")
+def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    entries = table(spark, d, "part").select(k.alias("map_id"), F.when(k % 5 > 0, F.substring_index("p_name", " ", 1)).alias("primary_name"), F.when(k % 5 == 0, "unavailable").when(k % 7 == 0, "multiple").otherwise("exact").alias("name_status"))
+    return catalogs.catalog_summary(entries)

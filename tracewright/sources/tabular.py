@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_bool, to_double
 
 PHYSICAL = ("time_s", "x", "y", "z")
+MEASURED = ("contact_state", "lap_index", "velocity_x")
 DRIVING = ("time_s", "x", "y", "speed", "distance", "lap_index", "pose_valid", "pose_break_before")
 
 
@@ -20,11 +21,28 @@ def read_csv(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataF
     return df
 
 
-def physical_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """Physical rows with numbers; those without a time or a place are left out."""
+def physical_telemetry(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
+    """Physical rows with numbers; those without a time or a place are left out.
+
+    A file of the 2026 ``layout`` that has lost its contact states, laps or velocities, by column or by
+    value, is refused: what was measured must not pass for unmeasured.
+    """
     df = read_csv(spark, path, PHYSICAL)
     df = df.withColumns({c: to_double(F.col(c)) for c in df.columns if c not in ("replay_sha", "stream", "shadow_id", "speed_source", "contact_state_name")})
-    return df.dropna(subset=list(PHYSICAL))
+    df = df.dropna(subset=list(PHYSICAL))
+    if layout == "2026":
+        present = [c for c in MEASURED if c in df.columns]
+        held = df.agg(*[F.count(c).alias(c) for c in present]).first().asDict() if present else {}
+        if lost := [c for c in MEASURED if not held.get(c)]:
+            raise ValueError(f"measured columns lost: {', '.join(lost)}")
+    return df
+
+
+def part_metadata(rows: DataFrame, keys: tuple[str, ...] = ("replay_sha", "stream")) -> DataFrame:
+    """Rows, first and last time and rate of each part, numbered by start and end within its recording."""
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("time_s").alias("t0"), F.max("time_s").alias("t1"))
+    out = out.withColumn("hz", F.when(F.col("t1") > F.col("t0"), (F.col("n") - 1) / (F.col("t1") - F.col("t0"))))
+    return out.withColumn("part_no", F.row_number().over(Window.partitionBy(keys[0]).orderBy("t0", "t1", *keys[1:])))
 
 
 def driving_rows(spark: SparkSession, path: str) -> DataFrame:
