@@ -143,7 +143,7 @@ def test_outputs_of_the_map_catalog(spark, tmp_path):
 
 
 def test_rows_that_lost_their_measures_are_refused(spark, tmp_path):
-    head = "replay_sha,stream,time_s,x,y,z,contact_state,lap_index,velocity_x\n"
+    head = "replay_sha,stream,time_s,x,y,z,contact_state,lap_index,vx\n"
     (tmp_path / "good.csv").write_text(head + "r,1,2,0,0,0,5,1,3\nr,0,0,0,0,0,5,1,3\nr,0,1,0,0,0,5,1,3\nr,0,,0,0,0,5,1,3\n")
     (tmp_path / "lost.csv").write_text(head + "r,0,0,0,0,0,,1,3\n")
     rows = tabular.physical_telemetry(spark, f"{tmp_path}/good.csv", "2026")

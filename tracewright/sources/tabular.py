@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import to_bool, to_double
 
 PHYSICAL = ("time_s", "x", "y", "z")
-MEASURED = ("contact_state", "lap_index", "velocity_x")
+MEASURED = ("contact_state", "lap_index", "vx")
 DRIVING = ("time_s", "x", "y", "speed", "distance", "lap_index", "pose_valid", "pose_break_before")
 
 
