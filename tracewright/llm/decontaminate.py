@@ -153,11 +153,12 @@ def _verifier(rate: float):
     @F.arrow_udf("struct<distance:int,first_word:int,end_word:int,item_words:int>")
     def verify(text: pa.Array, item: pa.Array, origins: pa.Array) -> pa.Array:
         out, last, shown = [], None, []
-        for t, i, at in zip(text.to_pylist(), item.to_pylist(), origins.to_pylist()):
+        for t, i, at in zip(text, item, origins):  # texts become Python objects one by one
+            t = t.as_py()
             if t != last:
                 last, shown = t, words(t)
-            own = words(i)
-            best = best_passage(own, int(rate * len(own)), shown, at)
+            own = words(i.as_py())
+            best = best_passage(own, int(rate * len(own)), shown, at.as_py())
             out.append(best and dict(zip(("distance", "first_word", "end_word", "item_words"), (*best, len(own)))))
         return pa.array(out, pa.struct([(c, pa.int32()) for c in ("distance", "first_word", "end_word", "item_words")]))
 
