@@ -44,7 +44,6 @@ TEMPLATES = (
     ("EPL-2.0", "Eclipse Public License - v 2.0"),
     ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
-    ("MIT", "The MIT License (MIT)"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
     # standard headers and paragraphs
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -94,16 +93,16 @@ def _weights(templates: Sequence[tuple[str, str]], n: int, df: dict[str, int]) -
     return idf, out
 
 
-def _anchors(weighted: list[tuple[str, int, dict[str, float]]], idf: dict[str, float], threshold: float) -> list[str]:
+def _anchors(weighted: list[tuple[str, int, dict[str, float]]], threshold: float) -> list[str]:
     """Words of which every unit at or above the threshold has one.
 
-    For each template, rarest words first until the rest has a norm below the threshold: a unit with
-    none of them has a cosine below that norm. Rare words keep the filter narrow.
+    For each template, heaviest words first until the rest has a norm below the threshold: a unit
+    with none of them has a cosine below that norm. They are the fewest words that do.
     """
     found = set()
     for _, _, w in weighted:
         rest = 1.0
-        for t, x in sorted(w.items(), key=lambda p: (-idf[p[0]], -p[1], p[0])):
+        for t, x in sorted(w.items(), key=lambda p: (-p[1], p[0])):
             if math.sqrt(max(rest, 0)) < threshold - 1e-9:
                 break
             found.add(t)
@@ -122,7 +121,7 @@ def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     n, df = document_frequencies(files, sorted({t for _, x in templates for t in tokens(x)}), text)
     idf, weighted = _weights(templates, n, df)
     rarest = max(idf.values(), default=1.0)
-    anchors = F.array(*[F.lit(t) for t in _anchors(weighted, idf, threshold)])
+    anchors = F.array(*[F.lit(t) for t in _anchors(weighted, threshold)])
     name = F.substring_index(F.col(path), "/", -1)
     whole = F.when(name.rlike(LICENSE_FILE), F.array(F.col(text))).otherwise(F.array().cast("array<string>"))
     paragraphs = F.filter(F.split(F.col(text), r"\r?\n[^\p{L}\p{N}\n]*\n"), lambda p: p.contains("\n"))
