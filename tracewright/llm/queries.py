@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, licenses, media, packing, simhash, tokenfile, urlfilter, warc
+from . import chat, decontaminate, langid, lexical, licenses, media, packing, sharding, simhash, spelling, tokenfile, urlfilter, warc
 from .common import documents
 
 
@@ -57,6 +57,22 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_digests(documents(spark, sf_dir))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(documents(spark, sf_dir))
+
+
+#: Fixed value: letters are deleted where it divides a run's hash, so that there are misspellings to find.
+DAMAGE = 199
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(documents(spark, sf_dir), damage=DAMAGE))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +90,10 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_chat": op9_chat,
     "op10_token_file": op10_token_file,
+    "op11_sharding": op11_sharding,
+    "op12_spelling": op12_spelling,
+    "op13_search": op13_search,
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {"op2_licenses": licenses.SQL, "op5_revisits": warc.SQL, "op9_chat": chat.SQL}
+ORACLE: dict[str, str] = {"op2_licenses": licenses.SQL, "op5_revisits": warc.SQL, "op9_chat": chat.SQL, "op13_search": lexical.SQL}
