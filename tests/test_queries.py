@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from compare import assert_same, database
 
-from tracewright import queries_events, queries_more, queries_python, queries_tables  # noqa: F401
+from tracewright import queries_events, queries_more, queries_native, queries_python, queries_tables  # noqa: F401
 from tracewright.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import delta_direction, round_even
+from . import temporal
 from .sequences import _median_over
 from .temporal import range_join
 
@@ -176,6 +177,75 @@ def corner_measures(windows: DataFrame, rows: DataFrame, keys: Sequence[str], wi
     return windows.join(got, [*keys, window], "left")
 
 
+#: Seconds that one small boost lasts, and where a recovery's end comes from.
+BOOST_TAIL_S = 0.25
+TAIL_NATIVE, TAIL_GAMEPLAY, TAIL_NONE = "native_small_boost_recovery_end", "gameplay_min_small_boost_tail_0p25s", "native_drift_end_no_tail"
+
+
+def recovery_tail(windows: DataFrame, ends: DataFrame, keys: Sequence[str], tail: float = BOOST_TAIL_S, least: float = 1e-6) -> DataFrame:
+    """``windows`` with ``metric_end``, up to which a corner's recovery is measured, and ``metric_source``.
+
+    A native recovery end holds. Without one, the recovery is empty where the effects could be seen and
+    showed none. Only where they can't be (``observable`` false), or on a ``low_frequency`` stream with
+    neither ``boosts`` nor ``nitros``, it lasts as long as one small boost, but not beyond ``next_drift`` or
+    the stream's end (``ends``: keys, ``last_t``). The corner itself and who owns it stay as they are.
+    """
+    unseen = ~F.coalesce(F.col("observable"), F.lit(False)) | (F.col("low_frequency") & (F.coalesce("boosts", F.lit(0)) == 0) & (F.coalesce("nitros", F.lit(0)) == 0))
+    j = windows.join(ends.select(*keys, "last_t"), list(keys), "left")
+    until = F.least(F.col("drift_end") + tail, F.col("next_drift"), F.col("last_t"))
+    lasts = F.col("recovery_end").isNull() & unseen & (until > F.col("drift_end") + least)
+    source = F.when(F.col("recovery_end").isNotNull(), TAIL_NATIVE).when(lasts, TAIL_GAMEPLAY).otherwise(TAIL_NONE)
+    return j.withColumns({"metric_end": F.when(lasts, until).otherwise(F.coalesce("recovery_end", "drift_end")), "metric_source": source}).drop("last_t")
+
+
+def corner_metrics(windows: DataFrame, drifts: DataFrame, rows: DataFrame, keys: Sequence[str], window: str, tail: float = BOOST_TAIL_S, width: int = 256) -> DataFrame:
+    """Every figure of a corner on its own side, with its recovery measured up to ``recovery_tail``'s end.
+
+    ``windows``: ``drift_start, drift_end, recovery_end`` and the columns of ``recovery_tail``; ``drifts``: the corner's own
+    intervals ``start_t, end_t``; ``rows``: ``t, speed, distance, pose_valid``. Speeds are of rows, those nearest to a time;
+    invalid and negative ones don't count. Distances are interpolated and end with the stream.
+
+    ``entry_speed`` is the median of three rows at the drift's start, ``min_speed`` the least in the drift,
+    ``exit_speed`` the largest from its end to the recovery's, or the median of three rows at the drift's
+    end where there is no recovery; ``exit_source`` says which. ``drift_distance`` is what was driven
+    within the intervals, ``gap_distance`` between them. ``width`` is the number of rows to a bucket of the row join.
+    """
+    keys, own = list(keys), [*keys, window]
+    order = Window.partitionBy(*keys).orderBy("t")
+    usable = F.col("pose_valid") & (F.col("speed") >= 0) & (F.abs("speed") < float("inf")) & ~F.isnan("speed")
+    r = rows.withColumn("_v", F.when(usable, F.col("speed"))).withColumns({"_i": F.row_number().over(order), "_m": _median_over("_v", order.rowsBetween(-1, 1))})
+    ends = rows.groupBy(*keys).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    w = recovery_tail(windows, ends, keys, tail)
+
+    inside = lambda c: F.greatest(F.least(F.col(c), F.col("last_t")), F.col("first_t"))
+    marks = F.array(*[F.struct(F.lit(n).alias("what"), F.col(c).cast("double").alias("at")) for n, c in (("start", "drift_start"), ("end", "drift_end"), ("metric", "metric_end"))])
+    times = w.select(*own, F.lit(None).cast("double").alias("sign"), F.explode(marks).alias("x")).select(*own, "sign", "x.what", "x.at")
+    spans = drifts.select(*own, F.explode(F.array(*[F.struct(F.lit(s).alias("sign"), F.lit("drift").alias("what"), F.col(c).cast("double").alias("at")) for s, c in ((-1.0, "start_t"), (1.0, "end_t"))])).alias("x")).select(*own, "x.*")
+    asked = times.unionByName(spans).join(ends, keys).withColumn("at", inside("at")).drop("first_t", "last_t")
+    placed = temporal.value_at(asked, r, keys, "at", "t", "distance", "d")
+    when = lambda n: F.max(F.when(F.col("what") == n, F.col("d")))
+    of_drift = F.when(F.col("what") == "drift", F.col("d"))
+    far = placed.groupBy(*own).agg(when("start").alias("_d0"), when("end").alias("_d1"), when("metric").alias("_d2"), F.sum(F.col("sign") * of_drift).alias("_active"), (F.max(of_drift) - F.min(of_drift)).alias("_span"))
+
+    near = temporal.nearest(asked.where("sign is null"), r, keys, "at", "t", "_i").groupBy(*own).agg(*[F.max(F.when(F.col("what") == n, F.col("near"))).alias(f"_i_{n}") for n in ("start", "end", "metric")])
+    reach = near.withColumn("_until", F.greatest("_i_end", "_i_metric"))
+    p = r.select(*keys, F.col("_i").alias("_at"), "_v", "_m")
+    held = temporal.range_join(p, reach, keys, "_at", "_i_start", "_until", width)
+    fast = held.groupBy(*own).agg(
+        F.max(F.when(F.col("_at") == F.col("_i_start"), F.col("_m"))).alias("_entry"), F.max(F.when(F.col("_at") == F.col("_i_end"), F.col("_m"))).alias("_at_end"),
+        F.min(F.when(F.col("_at") <= F.col("_i_end"), F.col("_v"))).alias("_low"), F.max(F.when(F.col("_at") >= F.col("_i_end"), F.col("_v"))).alias("_peak"),
+    )
+    out = w.join(far, own, "left").join(fast, own, "left")
+    lasts = F.col("metric_end") > F.col("drift_end") + 1e-6
+    exit_source = F.when(lasts & F.col("_peak").isNotNull(), "own_recovery_window_peak").when(F.col("_at_end").isNotNull(), "native_drift_end_median_fallback")
+    figures = {
+        "entry_speed": F.col("_entry"), "min_speed": F.col("_low"), "exit_speed": F.when(lasts, F.coalesce("_peak", "_at_end")).otherwise(F.col("_at_end")), "drift_distance": F.col("_active"),
+        "gap_distance": F.greatest(F.col("_span") - F.col("_active"), F.lit(0.0)), "recovery_distance": F.when(F.col("_d2") >= F.col("_d1"), F.col("_d2") - F.col("_d1")), "total_distance": F.when(F.col("_d2") >= F.col("_d0"), F.col("_d2") - F.col("_d0")),
+    }
+    out = out.withColumns({n: round_even(c, 3) for n, c in figures.items()} | {"exit_source": exit_source})
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
 def strategy_deltas(windows: DataFrame, equal: float = 0.0005) -> DataFrame:
     """Core, final and recovery-strategy differences of windows (``subject_core, baseline_core, subject_final, baseline_final``).
 

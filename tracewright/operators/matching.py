@@ -1,12 +1,13 @@
-"""Order-dependent matching, each group in one vectorised call, and the joins of identities.
+"""Order-dependent matching, a group's columns at a time, and the joins of identities.
 
-A group is one recording or one pair of laps (some thousand rows), so a group always fits a task;
-Spark spreads the groups. Candidates come from joins wherever they can.
+A group is a stretch of a stream that no pair crosses. Groups are dealt by number to as many
+tasks as the session has shuffle partitions, each of which works through many small ones in order.
+Candidates come from joins wherever they can.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,53 @@ from pyspark.sql import functions as F
 from .temporal import range_join
 
 
+def blockwise(rows: DataFrame, keys: Sequence[str], work: Callable[[dict[str, np.ndarray]], dict[str, Sequence]], results: str, order: Sequence[str]) -> DataFrame:
+    """``keys`` and ``results`` (DDL), as ``work`` makes them of the columns of each group of ``keys`` and ``_block``.
+
+    Groups are dealt by hash over the session's number of shuffle partitions, which is not merged
+    afterwards as tiny data would be, and sorted, so that a task holds one batch and one group.
+    """
+    group, kinds = [*keys, "_block"], dict(rows.dtypes)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartition(n, *group).sortWithinPartitions(*group, *order)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {results}"
+
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(pdf), bool)
+        for c in group:
+            before = pdf[c].shift()
+            new |= ((pdf[c] != before) & ~(pdf[c].isna() & before.isna())).to_numpy()
+        return np.flatnonzero(new)
+
+    def done(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges, columns = [0, *starts(pdf)[1:].tolist(), len(pdf)], {c: pdf[c].to_numpy() for c in pdf.columns}
+        made, sizes = [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            made.append(work({c: v[a:b] for c, v in columns.items()}))
+            sizes.append(len(next(iter(made[-1].values()))))
+        out = pdf[list(keys)].take(np.repeat(edges[:-1], sizes)).reset_index(drop=True)
+        for c in made[0]:
+            out[c] = pd.array([v for m in made for v in m[c]], dtype="Int64") if c.endswith("_index") else [v for m in made for v in m[c]]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            join = pd.concat([held[-1].tail(1), pdf]) if held else pdf
+            last = starts(join)[1:] - (1 if held else 0)
+            if not len(last):
+                held.append(pdf)
+                continue
+            yield done(pd.concat([*held, pdf.iloc[: last[-1]]], ignore_index=True))
+            held = [pdf.iloc[last[-1] :]]
+        if held:
+            yield done(pd.concat(held, ignore_index=True))
+
+    return spread.mapInPandas(run, schema)
+
+
 def greedy_pairs(events: DataFrame, keys: Sequence[str], index: str, time: str, left: Column, right: Column, blocks: Column, tolerance: float) -> DataFrame:
     """One-to-one pairs of ``left`` and ``right`` events, nearest first.
 
@@ -23,7 +71,6 @@ def greedy_pairs(events: DataFrame, keys: Sequence[str], index: str, time: str,
     the nearest free right event within ``tolerance`` unless a blocking event lies between the two
     by index. Left events without one are returned with NULLs.
     """
-    kinds = dict(events.dtypes)
     rows = events.select(*keys, F.col(index).cast("long").alias("i"), F.col(time).cast("double").alias("t"), left.alias("l"), right.alias("r"), blocks.alias("b"))
     rows = rows.where("l or r or b")
     # no pair crosses a gap in time above the tolerance; where indexes keep to that order too, no blocking event does
@@ -33,10 +80,16 @@ def greedy_pairs(events: DataFrame, keys: Sequence[str], index: str, time: str,
     apart = (F.col("t") - F.lag("t").over(w) > tolerance) & (F.col("_low") > F.col("_high"))
     rows = rows.withColumn("_block", F.sum(F.coalesce(apart, F.lit(False)).cast("long")).over(w)).drop("_low", "_high")
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, t, is_left, is_right = (pdf[c].to_numpy() for c in ("i", "t", "l", "r"))
-        wall = np.sort(i[pdf["b"].to_numpy()])
-        la, lb = np.flatnonzero(is_left), np.flatnonzero(is_right)
+    # blocks without a left event have no row, those without a right one no pair; the others are matched
+    own = Window.partitionBy(*keys, "_block")
+    rows = rows.withColumns({"_l": F.max("l").over(own), "_r": F.max("r").over(own)}).where("_l")
+    results = "left_index long, left_t double, right_index long, right_t double, distance double"
+    alone = rows.where("l and not _r").select(*keys, F.col("i").alias("left_index"), F.col("t").alias("left_t"), *[F.lit(None).cast(k).alias(c) for c, k in (("right_index", "long"), ("right_t", "double"), ("distance", "double"))])
+
+    def match(c: dict[str, np.ndarray]) -> dict[str, Sequence]:
+        i, t = c["i"], c["t"]
+        wall = np.sort(i[c["b"]])
+        la, lb = np.flatnonzero(c["l"]), np.flatnonzero(c["r"])
         la, lb = la[np.argsort(i[la], kind="stable")], lb[np.argsort(i[lb], kind="stable")]
         (ai, at), (ii, ti) = (i[la], t[la]), (i[lb], t[lb])
         by_time = np.argsort(ti, kind="stable")
@@ -58,14 +111,9 @@ def greedy_pairs(events: DataFrame, keys: Sequence[str], index: str, time: str,
                 out.append((ai[k], at[k], ii[j], ti[j], abs(ti[j] - at[k])))
             else:
                 out.append((ai[k], at[k], None, None, None))
-        got = pd.DataFrame(out, columns=["left_index", "left_t", "right_index", "right_t", "distance"])
-        for c in reversed(list(keys)):
-            got.insert(0, c, pdf[c].iloc[0])
-        got["right_index"] = got["right_index"].astype("Int64")
-        return got
+        return dict(zip(("left_index", "left_t", "right_index", "right_t", "distance"), zip(*out)))
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", left_index long, left_t double, right_index long, right_t double, distance double"
-    return rows.groupBy(*keys, "_block").applyInPandas(match, schema)
+    return blockwise(rows.where("_r").drop("_l", "_r"), keys, match, results, ["i"]).union(alone)
 
 
 def combo_sequences(nitros: DataFrame, boosts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -125,27 +173,25 @@ def stitch_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     ended = F.col("t0") - F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1)) > 0.35
     parts = parts.withColumn("_block", F.sum(F.coalesce(ended, F.lit(False)).cast("long")).over(w))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t0", "t1", "part_id"], kind="stable").reset_index(drop=True)
+    def join(c: dict[str, np.ndarray]) -> dict[str, Sequence]:
         ends, rates, owner = np.zeros((0, 4)), np.zeros(0), []
-        for p in pdf.itertuples():
+        for t0, t1, hz, x0, y0, z0, x1, y1, z1 in zip(*(c[n].astype(float) for n in ("t0", "t1", "hz", "x0", "y0", "z0", "x1", "y1", "z1"))):
             best = None
             if len(ends):
-                gap, dhz = p.t0 - ends[:, 0], np.abs(p.hz - rates)
-                away = np.sqrt(((ends[:, 1:] - np.array([p.x0, p.y0, p.z0])) ** 2).sum(axis=1))
+                gap, dhz = t0 - ends[:, 0], np.abs(hz - rates)
+                away = np.sqrt(((ends[:, 1:] - np.array([x0, y0, z0])) ** 2).sum(axis=1))
                 fits = (gap >= -0.06) & (gap <= 0.35) & (dhz <= 1.5) & (away <= 3 + 30 * np.maximum(gap, 0))
                 if fits.any():
                     best = int(np.where(fits, away + 5 * np.abs(gap) + dhz, np.inf).argmin())
-            end = np.array([p.t1, p.x1, p.y1, p.z1])
+            end = np.array([t1, x1, y1, z1])
             if best is None:
-                best, ends, rates = len(ends), np.vstack((ends, end)), np.append(rates, p.hz)
+                best, ends, rates = len(ends), np.vstack((ends, end)), np.append(rates, hz)
             else:
-                ends[best], rates[best] = end, (rates[best] + p.hz) / 2
+                ends[best], rates[best] = end, (rates[best] + hz) / 2
             owner.append(best)
-        return pdf[[*keys, "part_id", "_block"]].assign(vehicle=np.array(owner, np.int64))
+        return {"part_id": c["part_id"], "_block": c["_block"], "vehicle": owner}
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "part_id"]) + ", _block long, vehicle long"
-    local = parts.groupBy(*keys, "_block").applyInPandas(join, schema)
+    local = blockwise(parts, keys, join, f"part_id {kinds['part_id']}, _block long, vehicle long", ["t0", "t1", "part_id"])
     # a block's vehicles come after all of the blocks before it
     order = Window.partitionBy(*keys).orderBy("_block", "vehicle")
     first = F.coalesce(~F.col("_block").eqNullSafe(F.lag("_block").over(order)) | (F.col("vehicle") != F.lag("vehicle").over(order)), F.lit(True))
@@ -302,16 +348,37 @@ def pair_corners(left: DataFrame, right: DataFrame, keys: Sequence[str], toleran
     wide = F.coalesce(F.col("s_start") - F.lag("s_start").over(w) > tolerance, F.lit(True))
     both = both.withColumn("_block", F.sum(wide.cast("long")).over(w))
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[pdf["_left"] == side].sort_values(["s_start", "corner"], kind="stable").reset_index(drop=True) for side in (True, False))
-        got = banded_pairs(a.s_start.to_numpy(), b.s_start.to_numpy(), tolerance) if len(a) and len(b) else []
-        out = pd.DataFrame([(a.corner[i], b.corner[j], a.s_start[i] - b.s_start[j]) for i, j in got], columns=["left_corner", "right_corner", "anchor_delta"])
-        for c in reversed(list(keys)):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
+    # a block of one side has no pair
+    own = Window.partitionBy(*keys, "_block")
+    both = both.withColumns({"_any": F.max("_left").over(own), "_all": F.min("_left").over(own)}).where("_any and not _all").drop("_any", "_all")
+
+    def pair(c: dict[str, np.ndarray]) -> dict[str, Sequence]:
+        (at, a), (bt, b) = ((c["s_start"][c["_left"] == side], c["corner"][c["_left"] == side]) for side in (True, False))
+        got = banded_pairs(at, bt, tolerance)
+        i, j = (np.array(x, int) for x in zip(*got)) if got else (np.zeros(0, int),) * 2
+        return {"left_corner": a[i], "right_corner": b[j], "anchor_delta": at[i] - bt[j]}
+
+    return blockwise(both, keys, pair, f"left_corner {kinds['corner']}, right_corner {kinds['corner']}, anchor_delta double", ["s_start", "corner"])
+
+
+def claim_in_order(candidates: DataFrame, keys: Sequence[str], claimant: str, item: str, order: Sequence[Column]) -> DataFrame:
+    """``keys, claimant, item``: claimants in ascending order, each with its first candidate that none before it has taken.
+
+    ``candidates`` have a row for each item that a claimant may take; ``order`` puts a claimant's items
+    in order, smallest first. A claimant whose items are all taken has a NULL item. A group of ``keys`` holds the
+    few claimants and items of one recording; their lists are worked through as arrays, without Python.
+    """
+    kinds = dict(candidates.dtypes)
+    ranked = candidates.groupBy(*keys, claimant).agg(F.array_sort(F.collect_list(F.struct(*[c.alias(f"_{k}") for k, c in enumerate(order)], F.col(item).alias("item")))).alias("_ranked"))
+    whole = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(claimant).alias("claimant"), "_ranked"))).alias("_all"))
+
+    def claim(done: Column, c: Column) -> Column:
+        free = F.filter(c["_ranked"], lambda x: ~F.exists(done, lambda d: d["item"].eqNullSafe(x["item"])))
+        return F.concat(done, F.array(F.struct(c["claimant"].alias("claimant"), F.get(free, F.lit(0))["item"].alias("item"))))
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", left_corner {kinds['corner']}, right_corner {kinds['corner']}, anchor_delta double"
-    return both.groupBy(*keys, "_block").applyInPandas(pair, schema)
+    none = F.array().cast(f"array<struct<claimant:{kinds[claimant]},item:{kinds[item]}>>")
+    claims = whole.select(*keys, F.explode(F.aggregate("_all", none, claim)).alias("c"))
+    return claims.select(*keys, F.col("c.claimant").alias(claimant), F.col("c.item").alias(item))
 
 
 def unique_or_role(requests: DataFrame, table: DataFrame, ident: str, role: str, value: str) -> DataFrame:

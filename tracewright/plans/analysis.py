@@ -8,28 +8,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import matching, sections, sets, temporal
+from ..operators import matching, sections, semantics, sets, temporal
 from ..operators import sequences as seq
 from ..sources import native_tables, recordings
+from ..storage import kept
 
-#: Effect codes and the action codes of the combination count.
+#: Effect codes.
 NITRO, SMALL_BOOST, MAP_PROPULSION = 1.0, 2001.0, 2003.0
-CW, WCW, MARKER = 25, 19, 24
 STREAM, ORDER = ["replay_sha", "stream"], ["i"]
+LOCAL = "role = 'local_high_frequency'"
 
 
 @dataclass
 class Silver:
     rows: DataFrame  # telemetry by stream, with breaks, laps and roles
-    drifts: DataFrame  # logical drift groups, ms
-    effects: DataFrame  # effect intervals with their meaning, ms
-    air: DataFrame  # air intervals, ms
-    actions: DataFrame  # action events
+    tables: DataFrame  # the native table of each stream, or why it has none
+    drifts: DataFrame  # logical drift groups by stream, ms
+    effects: DataFrame  # effect intervals by stream with their meaning, ms
+    air: DataFrame  # air intervals by stream, ms
+    actions: DataFrame  # action events, which are the local vehicle's
 
 
 def stitched(rows: DataFrame) -> DataFrame:
@@ -47,39 +48,31 @@ def stitched(rows: DataFrame) -> DataFrame:
     return kept.withColumn("i", (F.row_number().over(w) - 1).cast(dict(rows.dtypes)["i"]))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A table that several others are made of: written once to the session's checkpoint folder, or kept on disk where it has none."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def silver(files: DataFrame) -> Silver:
     """Telemetry and intervals of recordings ``(replay_sha, content)``; each recording is decoded once."""
     found = recordings.streams(recordings.stream_candidates(files))
-    rows = _kept(stitched(_kept(recordings.telemetry(recordings.decode(files, found)))))
+    rows = kept(stitched(kept(recordings.telemetry(recordings.decode(files, found)))))
     rows = seq.repair_breaks(seq.pose_breaks(rows, STREAM, ORDER), STREAM, ORDER)
     rows = rows.withColumn("speed", F.col("speed_fixed")).drop("speed_fixed")
     rows = rows.withColumn("moved", F.when(F.col("break_before"), 0.0).otherwise(F.col("step")))
     rows = seq.cumulative(rows.drop("distance"), STREAM, ORDER, "moved", "distance").drop("moved")
     vehicles = recordings.stream_parts(rows)
-    roles = sets.assign_roles(vehicles.withColumnRenamed("part_id", "stream"), ["replay_sha"], tie="stream").select("replay_sha", "stream", "role")
-    rows = _kept(rows.join(roles, STREAM))
-    # native tables belong to the recording's own vehicle, the local stream
-    local = rows.where("role = 'local_high_frequency'")
-    rises = seq.rising_edges(local, ["replay_sha"], ["i"], F.col("input_64") != 0).select("replay_sha", F.col("time_ms").alias("t"))
-    tables = _kept(native_tables.drift_tables(files))
-    drifts = seq.logical_groups(native_tables.drift_intervals(tables, rises), ["replay_sha"])
-    air = seq.state_intervals(local, ["replay_sha"], ["i"], "contact_state", 0, "time_ms", 100)
-    effects = classify_effects(native_tables.effect_intervals(tables, rises), air, drifts)
-    return Silver(rows, drifts, effects, air, native_tables.action_events(files))
-
-
-def classify_effects(effects: DataFrame, air: DataFrame, drifts: DataFrame) -> DataFrame:
-    """Effect intervals with ``semantic``: by code, and small boosts by what surrounds them."""
-    key = ["replay_sha"]
+    roles = sets.assign_roles(vehicles.withColumnRenamed("part_id", "stream"), ["replay_sha"], tie="stream").select("replay_sha", "stream", "shadow", "role")
+    rows = kept(rows.join(roles.drop("shadow"), STREAM))
+    rises = seq.rising_edges(rows, STREAM, ORDER, F.col("input_64") != 0).select(*STREAM, F.col("time_ms").alias("t"))
+    tables = kept(native_tables.assign_tables(kept(native_tables.drift_tables(files)), roles, rises))
+    drifts = seq.logical_groups(native_tables.vehicle_drifts(tables), STREAM)
+    air = seq.state_intervals(rows, STREAM, ORDER, "contact_state", 0, "time_ms", 100)
+    effects = classify_effects(native_tables.vehicle_effects(tables), air, drifts, STREAM)
+    local = rows.where(LOCAL).select(*STREAM).distinct()
+    return Silver(rows, tables, drifts, effects, air, native_tables.action_events(files).join(local, "replay_sha"))
+
+
+def classify_effects(effects: DataFrame, air: DataFrame, drifts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Effect intervals with ``semantic``: by code, and small boosts by what surrounds them in the stream of ``keys`` (the recording, if not given)."""
+    key = keys or ["replay_sha"]
     small = effects.where(F.col("code") == SMALL_BOOST)
-    landings = air.where("not open_end").select("replay_sha", F.col("end_t").alias("t"))
+    landings = air.where("not open_end").select(*key, F.col("end_t").alias("t"))
     named = temporal.classify_context(small, air.where("validated"), landings, drifts.withColumnRenamed("group", "id"), key, "ordinal").withColumnRenamed("subtype", "semantic")
     other = effects.where(F.col("code") != SMALL_BOOST).withColumn(
         "semantic", F.when(F.col("code") == NITRO, "nitro").when(F.col("code") == MAP_PROPULSION, "map_propulsion_effect").otherwise("unknown_speed_effect")
@@ -95,21 +88,20 @@ def laps(rows: DataFrame) -> DataFrame:
 
 def segments(s: Silver, gap_ms: float = 150, window_ms: float = 2000) -> DataFrame:
     """Analysis segments: merged drifts, with the lap of their first drift and their recovery's end."""
-    merged = seq.merge_segments(s.drifts, ["replay_sha"], gap_ms)
-    ended = seq.recovery_end(merged, s.effects, ["replay_sha"], s.air.where("validated"), window_ms)
-    local = s.rows.where("role = 'local_high_frequency'").select("replay_sha", "time_ms", "lap_index")
-    start = temporal.nearest(ended, local, ["replay_sha"], "start_t", "time_ms", "lap_index")
-    end = temporal.nearest(start.withColumnRenamed("near", "lap").drop("near_t"), local, ["replay_sha"], "end_t", "time_ms", "lap_index")
+    merged = seq.merge_segments(s.drifts, STREAM, gap_ms)
+    ended = seq.recovery_end(merged, s.effects, STREAM, s.air.where("validated"), window_ms)
+    driven = s.rows.select(*STREAM, "time_ms", "lap_index")
+    start = temporal.nearest(ended, driven, STREAM, "start_t", "time_ms", "lap_index")
+    end = temporal.nearest(start.withColumnRenamed("near", "lap").drop("near_t"), driven, STREAM, "end_t", "time_ms", "lap_index")
     return end.withColumn("crosses_lap", F.col("near") != F.col("lap")).drop("near", "near_t")
 
 
 def episodes(s: Silver) -> DataFrame:
     """One row a logical drift: speeds, effects and events inside, latency of the first boost after it."""
-    key = ["replay_sha"]
-    local = s.rows.where("role = 'local_high_frequency'")
+    key = STREAM
     d = s.drifts.withColumnRenamed("group", "drift")
-    p = local.select("replay_sha", F.col("time_ms").alias("_t"), "speed", "slip", "distance", "lap_index")
-    inside = temporal.range_join(p, d.select("replay_sha", "drift", "start_t", "end_t"), key, "_t", width=2000).groupBy("replay_sha", "drift").agg(
+    p = s.rows.select(*key, F.col("time_ms").alias("_t"), "speed", "slip", "distance", "lap_index")
+    inside = temporal.range_join(p, d.select(*key, "drift", "start_t", "end_t"), key, "_t", width=2000).groupBy(*key, "drift").agg(
         F.min_by("speed", "_t").alias("entry_speed"), F.max_by("speed", "_t").alias("exit_speed"), F.min("speed").alias("min_speed"), F.max("speed").alias("max_speed"), F.avg("speed").alias("avg_speed"),
         F.max(F.abs(F.degrees("slip"))).alias("peak_slip_deg"), F.avg(F.abs(F.degrees("slip"))).alias("mean_slip_deg"), (F.max("distance") - F.min("distance")).alias("length"), F.min_by("lap_index", "_t").alias("lap"),
     )
@@ -118,35 +110,40 @@ def episodes(s: Silver) -> DataFrame:
     out = temporal.counts_inside(d, s.effects, key, "drift", "start_t", kinds)
     out = temporal.counts_inside(out, s.actions.where("time_ms is not null"), key, "drift", "time_ms", {"events": F.lit(True)})
     out = temporal.first_after(out, boosts, key, "drift", "start_t", 2000, "first_boost_ms")
-    out = out.join(inside, ["replay_sha", "drift"], "left")
-    number = F.row_number().over(Window.partitionBy("replay_sha", "lap").orderBy("start_t"))
+    out = out.join(inside, [*key, "drift"], "left")
+    number = F.row_number().over(Window.partitionBy(*key, "lap").orderBy("start_t"))
     return out.withColumn("episode_id", F.when(F.col("lap").isNotNull(), F.format_string("L%d-D%02d", "lap", number)))
 
 
-def action_semantics(s: Silver, tolerance_ms: float = 2) -> DataFrame:
-    """Counts of the combinations, withheld where the action table doesn't line up with the effects."""
-    a = s.actions.where("time_ms is not null")
-    code = F.col("action_code")
-    anchors = s.effects.where(F.col("code") == SMALL_BOOST)
-    near = temporal.near_any(anchors, a, ["replay_sha"], "start_t", "time_ms", tolerance_ms).select("replay_sha", "ordinal", F.lit(True).alias("_near"))
-    flagged = anchors.join(near, ["replay_sha", "ordinal"], "left").withColumn("aligned", F.coalesce("_near", F.lit(False)))
-    gate = agg.alignment_gate(flagged, ["replay_sha"])
-    pairs = matching.greedy_pairs(a, ["replay_sha"], "record_index", "time_ms", code == CW, code == MARKER, code.isin(MARKER, WCW), 500)
-    cw = pairs.groupBy("replay_sha").agg(F.count("right_index").alias("cw"))
-    counts = a.groupBy("replay_sha").agg(F.count_if(code == MARKER).alias("n24"), F.count_if(code == WCW).alias("n19")).join(cw, "replay_sha", "left")
-    counts = agg.marker_accounting(counts.withColumn("cw", F.coalesce("cw", F.lit(0))))
-    out = counts.join(gate, "replay_sha", "left")
-    out = out.withColumns({"gate": F.coalesce("gate", F.lit("not_applicable")), "counts_allowed": F.coalesce("counts_allowed", F.lit(True))})
+def action_semantics(s: Silver) -> DataFrame:
+    """Counts of the combinations of each recording's own vehicle, withheld where the action table doesn't line up with the effects."""
+    events = s.actions.where("time_ms is not null")
+    counts, _ = semantics.combinations(events, STREAM)
+    out = counts.join(semantics.alignment(events, s.effects, STREAM), STREAM).withColumnRenamed("allowed", "counts_allowed")
     return agg.product_statistics(out, ["cw", "wcw", "cww"])
 
 
+def action_document(s: Silver) -> DataFrame:
+    """The whole document of action semantics of each recording's own vehicle; see ``operators.semantics``."""
+    local = s.rows.where(LOCAL).select(*STREAM).distinct()
+    # effects of a table that isn't valid were never decoded
+    found = s.tables.select(*STREAM, F.col("count_offset").isNotNull().alias("drift_table"), F.coalesce("effect_valid", F.lit(False)).alias("effect_table"))
+    own = lambda df: df.join(local, STREAM, "left_semi")
+    return semantics.action_semantics(local.join(found, STREAM), s.actions, own(s.effects), own(native_tables.vehicle_drifts(s.tables)), own(s.drifts), STREAM)
+
+
+def combo_placements(s: Silver) -> DataFrame:
+    """When each combination was placed, in seconds, of recordings whose counts are the game's own."""
+    return semantics.placements(s.actions, action_document(s), STREAM)
+
+
 def lap_table(s: Silver) -> DataFrame:
     """Figures of each lap with its drifts and boosts; NULL, not 0, for streams without native tables."""
     m = agg.lap_metrics(s.rows, [*STREAM, "role", "lap_index"], "speed", "time_s", "distance")
-    e = episodes(s).groupBy("replay_sha", F.col("lap").alias("lap_index")).agg(F.count("*").alias("drifts"), (F.sum("duration") / 1000).alias("drift_s"), F.sum("drift_small_boost_starts").alias("small_boosts"))
-    j = m.join(e, ["replay_sha", "lap_index"], "left")
-    local = F.col("role") == "local_high_frequency"
-    return j.withColumns({c: F.when(local, F.coalesce(c, F.lit(0))) for c in ("drifts", "drift_s", "small_boosts")})
+    e = episodes(s).groupBy(*STREAM, F.col("lap").alias("lap_index")).agg(F.count("*").alias("drifts"), (F.sum("duration") / 1000).alias("drift_s"), F.sum("drift_small_boost_starts").alias("small_boosts"))
+    known = s.tables.where("count_offset is not null").select(*STREAM, F.lit(True).alias("_known"))
+    j = m.join(e, [*STREAM, "lap_index"], "left").join(known, STREAM, "left")
+    return j.withColumns({c: F.when(F.col("_known"), F.coalesce(c, F.lit(0))) for c in ("drifts", "drift_s", "small_boosts")}).drop("_known")
 
 
 def turn_sections(rows: DataFrame, step: float = 1.0) -> DataFrame:
@@ -173,6 +170,6 @@ def documents(s: Silver) -> DataFrame:
     out = s.rows.select("replay_sha").distinct()
     for name, df in (("laps", lap_table(s)), ("segments", segments(s)), ("episodes", episodes(s))):
         out = out.join(pack(df, name), "replay_sha", "left")
-    semantics = action_semantics(s)
-    one = semantics.select("replay_sha", F.struct(*[c for c in semantics.columns if c != "replay_sha"]).alias("actions"))
+    told = action_document(s)
+    one = told.select("replay_sha", F.struct(*[c for c in told.columns if c != "replay_sha"]).alias("actions"))
     return out.join(one, "replay_sha", "left").withColumns({"contract": F.lit("trajectory_analysis"), "schema_version": F.lit(1)})

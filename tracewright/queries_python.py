@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +10,6 @@ from .operators import matching, sections
 from .operators import sequences as seq
 from .functions.scalar import round_even
 from .registry import HOUR, events, query
-from .sources import native_tables, recordings, synthetic
 
 U, ORDER = ["user_id"], ["t", "event_id"]
 
@@ -102,59 +100,6 @@ def corner_windows(spark: SparkSession, d: str) -> DataFrame:
     return cmp.corner_windows(c, U)
 
 
-def _recordings(spark: SparkSession, d: str) -> DataFrame:
-    """Synthetic containers, one for each user of the events, made in tasks.
-
-    Each holds two vehicles, an unmarked toggle table with an empty effect table before the real one,
-    the drift table with its effects, and the action table.
-    """
-
-    def make(batches):
-        for batch in batches:
-            made = []
-            for u in batch.column("user_id").to_pylist():
-                k, m = u % 25, 10 * (u % 100)
-                cars = [synthetic.vehicle_records(240, 17, 0, 0.2 + k / 100), synthetic.vehicle_records(120, 50, 30, 0.5, 40.0)]
-                decoy = synthetic.toggle_table([(100, 500), (600, 1000 + m)], marked=False) + synthetic.effect_table([])
-                drifts = [(5000 + m, 5400 + m), (5450 + m, 5800 + m), (9000, 9700)]
-                effects = [(5850 + m, 1, 2001.0), (6200 + m, 0, 2001.0), (9800, 1, 1.0), (9900, 0, 1.0)]
-                body = b"".join(c + b"\xff" * 512 for c in cars)
-                made.append(body + decoy + b"\xff" * 64 + synthetic.recording([], drifts, effects, [1000, 1283, 2000 + m, 6000], [24, 25, 19, 24]))
-            yield pa.RecordBatch.from_arrays([pa.array([f"sha{u:05d}" for u in batch.column("user_id").to_pylist()], pa.string()), pa.array(made, pa.binary())], names=["replay_sha", "content"])
-
-    users = spark.read.parquet(f"{d}/events.parquet").select("user_id").where("user_id is not null").distinct()
-    return users.mapInArrow(make, "replay_sha string, content binary")
-
-
-_USERS_SQL = "u AS (SELECT DISTINCT user_id, printf('sha%05d', user_id) AS replay_sha, 10 * (user_id % 100) AS m FROM ev)"
-
-
-@query(_USERS_SQL + """ SELECT replay_sha, stream, n_rows, last_ms, 11.765::DOUBLE AS speed, 2 AS laps
-FROM u, (VALUES (0, 240, 4063), (1, 120, 5980)) AS s(stream, n_rows, last_ms)""")
-def sav_decode(spark: SparkSession, d: str) -> DataFrame:
-    r = _recordings(spark, d)
-    rows = recordings.telemetry(recordings.decode(r, recordings.streams(recordings.stream_candidates(r))))
-    return rows.groupBy("replay_sha", "stream").agg(F.count("*").alias("n_rows"), F.max("time_ms").alias("last_ms"), F.round(F.avg("speed"), 3).alias("speed"), F.max("lap_index").alias("laps"))
-
-
-@query(_USERS_SQL + """ SELECT replay_sha, ordinal, a + CASE WHEN ordinal < 2 THEN m ELSE 0 END AS start_t, b + CASE WHEN ordinal < 2 THEN m ELSE 0 END AS end_t
-FROM u, (VALUES (0, 5000, 5400), (1, 5450, 5800), (2, 9000, 9700)) AS s(ordinal, a, b)""")
-def drift_table_decode(spark: SparkSession, d: str) -> DataFrame:
-    return native_tables.drift_intervals(native_tables.drift_tables(_recordings(spark, d)))
-
-
-@query(_USERS_SQL + """ SELECT replay_sha, ordinal, code, code_bits, a + moves * m AS start_t, b + moves * m AS end_t, b - a AS duration
-FROM u, (VALUES (0, 2001.0::DOUBLE, 1157242880, 5850, 6200, 1), (1, 1.0::DOUBLE, 1065353216, 9800, 9900, 0)) AS s(ordinal, code, code_bits, a, b, moves)""")
-def effect_table_decode(spark: SparkSession, d: str) -> DataFrame:
-    return native_tables.effect_intervals(native_tables.drift_tables(_recordings(spark, d)))
-
-
-@query(_USERS_SQL + """ SELECT replay_sha, record_index, t + moves * m AS time_ms, action_code
-FROM u, (VALUES (0, 1000, 24, 0), (1, 1283, 25, 0), (2, 2000, 19, 1), (3, 6000, 24, 0)) AS s(record_index, t, action_code, moves)""")
-def action_table_decode(spark: SparkSession, d: str) -> DataFrame:
-    return native_tables.action_events(_recordings(spark, d)).select("replay_sha", "record_index", "time_ms", "action_code")
-
-
 @query(_LAPS_SQL + """, i AS (SELECT user_id, x, y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM p),
 s AS (SELECT * FROM i WHERE i % greatest(1, CAST(ceil(n / 100.0) AS BIGINT)) = 0),
 t AS (SELECT DISTINCT user_id, floor(x / 50) * 50 AS x0 FROM p),

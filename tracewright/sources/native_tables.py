@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import temporal
+from ..operators import matching, temporal
 from ..operators.sets import drift_candidate_score
 
 #: Fixed values of the formats.
@@ -83,9 +83,17 @@ def read_effects(data: bytes, at: int, most: int = 5000) -> tuple[str, list[tupl
     return ("adjacent_speed_effect_table_validated" if n else "adjacent_speed_effect_table_empty_validated"), out
 
 
-def drift_candidates(data: bytes, tail: int = TAIL) -> Iterator[dict]:
-    """Every toggle table of the tail, with the effect table that follows it."""
-    low = max(0, len(data) - max(32_768, tail))
+def tail_start(size: int, tail: int = TAIL) -> int:
+    """First byte of a file of ``size`` bytes at which a table may be looked for."""
+    return max(0, size - max(32_768, tail))
+
+
+def drift_candidates(data: bytes, tail: int = TAIL, base: int = 0) -> Iterator[dict]:
+    """Every toggle table of the tail, with the effect table that follows it.
+
+    ``data`` are the bytes of a file from ``base`` on; offsets are those in the file.
+    """
+    low = max(0, tail_start(base + len(data), tail) - base)
     b = np.frombuffer(data, np.uint8)
     if len(b) < 14:
         return
@@ -107,7 +115,7 @@ def drift_candidates(data: bytes, tail: int = TAIL) -> Iterator[dict]:
         end = o + 4 + 10 * len(pairs)
         status, effects = read_effects(data, end)
         valid = status.startswith("adjacent_speed_effect_table")
-        yield {"count_offset": o, "marker": has_marker, "effect_valid": valid, "effect_status": status, "effect_records": 2 * len(effects), "intervals": pairs.tolist(), "effects": effects}
+        yield {"count_offset": base + o, "marker": has_marker, "effect_valid": valid, "effect_status": status, "effect_records": 2 * len(effects), "intervals": pairs.tolist(), "effects": effects}
 
 
 _DRIFT = (
@@ -164,6 +172,66 @@ def effect_intervals(tables: DataFrame, rises: DataFrame | None = None) -> DataF
     return rows.select("replay_sha", "ordinal", "e.code", "e.code_bits", F.col("e.start_ms").alias("start_t"), F.col("e.end_ms").alias("end_t"), (F.col("e.end_ms") - F.col("e.start_ms")).alias("duration"))
 
 
+#: What a vehicle's choice of a table comes to.
+TABLE_FOUND, TABLE_EMPTY = "replay_native_drift_table_validated", "replay_native_drift_table_validated_empty"
+TABLE_MISSING, TABLE_REFUSED = "native_action_object_drift_table_not_found", "native_action_object_drift_table_not_validated"
+
+
+def assign_tables(tables: DataFrame, vehicles: DataFrame, rises: DataFrame, tolerance_ms: float = 34) -> DataFrame:
+    """Each vehicle with the drift table that is its own: ``replay_sha, stream, shadow, count_offset, status`` and figures.
+
+    ``vehicles`` (``replay_sha, stream, shadow``) choose by ascending ``shadow``, their role's rank, each the eligible
+    table of the highest score whose offset no earlier one has claimed; on equal scores more
+    intervals win, then the earlier table. ``rises`` (``replay_sha, stream, t`` in ms) are the moments at
+    which a vehicle began to press the drift key: a table scores by how many of its starts are near one.
+
+    ``matches`` and ``share`` are those of the chosen table, ``retriggers`` its vehicle's rises inside an interval but not
+    at a start, ``outside`` the rises in no interval, ``n_rises`` all; ``eligible`` and ``refused`` count the tables
+    it could choose from and those without proof. Vehicles without a table keep a row with NULLs, so that a
+    missing table is never an empty one. ``intervals`` and ``effects`` are the table's contents.
+    """
+    key, own = ["replay_sha"], ["replay_sha", "stream"]
+    eligible = tables.where("eligible").withColumn("n", F.size("intervals"))
+    starts = eligible.select(*key, "count_offset", F.posexplode("intervals").alias("k", "i")).select(*key, "count_offset", "k", F.col("i")[0].alias("start_t"))
+    near = temporal.near_any(starts.join(vehicles.select(*own), key), rises.select(*own, "t"), own, "start_t", "t", tolerance_ms)
+    matched = near.groupBy(*own, "count_offset").agg(F.count("*").alias("matches"))
+    scored = eligible.drop("intervals", "effects").join(vehicles.select(*own, "shadow"), key).join(matched, [*own, "count_offset"], "left")
+    scored = scored.withColumn("matches", F.coalesce("matches", F.lit(0))).withColumn("share", F.when(F.col("n") > 0, F.col("matches") / F.col("n")).otherwise(1.0))
+    c = {"marker": F.col("marker"), "effect": F.col("effect_valid"), **{x: F.col(x) for x in ("effect_records", "matches", "share")}, "intervals": F.col("n")}
+    claims = matching.claim_in_order(scored, key, "shadow", "count_offset", [-drift_candidate_score(c), -F.col("n"), F.col("count_offset")])
+
+    seen = tables.groupBy(*key).agg(F.count("*").alias("_tables"), F.count_if("eligible").alias("_eligible"))
+    before = Window.partitionBy(*key).orderBy("shadow").rowsBetween(Window.unboundedPreceding, -1)
+    out = vehicles.select(*own, "shadow").join(claims, [*key, "shadow"], "left").join(seen, key, "left")
+    out = out.withColumns({"eligible": F.coalesce("_eligible", F.lit(0)) - F.count("count_offset").over(before), "refused": F.coalesce(F.col("_tables") - F.col("_eligible"), F.lit(0))})
+    out = out.join(scored.select(*own, "count_offset", "marker", "effect_valid", "matches", "share", "n"), [*own, "count_offset"], "left")
+    out = out.join(eligible.select(*key, "count_offset", "intervals", "effects"), [*key, "count_offset"], "left")
+    found = F.when(F.col("n") > 0, TABLE_FOUND).when(F.col("n") == 0, TABLE_EMPTY)
+    out = out.withColumn("status", F.coalesce(found, F.when(F.coalesce("_tables", F.lit(0)) == 0, TABLE_MISSING), F.lit(TABLE_REFUSED))).drop("_tables", "_eligible")
+
+    spans = out.select(*own, F.explode("intervals").alias("i")).select(*own, F.col("i")[0].alias("start_t"), F.col("i")[1].alias("end_t"))
+    pressed = rises.select(*own, "t").withColumn("rise", F.monotonically_increasing_id())
+    at = temporal.near_any(pressed, spans, own, "t", "start_t", tolerance_ms).select("rise", F.lit(True).alias("at_start"))
+    told = temporal.mark_intervals(pressed, spans, own, "t", "inside").join(at, "rise", "left")
+    told = told.groupBy(*own).agg(
+        F.count("*").alias("n_rises"), F.count_if(F.col("inside") & F.col("at_start").isNull()).alias("retriggers"), F.count_if(~F.col("inside") & F.col("at_start").isNull()).alias("outside"),
+    )
+    out = out.join(told, own, "left").withColumn("n_rises", F.coalesce("n_rises", F.lit(0)))
+    return out.withColumns({x: F.when(F.col("count_offset").isNotNull(), F.coalesce(x, F.lit(0))) for x in ("retriggers", "outside")})
+
+
+def vehicle_drifts(assigned: DataFrame) -> DataFrame:
+    """Drift intervals of every vehicle of ``assign_tables``: ``replay_sha, stream, ordinal, start_t, end_t``."""
+    rows = assigned.select("replay_sha", "stream", F.posexplode("intervals").alias("ordinal", "i"))
+    return rows.select("replay_sha", "stream", "ordinal", F.col("i")[0].alias("start_t"), F.col("i")[1].alias("end_t"))
+
+
+def vehicle_effects(assigned: DataFrame) -> DataFrame:
+    """Effect intervals next to the drift table of every vehicle of ``assign_tables``."""
+    rows = assigned.select("replay_sha", "stream", F.posexplode("effects").alias("ordinal", "e"))
+    return rows.select("replay_sha", "stream", "ordinal", "e.code", "e.code_bits", F.col("e.start_ms").alias("start_t"), F.col("e.end_ms").alias("end_t"), (F.col("e.end_ms") - F.col("e.start_ms")).alias("duration"))
+
+
 def locate_actions(data: bytes, most: int = 5000) -> tuple[str, int | None]:
     """Where the action table's count is: by the fixed trailer, else by structure; ambiguity refuses."""
     size = len(data)

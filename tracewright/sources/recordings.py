@@ -43,6 +43,10 @@ LAYOUTS = (
     Layout("2025", 218, 16, 32, velocity=44),
     Layout("2026", 230, 8, 24, velocity=173, contact=52, lap=76, inputs=60),
 )
+#: Lanes looked at around a record's start, and the limits of what may be a state.
+FIRST_LANE, LAST_LANE, MOST_STATE, LEAST_CHANGES, MOST_CHANGES = -96, 96, 7, 8, 2500
+#: Records whose lanes are profiled at a time.
+LANE_RECORDS = 1 << 16
 #: Phase of a second pose within a 2026 record, which a scan mistakes for another vehicle.
 ALIAS_PHASE = 137
 
@@ -173,6 +177,49 @@ def streams(candidates: DataFrame) -> DataFrame:
     return kept.withColumn("stream", F.row_number().over(Window.partitionBy("replay_sha").orderBy("start_byte")) - 1)
 
 
+def state_lanes(data: np.ndarray, start: int, stride: int, records: int) -> list[dict]:
+    """Lanes of bytes around the records that look like a state: 2 to 8 values up to 7 which change, but not too often.
+
+    A lane lies at the same offset from every record's start. What is known of each lane, counts by value and
+    the number of changes, adds up over stretches of records, so that memory doesn't grow with them.
+    """
+    lanes = np.arange(FIRST_LANE, LAST_LANE + 1)
+    lanes = lanes[(start + lanes >= 0) & (start + stride * (records - 1) + lanes < len(data))]
+    counts, changes = np.zeros((len(lanes), MOST_STATE + 1), np.int64), np.zeros(len(lanes), np.int64)
+    last, alive = None, np.ones(len(lanes), bool)
+    for at in range(0, records, LANE_RECORDS):
+        first = start + stride * np.arange(at, min(at + LANE_RECORDS, records))
+        v = data[first[:, None] + lanes]
+        alive &= (v <= MOST_STATE).all(axis=0)
+        whole = v if last is None else np.vstack((last, v))
+        changes += (whole[1:] != whole[:-1]).sum(axis=0)
+        counts += np.stack([(v == k).sum(axis=0) for k in range(MOST_STATE + 1)], axis=1)
+        last = v[-1:]
+    distinct = (counts > 0).sum(axis=1)
+    found = alive & (distinct >= 2) & (changes >= LEAST_CHANGES) & (changes <= min(MOST_CHANGES, max(LEAST_CHANGES, records // 2)))
+    return [{"lane": int(lanes[k]), "changes": int(changes[k]), "states": np.flatnonzero(counts[k]).tolist(), "counts": counts[k][counts[k] > 0].tolist()} for k in np.flatnonzero(found)]
+
+
+_LANES = "replay_sha string, stream int, lane int, changes long, states array<int>, counts array<long>"
+
+
+def discover_states(recordings: DataFrame, found: DataFrame) -> DataFrame:
+    """For each stream of ``streams`` the lanes that look like a state: ``replay_sha, stream, lane, changes, states, counts``."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("replay_sha", pa.string()), ("stream", pa.int32()), ("lane", pa.int32()), ("changes", pa.int64()), ("states", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in ("replay_sha", "stream", "profile", "start_byte", "records")}
+                data = np.frombuffer(batch.column("content")[k].as_buffer(), np.uint8)
+                stride = next(x.stride for x in LAYOUTS if x.name == row["profile"])
+                lanes = state_lanes(data, row["start_byte"], stride, row["records"])
+                yield pa.RecordBatch.from_pylist([{"replay_sha": row["replay_sha"], "stream": row["stream"]} | x for x in lanes], kinds)
+
+    where = found.select("replay_sha", "stream", "profile", "start_byte", "records")
+    return recordings.select("replay_sha", "content").join(where, "replay_sha").mapInArrow(look, _LANES)
+
+
 _ROWS = (
     "replay_sha string, stream int, i int, time_ms long, qx double, qy double, qz double, qw double, x double, y double, z double, vx double, vy double, vz double, "
     "contact_state int, lap_index int, " + ", ".join(f"input_{k} int" for k in range(60, 66))

@@ -7,21 +7,38 @@ import struct
 import numpy as np
 
 from .native_tables import MARKER, TRAILER
+from .recordings import LAYOUTS
 
 
-def vehicle_records(n: int = 240, step_ms: int = 17, start_ms: int = 0, scale: float = 0.2, shift: float = 0.0) -> bytes:
-    """2026 records on a gentle wave, two laps, speed 11.765, full contact."""
-    out = bytearray(230 * n)
-    for i in range(n):
-        o = 230 * i
+def vehicle_records(
+    n: int = 240, step_ms: int = 17, start_ms: int = 0, scale: float = 0.2, shift: float = 0.0, layout: str = "2026", wave: float = 2.0, yaw: float = 0.0,
+    presses: list[tuple[int, int]] | None = None, second_phase: int | None = None, second_shift: float = 0.0,
+) -> bytes:
+    """Records of ``layout`` on a gentle wave: two laps, speed 11.765 and full contact, where the layout has them.
+
+    ``presses`` are the records (first, after the last) in which the drift key is down. ``second_phase`` puts
+    a second pose into all records but the last, so many bytes after each start, on the path moved by ``second_shift``.
+    """
+    of = next(x for x in LAYOUTS if x.name == layout)
+    out = bytearray(of.stride * n)
+
+    def pose(o: int, i: int, moved: float) -> None:
         struct.pack_into("<I", out, o, start_ms + i * step_ms)
-        struct.pack_into("<4f", out, o + 8, 0, 0, 0, 1)
-        struct.pack_into("<3f", out, o + 24, scale * i + shift, 2 * np.sin(i / 30), 0)
-        struct.pack_into("<i", out, o + 52, 5)
-        for c in range(6):
-            out[o + 60 + c] = (i + c) % 23 < 4
-        struct.pack_into("<i", out, o + 76, 1 if i < n // 2 else 2)
-        struct.pack_into("<3f", out, o + 173, 11.765, 0, 0)
+        struct.pack_into("<4f", out, o + of.quaternion, 0, 0, np.sin(yaw / 2), np.cos(yaw / 2))
+        struct.pack_into("<3f", out, o + of.position, scale * i + shift, wave * np.sin(i / 30) + moved, 0)
+
+    for i in range(n):
+        o = of.stride * i
+        pose(o, i, 0.0)
+        if second_phase is not None and i < n - 1:
+            pose(o + second_phase, i, second_shift)
+        if of.contact is not None:
+            struct.pack_into("<i", out, o + of.contact, 5)
+            struct.pack_into("<i", out, o + of.lap, 1 if i < n // 2 else 2)
+            for c in range(6):
+                out[o + of.inputs + c] = (i + c) % 23 < 4 if presses is None or c != 4 else any(a <= i < b for a, b in presses)
+        if of.velocity is not None:
+            struct.pack_into("<3f", out, o + of.velocity, 11.765, 0, 0)
     return bytes(out)
 
 
