@@ -25,7 +25,7 @@ def blockwise(rows: DataFrame, keys: Sequence[str], work: Callable[[dict[str, np
     """
     group, kinds = [*keys, "_block"], dict(rows.dtypes)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartition(n, *group).sortWithinPartitions(*group, *order)
+    spread = rows.repartition(n, F.xxhash64(*group)).sortWithinPartitions(*group, *order)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {results}"
 
     def starts(pdf: pd.DataFrame) -> np.ndarray:

@@ -50,7 +50,7 @@ def stitched(rows: DataFrame) -> DataFrame:
 
 def silver(files: DataFrame) -> Silver:
     """Telemetry and intervals of recordings ``(replay_sha, content)``; each recording is decoded once."""
-    found = recordings.streams(recordings.stream_candidates(files))
+    found = kept(recordings.streams(recordings.stream_candidates(files)))
     rows = kept(stitched(kept(recordings.telemetry(recordings.decode(files, found)))))
     rows = seq.repair_breaks(seq.pose_breaks(rows, STREAM, ORDER), STREAM, ORDER)
     rows = rows.withColumn("speed", F.col("speed_fixed")).drop("speed_fixed")

@@ -49,8 +49,8 @@ def _recording(u: int) -> bytes:
 def _recordings(spark: SparkSession, d: str) -> DataFrame:
     """Synthetic recordings, one for each user of the events, made in tasks and written once.
 
-    The users are dealt over a fixed number of tasks: their ids alone would be merged into one, as their few bytes
-    say nothing of the files made of them.
+    The users are dealt by a hash over a fixed number of tasks: dealt as they stand, their ids would be merged into
+    one task, as their few bytes say nothing of the files made of them.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def _recordings(spark: SparkSession, d: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([f"sha{u:05d}"]), pa.array([_recording(u)], pa.binary())], names=["replay_sha", "content"])
 
     users = spark.read.parquet(f"{d}/events.parquet").select("user_id").where("user_id is not null").distinct()
-    spread = users.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    spread = users.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("user_id"))
     return kept(spread.mapInArrow(make, "replay_sha string, content binary"))
 
 
@@ -87,7 +87,7 @@ _TOLD_SQL = """i AS (SELECT f.*, ordinal, CASE kind WHEN 0 THEN list_value(100,
 FROM u, (VALUES (0, 240, 4063, 24), (1, 120, 5980, 12)) AS s(stream, n_rows, last_ms, pressed)""")
 def sav_decode(spark: SparkSession, d: str) -> DataFrame:
     r = _recordings(spark, d)
-    found = recordings.streams(recordings.stream_candidates(r))
+    found = kept(recordings.streams(recordings.stream_candidates(r)))
     rows = recordings.telemetry(recordings.decode(r, found))
     out = rows.groupBy("replay_sha", "stream").agg(
         F.count("*").alias("n_rows"), F.max("time_ms").alias("last_ms"), F.round(F.avg("speed"), 3).alias("speed"), F.max("lap_index").alias("laps"), F.sum("contact_state").alias("contact"),
@@ -109,11 +109,11 @@ def state_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
     r = _recordings(spark, d)
-    found = recordings.streams(recordings.stream_candidates(r))
+    found = kept(recordings.streams(recordings.stream_candidates(r)))
     rows = recordings.decode(r, found)
     rises = seq.rising_edges(rows, ["replay_sha", "stream"], ["i"], F.col("input_64") != 0).select("replay_sha", "stream", F.col("time_ms").alias("t"))
     vehicles = found.select("replay_sha", "stream", F.col("stream").alias("shadow"))  # the first vehicle has the higher rate
-    return native_tables.assign_tables(native_tables.drift_tables(r), vehicles, kept(rises))
+    return native_tables.assign_tables(kept(native_tables.drift_tables(r)), vehicles, kept(rises))
 
 
 @query(_TABLES_SQL + ", " + _TOLD_SQL + """, e AS (SELECT u, count(*) AS n_tables, count(*) FILTER (eligible) AS n_eligible FROM t GROUP BY u),

@@ -6,17 +6,18 @@ yields rows; everything between recordings and between streams is DataFrame oper
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import airborne, contact_state_name, forward_heading, is_finite, null_if_nan, quaternion_yaw, slip_angle, speed_choice, wrap_pi
+from ..operators.matching import blockwise
 from ..operators.sequences import cumulative, derivative, steps
+from ..storage import kept
 
 #: Limits of the clock and geometry gates.
 LAST_MS, LONGEST_STEP_MS, LEAST_RECORDS, LEAST_MS = 600_000, 100, 80, 2_000
@@ -136,29 +137,27 @@ def stream_candidates(recordings: DataFrame) -> DataFrame:
     return recordings.select("replay_sha", "content").mapInArrow(scan, _CANDIDATES)
 
 
-def _distinct_trajectories(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keeps the first of candidates that cover the same bytes on the same path."""
-    pdf = pdf.sort_values(["start_byte", "records"], ascending=[True, False], kind="stable")
-    kept: list = []
-    for c in pdf.itertuples():
-        span = max(1, c.t1 - c.t0)
-        hz = (c.records - 1) * 1000 / span
-        for k in kept:
-            other = max(1, k.t1 - k.t0)
-            rate = (k.records - 1) * 1000 / other
-            overlap = min(c.end_byte, k.end_byte) - max(c.start_byte, k.start_byte)
-            apart = np.linalg.norm(np.reshape(c.nine, (9, 3)) - np.reshape(k.nine, (9, 3)), axis=1)
+def _distinct_trajectories(c: dict[str, np.ndarray]) -> dict[str, Sequence]:
+    """The first of a recording's candidates, in byte order, that cover the same bytes on the same path."""
+    first: list[int] = []
+    span = np.maximum(1, c["t1"] - c["t0"])
+    hz, size = (c["records"] - 1) * 1000 / span, c["end_byte"] - c["start_byte"]
+    paths = [np.reshape(x, (9, 3)) for x in c["nine"]]
+    for i in range(len(span)):
+        for k in first:
+            overlap = min(c["end_byte"][i], c["end_byte"][k]) - max(c["start_byte"][i], c["start_byte"][k])
+            apart = np.linalg.norm(paths[i] - paths[k], axis=1)
             if (
-                overlap > 0.95 * max(1, min(c.end_byte - c.start_byte, k.end_byte - k.start_byte))
-                and abs(span - other) <= max(250, 0.03 * max(span, other))
-                and abs(hz - rate) <= max(1, 0.05 * max(hz, rate))
+                overlap > 0.95 * max(1, min(size[i], size[k]))
+                and abs(span[i] - span[k]) <= max(250, 0.03 * max(span[i], span[k]))
+                and abs(hz[i] - hz[k]) <= max(1, 0.05 * max(hz[i], hz[k]))
                 and apart.mean() < 0.20
                 and apart.max() < 0.75
             ):
                 break
         else:
-            kept.append(c)
-    return pdf.loc[[k.Index for k in kept]]
+            first.append(i)
+    return {n: c[n][first] for n in c if n not in ("replay_sha", "_block", "_less")}
 
 
 def streams(candidates: DataFrame) -> DataFrame:
@@ -166,6 +165,7 @@ def streams(candidates: DataFrame) -> DataFrame:
 
     The best score's layout is the recording's; embedded poses and repeated trajectories go.
     """
+    candidates = kept(candidates)  # a scan of whole files, which three tables below are made of
     best = candidates.groupBy("replay_sha").agg(F.max_by("profile", F.struct("score", "records")).alias("profile"))
     same = candidates.join(best, ["replay_sha", "profile"])
     p = same.select("replay_sha", F.col("start_byte").alias("_s"), F.col("end_byte").alias("_e"), F.col("records").alias("_n"))
@@ -173,8 +173,9 @@ def streams(candidates: DataFrame) -> DataFrame:
     inside = (F.col("_n") > F.col("records")) & (F.col("_s") <= F.col("start_byte")) & (F.col("_e") >= F.col("end_byte"))
     alias = (F.col("profile") == "2026") & inside & (F.pmod(F.col("start_byte") - F.col("_s"), F.lit(stride)) == ALIAS_PHASE)
     left = same.alias("c").join(p.withColumnRenamed("replay_sha", "_sha"), (F.col("replay_sha") == F.col("_sha")) & alias, "left_anti")
-    kept = left.groupBy("replay_sha").applyInPandas(_distinct_trajectories, left.schema)
-    return kept.withColumn("stream", F.row_number().over(Window.partitionBy("replay_sha").orderBy("start_byte")) - 1)
+    left = left.withColumns({"_block": F.lit(0), "_less": -F.col("records")})
+    distinct = blockwise(left, ["replay_sha"], _distinct_trajectories, _CANDIDATES.removeprefix("replay_sha string, "), ["start_byte", "_less"]).select(*[c.split()[0] for c in _CANDIDATES.split(", ")])
+    return distinct.withColumn("stream", F.row_number().over(Window.partitionBy("replay_sha").orderBy("start_byte")) - 1)
 
 
 def state_lanes(data: np.ndarray, start: int, stride: int, records: int) -> list[dict]:

@@ -17,7 +17,8 @@ def vehicle_records(
     """Records of ``layout`` on a gentle wave: two laps, speed 11.765 and full contact, where the layout has them.
 
     ``presses`` are the records (first, after the last) in which the drift key is down. ``second_phase`` puts
-    a second pose into all records but the last, so many bytes after each start, on the path moved by ``second_shift``.
+    a second pose so many bytes after each record's start: the same path, or one moved by ``second_shift``, which lacks
+    the last record.
     """
     of = next(x for x in LAYOUTS if x.name == layout)
     out = bytearray(of.stride * n)
@@ -30,7 +31,7 @@ def vehicle_records(
     for i in range(n):
         o = of.stride * i
         pose(o, i, 0.0)
-        if second_phase is not None and i < n - 1:
+        if second_phase is not None and (i < n - 1 or not second_shift):
             pose(o + second_phase, i, second_shift)
         if of.contact is not None:
             struct.pack_into("<i", out, o + of.contact, 5)
