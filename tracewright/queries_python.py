@@ -9,12 +9,13 @@ from .operators import comparison as cmp
 from .operators import matching, sections
 from .operators import sequences as seq
 from .functions.scalar import round_even
+from .queries_native import greedy_sql
 from .registry import HOUR, events, query
 
 U, ORDER = ["user_id"], ["t", "event_id"]
 
 
-@query()
+@query("RECURSIVE src AS (SELECT user_id, event_id AS i, CAST(t AS DOUBLE) AS t, event_type AS c FROM ev WHERE event_type IN ('click', 'purchase', 'error')), " + greedy_sql("c = 'click'", "c = 'purchase'", "c <> 'click'", 12 * HOUR) + " SELECT * FROM pairs")
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     return matching.greedy_pairs(events(spark, d), U, "event_id", "t", kind == "click", kind == "purchase", kind.isin("purchase", "error"), 12 * HOUR)
