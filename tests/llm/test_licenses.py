@@ -23,7 +23,7 @@ def brute(files, templates=licenses.TEMPLATES, threshold=licenses.THRESHOLD):
         return w, math.sqrt(sum(x * x for x in w.values()))
 
     shown = [(name, *vector(x)) for name, x in templates]
-    own = {}
+    own, near = {}, {}
     for path, text in files:
         if text is None or path is None:
             continue
@@ -34,8 +34,12 @@ def brute(files, templates=licenses.TEMPLATES, threshold=licenses.THRESHOLD):
             w, norm = vector(u)
             for name, t, size in shown:
                 cos = round(sum(x * t.get(k, 0) for k, x in w.items()) / (norm * size), 6) if norm else 0
-                if cos >= threshold:
+                if cos >= threshold and (len(t) > 4 or set(t) <= set(w)):
                     own[path] = min(own.get(path, (0, "")), (-cos, name))
+                    near.setdefault(path, set()).add(name)
+    for path, names in near.items():
+        if own[path][1] == "BSD-2-Clause" and "BSD-3-Clause" in names:
+            own[path] = (own[path][0], "BSD-3-Clause")
     parent = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
     given = {}
     for path, best in own.items():
@@ -140,3 +144,33 @@ def test_ids_travel_with_their_rows(spark):
     rows = [(i, "Licensed under CC BY 4.0." if i == 50 else "text", "en", "s") for i in (-50, 50, -3, 3)]
     got = {r.doc_id: r.own_license for r in licenses.document_licenses(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert got == {-50: None, 50: "CC-BY-4.0", -3: None, 3: None}
+
+
+BSD = """Copyright (c) 2020, someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+2. Redistributions in binary form must reproduce the above copyright notice.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_titles_and_clauses(spark):
+    """A title alone gives the licence, also where its words are common; a part of it doesn't; the third clause decides."""
+    german = [(f"de/{k}.txt", f"Wir gehen mit dem Hund und mit der Katze the License {k}\nThe License\nLicense\nmit") for k in range(30)]
+    files = [
+        ("a/LICENSE", "The MIT License (MIT)\n\nhttps://example.org/mit"), ("b/LICENSE", "MIT License"), ("b/x.py", "# The MIT License (MIT)\nx = 1"), ("c/LICENSE", BSD), ("d/LICENSE", BSD + THIRD),
+        ("e/LICENSE", "BSD 2-Clause License"), ("f/LICENSE", "BSD 3-Clause License\n" + BSD), ("g/LICENSE", "The License"), *german,
+    ]
+    got = rows(licenses.scan_licenses(spark.createDataFrame(files, "path string, text string")))
+    assert near(got) == near(brute(files))
+    own = {p: o for p, o, *_ in brute(files)}
+    assert [own[f"{x}"] for x in ("a/LICENSE", "b/LICENSE", "b/x.py", "c/LICENSE", "d/LICENSE", "e/LICENSE", "f/LICENSE", "g/LICENSE", "de/0.txt")] == ["MIT", "MIT", "MIT", "BSD-2-Clause", "BSD-3-Clause", "BSD-2-Clause", "BSD-3-Clause", None, None]

@@ -24,7 +24,7 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
@@ -45,6 +45,9 @@ TEMPLATES = (
     ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License"),
     # standard headers and paragraphs
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
@@ -58,6 +61,10 @@ TEMPLATES = (
     ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 )
+#: Fixed value: a licence whose text is the beginning of another's; a file with units near both has the longer one.
+LONGER = {"BSD-2-Clause": "BSD-3-Clause"}
+#: Distinct words up to which a template must be held whole: too few to be told from a line that lacks the one that matters.
+WHOLE_WORDS = 4
 LICENSE_FILE = r"(?i)^(un)?(licen[cs]e|copying|copyright|notice)([._-].*)?$"
 _SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -94,10 +101,11 @@ def _weights(templates: Sequence[tuple[str, str]], n: int, df: dict[str, int]) -
 
 
 def _anchors(weighted: list[tuple[str, int, dict[str, float]]], threshold: float) -> list[str]:
-    """Words of which every unit at or above the threshold has one.
+    """Words of which every unit that a template can fit has one.
 
     For each template, heaviest words first until the rest has a norm below the threshold: a unit
-    with none of them has a cosine below that norm. They are the fewest words that do.
+    with none of them has a cosine below that norm. They are the fewest words that do. Of a template
+    that must be held whole, the heaviest word is enough.
     """
     found = set()
     for _, _, w in weighted:
@@ -106,16 +114,40 @@ def _anchors(weighted: list[tuple[str, int, dict[str, float]]], threshold: float
             if math.sqrt(max(rest, 0)) < threshold - 1e-9:
                 break
             found.add(t)
-            rest -= x * x
+            rest = 0 if len(w) <= WHOLE_WORDS else rest - x * x
     return sorted(found)
 
 
+def _may_fit(tokens: Column, weighted: list[tuple[str, int, dict[str, float]]], threshold: float) -> Column:
+    """Whether a unit holds enough of some template.
+
+    A cosine is at most the norm of those weights of the template whose words the unit has, whatever else it
+    holds: all the words of a template together decide, so a single common one lets no unit through.
+    """
+    if not weighted:
+        return F.lit(False)
+    held = F.array_intersect(tokens, F.array(*[F.lit(t) for t in sorted({t for _, _, w in weighted for t in w})]))
+
+    def of(w: dict[str, float]) -> Column:
+        least = 1 - 1e-9 if len(w) <= WHOLE_WORDS else threshold * threshold - 1e-9
+        words = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(x * x).alias("m")) for t, x in w.items()])
+        return F.struct(words.alias("words"), F.lit(least).alias("least"))
+
+    def fits(h: Column, t: Column) -> Column:
+        return F.aggregate(t["words"], F.lit(0.0), lambda m, x: m + F.when(F.array_contains(h, x["t"]), x["m"]).otherwise(0.0)) >= t["least"]
+
+    shapes = F.array(*[of(w) for _, _, w in weighted])
+    return F.exists(F.array(held), lambda h: F.exists(shapes, lambda t: fits(h, t)))
+
+
 def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, path: str = "path", text: str = "text") -> DataFrame:
     """``(path, license, score)`` of the files that have a unit near a template.
 
     ``templates`` is a list of (licence, text), the query set, of bounded size. Words outside it
     weigh as its rarest word. A line that many files share is compared once. Ties go to the
-    licence that is first in order. Null and empty texts have no units.
+    licence that is first in order. Null and empty texts have no units. A template of up to four
+    distinct words, a title, must be held whole. A file with units near the two-clause text and the
+    third clause has the three-clause licence.
     """
     spark = files.sparkSession
     n, df = document_frequencies(files, sorted({t for _, x in templates for t in tokens(x)}), text)
@@ -127,19 +159,22 @@ def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     paragraphs = F.filter(F.split(F.col(text), r"\r?\n[^\p{L}\p{N}\n]*\n"), lambda p: p.contains("\n"))
     units = F.concat(F.split(F.col(text), r"\r?\n"), paragraphs, whole)
     rows = files.select(F.col(path).alias("path"), F.explode(units).alias("unit"))
-    rows = rows.where(F.arrays_overlap(_tokens(F.col("unit")), anchors))
+    rows = rows.where(F.arrays_overlap(_tokens(F.col("unit")), anchors)).where(_may_fit(_tokens(F.col("unit")), weighted, threshold))
     rows = materialize(rows.withColumn("u", F.sha2(F.col("unit"), 256)), "units")
     distinct = rows.groupBy("u").agg(F.first("unit").alias("unit"))
     idf_rows = spark.createDataFrame(list(idf.items()), "token string, idf double")
-    tmpl = spark.createDataFrame([(t, lic, k, x) for lic, k, w in weighted for t, x in w.items()], "token string, license string, template int, w double")
+    tmpl = spark.createDataFrame([(t, lic, k, x, len(w) if len(w) <= WHOLE_WORDS else 0) for lic, k, w in weighted for t, x in w.items()], "token string, license string, template int, w double, least int")
     tf = distinct.select("u", F.explode(_tokens(F.col("unit"))).alias("token")).groupBy("u", "token").agg(F.count("*").alias("tf"))
     tf = tf.join(idf_rows, "token", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rarest)))
     norms = tf.groupBy("u").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = tf.where("idf is not null").join(tmpl, "token").groupBy("u", "license", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = tf.where("idf is not null").join(tmpl, "token").groupBy("u", "license", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.count("*").alias("held"), F.first("least").alias("least")).where("held >= least")
     cos = dots.join(norms, "u").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    best = cos.groupBy("u").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
-    found = rows.join(best, "u").groupBy("path").agg(F.min("m").alias("m"))
-    return found.select("path", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
+    best = cos.groupBy("u").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"), *[F.max(F.col("license") == x).alias(f"_{x}") for x in LONGER.values()])
+    found = rows.select("path", "u").join(best, "u").groupBy("path").agg(F.min("m").alias("m"), *[F.max(f"_{x}").alias(f"_{x}") for x in LONGER.values()])
+    license = F.col("m.license")
+    for short, long in LONGER.items():
+        license = F.when((F.col("m.license") == short) & F.col(f"_{long}"), long).otherwise(license)
+    return found.select("path", license.alias("license"), (-F.col("m.s")).alias("score"))
 
 
 def _directory(path: Column) -> Column:
@@ -215,8 +250,10 @@ units AS (
 ut AS (SELECT u, token, count(*) AS tf FROM (SELECT u, unnest({words.format('unit')}) AS token FROM units) GROUP BY ALL),
 ux AS (SELECT u, token, idf, tf * coalesce(idf, (SELECT max(idf) FROM idf)) AS x FROM ut LEFT JOIN idf USING (token)),
 norms AS (SELECT u, sqrt(sum(x * x)) AS norm FROM ux GROUP BY u),
-cosines AS (SELECT u, license, round(sum(x * w) / any_value(norm), 6) AS score FROM ux JOIN tw USING (token) JOIN norms USING (u) GROUP BY u, license, k HAVING round(sum(x * w) / any_value(norm), 6) >= {THRESHOLD}),
-own AS (SELECT path, arg_min(license, (-score, license)) AS license, max(score) AS score FROM cosines JOIN units USING (u) GROUP BY path),
+tn AS (SELECT k, CASE WHEN count(*) <= {WHOLE_WORDS} THEN count(*) ELSE 0 END AS least FROM tt GROUP BY k),
+cosines AS (SELECT u, license, round(sum(x * w) / any_value(norm), 6) AS score FROM ux JOIN tw USING (token) JOIN norms USING (u) JOIN tn USING (k) GROUP BY u, license, k HAVING round(sum(x * w) / any_value(norm), 6) >= {THRESHOLD} AND count(*) >= any_value(least)),
+nearest AS (SELECT path, arg_min(license, (-score, license)) AS license, max(score) AS score, bool_or(license = 'BSD-3-Clause') AS third FROM cosines JOIN units USING (u) GROUP BY path),
+own AS (SELECT path, CASE WHEN license = 'BSD-2-Clause' AND third THEN 'BSD-3-Clause' ELSE license END AS license, score FROM nearest),
 given AS (SELECT {folder} AS folder, arg_min(license, (-score, license)) AS license FROM own WHERE {named} GROUP BY 1),
 dirs AS (SELECT DISTINCT {folder} AS dir, string_split({folder}, '/') AS parts FROM files),
 ups AS (SELECT dir, l.level AS level, array_to_string(parts[1:len(parts) - l.level], '/') AS folder FROM dirs, unnest(generate_series(0, len(parts))) AS l(level)),
