@@ -153,7 +153,7 @@ def turn_sections(rows: DataFrame, step: float = 1.0) -> DataFrame:
     samples = seq.resample(rows, keys, ORDER, "distance", ["time_s", "x", "y", "speed"], step, usable)
     samples = seq.turn_signal(samples, keys)
     found = sections.hysteresis_sections(samples, keys)
-    inside = samples.join(found, keys).where(F.col("at").between(F.col("start_d"), F.col("end_d")))
+    inside = temporal.range_join(samples, found.select(*keys, *[c for c in found.columns if c not in keys and c not in samples.columns]), keys, "at", "start_d", "end_d", width=100)
     measured = agg.section_measures(inside, [*keys, "section"], ["k"], "speed", "time_s", "at", "peak_deg", "signal")
     return found.join(measured.drop("direction", "turn_deg", "peak_deg"), [*keys, "section"])
 

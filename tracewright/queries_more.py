@@ -78,11 +78,14 @@ def comparison_coverage(spark: SparkSession, d: str) -> DataFrame:
     return comparison.comparison_coverage(e.where("event_type = 'click' and user_id % 2 = 0"), points, ["pair"])
 
 
-@query("""w AS (SELECT *, lag(value > 100, 1, false) OVER (PARTITION BY user_id ORDER BY t, event_id) AS b0, lead(value > 100, 1, false) OVER (PARTITION BY user_id ORDER BY t, event_id) AS b1, value > 100 AS b FROM ev)
-SELECT user_id, event_id, NOT (b OR b1) AS pose_valid FROM w""")
+@query("""w AS (SELECT *, value > 100 AS b, lead(value > 100, 1, false) OVER (PARTITION BY user_id ORDER BY t, event_id) AS b1, CASE WHEN value BETWEEN 0 AND 9999.999 THEN value END AS good FROM ev),
+m AS (SELECT *, quantile_cont(good, 0.5) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 7 PRECEDING AND 2 PRECEDING) AS before, quantile_cont(good, 0.5) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS after FROM w),
+e AS (SELECT *, lead(before) OVER (PARTITION BY user_id ORDER BY t, event_id) AS early FROM m)
+SELECT user_id, event_id, NOT (b OR b1) AS pose_valid, round_even((CASE WHEN k % 5 = 0 THEN value WHEN b THEN coalesce(after, 0) WHEN b1 THEN coalesce(early, 0) ELSE value END) * 1e6, 0) / 1e6 AS speed_fixed FROM e""")
 def pose_repair(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).withColumns({"speed": F.col("value"), "speed_source": F.lit("position_derived"), "break_before": F.col("value") > 100})
-    return seq.repair_breaks(e, U, ORDER).select("user_id", "event_id", "pose_valid")
+    source = F.when(F.col("k") % 5 == 0, "replay_linear_velocity").otherwise("position_derived")
+    e = events(spark, d).withColumns({"speed": F.col("value"), "speed_source": source, "break_before": F.col("value") > 100})
+    return seq.repair_breaks(e, U, ORDER).select("user_id", "event_id", "pose_valid", round_even(F.col("speed_fixed"), 6).alias("speed_fixed"))
 
 
 @query("""l AS (SELECT user_id, t // 604800000000 AS lap, count(*) FILTER (event_type = 'view') AS n, max(t) - min(t) AS span FROM ev GROUP BY ALL)
@@ -229,3 +232,38 @@ def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     entries = table(spark, d, "part").select(k.alias("map_id"), F.when(k % 5 > 0, F.substring_index("p_name", " ", 1)).alias("primary_name"), F.when(k % 5 == 0, "unavailable").when(k % 7 == 0, "multiple").otherwise("exact").alias("name_status"))
     return catalogs.catalog_summary(entries)
+
+
+_CATALOG_SQL = """d AS (SELECT p_partkey % 40 AS map_id, CASE WHEN p_partkey % 7 = 0 THEN '??' WHEN p_partkey % 40 < 20 THEN 'Road ' || (p_partkey % 11) || CASE WHEN p_partkey % 2 = 0 THEN '-by-ann' ELSE '' END ELSE 'lane' || (p_partkey % 40) END AS name, p_partkey % 9 <> 0 AS parsed FROM part),
+l AS (SELECT s_suppkey % 50 AS map_id, CASE WHEN s_suppkey % 6 = 0 THEN '???' WHEN s_suppkey % 4 = 0 THEN 'ROAD  3' ELSE 'lane' || (s_suppkey % 50) END AS name, s_suppkey % 50 + CASE WHEN s_suppkey % 10 = 0 AND s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS game_id FROM supplier),
+ids AS (SELECT map_id FROM d UNION SELECT map_id FROM l),
+dn AS (SELECT map_id, list_sort(list(DISTINCT name) FILTER (parsed AND length(translate(name, '? ', '')) > 0)) AS descriptor_names, count(*) AS versions, count(*) FILTER (NOT parsed) AS failures FROM d GROUP BY map_id),
+ln AS (SELECT map_id, list_sort(list(DISTINCT name) FILTER (length(translate(name, '? ', '')) > 0)) AS usable, list_sort(list(DISTINCT name)) AS declared, list_sort(list(DISTINCT game_id)) AS game_ids FROM l GROUP BY map_id),
+e AS (SELECT map_id, CASE WHEN len(usable) > 0 THEN usable ELSE descriptor_names END AS names, CASE WHEN len(usable) > 0 THEN 'declared' ELSE 'descriptor' END AS name_source, descriptor_names, game_ids, coalesce(versions, 0) AS versions, coalesce(failures, 0) AS failures FROM ids LEFT JOIN dn USING (map_id) LEFT JOIN ln USING (map_id)),
+a AS (SELECT DISTINCT map_id, lower(trim(regexp_replace(n, '\\s+', ' ', 'g'))) AS name_key, lower(trim(regexp_replace(trim(regexp_replace(n, '(?i)[\\s_-]*by[-_ ].*$', '')), '\\s+', ' ', 'g'))) AS alias_key FROM (SELECT map_id, unnest(names) AS n FROM e)),
+nk AS (SELECT name_key FROM a GROUP BY name_key HAVING count(DISTINCT map_id) > 1 AND name_key <> ''), ak AS (SELECT alias_key, array_to_string(list_sort(list(DISTINCT map_id)), ',') AS map_ids FROM a GROUP BY alias_key HAVING count(DISTINCT map_id) > 1 AND alias_key <> '')"""
+
+
+def _catalog(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Descriptors and declared identities of maps, with names that differ by case, blanks and an author's mark."""
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    name = F.when(k % 7 == 0, "??").when(k % 40 < 20, F.concat(F.lit("Road "), k % 11, F.when(k % 2 == 0, "-by-ann").otherwise(""))).otherwise(F.concat(F.lit("lane"), k % 40))
+    descriptors = table(spark, d, "part").select((k % 40).alias("map_id"), name.alias("name"), k.cast("string").alias("md5"), (k % 9 != 0).alias("parsed"))
+    said = F.when(s % 6 == 0, "???").when(s % 4 == 0, "ROAD  3").otherwise(F.concat(F.lit("lane"), s % 50))
+    declared = table(spark, d, "supplier").select((s % 50).alias("map_id"), said.alias("name"), (s % 50 + F.when((s % 10 == 0) & (s % 3 == 0), 1).otherwise(0)).alias("game_id"))
+    return descriptors, declared
+
+
+@query(_CATALOG_SQL + " SELECT alias_key AS alias_name, map_ids FROM ak")
+def alias_collisions(spark: SparkSession, d: str) -> DataFrame:
+    found = catalogs.alias_collisions(catalogs.identity_entries(*_catalog(spark, d)))
+    return found.select("alias_name", F.array_join("map_ids", ",").alias("map_ids"))
+
+
+@query(_CATALOG_SQL + """ SELECT (SELECT count(*) FROM e) AS map_id_count, (SELECT count(*) FROM e WHERE len(names) > 0) AS exact_named_map_count, (SELECT count(*) FROM e WHERE coalesce(len(names), 0) = 0) AS unnamed_map_count,
+  (SELECT count(*) FROM nk) AS duplicate_name_count, (SELECT count(*) FROM ak) AS alias_collision_count, (SELECT count(*) FROM d) AS descriptor_version_count, (SELECT count(*) FROM d WHERE parsed) AS descriptor_exact_parse_count,
+  (SELECT count(*) FROM l) AS declared_identity_record_count, (SELECT count(*) FROM e WHERE len(game_ids) = 1) AS declared_identity_map_count, (SELECT count(*) FROM e WHERE len(game_ids) > 1) AS declared_identity_conflict_count,
+  (SELECT count(*) FROM e WHERE name_source = 'declared') AS declared_name_used_map_count, (SELECT count(*) FROM e WHERE name_source = 'declared' AND NOT coalesce(list_contains(descriptor_names, names[1]), false)) AS descriptor_name_stale_map_count""")
+def catalog_meta(spark: SparkSession, d: str) -> DataFrame:
+    descriptors, declared = _catalog(spark, d)
+    return catalogs.catalog_meta(catalogs.identity_entries(descriptors, declared), descriptors, declared)

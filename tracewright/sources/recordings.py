@@ -52,7 +52,11 @@ LANE_RECORDS = 1 << 16
 ALIAS_PHASE = 137
 
 
-def landing(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
+#: Bytes of a file up to which it is read.
+MOST_BYTES = 64 << 20
+
+
+def landing(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Recordings of a folder, one row for each distinct content, with ``status``.
 
     Files above ``most_bytes`` are never read: they have a row of their own with ``too_large``, no hash
@@ -61,9 +65,12 @@ def landing(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataF
     files = spark.read.format("binaryFile").load(path)
     columns = ["replay_sha", "path", "modificationTime", "length", "content", "status"]
     ready = files.where(F.col("length") <= most_bytes).withColumns({"replay_sha": F.sha2("content", 256), "status": F.lit("ready")})
+    # one path a content is chosen by hashes alone; contents are not shuffled to be compared
+    chosen = kept(ready.groupBy("replay_sha").agg(F.min("path").alias("_path")).select("_path"))
+    ready = ready.join(chosen, F.col("path") == F.col("_path"), "left_semi")
     large = files.where(F.col("length") > most_bytes).select("path", "modificationTime", "length")
     large = large.withColumns({"replay_sha": F.lit(None).cast("string"), "content": F.lit(None).cast("binary"), "status": F.lit("too_large")})
-    return ready.dropDuplicates(["replay_sha"]).select(columns).union(large.select(columns))
+    return ready.select(columns).union(large.select(columns))
 
 
 def _u32(data: np.ndarray) -> np.ndarray:

@@ -24,17 +24,22 @@ def read_csv(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataF
 def physical_telemetry(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
     """Physical rows with numbers; those without a time or a place are left out.
 
-    A file of the 2026 ``layout`` that has lost its contact states, laps or velocities, by column or by
-    value, is refused: what was measured must not pass for unmeasured.
+    A file of the 2026 ``layout`` of which any stream has lost its contact states, laps or velocities, by
+    column or by value, is refused: what was measured must not pass for unmeasured, nor hide behind
+    streams that are whole. The error names up to ten such streams.
     """
     df = read_csv(spark, path, PHYSICAL)
     df = df.withColumns({c: to_double(F.col(c)) for c in df.columns if c not in ("replay_sha", "stream", "shadow_id", "speed_source", "contact_state_name")})
     df = df.dropna(subset=list(PHYSICAL))
     if layout == "2026":
-        present = [c for c in MEASURED if c in df.columns]
-        held = df.agg(*[F.count(c).alias(c) for c in present]).first().asDict() if present else {}
-        if lost := [c for c in MEASURED if not held.get(c)]:
+        present, keys = [c for c in MEASURED if c in df.columns], [c for c in ("replay_sha", "stream", "shadow_id") if c in df.columns]
+        if lost := [c for c in MEASURED if c not in present]:
             raise ValueError(f"measured columns lost: {', '.join(lost)}")
+        held = df.groupBy(*keys).agg(*[F.count(c).alias(f"_{c}") for c in MEASURED])
+        lost = held.where(" or ".join(f"_{c} = 0" for c in MEASURED)).limit(10).collect()
+        if lost:
+            told = "; ".join(f"{'/'.join(str(r[k]) for k in keys) or 'all'}: {', '.join(c for c in MEASURED if not r[f'_{c}'])}" for r in lost)
+            raise ValueError(f"measured columns lost: {told}")
     return df
 
 
