@@ -78,7 +78,8 @@ def render(turns: DataFrame, kept: DataFrame, conv: str = "conv_id", turn: str =
     """``(conv_id, n_turns, copies, rendered)``: turns in order between start and end marks.
 
     Null roles and texts are written as empty ones; rows of one turn by role, then text. A mark's
-    beginning within a role or text is written with a space (``< |im_``), so that no text can forge a turn.
+    beginning within a role or text is written with one more space (``<|im_`` as ``< |im_``, that as ``<  |im_``), so
+    that no text can forge a turn and a reader who takes one space out has the text again.
     """
     rows = turns.select(
         _key(conv).alias("c"),
@@ -87,7 +88,7 @@ def render(turns: DataFrame, kept: DataFrame, conv: str = "conv_id", turn: str =
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("x"),
     )
     chosen = kept.select(_key("conv_id").alias("c"), "conv_id", "copies")
-    plain = lambda v: F.replace(v, F.lit("<|im_"), F.lit("< |im_"))
+    plain = lambda v: F.regexp_replace(v, r"<( *)\|im_", "< $1|im_")
     line = F.transform("turns", lambda v: F.concat(F.lit("<|im_start|>"), plain(v["r"]), F.lit("\n"), plain(v["x"]), F.lit("<|im_end|>\n")))
     return (
         rows.join(chosen, "c")
@@ -115,7 +116,7 @@ prefixes AS (
 whole AS (SELECT p, min(conv_id) AS conv_id, count(*) AS copies FROM prefixes WHERE last GROUP BY p),
 kept AS (SELECT conv_id, copies FROM whole WHERE p NOT IN (SELECT p FROM prefixes WHERE NOT last))
 SELECT k.conv_id, count(*) AS n_turns, k.copies,
-       string_agg('<|im_start|>' || replace(r, '<|im_', '< |im_') || chr(10) || replace(x, '<|im_', '< |im_') || '<|im_end|>' || chr(10), '' ORDER BY t, r, x) AS rendered
+       string_agg('<|im_start|>' || regexp_replace(r, '<( *)\\|im_', '< \\1|im_', 'g') || chr(10) || regexp_replace(x, '<( *)\\|im_', '< \\1|im_', 'g') || '<|im_end|>' || chr(10), '' ORDER BY t, r, x) AS rendered
 FROM lines l JOIN kept k ON l.conv_id IS NOT DISTINCT FROM k.conv_id
 GROUP BY k.conv_id, k.copies
 """
