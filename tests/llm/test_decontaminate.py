@@ -100,3 +100,27 @@ def test_odd_and_empty_tables(spark, odd_documents, no_documents):
     assert kept.columns == odd_documents.columns and {1, 2, 5, 6, 9} <= {r.doc_id for r in kept.select("doc_id").collect()}
     assert dec.benchmark_hits(no_documents, bench).count() == 0 and dec.drop_contaminated(no_documents, bench).count() == 0
     assert dec.benchmark_hits(odd_documents, bench.where("false")).count() == 0 and dec.drop_contaminated(odd_documents, bench.where("false")).count() == 12
+
+
+def test_a_shared_start_brings_no_pairs(spark, monkeypatch):
+    """200 items and 200 documents with one start: documents meet the items that they hold something else of."""
+    rng = random.Random(9)
+    start = "which of the following statements about the subject is true"
+    own = [" ".join(f"v{rng.randrange(5000)}" for _ in range(20)) for _ in range(200)]
+    bench = spark.createDataFrame([(i, f"{start} {x}") for i, x in enumerate(own)], "item_id long, text string")
+    texts = [f"before {start} and then {own[i]} end" if i % 40 == 0 else f"{start} {own[i]} end" if i % 4 == 0 else f"some {start} other words {i}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, real = [], dec._verified
+    monkeypatch.setattr(dec, "_verified", lambda marked, items, pieces_of, rate: seen.append((marked, pieces_of)) or real(marked, items, pieces_of, rate))
+    got = {(r.doc_id, r.item_id, r.distance) for r in dec.benchmark_hits(docs, bench).collect()}
+    assert got == {(i, i, 2 if i % 40 == 0 else 0) for i in range(0, 200, 4)}
+    marked, pieces_of = seen[0]
+    hits = marked.selectExpr("uid", "explode(hits.h) AS h").distinct()
+    assert 50 <= hits.join(pieces_of, "h").select("uid", "item").distinct().count() < 1000
+
+
+def test_spare_pieces_never_outnumber_the_words():
+    for n in range(1, 200):
+        budget = int(dec.RATE * n)
+        spare = dec.spare_pieces(n, budget)
+        assert spare >= 0 and all(p for _, p in dec.pieces(list(range(n)), budget, spare)) and (n < 2 or spare > 0)

@@ -2,7 +2,9 @@
 
 An item of w words may differ from a passage in ``floor(rate * w)`` words inserted, deleted or
 replaced. Cut into one piece more than that budget, one piece at least must stand in the passage
-unchanged. One pass over the documents looks each run of as many words as some piece has up among
+unchanged. Benchmarks have sentences in common, so an item is cut into some more pieces yet, of
+which as many more must stand: those that most items hold are not looked for, as one of the others
+does all the same. One pass over the documents looks each run of as many words as some piece has up among
 the hashes of all pieces; documents with hits meet the items by a join on those hashes, and around
 each hit Myers' bit-parallel algorithm computes the smallest edit distance over words of the item
 to any passage. Of the benchmark, only hashes of pieces (8 bytes for some 8 words) reach the driver
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -26,6 +28,8 @@ from .hashing import run_hashes, word_hashes
 RATE = 0.12
 #: Pieces that one pass looks for (64 MB of hashes); larger benchmarks take a pass for each so many.
 PASS_PIECES = 8_000_000
+#: Items that a row's text is verified against at a time, and parts into which the rows that hold one piece are dealt.
+ITEMS, SALTS = 64, 8
 _WORD = re.compile(r"\w+")
 
 
@@ -33,9 +37,14 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def pieces(item: list[str], budget: int) -> list[tuple[int, list[str]]]:
-    """``budget + 1`` consecutive pieces with their first word's place, as equal as can be."""
-    n = budget + 1
+def spare_pieces(n_words: int, budget: int) -> int:
+    """Pieces beyond ``budget + 1`` into which an item is cut: half as many again and one, if it has the words for it."""
+    return max(0, min(1 + budget // 2, n_words - budget - 1))
+
+
+def pieces(item: list[str], budget: int, spare: int = 0) -> list[tuple[int, list[str]]]:
+    """``budget + 1 + spare`` consecutive pieces with their first word's place, as equal as can be."""
+    n = budget + 1 + spare
     edges = [len(item) * k // n for k in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(edges[:-1], edges[1:])]
 
@@ -82,20 +91,28 @@ def best_passage(item: list[str], budget: int, shown: list[str], origins: list[i
 
 
 def benchmark_pieces(items: DataFrame, rate: float) -> DataFrame:
-    """``(item, h, at, n)``: hash, place and words of each piece of ``items`` (item, text)."""
+    """``(item, h, at, n)``: hash, place and words of the pieces of ``items`` (item, text) that are looked for.
+
+    Of an item's pieces one more than its budget, those that the fewest items hold: if at most so many words
+    differ, the spare pieces can't be all that stand.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for key, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
                 item = words(t)
-                for at, piece in pieces(item, int(rate * len(item))) if item else []:
+                budget = int(rate * len(item))
+                for at, piece in pieces(item, budget, spare_pieces(len(item), budget)) if item else []:
                     _, h = next(run_hashes(word_hashes(piece), [len(piece)]))
-                    rows.append((key, int(h.view(np.int64)[0]), at, len(piece)))
-            columns = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["item", "h", "at", "n"])
+                    rows.append((key, int(h.view(np.int64)[0]), at, len(piece), budget + 1))
+            columns = zip(*rows) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["item", "h", "at", "n", "needed"])
 
-    return items.mapInArrow(cut, "item long, h long, at int, n int")
+    cut_up = materialize(items.mapInArrow(cut, "item long, h long, at int, n int, needed int"), "cut")
+    held = cut_up.groupBy("h", "n").agg(F.count_distinct("item").alias("items"))
+    rarest = F.row_number().over(Window.partitionBy("item").orderBy("items", "at"))
+    return cut_up.join(held, ["h", "n"]).withColumn("rank", rarest).where("rank <= needed").select("item", "h", "at", "n")
 
 
 class PieceIndex:
@@ -149,18 +166,22 @@ def _pieces_found(hashes: dict[int, np.ndarray]):
     return found.asNondeterministic()  # evaluated once, however often its result is used
 
 
+_FOUND = "array<struct<item:long,v:struct<distance:int,first_word:int,end_word:int,item_words:int>>>"
+
+
 def _verifier(rate: float):
-    @F.arrow_udf("struct<distance:int,first_word:int,end_word:int,item_words:int>")
-    def verify(text: pa.Array, item: pa.Array, origins: pa.Array) -> pa.Array:
-        out, last, shown = [], None, []
-        for t, i, at in zip(text, item, origins):  # texts become Python objects one by one
-            t = t.as_py()
-            if t != last:
-                last, shown = t, words(t)
-            own = words(i.as_py())
-            best = best_passage(own, int(rate * len(own)), shown, at.as_py())
-            out.append(best and dict(zip(("distance", "first_word", "end_word", "item_words"), (*best, len(own)))))
-        return pa.array(out, pa.struct([(c, pa.int32()) for c in ("distance", "first_word", "end_word", "item_words")]))
+    @F.arrow_udf(_FOUND)
+    def verify(text: pa.Array, asked: pa.Array) -> pa.Array:
+        out = []
+        for t, items in zip(text, asked):  # texts become Python objects one by one
+            shown, found = words(t.as_py()), []
+            for i in items:
+                own = words(i["item_text"].as_py())
+                best = best_passage(own, int(rate * len(own)), shown, i["origins"].as_py())
+                if best:
+                    found.append({"item": i["item"].as_py(), "v": dict(zip(("distance", "first_word", "end_word", "item_words"), (*best, len(own))))})
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("item", pa.int64()), ("v", pa.struct([(c, pa.int32()) for c in ("distance", "first_word", "end_word", "item_words")]))])))
 
     return verify.asNondeterministic()
 
@@ -179,12 +200,19 @@ def _passes(benchmark: DataFrame, item_id: str, item_text: str, rate: float, lim
 
 
 def _verified(marked: DataFrame, items: DataFrame, pieces_of: DataFrame, rate: float) -> DataFrame:
-    """``(uid, item, v)``: the items that rows ``marked`` (uid, text, hits) hold."""
-    hits = marked.select("uid", F.explode("hits").alias("hit")).select("uid", "hit.h", "hit.pos")
-    met = hits.join(pieces_of.select("h", "item", "at"), "h").groupBy("uid", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("origins"))
-    both = met.join(items.select("item", F.col("text").alias("item_text")), "item").join(marked.select("uid", "text"), "uid")
-    verify = _verifier(rate)
-    return both.sortWithinPartitions("uid").withColumn("v", verify("text", "item_text", "origins")).select("uid", "item", "v").where("v is not null")
+    """``(uid, item, v)``: the items that rows ``marked`` (uid, text, hits) hold.
+
+    A piece that very many rows hold meets its items in salted parts. A row's text is joined once for
+    every ``ITEMS`` items it may hold.
+    """
+    hits = marked.select("uid", F.explode("hits").alias("hit")).select("uid", "hit.h", "hit.pos", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).alias("salt"))
+    salted = pieces_of.select("h", "item", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    met = hits.join(salted, ["h", "salt"]).groupBy("uid", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("origins"))
+    part = F.floor((F.row_number().over(Window.partitionBy("uid").orderBy("item")) - 1) / ITEMS)
+    asked = met.withColumn("part", part).join(items.select("item", F.col("text").alias("item_text")), "item")
+    asked = asked.groupBy("uid", "part").agg(F.collect_list(F.struct("item", "item_text", "origins")).alias("asked"))
+    found = asked.join(marked.select("uid", "text"), "uid").select("uid", F.explode(_verifier(rate)("text", "asked")).alias("x"))
+    return found.select("uid", "x.item", "x.v")
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, pass_pieces: int = PASS_PIECES) -> DataFrame:
