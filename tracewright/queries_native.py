@@ -13,7 +13,7 @@ from .operators import comparison, meshes, semantics
 from .operators import sequences as seq
 from .plans import native_cache
 from .registry import events, query
-from .sources import native_tables, recordings, synthetic
+from .sources import maps, native_tables, recordings, synthetic
 from .storage import kept
 
 U = ["user_id"]
@@ -329,3 +329,16 @@ def native_cache_refresh(spark: SparkSession, d: str) -> DataFrame:
     stored = kept(stored.union(stored.where(rest == 2)))
     now = kept(native_cache.refreshed(source, stored))
     return now.join(native_cache.audit(source, now.drop("mode", "status")).select("replay_sha", "agrees"), "replay_sha").select("replay_sha", "mode", "status", "n_tables", "n_intervals", "agrees")
+
+
+#: Fixed value: names that the text search looks for.
+SOUGHT = ("old", "widget", "ring", "in", "no such name")
+
+
+@query("""p AS (SELECT p_partkey, p_name, p_partkey % 3 AS form FROM part), s AS (SELECT unnest(['old', 'widget', 'ring', 'in', 'no such name']) AS name)
+SELECT p_partkey, name, CASE WHEN form = 1 THEN 'utf-16-le' WHEN form = 2 THEN 'gbk,utf-16-le,utf-8' ELSE 'gbk,utf-8' END AS encodings FROM p JOIN s ON contains(p_name, name)""")
+def text_search(spark: SparkSession, d: str) -> DataFrame:
+    plain, wide = F.encode("p_name", "UTF-8"), F.encode("p_name", "UTF-16LE")
+    rest = F.col("p_partkey") % 3
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.when(rest == 1, wide).when(rest == 2, F.concat(plain, wide)).otherwise(plain).alias("payload"))
+    return maps.search_texts(parts, "p_partkey", "payload", SOUGHT).withColumn("encodings", F.array_join("encodings", ","))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -140,3 +140,48 @@ def contains_text(nodes: DataFrame, payload: str, text: str) -> DataFrame:
         one = F.expr(f"position(X'{form.hex()}', `{payload}`) > 0")
         hit = one if hit is None else hit | one
     return nodes.where(hit)
+
+
+#: Encodings in which a name may stand in a payload.
+ENCODINGS = ("gbk", "utf-8", "utf-16-le")
+
+
+def search_texts(nodes: DataFrame, ident: str, payload: str, names: Sequence[str]) -> DataFrame:
+    """``(ident, name, encodings)``: which of ``names`` the payload of each row holds, and in which encodings.
+
+    All names in all encodings are one Aho-Corasick automaton, so a payload is read once however many
+    there are. A name that an encoding can't write is looked for in the others; an encoding that gives the same bytes as
+    another is told under both. Blank names and null payloads hold nothing. ``names`` are a query, held by each task.
+    """
+    forms: dict[bytes, list[tuple[str, str]]] = {}
+    for name in dict.fromkeys(n for n in names if n and n.strip()):
+        for encoding in ENCODINGS:
+            try:
+                forms.setdefault(name.encode(encoding), []).append((name, encoding))
+            except UnicodeEncodeError:
+                continue
+    kind = dict(nodes.dtypes)[ident]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for form, told in forms.items():
+            automaton.add_word(form.decode("latin-1"), told)
+        automaton.make_automaton()
+        for batch in batches:
+            source, found, encodings = [], [], []
+            for i, content in enumerate(batch.column("payload")):
+                held: dict[str, set[str]] = {}
+                for _, told in automaton.iter((content.as_py() or b"").decode("latin-1")) if forms else ():
+                    for name, encoding in told:
+                        held.setdefault(name, set()).add(encoding)
+                for name in sorted(held):
+                    source.append(i)
+                    found.append(name)
+                    encodings.append(sorted(held[name]))
+            ids = batch.column("ident").take(pa.array(source, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.string()), pa.array(encodings, pa.list_(pa.string()))], names=[ident, "name", "encodings"])
+
+    rows = nodes.select(F.col(ident).alias("ident"), F.col(payload).cast("binary").alias("payload"))
+    return rows.mapInArrow(search, f"`{ident}` {kind}, name string, encodings array<string>")
