@@ -27,7 +27,15 @@ def combo_sequences(spark: SparkSession, d: str) -> DataFrame:
     return matching.combo_sequences(e.where("event_type = 'purchase'"), e.where("event_type = 'click'").withColumn("drift_id", F.lit(1)), U)
 
 
-@query()
+@query("""RECURSIVE p AS (SELECT user_id AS replay, user_id * 100000 + t // 86400000000 AS part_id, min(t) / 864e9 AS t0, max(t) / 864e9 AS t1, CAST(count(*) AS DOUBLE) AS hz, CAST(arg_min(k, t) AS DOUBLE) AS x0, CAST(arg_max(k, t) AS DOUBLE) AS x1 FROM ev GROUP BY user_id, t // 86400000000),
+o AS (SELECT *, row_number() OVER (PARTITION BY replay ORDER BY t0, t1, part_id) AS n FROM p),
+g AS (SELECT DISTINCT replay, 0::BIGINT AS n, CAST([] AS STRUCT(t DOUBLE, x DOUBLE, hz DOUBLE)[]) AS v, 0::BIGINT AS part_id, 0::BIGINT AS vehicle FROM p
+  UNION ALL SELECT replay, n, CASE WHEN best IS NULL THEN list_append(v, struct_pack(t := t1, x := x1, hz := hz))
+      ELSE list_concat(v[:best - 1], [struct_pack(t := t1, x := x1, hz := (v[best].hz + hz) / 2)], v[best + 1:]) END, part_id, coalesce(best - 1, len(v))
+  FROM (SELECT g.replay, o.n, g.v, o.part_id, o.t1, o.x1, o.hz, list_sort(list_filter(list_transform(range(1, len(g.v) + 1), lambda k: struct_pack(score := abs(g.v[k].x - o.x0) + 5 * abs(o.t0 - g.v[k].t) + abs(o.hz - g.v[k].hz), k := k)),
+      lambda c: o.t0 - g.v[c.k].t BETWEEN -0.06 AND 0.35 AND abs(o.hz - g.v[c.k].hz) <= 1.5 AND abs(g.v[c.k].x - o.x0) <= 3 + 30 * greatest(o.t0 - g.v[c.k].t, 0)))[1].k AS best
+    FROM g JOIN o ON o.replay = g.replay AND o.n = g.n + 1))
+SELECT replay, part_id, vehicle FROM g WHERE n > 0""")
 def part_stitching(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     day = e.groupBy(F.col("user_id").alias("replay"), F.col("user_id"), F.expr("t div 86400000000").alias("part_id")).agg(
