@@ -37,6 +37,37 @@ def test_analysis_of_a_recording(spark):
     assert len(doc.segments) == 2 and doc.schema_version == 1
 
 
+def test_documents_are_rebuilt_bucket_by_bucket(spark, tmp_path):
+    one = files(spark).first().content
+    both = spark.createDataFrame([("r0", one), ("r1", one + b"\xff")], "replay_sha string, content binary")
+    catalog = Catalog(spark, f"file://{tmp_path}/catalog")
+    catalog.add(both)
+    got = analysis.rebuild_documents(catalog, both, f"file://{tmp_path}/out", buckets=2).collect()
+    assert {r.status for r in got} == {"rebuilt"} and sum(r.recordings for r in got) == 2
+    docs = {r.replay_sha: r for r in spark.read.parquet(f"{tmp_path}/out/data").collect()}
+    local = next(x for x in docs["r0"].streams if x.role == "local_high_frequency")
+    other = next(x for x in docs["r0"].streams if x.role != "local_high_frequency")
+    assert local.n_rows == 600 and local.table_status == native_tables.TABLE_FOUND and other.table_status == native_tables.TABLE_REFUSED and abs(local.hz - 1000 / 17) < 1e-6
+    assert docs["r0"].actions.combo.cw == 1 and len(docs["r1"].segments) == 2
+    assert all(x.analysed for x in catalog.entries().collect())
+    assert {r.status for r in analysis.rebuild_documents(catalog, both, f"file://{tmp_path}/out", buckets=2).collect()} == {"kept"}
+
+
+def test_sections_hold_what_began_in_them(spark):
+    s = analysis.silver(files(spark))
+    rows = lap_rows(spark, {1: 0.1}).withColumns({"replay_sha": F.lit("r0"), "time_ms": (F.col("time_s") * 1000).cast("long"), "speed": F.lit(20.0), "role": F.lit("local_high_frequency")})
+    bend = rows.withColumns({"x": F.when(F.col("distance") < 300, F.col("distance")).otherwise(300 + 8 * F.sin((F.col("distance") - 300) / 8)), "y": F.when(F.col("distance") < 300, 0.0).otherwise(8 - 8 * F.cos((F.col("distance") - 300) / 8))})
+    bend = bend.where("distance < 315")
+    turned = analysis.Silver(bend, s.tables, s.drifts, s.effects, s.air, s.actions)
+    (got,) = analysis.training_sections(turned).collect()
+    assert got.representative and (got.drifts, got.boosts, got.nitros) == (0, 0, 0) and got.start_d > 280
+    moved = s.drifts.withColumns({"start_t": F.col("start_t") - F.col("start_t") + got.start_t, "end_t": F.lit(got.end_t).cast("long")})
+    (got,) = analysis.training_sections(analysis.Silver(bend, s.tables, moved, s.effects, s.air, s.actions)).collect()
+    assert got.drifts == 2 and got.boosts == 0
+    (got,) = analysis.training_sections(analysis.Silver(bend, s.tables.withColumn("count_offset", F.lit(None).cast("long")), moved, s.effects, s.air, s.actions)).collect()
+    assert got.drifts is None
+
+
 def test_key_presses_decide_between_tables(spark):
     right, wrong = [(2000, 2400), (2450, 2800), (4000, 4600)], [(150, 400), (500, 900), (1100, 1700)]
     tables = b"".join(synthetic.toggle_table(t) + synthetic.effect_table([]) + b"\xff" * 40 for t in (wrong, right))

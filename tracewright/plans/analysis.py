@@ -16,10 +16,13 @@ from ..operators import matching, sections, semantics, sets, temporal
 from ..operators import sequences as seq
 from ..sources import native_tables, recordings
 from ..storage import kept
+from .catalog import Catalog
+from .rebuild import BUCKETS, rebuild
 
 #: Effect codes.
 NITRO, SMALL_BOOST, MAP_PROPULSION = 1.0, 2001.0, 2003.0
 STREAM, ORDER = ["replay_sha", "stream"], ["i"]
+CONTRACT = "trajectory_analysis"
 LOCAL = "role = 'local_high_frequency'"
 
 
@@ -164,12 +167,54 @@ def representative_lap(found: DataFrame, lap_times: DataFrame) -> DataFrame:
     return n.groupBy(*STREAM).agg(F.min(F.struct((-F.col("n_sections")).alias("n"), "span", "lap_index")).alias("m")).select(*STREAM, F.col("m.lap_index").alias("lap_index"))
 
 
+def stream_summary(s: Silver) -> DataFrame:
+    """Each stream with its role, totals, sample rate and states, and what became of its native table."""
+    totals = agg.stream_totals(s.rows, [*STREAM, "role"], "time_s", "distance", "speed", ["contact_state", "lap_index"])
+    rate = agg.sample_rate(s.rows, STREAM, ORDER, "time_ms").select(*STREAM, "step_ms", "hz")
+    table = s.tables.select(*STREAM, F.col("status").alias("table_status"), "count_offset", "matches", "share", "retriggers", "outside", "eligible", "refused")
+    return totals.join(rate, STREAM, "left").join(table, STREAM, "left")
+
+
+def training_sections(s: Silver) -> DataFrame:
+    """Turns of every lap, with what happened in each and whether its lap is the stream's representative one.
+
+    ``drifts``, ``boosts`` and ``nitros`` count those that begin within the turn's time; they are NULL, not 0, for a
+    stream without a native table.
+    """
+    found = turn_sections(s.rows)
+    keys = [*STREAM, "lap_index"]
+    times = s.rows.where("lap_index is not null").groupBy(*keys).agg((F.max("time_s") - F.min("time_s")).alias("span"))
+    best = representative_lap(found, times).withColumn("representative", F.lit(True))
+    at = s.rows.select(*keys, "time_ms", F.col("distance").alias("_d"))
+    inside = temporal.range_join(at, found.select(*keys, "section", "start_d", "end_d"), keys, "_d", "start_d", "end_d", width=100)
+    spans = inside.groupBy(*keys, "section").agg(F.min("time_ms").alias("start_t"), F.max("time_ms").alias("end_t"))
+    starts = s.drifts.select(*STREAM, F.col("start_t").alias("t"), F.lit("drift").alias("what")).union(s.effects.select(*STREAM, "start_t", F.when(F.col("code") == SMALL_BOOST, "boost").when(F.col("code") == NITRO, "nitro").otherwise("other")))
+    spans = spans.withColumn("_id", F.concat_ws("/", "lap_index", "section"))
+    counted = temporal.counts_inside(spans, starts, STREAM, "_id", "t", {n: F.col("what") == n for n in ("drift", "boost", "nitro")}).drop("_id")
+    known = s.tables.select(*STREAM, F.col("count_offset").isNotNull().alias("_known"))
+    out = found.join(counted, [*keys, "section"], "left").join(known, STREAM, "left").join(best, keys, "left")
+    counts = {f"{n}s": F.when(F.col("_known"), F.coalesce(n, F.lit(0))) for n in ("drift", "boost", "nitro")}
+    return out.withColumns(counts | {"representative": F.coalesce("representative", F.lit(False))}).drop("_known", "drift", "boost", "nitro")
+
+
 def documents(s: Silver) -> DataFrame:
-    """One nested document a recording: laps, segments, episodes and action semantics."""
+    """One nested document a recording: streams, laps, segments, episodes, sections and action semantics."""
     pack = lambda df, name: df.groupBy("replay_sha").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "replay_sha"])).alias(name))
     out = s.rows.select("replay_sha").distinct()
-    for name, df in (("laps", lap_table(s)), ("segments", segments(s)), ("episodes", episodes(s))):
+    for name, df in (("streams", stream_summary(s)), ("laps", lap_table(s)), ("segments", segments(s)), ("episodes", episodes(s)), ("sections", training_sections(s))):
         out = out.join(pack(df, name), "replay_sha", "left")
     told = action_document(s)
     one = told.select("replay_sha", F.struct(*[c for c in told.columns if c != "replay_sha"]).alias("actions"))
-    return out.join(one, "replay_sha", "left").withColumns({"contract": F.lit("trajectory_analysis"), "schema_version": F.lit(1)})
+    return out.join(one, "replay_sha", "left").withColumns({"contract": F.lit(CONTRACT), "schema_version": F.lit(1)})
+
+
+def rebuild_documents(catalog: Catalog, files: DataFrame, out: str, buckets: int = BUCKETS, force: bool = False) -> DataFrame:
+    """The documents of all visible, active recordings ``files`` (``replay_sha, content``) below ``out``, bucket by bucket; see ``rebuild``.
+
+    Recordings whose documents were made count as analysed in the catalog from then on.
+    """
+    report = rebuild(files.sparkSession, catalog, files, lambda some: documents(silver(some)), out, CONTRACT, buckets, force)
+    if report.where("status = 'rebuilt'").head(1):
+        made = files.sparkSession.read.parquet(f"{out}/data").select("replay_sha")
+        catalog.mark_analysed(made)
+    return report

@@ -132,6 +132,11 @@ class Catalog:
         kinds = {c.split()[0]: c.split()[1] for c in SCHEMA.split(", ")}
         self._change(lambda entries: entries.where(F.col("replay_sha").isin(*shas)).withColumns({k: F.lit(v).cast(kinds[k]) for k, v in values.items()}))
 
+    def mark_analysed(self, recordings: DataFrame) -> None:
+        """The recordings of a table count as analysed; a join, as they may be many."""
+        made = recordings.select("replay_sha").distinct()
+        self._change(lambda entries: entries.where("not analysed").join(made, "replay_sha", "left_semi").withColumn("analysed", F.lit(True)))
+
     def reset_derived(self, *paths: str) -> None:
         """Deletes derived tables at ``paths``; recordings, decoded rows, labels and states stay, none counts as analysed."""
         for path in paths:
