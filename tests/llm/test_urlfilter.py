@@ -58,7 +58,7 @@ def test_whole_query_keeps_the_rules(spark, sf):
 
 def plain_verdicts(pages):
     """The model in plain Python: word counts, splits, naive Bayes over distinct hosts and paths."""
-    words = Counter(w for p in pages for w in re.findall(r"[^\W\d_]+", re.sub("<[^>]*>", " ", p.html).lower()) if len(w) <= urlfilter.MAX_WORD)
+    words = Counter(w for p in pages for w in re.findall(r"[^\W\d_]+", re.sub("<[^>]*>", " ", p.html).lower()))
     for w in urlfilter.BLOCKED_WORDS:
         words[w] += urlfilter.SEED_COUNT
     total, seeds = sum(words.values()), set(urlfilter.BLOCKED_WORDS)
@@ -141,3 +141,31 @@ def test_odd_and_empty_tables(spark):
     got = urlfilter.filter_urls(odd, URL_RULES)
     assert got.count() == 6 and {r.rule for r in got.where("page_id = 2").collect()} == {"org/", None}
     assert urlfilter.filter_urls(pages.where("false"), URL_RULES).count() == 0
+
+
+def plain_viterbi(label, known, total):
+    """The table over all beginnings of all words, without a limit on their length."""
+    best, last = [0.0], [0]
+    for end in range(1, len(label) + 1):
+        options = []
+        for start in range(end):
+            n = known.get(label[start:end])
+            options.append((best[start] + (math.log(n / total) if n else math.log(10 / total) - (end - start) * math.log(10)), -start))
+        best.append(max(options)[0])
+        last.append(-max(options)[1])
+    return best[-1]
+
+
+def test_words_and_labels_of_any_length(spark):
+    rng = random.Random(6)
+    for _ in range(60):
+        known = {"".join(rng.choices("ab", k=rng.choice([1, 2, 3, 25, 40]))): rng.randint(1, 50) for _ in range(12)}
+        total = 10_000
+        label = "".join(rng.choice([*known, "c" * rng.randint(1, 30)]) for _ in range(rng.randint(1, 6)))
+        got = urlfilter.viterbi(label, known, total)
+        cost = sum(math.log(known[w] / total) if w in known else math.log(10 / total) - len(w) * math.log(10) for w in got)
+        assert "".join(got) == label and abs(cost - plain_viterbi(label, known, total)) < 1e-9
+    word, junk = "donaudampfschifffahrtsgesellschaft", "q" * 5000
+    pages = spark.createDataFrame([(0, f"{word} casino {word}")], "page_id long, html string")
+    words = urlfilter.segment(spark.createDataFrame([(f"{word}casino{junk}casino",)], "label string"), urlfilter.word_counts(pages, "html"))
+    assert words.first().words == [word, "casino", junk, "casino"]

@@ -28,11 +28,8 @@ BLOCKED_WORDS = (
 SEED_COUNT = 100
 #: Added to every count of a word in a class.
 ALPHA = 0.1
-MAX_WORD = 20
 #: Parts into which the paths of one host are dealt where they meet what is known of it.
 SALTS = 8
-#: Longest stretch that is split as one, the length limit of a host's label; longer ones are cut.
-MAX_LABEL = 63
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,28 +80,35 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
     """``(word, n)`` of lower-cased runs of letters outside tags, over all rows, and the seed words."""
     plain = F.lower(F.regexp_replace(F.col(text), "<[^>]*>", " "))
-    words = texts.select(F.explode(F.split(plain, "[^\\p{L}]+")).alias("word")).where(f"word <> '' and length(word) <= {MAX_WORD}")
+    words = texts.select(F.explode(F.split(plain, "[^\\p{L}]+")).alias("word")).where("word <> ''")
     seeds = texts.sparkSession.createDataFrame([(w, SEED_COUNT) for w in BLOCKED_WORDS], "word string, n long")
     counted = words.groupBy("word").agg(F.count("*").alias("n"))
     return counted.unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def viterbi(label: str, known: dict[str, int], total: int) -> list[str]:
-    """The split with the highest product of word shares; unknown words cost more the longer they are.
+    """The split with the highest product of word shares; unknown words, of any length, cost more the longer they are.
 
-    On a tie the split whose last word is longest is taken.
+    On a tie the split whose last word is longest is taken. The best beginning of an unknown word is the
+    same for all its ends but for a constant, so one running maximum finds it (a known word costs no more than
+    it would unknown), and a label costs its length times the number of lengths that its known words have.
     """
+    lengths = sorted({len(w) for w in known}, reverse=True)
+    letter, unknown = math.log(10), math.log(10 / total)
     best, last = [0.0], [0]
+    ahead, begin = 0.0, 0  # the largest of best[start] + start * letter
     for end in range(1, len(label) + 1):
-        score, at = -math.inf, end - 1
-        for start in range(max(0, end - MAX_WORD), end):
-            word = label[start:end]
-            n = known.get(word)
-            cost = math.log(n / total) if n else math.log(10 / total) - len(word) * math.log(10)
-            if best[start] + cost > score:
-                score, at = best[start] + cost, start
+        score, at = ahead + unknown - end * letter, begin
+        for n in lengths:
+            word = label[end - n : end] if n <= end else ""
+            if n <= end and word in known:
+                cost = best[end - n] + math.log(known[word] / total)
+                if cost > score or (cost == score and end - n < at):
+                    score, at = cost, end - n
         best.append(score)
         last.append(at)
+        if score + end * letter > ahead:
+            ahead, begin = score + end * letter, end
     words, end = [], len(label)
     while end:
         words.append(label[last[end] : end])
@@ -113,32 +117,28 @@ def viterbi(label: str, known: dict[str, int], total: int) -> list[str]:
 
 
 def segment(labels: DataFrame, unigrams: DataFrame) -> DataFrame:
-    """``(label, words)`` for distinct non-empty ``label``s of at most ``MAX_LABEL`` letters."""
-    total = unigrams.agg(F.sum("n")).first()[0] or 1
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length("label")),
-            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("label") - i + 1)), lambda w: F.substring(F.col("label"), i, w)),
-        )
-    )
+    """``(label, words)`` for distinct non-empty ``label``s.
+
+    Labels are cut into stretches of those lengths only that some word has, however long.
+    """
+    total, lengths = unigrams.agg(F.sum("n"), F.array_sort(F.collect_set(F.length("word")))).first()
+    total = total or 1
+    widths = F.filter(F.array(*[F.lit(n) for n in lengths or [1]]), lambda w: w <= F.length("label"))
+    spans = F.flatten(F.transform(widths, lambda w: F.transform(F.sequence(F.lit(1), F.length("label") - w + 1), lambda i: F.substring(F.col("label"), i, w))))
     parts = labels.select("label", F.explode(F.array_distinct(spans)).alias("word"))
-    known = parts.join(unigrams, "word", "left").groupBy("label").agg(F.map_from_entries(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n")))).alias("known"))
+    known = parts.join(unigrams, "word").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
+    known = labels.join(known, "label", "left")
 
     @F.arrow_udf("array<string>")
     def split(names: pa.Array, words: pa.Array) -> pa.Array:
-        return pa.array([viterbi(a.as_py(), dict(k.as_py()), total) for a, k in zip(names, words)], pa.list_(pa.string()))
+        return pa.array([viterbi(a.as_py(), dict(k.as_py() or ()), total) for a, k in zip(names, words)], pa.list_(pa.string()))
 
     return known.select("label", split("label", "known").alias("words"))
 
 
 def _labels(host: Column) -> Column:
-    """Runs of letters of a host, cut to ``MAX_LABEL`` characters."""
-    runs = F.filter(F.split(host, "[^\\p{L}]+"), lambda x: x != "")
-    return F.flatten(
-        F.transform(
-            runs, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / F.lit(MAX_LABEL)).cast("int")), lambda i: F.substring(x, i * MAX_LABEL + 1, F.lit(MAX_LABEL)))
-        )
-    )
+    """Runs of letters of a host."""
+    return F.filter(F.split(host, "[^\\p{L}]+"), lambda x: x != "")
 
 
 def _path_tokens(path: Column) -> Column:
