@@ -10,13 +10,13 @@ blocked, the others unlabelled and taken as allowed, as in learning from positiv
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 #: Words of hosts or paths that mark an example as one to block. They are few and only
 #: seeds: the model weighs every word by the company it keeps, so that hosts without any of them are
@@ -28,6 +28,8 @@ BLOCKED_WORDS = (
 SEED_COUNT = 100
 #: Added to every count of a word in a class.
 ALPHA = 0.1
+#: Stretches of labels that a task passes on at a time.
+SPANS = 50_000
 #: Parts into which the paths of one host are dealt where they meet what is known of it.
 SALTS = 8
 
@@ -123,11 +125,29 @@ def segment(labels: DataFrame, unigrams: DataFrame) -> DataFrame:
     """
     total, lengths = unigrams.agg(F.sum("n"), F.array_sort(F.collect_set(F.length("word")))).first()
     total = total or 1
-    widths = F.filter(F.array(*[F.lit(n) for n in lengths or [1]]), lambda w: w <= F.length("label"))
-    spans = F.flatten(F.transform(widths, lambda w: F.transform(F.sequence(F.lit(1), F.length("label") - w + 1), lambda i: F.substring(F.col("label"), i, w))))
-    parts = labels.select("label", F.explode(F.array_distinct(spans)).alias("word"))
-    known = parts.join(unigrams, "word").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
-    known = labels.join(known, "label", "left")
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, words = [], []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(words, pa.string())], names=["number", "word"])
+
+        for batch in slices(batches):
+            for number, label in zip(batch.column("number").to_pylist(), batch.column("label").to_pylist()):
+                for n in lengths:
+                    found = {label[k : k + n] for k in range(len(label) - n + 1)}
+                    numbers += [number] * len(found)
+                    words += found
+                    if len(words) > SPANS:
+                        yield rows()
+                        numbers, words = [], []
+        yield rows()
+
+    # rows of stretches carry the label's number, as a label may be very long
+    labels = materialize(labels.select("label").withColumn("number", F.monotonically_increasing_id()), "labels")
+    parts = labels.mapInArrow(spans, "number long, word string")
+    known = parts.join(unigrams, "word").groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
+    known = labels.join(known, "number", "left")
 
     @F.arrow_udf("array<string>")
     def split(names: pa.Array, words: pa.Array) -> pa.Array:
