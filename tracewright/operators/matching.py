@@ -433,16 +433,23 @@ def resolve_tiers(replays: DataFrame, rooms: DataFrame, bindings: DataFrame, con
     The longest room name that begins the hint counts, if it is the only one of its length. ``rooms``:
     ``room, game_id``; ``confirmed``: ``replay, resource_id``; ``names``: ``name, resource_id``.
     """
-    # a hint meets rooms by its own prefixes: an equi-join, however many rooms there are
-    prefixes = replays.select("replay", F.explode(F.transform(F.sequence(F.lit(1), F.length("hint")), lambda n: F.substring(F.col("hint"), F.lit(1), n))).alias("room"))
-    hit = prefixes.where("room <> ''").join(rooms, "room")
-    w = Window.partitionBy("replay")
-    hit = hit.withColumn("_l", F.length("room")).withColumn("_m", F.max("_l").over(w)).where("_l = _m")
-    hit = hit.groupBy("replay").agg(F.countDistinct("game_id").alias("_n"), F.min("game_id").alias("game_id")).where("_n = 1").drop("_n")
+    # a distinct hint meets rooms by its own prefixes: an equi-join, however many rooms there are. What grows with the
+    # recordings is never broadcast: it is the left side of left joins, or a sorted side, whatever its file's size promises
+    hints = replays.select("hint").distinct()
+    prefixes = hints.select("hint", F.explode(F.transform(F.sequence(F.lit(1), F.length("hint")), lambda n: F.substring(F.col("hint"), F.lit(1), n))).alias("room"))
+    met = prefixes.join(rooms.where("room <> ''").select("room", "game_id", F.length("room").alias("_l")), "room", "left")
+
+    def longest(rows: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
+        of = rows.groupBy(key, "_l").agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi")).groupBy(key)
+        return of.agg(F.max("_l").alias("_l"), F.max_by(F.struct("_lo", "_hi"), "_l").alias("_b")).select(key, "_l", "_b._lo", "_b._hi")
+
+    told = replays.join(longest(met, "hint", "game_id", "game_id").hint("merge"), "hint", "left")
+    hit = longest(told, "replay", "_lo", "_hi").select("replay", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("game_id"))
     good = bindings.where("authoritative").select("game_id", F.col("resource_id").alias("_room"))
-    by_room = hit.join(good, "game_id").select("replay", "_room")
+    by_room = hit.join(good, "game_id", "left").select("replay", "_room").hint("merge")
+    users = confirmed.select("replay", F.col("resource_id").alias("_user")).hint("merge")
     one = names.groupBy(F.col("name").alias("hint")).agg(F.countDistinct("resource_id").alias("_n"), F.min("resource_id").alias("_name")).where("_n = 1").drop("_n")
-    j = replays.join(by_room, "replay", "left").join(confirmed.select("replay", F.col("resource_id").alias("_user")), "replay", "left").join(one, "hint", "left")
+    j = replays.join(by_room, "replay", "left").join(users, "replay", "left").join(one, "hint", "left")
     method = F.when(F.col("_room").isNotNull(), "room_prefix").when(F.col("_user").isNotNull(), "user_confirmed").when(F.col("_name").isNotNull(), "exact_name").otherwise("unresolved")
     return j.select("replay", "hint", F.coalesce("_room", "_user", "_name").alias("resource_id"), method.alias("method"))
 
