@@ -90,7 +90,9 @@ def hysteresis_sections(spark: SparkSession, d: str) -> DataFrame:
 def corner_pairing(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).where("event_type = 'click'")
     w = Window.partitionBy("user_id")
-    c = e.select("user_id", F.col("event_id").alias("corner"), ((F.col("t") - F.min("t").over(w)) / (F.max("t").over(w) - F.min("t").over(w))).alias("s_start")).withColumn("pair", F.expr("user_id div 2"))
+    # a user of one moment has no progress: NULL, not a division by zero
+    span = F.nullif(F.max("t").over(w) - F.min("t").over(w), F.lit(0))
+    c = e.select("user_id", F.col("event_id").alias("corner"), ((F.col("t") - F.min("t").over(w)) / span).alias("s_start")).withColumn("pair", F.expr("user_id div 2"))
     return matching.pair_corners(c.where("user_id % 2 = 0"), c.where("user_id % 2 = 1"), ["pair"])
 
 
