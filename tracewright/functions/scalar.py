@@ -7,7 +7,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StringType
 
 #: Names of the wheel contact states 0 to 5.
 CONTACT_STATES = ("in_air", "none_contact", "one_contact", "two_contact", "three_contact", "full_contact")
@@ -106,7 +106,13 @@ def delta_direction(d: Column, equal: float = EQUAL_S) -> Column:
 
 
 def signed_text(x: Column, digits: int = 3) -> Column:
-    return F.when(x.isNotNull(), F.format_string(f"%+.{digits}f", x))
+    """``x`` with its sign, rounded by its exact binary value; Java's formats round the shortest decimal text of it."""
+
+    @F.arrow_udf(StringType())
+    def text(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:+.{digits}f}" for v in values.to_pylist()], pa.string())
+
+    return text(x.cast("double"))
 
 
 def observation(label: Column, d: Column) -> Column:
