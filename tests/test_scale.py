@@ -1,11 +1,15 @@
 """Results and plans that only larger tables showed to be wrong."""
 
+import tracemalloc
+
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracewright import queries_python
 from tracewright.functions import scalar
 from tracewright.operators import matching
+from tracewright.sources import native_tables, recordings, synthetic
 
 
 def test_recordings_are_never_broadcast(spark, tmp_path):
@@ -40,3 +44,33 @@ def test_signed_text_rounds_the_exact_value(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r.t for r in df.select(scalar.signed_text(F.col("v")).alias("t")).collect()]
     assert got == [duckdb.execute("SELECT printf('%+.3f', ?::DOUBLE)", [v]).fetchone()[0] for v in values] and got[0] == "+0.037"
+
+
+def peak(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_scan_holds_few_bytes_for_each_of_a_file():
+    data = np.frombuffer(synthetic.vehicle_records(4000) + b"\xff" * 512, np.uint8)
+    assert len(list(recordings.lane_runs(data, 230))) == 1
+    assert peak(lambda: list(recordings.lane_runs(data, 230))) < 20 * len(data)
+    assert peak(lambda: list(native_tables.drift_candidates(bytes(data), len(data)))) < 10 * len(data)
+
+
+def test_pairs_keep_a_move_a_cell_and_totals_of_two_rows():
+    u = np.linspace(0, 1, 500)
+    edge = np.concatenate(([0.0], u))
+    cost, band = np.abs(u[:, None] - u[None]), np.abs(edge[:, None] - edge[None]) <= 0.02
+    ok = cost <= 0.01
+    assert matching.monotone_pairs(cost, ok, band) == [(i, i) for i in range(500)]
+    assert peak(lambda: matching.monotone_pairs(cost, ok, band)) < 4 * cost.size
+
+
+def test_laps_are_aligned_once_for_their_shared_progress(spark):
+    plan = queries_python.shared_progress(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 0

@@ -215,43 +215,37 @@ def monotone_pairs(cost: np.ndarray, allowed: np.ndarray, band: np.ndarray) -> l
     """Pairs (i, j), both increasing: as many allowed ones as can be, then of the least total cost.
 
     Cells of ``band`` (one larger each way) may be passed. On equal terms a row is skipped before a
-    column, and both before a pair. Whole anti-diagonals are computed at once.
+    column, and both before a pair. Only cells of the band are computed; their totals are kept for two rows.
     """
     n, m = cost.shape
-    count, total = np.full((n + 1, m + 1), -1, np.int64), np.full((n + 1, m + 1), np.inf)
-    move = np.zeros((n + 1, m + 1), np.int8)
     if not band[0, 0]:
         return []
-    count[0, 0], total[0, 0] = 0, 0.0
-    for s in range(1, n + m + 1):
-        i = np.arange(max(0, s - m), min(n, s) + 1)
-        j = s - i
-        keep = band[i, j]
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        bc, bt, bm = np.full(len(i), -1, np.int64), np.full(len(i), np.inf), np.zeros(len(i), np.int8)
-
-        def better(c, t, code):
-            take = (c >= 0) & ((c > bc) | ((c == bc) & (t < bt - 1e-12)))
-            bc[take], bt[take], bm[take] = c[take], t[take], code
-
-        up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
-        better(np.where(i > 0, count[up, j], -1), total[up, j], 1)
-        better(np.where(j > 0, count[i, left], -1), total[i, left], 2)
-        both = (i > 0) & (j > 0)
-        ok = np.zeros(len(i), bool)
-        ok[both] = allowed[up[both], left[both]]
-        from_pair = np.where(ok & (count[up, left] >= 0), count[up, left] + 1, -1)
-        step = np.zeros(len(i))
-        step[both] = cost[up[both], left[both]]
-        better(from_pair, total[up, left] + step, 3)
-        count[i, j], total[i, j], move[i, j] = bc, bt, bm
+    moves: list[bytearray] = []
+    above, above_total = [-1] * (m + 1), [np.inf] * (m + 1)
+    for i in range(n + 1):
+        count, total, move = [-1] * (m + 1), [np.inf] * (m + 1), bytearray(m + 1)
+        ok, costs = (allowed[i - 1].tolist(), cost[i - 1].tolist()) if i else ([False] * m, [0.0] * m)
+        for j in np.flatnonzero(band[i]).tolist():
+            if i == j == 0:
+                count[0], total[0] = 0, 0.0
+                continue
+            most, least, code = above[j], above_total[j], 1 if above[j] >= 0 else 0
+            if j:
+                c, t = count[j - 1], total[j - 1]
+                if c > most or (c == most and t < least - 1e-12):
+                    most, least, code = c, t, 2
+                if ok[j - 1] and above[j - 1] >= 0:
+                    c, t = above[j - 1] + 1, above_total[j - 1] + costs[j - 1]
+                    if c > most or (c == most and t < least - 1e-12):
+                        most, least, code = c, t, 3
+            count[j], total[j], move[j] = most, least, code
+        moves.append(move)
+        above, above_total = count, total
     i, j, out = n, m, []
-    if count[n, m] < 0:
+    if above[m] < 0:
         return []
     while i or j:
-        code = move[i, j]
+        code = moves[i][j]
         if code == 3:
             out.append((i - 1, j - 1))
         i, j = i - (code in (1, 3)), j - (code in (2, 3))

@@ -11,6 +11,7 @@ from .operators import sequences as seq
 from .functions.scalar import round_even
 from .queries_native import greedy_sql
 from .registry import HOUR, events, query
+from .storage import kept
 
 U, ORDER = ["user_id"], ["t", "event_id"]
 
@@ -75,7 +76,7 @@ def trajectory_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def shared_progress(spark: SparkSession, d: str) -> DataFrame:
-    pairs = trajectory_alignment(spark, d)
+    pairs = kept(trajectory_alignment(spark, d))  # two tables below are made of it
     points = pairs.select("pair", (F.col("a_progress") + 0.001).alias("u"))
     return cmp.to_shared(points, pairs, ["pair"], "u")
 
