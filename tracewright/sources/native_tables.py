@@ -97,9 +97,10 @@ def drift_candidates(data: bytes, tail: int = TAIL, base: int = 0) -> Iterator[d
     b = np.frombuffer(data, np.uint8)
     if len(b) < 14:
         return
-    at = np.arange(low, len(b) - 13)
+    # few bytes pass the states of the first two rows; only there is a count put together
+    at = low + np.flatnonzero((b[low + 8 : len(b) - 5] == 1) & (b[low + 13 :] == 0))
     n = b[at].astype(np.int64) | b[at + 1].astype(np.int64) << 8 | b[at + 2].astype(np.int64) << 16 | b[at + 3].astype(np.int64) << 24
-    likely = at[(n >= 4) & (n <= 1000) & (n % 2 == 0) & (b[at + 8] == 1) & (b[at + 13] == 0)]
+    likely = at[(n >= 4) & (n <= 1000) & (n % 2 == 0)]
     seen = set()
     found = data.find(MARKER, low)
     marked = []

@@ -75,8 +75,7 @@ def landing(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> Dat
 
 def _u32(data: np.ndarray) -> np.ndarray:
     """The little-endian 32-bit number at every byte."""
-    b = data.astype(np.uint32)
-    return b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
+    return np.ndarray((max(0, len(data) - 3),), "<u4", np.ascontiguousarray(data), strides=(1,)).copy()
 
 
 def _field(data: np.ndarray, at: np.ndarray, kind: str, n: int = 1) -> np.ndarray:
@@ -86,23 +85,30 @@ def _field(data: np.ndarray, at: np.ndarray, kind: str, n: int = 1) -> np.ndarra
     return np.ascontiguousarray(raw).view(kind)
 
 
-def lane_runs(data: np.ndarray, stride: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(residue, clocks) of every run whose clock never goes back and really advances."""
+def lane_runs(data: np.ndarray, stride: int, clock: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(residue, clocks) of every run whose clock never goes back and really advances; ``clock`` is ``_u32(data)``."""
     if len(data) < stride * LEAST_RECORDS:
         return
-    clock = _u32(data)
+    clock = _u32(data) if clock is None else clock
     rows = -(-len(clock) // stride)
-    grid = np.full(rows * stride, LAST_MS, np.int64)
-    grid[: len(clock)] = clock
-    grid = grid.reshape(rows, stride)
-    step = np.diff(grid, axis=0)
-    good = (grid[:-1] < LAST_MS) & (grid[1:] < LAST_MS) & (step >= 0) & (step <= LONGEST_STEP_MS)
-    for residue in np.flatnonzero(good.sum(axis=0) >= LEAST_RECORDS - 1):
+    # unsigned steps: one backwards is a very long one
+    step, low = clock[stride:] - clock[:-stride], clock < LAST_MS
+    flat = np.zeros((rows - 1) * stride, bool)
+    flat[: len(step)] = (step <= LONGEST_STEP_MS) & low[:-stride] & low[stride:]
+    good = flat.reshape(rows - 1, stride)
+    moved = np.zeros_like(flat)
+    np.logical_and(flat[: len(step)], step > 0, out=moved[: len(step)])
+    # a lane without enough good steps, or too few of them forward, holds no run
+    enough = good.sum(axis=0, dtype=np.int32) >= LEAST_RECORDS - 1
+    enough &= moved.reshape(rows - 1, stride).sum(axis=0, dtype=np.int32) >= LEAST_FORWARD * (LEAST_RECORDS - 1)
+    for residue in np.flatnonzero(enough):
         edge = np.diff(np.concatenate(([0], good[:, residue].view(np.int8), [0])))
+        times = clock[residue::stride]
         for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
             if b - a + 1 < LEAST_RECORDS:
                 continue
-            t, forward = grid[a : b + 1, residue], (step[a:b, residue] > 0).mean()
+            t = times[a : b + 1].astype(np.int64)
+            forward = (np.diff(t) > 0).mean()
             if t[-1] - t[0] >= LEAST_MS and forward >= LEAST_FORWARD and 1 - forward <= MOST_FROZEN:
                 yield int(residue + a * stride), t
 
@@ -137,7 +143,8 @@ def stream_candidates(recordings: DataFrame) -> DataFrame:
         for batch in batches:
             for sha, content in zip(batch.column("replay_sha").to_pylist(), batch.column("content")):
                 data = np.frombuffer(content.as_buffer(), np.uint8) if content.is_valid else np.zeros(0, np.uint8)
-                found = [c for layout in LAYOUTS for start, t in lane_runs(data, layout.stride) if (c := _candidate(data, layout, start, t))]
+                clock = _u32(data)
+                found = [c for layout in LAYOUTS for start, t in lane_runs(data, layout.stride, clock) if (c := _candidate(data, layout, start, t))]
                 if found:
                     yield pa.RecordBatch.from_pylist([{"replay_sha": sha} | c for c in found])
 
