@@ -74,3 +74,13 @@ def test_pairs_keep_a_move_a_cell_and_totals_of_two_rows():
 def test_laps_are_aligned_once_for_their_shared_progress(spark):
     plan = queries_python.shared_progress(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInPandas") == 0
+
+
+def test_files_travel_once_and_are_never_broadcast(spark):
+    car = synthetic.vehicle_records(120) + b"\xff" * 512
+    files = spark.createDataFrame([(f"r{k}", bytearray(car + car)) for k in range(4)] + [("none", None)], "replay_sha string, content binary").repartition(4)
+    found = recordings.streams(recordings.stream_candidates(files))
+    rows = recordings.decode(files, found, ["replay_sha", "stream", "i", "time_ms"])
+    assert rows.columns == ["replay_sha", "stream", "i", "time_ms"]
+    assert {(r.replay_sha, r.stream): r["count"] for r in rows.groupBy("replay_sha", "stream").count().collect()} == {(f"r{k}", s): 120 for k in range(4) for s in (0, 1)}
+    assert "LeftOuter" in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -110,7 +110,7 @@ def state_bytes(spark: SparkSession, d: str) -> DataFrame:
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
     r = _recordings(spark, d)
     found = kept(recordings.streams(recordings.stream_candidates(r)))
-    rows = recordings.decode(r, found)
+    rows = recordings.decode(r, found, ["replay_sha", "stream", "i", "time_ms", "input_64"])
     rises = seq.rising_edges(rows, ["replay_sha", "stream"], ["i"], F.col("input_64") != 0).select("replay_sha", "stream", F.col("time_ms").alias("t"))
     vehicles = found.select("replay_sha", "stream", F.col("stream").alias("shadow"))  # the first vehicle has the higher rate
     return native_tables.assign_tables(kept(native_tables.drift_tables(r)), vehicles, kept(rises))

@@ -79,7 +79,10 @@ def _u32(data: np.ndarray) -> np.ndarray:
 
 
 def _field(data: np.ndarray, at: np.ndarray, kind: str, n: int = 1) -> np.ndarray:
-    """``n`` values of a 4-byte kind at each byte offset; offsets beyond the end give zeros."""
+    """``n`` values of a 4-byte kind at each of evenly spaced byte offsets; offsets beyond the end give zeros."""
+    if len(at) and at[0] >= 0 and at[-1] + 4 * n <= len(data):
+        step = int(at[1] - at[0]) if len(at) > 1 else 4 * n
+        return np.ndarray((len(at), 4 * n), np.uint8, np.ascontiguousarray(data), int(at[0]), (step, 1)).copy().view(kind)
     where = at[:, None] + np.arange(4 * n)
     raw = np.where(where < len(data), data[np.minimum(where, len(data) - 1)], 0).astype(np.uint8)
     return np.ascontiguousarray(raw).view(kind)
@@ -215,6 +218,23 @@ def state_lanes(data: np.ndarray, start: int, stride: int, records: int) -> list
     return [{"lane": int(lanes[k]), "changes": int(changes[k]), "states": np.flatnonzero(counts[k]).tolist(), "counts": counts[k][counts[k] > 0].tolist()} for k in np.flatnonzero(found)]
 
 
+def _with_streams(recordings: DataFrame, found: DataFrame) -> DataFrame:
+    """Contents with the list of their streams, NULL without any: a file travels once, however many vehicles it holds.
+
+    Contents are the left side of a left join, so that they are never broadcast, nor gathered in one task.
+    """
+    each = found.groupBy("replay_sha").agg(F.collect_list(F.struct("stream", "profile", "start_byte", "records")).alias("streams"))
+    return recordings.select("replay_sha", "content").join(each, "replay_sha", "left")
+
+
+def _each_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Layout, np.ndarray]]:
+    for batch in batches:
+        for sha, content, rows in zip(batch.column("replay_sha").to_pylist(), batch.column("content"), batch.column("streams").to_pylist()):
+            data = np.frombuffer(content.as_buffer(), np.uint8) if rows else None
+            for row in rows or []:
+                yield {"replay_sha": sha} | row, next(x for x in LAYOUTS if x.name == row["profile"]), data
+
+
 _LANES = "replay_sha string, stream int, lane int, changes long, states array<int>, counts array<long>"
 
 
@@ -223,16 +243,11 @@ def discover_states(recordings: DataFrame, found: DataFrame) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("replay_sha", pa.string()), ("stream", pa.int32()), ("lane", pa.int32()), ("changes", pa.int64()), ("states", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in ("replay_sha", "stream", "profile", "start_byte", "records")}
-                data = np.frombuffer(batch.column("content")[k].as_buffer(), np.uint8)
-                stride = next(x.stride for x in LAYOUTS if x.name == row["profile"])
-                lanes = state_lanes(data, row["start_byte"], stride, row["records"])
-                yield pa.RecordBatch.from_pylist([{"replay_sha": row["replay_sha"], "stream": row["stream"]} | x for x in lanes], kinds)
+        for row, layout, data in _each_stream(batches):
+            lanes = state_lanes(data, row["start_byte"], layout.stride, row["records"])
+            yield pa.RecordBatch.from_pylist([{"replay_sha": row["replay_sha"], "stream": row["stream"]} | x for x in lanes], kinds)
 
-    where = found.select("replay_sha", "stream", "profile", "start_byte", "records")
-    return recordings.select("replay_sha", "content").join(where, "replay_sha").mapInArrow(look, _LANES)
+    return _with_streams(recordings, found).mapInArrow(look, _LANES)
 
 
 _ROWS = (
@@ -241,29 +256,32 @@ _ROWS = (
 )
 
 
-def decode(recordings: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each record of each stream; fields that the layout lacks are NULL."""
+def decode(recordings: DataFrame, found: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row for each record of each stream; fields that the layout lacks are NULL. ``columns`` are those to read, all unless given."""
+    kinds = dict(c.split() for c in _ROWS.split(", "))
+    names = [c for c in kinds if columns is None or c in columns]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in ("replay_sha", "stream", "profile", "start_byte", "records")}
-                data = np.frombuffer(batch.column("content")[k].as_buffer(), np.uint8)
-                layout = next(x for x in LAYOUTS if x.name == row["profile"])
-                n = row["records"]
-                at = row["start_byte"] + layout.stride * np.arange(n)
-                none = pa.nulls(n, pa.float64())
-                q, p = _field(data, at + layout.quaternion, "<f4", 4).astype(float), _field(data, at + layout.position, "<f4", 3).astype(float)
-                v = _field(data, at + layout.velocity, "<f4", 3).astype(float) if layout.velocity is not None else None
-                ints = [pa.nulls(n, pa.int32()) if o is None else pa.array(_field(data, at + o, "<i4")[:, 0]) for o in (layout.contact, layout.lap)]
-                inputs = [pa.nulls(n, pa.int32()) if layout.inputs is None else pa.array(data[at + layout.inputs + j].astype(np.int32)) for j in range(6)]
-                arrays = [pa.array([row["replay_sha"]] * n), pa.array([row["stream"]] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32))]
-                arrays += [pa.array(_field(data, at, "<u4")[:, 0].astype(np.int64)), *(pa.array(q[:, j]) for j in range(4)), *(pa.array(p[:, j]) for j in range(3))]
-                arrays += [*(none if v is None else pa.array(v[:, j]) for j in range(3)), *ints, *inputs]
-                yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _ROWS.split(", ")])
-
-    where = found.select("replay_sha", "stream", "profile", "start_byte", "records")
-    return recordings.select("replay_sha", "content").join(where, "replay_sha").mapInArrow(read, _ROWS)
+        for row, layout, data in _each_stream(batches):
+            n = row["records"]
+            at = row["start_byte"] + layout.stride * np.arange(n)
+
+            def number(start: int | None, k: int) -> pa.Array:
+                return pa.nulls(n, pa.float64()) if start is None else pa.array(_field(data, at + start + 4 * k, "<f4")[:, 0].astype(float))  # noqa: B023
+
+            def whole(start: int | None) -> pa.Array:
+                return pa.nulls(n, pa.int32()) if start is None else pa.array(_field(data, at + start, "<i4")[:, 0])  # noqa: B023
+
+            made = {"replay_sha": lambda: pa.array([row["replay_sha"]] * n, pa.string()), "stream": lambda: pa.array([row["stream"]] * n, pa.int32()), "i": lambda: pa.array(np.arange(n, dtype=np.int32))}  # noqa: B023
+            made["time_ms"] = lambda: pa.array(_field(data, at, "<u4")[:, 0].astype(np.int64))  # noqa: B023
+            for group, start in (("qx qy qz qw", layout.quaternion), ("x y z", layout.position), ("vx vy vz", layout.velocity)):
+                made |= {c: lambda start=start, k=k: number(start, k) for k, c in enumerate(group.split())}  # noqa: B023
+            made |= {"contact_state": lambda: whole(layout.contact), "lap_index": lambda: whole(layout.lap)}  # noqa: B023
+            for j in range(6):
+                made[f"input_{60 + j}"] = lambda j=j: pa.nulls(n, pa.int32()) if layout.inputs is None else pa.array(data[at + layout.inputs + j].astype(np.int32))  # noqa: B023
+            yield pa.RecordBatch.from_arrays([made[c]() for c in names], names=names)
+
+    return _with_streams(recordings, found).mapInArrow(read, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def telemetry(records: DataFrame) -> DataFrame:
