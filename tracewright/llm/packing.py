@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .tokens import default_vocabulary, encoder
+from .tokens import TOGETHER, default_vocabulary, encoder
 
 CAPACITY = 2048
 #: Pieces in a shard, on average. Results do not depend on order; a shard's loss is about one sequence.
@@ -113,11 +113,11 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, special_as_text).encode
-        for batch in slices(batches):
+        own = encoder(vocabulary, special_as_text)
+        for batch in slices(batches, *TOGETHER):
             out, source = [], []
-            for i, t in enumerate(batch.column("text")):
-                ids = encode(t.as_py()) + end
+            for i, ids in enumerate(own.encode_all(batch.column("text"))):
+                ids += end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n, capacity), n]
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):

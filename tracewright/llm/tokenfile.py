@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path, slices
-from .tokens import default_vocabulary, encoder
+from .tokens import TOGETHER, default_vocabulary, encoder
 
 #: Longest code, unless more symbols are used than such codes can tell apart.
 MAX_BITS = 16
@@ -159,9 +159,9 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int, special_as_text: b
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary, special_as_text)
-        encode, wide = own.encode, max(own.tokenizer.get_vocab().values(), default=0) >= 1 << 16 or end_id >= 1 << 16
-        for batch in slices(batches):
-            ids = (encode(t.as_py()) + end for t in batch.column("text"))
+        wide = max(own.tokenizer.get_vocab().values(), default=0) >= 1 << 16 or end_id >= 1 << 16
+        for batch in slices(batches, *TOGETHER):
+            ids = (x + end for x in own.encode_all(batch.column("text")))
             if not wide:
                 ids = (np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids)
             yield pa.RecordBatch.from_arrays(

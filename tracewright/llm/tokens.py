@@ -2,7 +2,8 @@
 
 Byte-level BPE splits a text into pre-tokens (words with their leading space, digits, marks, white
 space) before it merges anything within each. Pre-tokens repeat far more often than texts do, so
-each worker keeps the ids that the library's BPE model gave for those it has seen. In texts of
+each worker keeps the ids that the library's BPE model gave for those it has seen, and for the stretches from
+one space to the next. Of many texts at a time, each distinct stretch is looked up once. In texts of
 Latin-1 characters the split needs no Unicode tables and is done here; in other texts, the
 stretches between spaces that hold other characters take the library's whole path, which is
 possible as a pre-token always starts at a space that a visible character follows. Texts that hold
@@ -15,16 +16,27 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
-#: Pre-tokens kept by a worker before it starts anew; only speed depends on it.
-CACHE_WORDS = 800_000
-#: Longer pre-tokens are encoded each time and not kept.
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Stretches of text in a generation; a worker keeps two of them. Only speed depends on it.
+CACHE_WORDS = 600_000
+#: Longer ones are encoded each time and not kept.
 CACHE_CHARS = 64
+#: Longer texts are encoded one by one.
+TOGETHER_CHARS = 1 << 20
+#: Rows and bytes of texts that are encoded together.
+TOGETHER = (2048, 8 << 20)
 
 #: Letters, digits and white space of Latin-1, and English endings after an apostrophe.
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
 _PRE_TOKEN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: A space that a cut may not be made at, as white space or nothing follows.
+_NO_CUT = re.compile(" (?:[\\t-\\r \u0085\u00a0]|$(?!\\n))")
 _CUT = re.compile(" (?=[!-~\u00a1-\u00ff])")
 #: The printable stand-in of each byte in byte-level BPE: itself where visible, else the next code point from 256.
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
@@ -53,6 +65,26 @@ def _is_plain_byte_level(path: str) -> bool:
     return bool(by_pattern and model.get("type") == "BPE" and not any(model.get(k) for k in odd) and not any(spec.get(k) for k in outer))
 
 
+class _KnownWords(dict):
+    """Ids of stretches of text, made when first asked for.
+
+    A full generation becomes the older one, from which what is asked for again moves on, so that frequent
+    stretches outlive the many that occur once.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word) or self.make(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.older = self.copy()
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class PreTokenEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers in bytes.
 
@@ -72,31 +104,50 @@ class PreTokenEncoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content for t in added if not (special_as_text and t.special)]
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
+        self.known = _KnownWords(self._word)
 
     def _word(self, word: str) -> bytes:
+        words = _PRE_TOKEN.findall(word)
+        if len(words) > 1:
+            return b"".join(map(self.known.__getitem__, words))
         if word.isascii() and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
             shown = word.replace(" ", _SPACE)
         else:
             shown = word.encode().decode("latin-1").translate(_STAND_IN)
-        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        if len(word) <= CACHE_CHARS:
-            self.known[word] = ids
-        return ids
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _latin1(self, text: str) -> bytes:
-        words = _PRE_TOKEN.findall(text)
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            get, make = self.known.get, self._word
-            found = [(get(w) or make(w)) if ids is None else ids for w, ids in zip(words, found)]
-        return b"".join(found)
+        return b"".join(map(self.known.__getitem__, _PRE_TOKEN.findall(text)))
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _splits(self, text: str | None) -> bool:
+        """Whether a text is made of Latin-1 stretches that each begin at a single space."""
+        return bool(text) and len(text) <= TOGETHER_CHARS and _is_latin1(text) and not _NO_CUT.search(text) and not any(t in text for t in self.added)
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """As ``encode`` for each text, null ones included."""
+        known = texts.to_pylist()
+        split = [not self.whole and self._splits(t) for t in known]
+        own = [t for t, yes in zip(known, split) if yes]
+        if not own:
+            return [self.encode(t) for t in known]
+        lists = pc.split_pattern(texts.filter(pa.array(split)), " ")
+        found = lists.flatten().dictionary_encode()
+        # the first stretch of a text has no space before it
+        first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        values = list(map(self.known.__getitem__, map(" ".__add__, found.dictionary.to_numpy(zero_copy_only=False))))
+        code = found.indices.to_numpy().astype(np.int64)
+        code[first] = len(values) + np.arange(len(own))
+        values += [self._latin1(t[: t.find(" ")] if " " in t else t) for t in own]
+        ids, size = np.frombuffer(b"".join(values), np.uint32), np.fromiter(map(len, values), np.int64, len(values)) // 4
+        n = size[code]
+        ids = ids[np.repeat((np.cumsum(size) - size)[code] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        raw, end = ids.tobytes(), 4 * np.cumsum(np.add.reduceat(n, first))
+        done = iter([raw[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist())])
+        return [next(done) if yes else self.encode(t) for t, yes in zip(known, split)]
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
