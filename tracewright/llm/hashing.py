@@ -30,7 +30,7 @@ def word_hashes(words: Sequence[str | bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _HALF)) * _MIX
     return h ^ (h >> _HALF)
 
@@ -42,4 +42,4 @@ def run_hashes(h: np.ndarray, lengths: Iterable[int]) -> Iterator[tuple[int, np.
         while done < min(n, len(h)):
             total = total[:-1] * _BASE + h[done:]
             done += 1
-        yield n, _mixed(total) if n <= len(h) else h[:0]
+        yield n, mixed(total) if n <= len(h) else h[:0]
