@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from test_tokens import PARTS, plain
-from tracewright.llm import tokens
+from tracewright.llm import packing, tokens
 from tracewright.llm.tokens import default_vocabulary, encoder
 
 
@@ -40,3 +40,26 @@ def test_frequent_words_outlive_those_that_occur_once(monkeypatch):
     for k in range(100):
         own.encode(f"often w{k}")
     assert made.count("often") == 1 and len(own.known) + len(own.known.older) <= 20
+
+
+def test_an_encoder_of_few_words_keeps_few_and_gives_the_same_ids():
+    few, texts = tokens.PreTokenEncoder(default_vocabulary(), words=50), [" ".join(f"w{i * k}" for i in range(40)) for k in range(20)]
+    assert few.encode_all(pa.array(texts)) == [plain(t) for t in texts]
+    assert len(few.known) <= 50 and len(few.known.older) <= 50
+
+
+def test_packing_keeps_fewer_stretches_than_a_token_file(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(packing, "encoder", lambda *given: asked.append(given) or encoder(*given))
+
+    class Whole:
+        columns, dtypes = ["doc_id", "text"], [("doc_id", "bigint"), ("text", "string")]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            return list(f(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b c"]})])))
+
+    assert packing.token_pieces(Whole())[0].num_rows == 1
+    assert encoder(*asked[0]).known.words < tokens.CACHE_WORDS

@@ -22,6 +22,8 @@ from .common import materialize, slices
 from .tokens import TOGETHER, default_vocabulary, encoder
 
 CAPACITY = 2048
+#: Stretches of text that a worker keeps after tokenization, while it does other stages' work; only speed and memory depend on it.
+KEPT_STRETCHES = 150_000
 #: Pieces in a shard, on average. Results do not depend on order; a shard's loss is about one sequence.
 SHARD_PIECES = 16_384
 #: Shards whose unfilled sequences are packed together in the second round.
@@ -113,7 +115,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary, special_as_text)
+        own = encoder(vocabulary, special_as_text, KEPT_STRETCHES)
         for batch in slices(batches, *TOGETHER):
             out, source = [], []
             for i, ids in enumerate(own.encode_all(batch.column("text"))):

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches of text in a generation; a worker keeps two of them. Only speed depends on it.
+#: Stretches of text in a generation; a worker keeps two of them. Only speed and memory depend on it (some 200 bytes a stretch).
 CACHE_WORDS = 600_000
 #: Longer ones are encoded each time and not kept.
 CACHE_CHARS = 64
@@ -72,13 +72,13 @@ class _KnownWords(dict):
     stretches outlive the many that occur once.
     """
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.older = make, {}
+    def __init__(self, make: Callable[[str], bytes], words: int):
+        self.make, self.words, self.older = make, words, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word) or self.make(word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.words:
                 self.older = self.copy()
                 self.clear()
             self[word] = ids
@@ -92,7 +92,7 @@ class PreTokenEncoder:
     of a special token in a text is that token. With ``special_as_text`` it is ordinary text.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, words: int | None = None):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -104,7 +104,7 @@ class PreTokenEncoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content for t in added if not (special_as_text and t.special)]
         self.model = self.tokenizer.model
-        self.known = _KnownWords(self._word)
+        self.known = _KnownWords(self._word, words or CACHE_WORDS)
 
     def _word(self, word: str) -> bytes:
         words = _PRE_TOKEN.findall(word)
@@ -169,9 +169,9 @@ class PreTokenEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, special_as_text: bool = False) -> PreTokenEncoder:
-    """One encoder for each worker and vocabulary file."""
-    return PreTokenEncoder(path, special_as_text)
+def encoder(path: str, special_as_text: bool = False, words: int | None = None) -> PreTokenEncoder:
+    """One encoder for each worker, vocabulary file and number of kept stretches."""
+    return PreTokenEncoder(path, special_as_text, words)
 
 
 def default_vocabulary() -> str:
