@@ -1,5 +1,6 @@
 """Texts that are encoded together: the ids of each alone, with one look-up a distinct stretch."""
 
+import corpus_pipeline as pipeline
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,7 +49,7 @@ def test_an_encoder_of_few_words_keeps_few_and_gives_the_same_ids():
     assert len(few.known) <= 50 and len(few.known.older) <= 50
 
 
-def test_packing_keeps_fewer_stretches_than_a_token_file(spark, monkeypatch):
+def test_the_pipelines_packing_keeps_fewer_stretches(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(packing, "encoder", lambda *given: asked.append(given) or encoder(*given))
 
@@ -61,5 +62,5 @@ def test_packing_keeps_fewer_stretches_than_a_token_file(spark, monkeypatch):
         def mapInArrow(self, f, _):  # noqa: N802
             return list(f(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b c"]})])))
 
-    assert packing.token_pieces(Whole())[0].num_rows == 1
+    assert packing.token_pieces(Whole(), stretches=pipeline.KEPT_STRETCHES)[0].num_rows == 1
     assert encoder(*asked[0]).known.words < tokens.CACHE_WORDS

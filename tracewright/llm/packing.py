@@ -22,8 +22,6 @@ from .common import materialize, slices
 from .tokens import TOGETHER, default_vocabulary, encoder
 
 CAPACITY = 2048
-#: Stretches of text that a worker keeps after tokenization, while it does other stages' work; only speed and memory depend on it.
-KEPT_STRETCHES = 150_000
 #: Pieces in a shard, on average. Results do not depend on order; a shard's loss is about one sequence.
 SHARD_PIECES = 16_384
 #: Shards whose unfilled sequences are packed together in the second round.
@@ -104,7 +102,7 @@ def pack_pieces(pieces: DataFrame, length: str = "length", row: str = "_row", ca
     return full.select(*columns).unionByName(done.select(*columns))
 
 
-def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, special_as_text: bool = False, stretches: int | None = None) -> DataFrame:
     """Pieces ``(doc_id, piece, start, length, ids_crc32)`` of each document's ids and its end id.
 
     Null and empty texts have the end id alone. A longer document is cut into full pieces, the
@@ -115,7 +113,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary, special_as_text, KEPT_STRETCHES)
+        own = encoder(vocabulary, special_as_text, stretches)
         for batch in slices(batches, *TOGETHER):
             out, source = [], []
             for i, ids in enumerate(own.encode_all(batch.column("text"))):
@@ -135,11 +133,12 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     )
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, special_as_text: bool = False, stretches: int | None = None) -> DataFrame:
     """Tokenize, cut and pack: one row a piece with its ``sequence_id`` and ``offset``.
 
-    Repeated rows and rows with null ids are packed like all others; other columns are ignored.
+    Repeated rows and rows with null ids are packed like all others; other columns are ignored. A worker
+    keeps two generations of so many ``stretches`` of text, by default those of the encoder; only speed and memory depend on it.
     """
-    pieces = token_pieces(docs, doc_id, text, vocabulary, capacity, end_id, special_as_text)
+    pieces = token_pieces(docs, doc_id, text, vocabulary, capacity, end_id, special_as_text, stretches)
     pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     return pack_pieces(pieces, capacity=capacity).drop("_row")
