@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +21,19 @@ U = ["user_id"]
 LAYOUT_NAMES = ("2026", "2025", "2021")
 
 
+@lru_cache(maxsize=512)
+def _cars(layout: str, scale: float, yaw: float) -> bytes:
+    """The two vehicles of a recording; users share some 360 such pairs, 26 MB."""
+    more = {"2026": {"second_phase": recordings.ALIAS_PHASE, "second_shift": 3.0}, "2025": {"second_phase": 100}, "2021": {}}[layout]
+    wave = 0.0 if layout == "2021" else 2.0
+    cars = [
+        synthetic.vehicle_records(240, 17, 0, scale, layout=layout, wave=wave, yaw=yaw, presses=[(20, 24), (60, 70), (120, 130)], **more),
+        synthetic.vehicle_records(120, 50, 30, 0.5, 40.0, layout=layout, wave=wave, presses=[(10, 12), (50, 55), (90, 95)]),
+    ]
+    gap = b"\xff" * 512
+    return b"".join(c + gap for c in cars)
+
+
 def _recording(u: int) -> bytes:
     """A container of user ``u``: two vehicles in one of three layouts, toggle tables of which up to three are marked, an action table.
 
@@ -27,15 +41,8 @@ def _recording(u: int) -> bytes:
     with the drift key of the second vehicle or the first, or with neither; some are left out.
     """
     layout, m = LAYOUT_NAMES[u % 3], u % 30
-    more = {"2026": {"second_phase": recordings.ALIAS_PHASE, "second_shift": 3.0}, "2025": {"second_phase": 100}, "2021": {}}[layout]
     scale = 0.25 if layout == "2021" else 0.2 + u % 25 / 100
-    wave = 0.0 if layout == "2021" else 2.0
-    cars = [
-        synthetic.vehicle_records(240, 17, 0, scale, layout=layout, wave=wave, yaw=u % 7 / 10, presses=[(20, 24), (60, 70), (120, 130)], **more),
-        synthetic.vehicle_records(120, 50, 30, 0.5, 40.0, layout=layout, wave=wave, presses=[(10, 12), (50, 55), (90, 95)]),
-    ]
     effects = lambda t: synthetic.effect_table([(t, 1, 2001.0), (t + 300, 0, 2001.0), (t + 3000, 1, 1.0), (t + 3100, 0, 1.0)])
-    gap = b"\xff" * 512
     tables = [synthetic.toggle_table([(100, 500), (600, 1000 + m)], marked=False) + synthetic.effect_table([] if u % 2 == 0 else [(1, 1, 1.0)])]
     if u % 7:
         tables.append(synthetic.toggle_table([(1500, 1800), (3300, 3600), (5000 + m, 5400)]) + effects(5850))
@@ -43,11 +50,11 @@ def _recording(u: int) -> bytes:
             tables.append(synthetic.toggle_table([(530 - m, 900), (2530 - m, 2900), (4530, 4900)]) + effects(5950))
     tables.append(synthetic.toggle_table([(340 + m, 700), (1020 + m, 1400), (2040 + m, 2400)]) + effects(6050 + m))
     actions = synthetic.action_table([1000, 1283, 2000 + m, 6000], [24, 25, 19, 24])
-    return b"".join(c + gap for c in cars) + b"".join(t + b"\xff" * 64 for t in tables) + actions
+    return _cars(layout, scale, u % 7 / 10) + b"".join(t + b"\xff" * 64 for t in tables) + actions
 
 
 def _recordings(spark: SparkSession, d: str) -> DataFrame:
-    """Synthetic recordings, one for each user of the events, made in tasks and written once.
+    """Synthetic recordings, one for each user of the events, made in tasks; what reads them twice keeps them.
 
     The users are dealt by a hash over a fixed number of tasks: dealt as they stand, their ids would be merged into
     one task, as their few bytes say nothing of the files made of them.
@@ -60,7 +67,7 @@ def _recordings(spark: SparkSession, d: str) -> DataFrame:
 
     users = spark.read.parquet(f"{d}/events.parquet").select("user_id").where("user_id is not null").distinct()
     spread = users.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("user_id"))
-    return kept(spread.mapInArrow(make, "replay_sha string, content binary"))
+    return spread.mapInArrow(make, "replay_sha string, content binary")
 
 
 _USERS_SQL = "u AS (SELECT DISTINCT user_id AS u, user_id % 3 AS layout, user_id % 30 AS m, printf('sha%05d', user_id) AS replay_sha FROM ev)"
@@ -86,7 +93,7 @@ _TOLD_SQL = """i AS (SELECT f.*, ordinal, CASE kind WHEN 0 THEN list_value(100,
   round_even((CASE WHEN stream = 1 THEN 0.0 ELSE u % 7 / 10 END) * 1000, 0) / 1000 AS yaw, round_even((CASE WHEN stream = 1 THEN 99.5 WHEN layout = 2 THEN 59.75 ELSE (0.2 + u % 25 / 100) * 239 END) * 1000, 0) / 1000 AS last_x
 FROM u, (VALUES (0, 240, 4063, 24), (1, 120, 5980, 12)) AS s(stream, n_rows, last_ms, pressed)""")
 def sav_decode(spark: SparkSession, d: str) -> DataFrame:
-    r = _recordings(spark, d)
+    r = kept(_recordings(spark, d))
     found = kept(recordings.streams(recordings.stream_candidates(r)))
     rows = recordings.telemetry(recordings.decode(r, found))
     out = rows.groupBy("replay_sha", "stream").agg(
@@ -101,19 +108,19 @@ def sav_decode(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT stream, 60 + c AS lane, count(*) FILTER (changed) AS changes, count(*) FILTER (down) AS down FROM l GROUP BY stream, c)
 SELECT replay_sha, stream, lane, changes, 0 AS low, 1 AS high, down FROM u, g WHERE layout = 0""")
 def state_bytes(spark: SparkSession, d: str) -> DataFrame:
-    r = _recordings(spark, d)
+    r = kept(_recordings(spark, d))
     found = recordings.streams(recordings.stream_candidates(r))
     lanes = recordings.discover_states(r, found)
     return lanes.select("replay_sha", "stream", "lane", "changes", F.array_min("states").alias("low"), F.array_max("states").alias("high"), F.element_at("counts", -1).alias("down"))
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
-    r = _recordings(spark, d)
-    found = kept(recordings.streams(recordings.stream_candidates(r)))
-    rows = recordings.decode(r, found, ["replay_sha", "stream", "i", "time_ms", "input_64"])
-    rises = seq.rising_edges(rows, ["replay_sha", "stream"], ["i"], F.col("input_64") != 0).select("replay_sha", "stream", F.col("time_ms").alias("t"))
+    """The vehicles of every recording with their tables, of one pass over the contents."""
+    candidates, tables, rises = native_tables.scan_files(_recordings(spark, d), input_lane=4)
+    found = kept(recordings.streams(candidates))
+    rises = rises.join(found.select("replay_sha", "profile", "start_byte", "stream"), ["replay_sha", "profile", "start_byte"]).select("replay_sha", "stream", "t")
     vehicles = found.select("replay_sha", "stream", F.col("stream").alias("shadow"))  # the first vehicle has the higher rate
-    return native_tables.assign_tables(kept(native_tables.drift_tables(r)), vehicles, kept(rises))
+    return native_tables.assign_tables(kept(tables), vehicles, kept(rises))
 
 
 @query(_TABLES_SQL + ", " + _TOLD_SQL + """, e AS (SELECT u, count(*) AS n_tables, count(*) FILTER (eligible) AS n_eligible FROM t GROUP BY u),
@@ -315,7 +322,7 @@ _FAULTS = (
 w AS (SELECT * FROM (VALUES {', '.join(f"({r}, '{m}', '{s}')" for r, m, s in _FAULTS)}) AS w(rest, mode, status))
 SELECT replay_sha, coalesce(mode, 'reuse') AS mode, coalesce(status, 'native_action_cache_valid') AS status, n_tables, n_intervals, true AS agrees FROM u JOIN x USING (u) LEFT JOIN w ON u.u % 12 = rest""")
 def native_cache_refresh(spark: SparkSession, d: str) -> DataFrame:
-    source = _recordings(spark, d).withColumn("size_bytes", F.octet_length("content").cast("long"))
+    source = kept(_recordings(spark, d)).withColumn("size_bytes", F.octet_length("content").cast("long"))
     rest = F.substring("replay_sha", 4, 5).cast("int") % 12
     sound = kept(native_cache.scan_rows(source.withColumn("base", F.lit(0).cast("long"))))
     bad = lambda r, wrong, right: F.when(rest == r, wrong).otherwise(right)

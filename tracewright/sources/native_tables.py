@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..operators import matching, temporal
 from ..operators.sets import drift_candidate_score
+from ..storage import kept
+from . import recordings as files
 
 #: Fixed values of the formats.
 LAST_MS = 600_000
@@ -88,6 +90,13 @@ def tail_start(size: int, tail: int = TAIL) -> int:
     return max(0, size - max(32_768, tail))
 
 
+def _set(flags: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of flags few of which are set: eight at a time are passed over."""
+    n = len(flags) // 8 * 8
+    near = (8 * np.flatnonzero(flags[:n].view(np.uint64))[:, None] + np.arange(8)).ravel()
+    return np.concatenate((near[flags[near]], n + np.flatnonzero(flags[n:])))
+
+
 def drift_candidates(data: bytes, tail: int = TAIL, base: int = 0) -> Iterator[dict]:
     """Every toggle table of the tail, with the effect table that follows it.
 
@@ -98,7 +107,7 @@ def drift_candidates(data: bytes, tail: int = TAIL, base: int = 0) -> Iterator[d
     if len(b) < 14:
         return
     # few bytes pass the states of the first two rows; only there is a count put together
-    at = low + np.flatnonzero((b[low + 8 : len(b) - 5] == 1) & (b[low + 13 :] == 0))
+    at = low + _set((b[low + 8 : len(b) - 5] == 1) & (b[low + 13 :] == 0))
     n = b[at].astype(np.int64) | b[at + 1].astype(np.int64) << 8 | b[at + 2].astype(np.int64) << 16 | b[at + 3].astype(np.int64) << 24
     likely = at[(n >= 4) & (n <= 1000) & (n % 2 == 0)]
     seen = set()
@@ -119,6 +128,18 @@ def drift_candidates(data: bytes, tail: int = TAIL, base: int = 0) -> Iterator[d
         yield {"count_offset": base + o, "marker": has_marker, "effect_valid": valid, "effect_status": status, "effect_records": 2 * len(effects), "intervals": pairs.tolist(), "effects": effects}
 
 
+def file_tables(content: pa.Buffer) -> Iterator[dict]:
+    """``drift_candidates`` of a whole file, of which only the tail is copied; effects by the names of their fields."""
+    base = max(0, tail_start(content.size) - len(MARKER))
+    for c in drift_candidates(content.slice(base).to_pybytes(), base=base):
+        yield c | {"effects": [dict(zip(("code", "code_bits", "start_ms", "end_ms"), e)) for e in c["effects"]]}
+
+
+#: The fields of a table in Arrow.
+_TABLE = [
+    ("count_offset", pa.int64()), ("marker", pa.bool_()), ("effect_valid", pa.bool_()), ("effect_status", pa.string()), ("effect_records", pa.int64()), ("intervals", pa.list_(pa.list_(pa.int64()))),
+    ("effects", pa.list_(pa.struct([("code", pa.float64()), ("code_bits", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64())]))),
+]
 _DRIFT = (
     "replay_sha string, count_offset long, marker boolean, effect_valid boolean, effect_status string, effect_records long, intervals array<array<long>>, "
     "effects array<struct<code:double,code_bits:int,start_ms:long,end_ms:long>>"
@@ -129,16 +150,36 @@ def drift_tables(recordings: DataFrame) -> DataFrame:
     """Candidates of the drift table; eligible are marked ones and those an effect table proves."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("code", pa.float64()), ("code_bits", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64())]))
-        for batch in batches:
-            for sha, content in zip(batch.column("replay_sha").to_pylist(), batch.column("content").to_pylist()):
-                for c in drift_candidates(content or b""):
-                    effects = [dict(zip(("code", "code_bits", "start_ms", "end_ms"), e)) for e in c.pop("effects")]
-                    arrays = [pa.array([sha]), *(pa.array([v]) for k, v in c.items() if k != "intervals"), pa.array([c["intervals"]], pa.list_(pa.list_(pa.int64()))), pa.array([effects], kind)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["replay_sha", *[k for k in c if k != "intervals"], "intervals", "effects"])
+        rows = ({"replay_sha": sha} | t for sha, content in files.each_file(batches) for t in file_tables(content))
+        yield from files.gathered(rows, pa.schema([("replay_sha", pa.string()), *_TABLE]))
+
+    return _eligible(recordings.select("replay_sha", "content").mapInArrow(scan, _DRIFT))
 
-    out = recordings.select("replay_sha", "content").mapInArrow(scan, _DRIFT)
-    return out.withColumn("eligible", F.col("marker") | (F.col("effect_valid") & (F.size("intervals") > 0)))
+
+def _eligible(tables: DataFrame) -> DataFrame:
+    return tables.withColumn("eligible", F.col("marker") | (F.col("effect_valid") & (F.size("intervals") > 0)))
+
+
+def scan_files(recordings: DataFrame, input_lane: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``stream_candidates``, ``drift_tables`` and the rises of an input, of one pass over the contents, which need not be kept.
+
+    Rises (``replay_sha, profile, start_byte, t`` in ms) are the moments at which input ``input_lane`` turns on within a
+    candidate; those of a stream of ``recordings.streams`` have its profile and start.
+    """
+    kinds = pa.schema([
+        ("replay_sha", pa.string()), ("candidates", pa.list_(pa.struct([*files.CANDIDATE, ("rises", pa.list_(pa.int64()))]))), ("tables", pa.list_(pa.struct(_TABLE))),
+    ])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ({"replay_sha": sha, "candidates": files.file_candidates(np.frombuffer(content, np.uint8), input_lane), "tables": list(file_tables(content))} for sha, content in files.each_file(batches))
+        yield from files.gathered(rows, kinds)
+
+    fields = lambda ddl: ddl.removeprefix("replay_sha string, ")
+    found = kept(recordings.select("replay_sha", "content").mapInArrow(scan, f"replay_sha string, candidates array<struct<{fields(files.CANDIDATES)}, rises array<long>>>, tables array<struct<{fields(_DRIFT)}>>"))
+    each = found.select("replay_sha", F.explode("candidates").alias("c"))
+    rises = each.select("replay_sha", "c.profile", "c.start_byte", F.explode("c.rises").alias("t"))
+    tables = found.select("replay_sha", F.explode("tables").alias("t")).select("replay_sha", "t.*")
+    return each.select("replay_sha", "c.*").drop("rises"), _eligible(tables), rises
 
 
 def best_tables(tables: DataFrame, rises: DataFrame | None = None, tolerance_ms: float = 34) -> DataFrame:

@@ -6,8 +6,9 @@ yields rows; everything between recordings and between streams is DataFrame oper
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,10 @@ LANE_RECORDS = 1 << 16
 ALIAS_PHASE = 137
 
 
+#: Rows whose clocks are compared at a time.
+LANE_ROWS = 1 << 12
+#: Rows of results that a scan of files gathers into one batch.
+BATCH_ROWS = 256
 #: Bytes of a file up to which it is read.
 MOST_BYTES = 64 << 20
 
@@ -73,11 +78,6 @@ def landing(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> Dat
     return ready.select(columns).union(large.select(columns))
 
 
-def _u32(data: np.ndarray) -> np.ndarray:
-    """The little-endian 32-bit number at every byte."""
-    return np.ndarray((max(0, len(data) - 3),), "<u4", np.ascontiguousarray(data), strides=(1,)).copy()
-
-
 def _field(data: np.ndarray, at: np.ndarray, kind: str, n: int = 1) -> np.ndarray:
     """``n`` values of a 4-byte kind at each of evenly spaced byte offsets; offsets beyond the end give zeros."""
     if len(at) and at[0] >= 0 and at[-1] + 4 * n <= len(data):
@@ -88,30 +88,35 @@ def _field(data: np.ndarray, at: np.ndarray, kind: str, n: int = 1) -> np.ndarra
     return np.ascontiguousarray(raw).view(kind)
 
 
-def lane_runs(data: np.ndarray, stride: int, clock: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(residue, clocks) of every run whose clock never goes back and really advances; ``clock`` is ``_u32(data)``."""
+def lane_runs(data: np.ndarray, stride: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(residue, clocks) of every run whose clock never goes back and really advances."""
     if len(data) < stride * LEAST_RECORDS:
         return
-    clock = _u32(data) if clock is None else clock
-    rows = -(-len(clock) // stride)
-    # unsigned steps: one backwards is a very long one
-    step, low = clock[stride:] - clock[:-stride], clock < LAST_MS
-    flat = np.zeros((rows - 1) * stride, bool)
-    flat[: len(step)] = (step <= LONGEST_STEP_MS) & low[:-stride] & low[stride:]
-    good = flat.reshape(rows - 1, stride)
-    moved = np.zeros_like(flat)
-    np.logical_and(flat[: len(step)], step > 0, out=moved[: len(step)])
-    # a lane without enough good steps, or too few of them forward, holds no run
-    enough = good.sum(axis=0, dtype=np.int32) >= LEAST_RECORDS - 1
-    enough &= moved.reshape(rows - 1, stride).sum(axis=0, dtype=np.int32) >= LEAST_FORWARD * (LEAST_RECORDS - 1)
-    for residue in np.flatnonzero(enough):
-        edge = np.diff(np.concatenate(([0], good[:, residue].view(np.int8), [0])))
-        times = clock[residue::stride]
-        for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+    # a step forward of clocks below LAST_MS adds 1 to LONGEST_STEP_MS to the lowest byte, 0 or 1 to the third, and leaves the highest 0;
+    # lanes without enough such steps hold no run
+    moved, most, n = np.zeros(stride, np.int64), LANE_ROWS * stride, len(data) - stride - 3
+    for a in range(0, n, most):
+        m = min(most, n - a)
+        now, then = data[a : a + m + 3], data[a + stride : a + stride + m + 3]
+        step = then - now
+        forward = np.zeros(-(-m // stride) * stride, bool)
+        np.less(step[:m] - np.uint8(1), LONGEST_STEP_MS, out=forward[:m])
+        for seen in (step[2 : m + 2] <= 1, then[2 : m + 2] <= LAST_MS >> 16, (then | now)[3:] == 0):
+            forward[:m] &= seen
+        rows = forward.view(np.uint8).reshape(-1, stride)
+        for k in range(0, len(rows), 255):  # as many as a byte can count
+            moved += rows[k : k + 255].sum(axis=0, dtype=np.uint8)
+    for residue in np.flatnonzero(moved >= LEAST_FORWARD * (LEAST_RECORDS - 1)):
+        times = _field(data, np.arange(residue, len(data) - 3, stride), "<u4")[:, 0]
+        low = times < LAST_MS
+        good = np.zeros(len(times) + 1, np.int8)
+        np.logical_and(times[1:] - times[:-1] <= LONGEST_STEP_MS, low[1:] & low[:-1], out=good[1:-1].view(bool))
+        edge = np.flatnonzero(good[1:] != good[:-1])
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
             if b - a + 1 < LEAST_RECORDS:
                 continue
             t = times[a : b + 1].astype(np.int64)
-            forward = (np.diff(t) > 0).mean()
+            forward = np.count_nonzero(t[1:] > t[:-1]) / (b - a)
             if t[-1] - t[0] >= LEAST_MS and forward >= LEAST_FORWARD and 1 - forward <= MOST_FROZEN:
                 yield int(residue + a * stride), t
 
@@ -120,38 +125,83 @@ def _candidate(data: np.ndarray, layout: Layout, start: int, t: np.ndarray) -> d
     at = start + layout.stride * np.arange(len(t))
     if at[-1] + max(layout.quaternion + 16, layout.position + 12) > len(data):
         return None
-    q, p = _field(data, at + layout.quaternion, "<f4", 4).astype(float), _field(data, at + layout.position, "<f4", 3).astype(float)
-    whole = np.isfinite(q).all(axis=1)
-    if whole.sum() < LEAST_RECORDS or not np.isfinite(p[whole]).all() or (np.abs(p[whole]) > FARTHEST).any():
+    # a row for each component, as rows are passed over faster than columns
+    q, p = (np.array(_field(data, at + o, "<f4", n).T, float, order="C") for o, n in ((layout.quaternion, 4), (layout.position, 3)))
+    whole = np.isfinite(q).all(axis=0)
+    q, seen = (q, p) if whole.all() else (q[:, whole], p[:, whole])
+    n = seen.shape[1]
+    if n < LEAST_RECORDS or not (np.abs(seen) <= FARTHEST).all():  # NaN is not, nor is infinity
         return None
-    norm = np.sqrt((q[whole] ** 2).sum(axis=1))
-    share = float(((norm > 0.8) & (norm < 1.2)).mean())
-    span = float(np.hypot(*(p[whole, :2].max(axis=0) - p[whole, :2].min(axis=0))))
+    norm = np.sqrt((q * q).sum(axis=0))
+    share = np.count_nonzero((norm > 0.8) & (norm < 1.2)) / n
+    span = float(np.hypot(seen[0].max() - seen[0].min(), seen[1].max() - seen[1].min()))
     if share < LEAST_ROTATIONS or span <= LEAST_SPAN:
         return None
-    nine = p[np.rint(np.arange(9) * (len(t) - 1) / 8).astype(int)]
+    nine = p[:, np.rint(np.arange(9) * (len(t) - 1) / 8).astype(int)].T
     return {
         "profile": layout.name, "start_byte": start, "end_byte": int(at[-1] + layout.stride), "records": len(t), "t0": int(t[0]), "t1": int(t[-1]), "rotations": share, "span": span,
         "score": 3 * share + 2 * min(span, 1.0) + 1 + min(len(t) / 10000, 1.0), "nine": nine.ravel().tolist(),
     }
 
 
-_CANDIDATES = "replay_sha string, profile string, start_byte long, end_byte long, records long, t0 long, t1 long, rotations double, span double, score double, nine array<double>"
+CANDIDATES = "replay_sha string, profile string, start_byte long, end_byte long, records long, t0 long, t1 long, rotations double, span double, score double, nine array<double>"
+
+
+#: The fields of a candidate in Arrow.
+CANDIDATE = [
+    ("profile", pa.string()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("records", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64()), ("rotations", pa.float64()),
+    ("span", pa.float64()), ("score", pa.float64()), ("nine", pa.list_(pa.float64())),
+]
+
+
+def each_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Buffer]]:
+    """(hash, bytes) of every recording; a NULL content has no bytes."""
+    for batch in batches:
+        for sha, content in zip(batch.column("replay_sha").to_pylist(), batch.column("content")):
+            yield sha, content.as_buffer() if content.is_valid else pa.py_buffer(b"")
+
+
+def gathered(rows: Iterable[dict], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """``rows`` in batches of some hundred, so that files with few results do not make a batch each."""
+    rows = iter(rows)
+    while some := list(islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_pylist(some, kinds)
+
+
+def file_candidates(data: np.ndarray, input_lane: int | None = None) -> list[dict]:
+    """Candidates of every layout in a file's bytes; with ``input_lane`` also ``rises``: when that input goes down."""
+    found = []
+    for layout in LAYOUTS:
+        for start, t in lane_runs(data, layout.stride):
+            c = _candidate(data, layout, start, t)
+            if c and input_lane is not None:
+                c["rises"] = input_rises(data, layout, start, t, input_lane).tolist()
+            if c:
+                found.append(c)
+    return found
+
+
+def input_rises(data: np.ndarray, layout: Layout, start: int, t: np.ndarray, lane: int) -> np.ndarray:
+    """The clocks ``t`` of a run's records at which input ``lane`` (0 to 5) turns on, the first record included; none in layouts without inputs.
+
+    They are those of ``sequences.rising_edges`` over the decoded records; bytes beyond the file's end are off.
+    """
+    if layout.inputs is None:
+        return t[:0]
+    values = data[start + layout.inputs + lane :: layout.stride][: len(t)]
+    down = np.zeros(len(t), bool)
+    down[: len(values)] = values != 0
+    return t[down & ~np.concatenate(([False], down[:-1]))]
 
 
 def stream_candidates(recordings: DataFrame) -> DataFrame:
     """Runs of records that pass the clock and the geometry gate, of every layout."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sha, content in zip(batch.column("replay_sha").to_pylist(), batch.column("content")):
-                data = np.frombuffer(content.as_buffer(), np.uint8) if content.is_valid else np.zeros(0, np.uint8)
-                clock = _u32(data)
-                found = [c for layout in LAYOUTS for start, t in lane_runs(data, layout.stride, clock) if (c := _candidate(data, layout, start, t))]
-                if found:
-                    yield pa.RecordBatch.from_pylist([{"replay_sha": sha} | c for c in found])
+        rows = ({"replay_sha": sha} | c for sha, content in each_file(batches) for c in file_candidates(np.frombuffer(content, np.uint8)))
+        yield from gathered(rows, pa.schema([("replay_sha", pa.string()), *CANDIDATE]))
 
-    return recordings.select("replay_sha", "content").mapInArrow(scan, _CANDIDATES)
+    return recordings.select("replay_sha", "content").mapInArrow(scan, CANDIDATES)
 
 
 def _distinct_trajectories(c: dict[str, np.ndarray]) -> dict[str, Sequence]:
@@ -191,7 +241,7 @@ def streams(candidates: DataFrame) -> DataFrame:
     alias = (F.col("profile") == "2026") & inside & (F.pmod(F.col("start_byte") - F.col("_s"), F.lit(stride)) == ALIAS_PHASE)
     left = same.alias("c").join(p.withColumnRenamed("replay_sha", "_sha"), (F.col("replay_sha") == F.col("_sha")) & alias, "left_anti")
     left = left.withColumns({"_block": F.lit(0), "_less": -F.col("records")})
-    distinct = blockwise(left, ["replay_sha"], _distinct_trajectories, _CANDIDATES.removeprefix("replay_sha string, "), ["start_byte", "_less"]).select(*[c.split()[0] for c in _CANDIDATES.split(", ")])
+    distinct = blockwise(left, ["replay_sha"], _distinct_trajectories, CANDIDATES.removeprefix("replay_sha string, "), ["start_byte", "_less"]).select(*[c.split()[0] for c in CANDIDATES.split(", ")])
     return distinct.withColumn("stream", F.row_number().over(Window.partitionBy("replay_sha").orderBy("start_byte")) - 1)
 
 
